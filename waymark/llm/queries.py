@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, packing, token_counts
+from . import byte_bpe, jaccard, packing, token_counts
 from .scratch import materialise
 from .vocabulary import default_path
 
@@ -28,10 +28,14 @@ def op3_vector_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.vector_pack(_table(spark, sf_dir, "documents"), default_path("byte_bpe_50k.json"))
 
 
+def op4_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.similar_components(_table(spark, sf_dir, "documents"), words=3, percent=90)
+
+
 def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.encode_texts(_table(spark, sf_dir, "documents"), default_path("byte_bpe_50k.tiktoken"), with_ids=False, with_digests=True)
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op2_packed_matrices, op3_vector_packing, op9_byte_bpe)}
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_packed_matrices, op3_vector_packing, op4_ngram_jaccard, op9_byte_bpe)}
 
 ORACLE_SQL: dict[str, str] = {}
