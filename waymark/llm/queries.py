@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, jaccard, packing, token_counts
+from . import byte_bpe, exact_dedup, jaccard, line_dedup, packing, quality, token_counts, top_k, warc
 from .scratch import materialise
 from .vocabulary import default_path
 
@@ -29,13 +29,76 @@ def op3_vector_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard.similar_components(_table(spark, sf_dir, "documents"), words=3, percent=90)
+    out = jaccard.similar_components(_table(spark, sf_dir, "documents"), words=3, percent=90)
+    return out.select("doc_id", "n_shingles", "component_id")
+
+
+def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dedup.exact_duplicates(spark, f"{sf_dir}/documents.parquet")
+
+
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row per document: lines, lines removed, and the digest of what is left."""
+    out = line_dedup.dedup_lines(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))
+
+
+def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality_of(spark, _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op8_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return top_k.exact_top_k(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
 
 
 def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.encode_texts(_table(spark, sf_dir, "documents"), default_path("byte_bpe_50k.tiktoken"), with_ids=False, with_digests=True)
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op2_packed_matrices, op3_vector_packing, op4_ngram_jaccard, op9_byte_bpe)}
-
-ORACLE_SQL: dict[str, str] = {}
+def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = warc.archive_pages(spark, _table(spark, sf_dir, "pages"))
+    return out.select(F.col("id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_token_counts,
+        op2_packed_matrices,
+        op3_vector_packing,
+        op4_ngram_jaccard,
+        op5_exact_dedup,
+        op6_line_dedup,
+        op7_quality_classifier,
+        op8_exact_top_k,
+        op9_byte_bpe,
+        op10_warc,
+    )
+}
+
+ORACLE_SQL: dict[str, str] = {
+    "op4_ngram_jaccard": r"""
+with recursive words as (
+  select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as w from documents),
+shingles as (
+  select doc_id, unnest(case when len(w) >= 3 then list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]) when len(w) > 0 then [array_to_string(w, ' ')] else [] end) as s from words),
+sets as (select distinct doc_id, s from shingles),
+sizes as (select doc_id, count(*) as n from sets group by doc_id),
+pairs as (select a.doc_id as x, b.doc_id as y, count(*) as common from sets a join sets b on a.s = b.s and a.doc_id < b.doc_id group by all),
+links as (select x, y from pairs join sizes p on p.doc_id = x join sizes q on q.doc_id = y where 100 * common >= 90 * (p.n + q.n - common)),
+ways as (select x as a, y as b from links union all select y, x from links),
+reach(a, b) as (select a, a from ways union select r.a, w.b from reach r join ways w on r.b = w.a),
+least as (select a, min(b) as component_id from reach group by a),
+degree as (select a, count(*) as n from ways group by a)
+select w.doc_id, coalesce(s.n, 0) as n_shingles, coalesce(l.component_id, w.doc_id) as component_id
+from words w left join sizes s using (doc_id) left join least l on l.a = w.doc_id""",
+    "op5_exact_dedup": r"""
+with t as (select doc_id, length(coalesce(text, '')) as size, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g')) as text_sha256 from documents),
+r as (select *, first_value(doc_id) over (partition by text_sha256 order by size desc, doc_id) as keep_id, count(*) over (partition by text_sha256) as group_size from t)
+select doc_id, keep_id, group_size, doc_id = keep_id as kept, text_sha256 from r""",
+    "op8_exact_top_k": """
+with v as (select vec_id, list_transform(embedding, lambda x: floor(64 * x::double)) as e from embeddings),
+p as (select a.vec_id as query_id, b.vec_id, cast(list_inner_product(a.e, b.e) as bigint) as score from v a join v b on a.vec_id <> b.vec_id where a.vec_id % 20 = 0),
+r as (select *, cast(row_number() over (partition by query_id order by score desc, vec_id) as int) as rank from p)
+select query_id, rank, vec_id, score from r where rank <= 20""",
+}
