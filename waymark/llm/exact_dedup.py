@@ -20,7 +20,11 @@ from .scratch import materialise, scratch_dir
 
 #: The white space that does not count: space and the range from tab to carriage return.
 _BLANK = " \t\n\x0b\x0c\r"
-_PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+_STORE = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",  # else each small store sets aside megabytes of disk
+}
 
 
 def normalised(text):
@@ -55,8 +59,9 @@ def stream_state(spark: SparkSession, path: str, schema, state_path: str, checkp
     if files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", files_per_trigger)
     seen = _identified(reader.parquet(path), id_col, text_col).groupBy("digest").agg(F.count("*").alias("copies"), _best().alias("best"))
-    before = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", _PROVIDER)
+    before = {k: spark.conf.get(k, None) for k in _STORE}
+    for k, v in _STORE.items():
+        spark.conf.set(k, v)
     try:
         query = (
             seen.writeStream.outputMode("update")
@@ -67,7 +72,8 @@ def stream_state(spark: SparkSession, path: str, schema, state_path: str, checkp
         )
         query.awaitTermination()
     finally:
-        spark.conf.set("spark.sql.streaming.stateStore.providerClass", before)
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
     kind = schema[id_col].dataType.simpleString()
     changes = spark.read.schema(f"digest binary, copies long, best struct<size:long,no_id:boolean,id:{kind},place:struct<file:string,row:long>>, batch long").parquet(state_path)
     last = F.max_by(F.struct("copies", "best"), "batch")
