@@ -6,11 +6,12 @@
    (a table of fixed size), rare ones first. Sets as similar as asked share one of
    their first n - ceil(t n) + 1 shingles (prefix filter), so only those are
    shuffled.
-3. In each list of sets that share a shingle, every set is paired with one member,
-   drawn anew for each shingle. A list of m sets makes m pairs, and a large group of
+3. Lists of up to ``SMALL`` sets give their pairs, less those whose sizes or whose
+   remaining overlap rule a link out. In a larger list every set is paired with one
+   member, drawn anew for each shingle; m sets make m pairs, and a large group of
    near copies is joined up by them.
-4. What is left are lists with sets of different components: there every set is
-   paired with those of other components whose size and remaining overlap allow it.
+4. What is left are larger lists with sets of different components: there every set
+   is paired with those of other components whose size and remaining overlap allow it.
 5. Pairs are decided by T-occurrence search: the sets paired with a query are kept
    as inverted lists, the short lists are merged by a heap, the long ones probed by
    binary search (DivideSkip), and sets that reach the required overlap are kept.
@@ -36,6 +37,8 @@ from .textarrays import Rolling, mix, small_groups
 
 #: Hash buckets of the corpus counts, and parts they are shuffled in.
 BUCKETS, PARTS = 1 << 21, 32
+#: Members up to which all pairs of a list are looked at at once.
+SMALL = 8
 #: Sets that one T-occurrence search holds as inverted lists.
 CELL = 256
 #: DivideSkip's tuning constant: how much dearer a probe is than a heap step.
@@ -223,8 +226,75 @@ def _prefixes(docs: DataFrame, words: int, percent: int, levels: bytes) -> DataF
     return docs.select("text").mapInArrow(run, "key long, set binary, n long, place int")
 
 
+def _lists(prefixes: DataFrame) -> DataFrame:
+    """Prefix rows whose shingle is in two sets or more, with the list's size m and one member drawn for the shingle."""
+    by_key = Window.partitionBy("key")
+    draw = F.min(F.struct(F.xxhash64("key", "set").alias("h"), "set", "n", "place")).over(by_key)
+    lists = prefixes.select("*", F.count("*").over(by_key).alias("m"), draw.alias("hub")).filter("m > 1")
+    return materialise(lists.select("key", "set", "n", "place", "m", F.col("hub")["set"].alias("hub"), F.col("hub")["n"].alias("hub_n"), F.col("hub")["place"].alias("hub_place")), "lists")
+
+
+def _may_link(n, place, other_n, other_place, percent: int):
+    """The sizes allow it, and so does what is left of both sets from a common shingle on."""
+    need = F.ceil(percent * (n + other_n) / (100 + percent))
+    return (100 * F.least(n, other_n) >= percent * F.greatest(n, other_n)) & (F.least(n - place, other_n - other_place) >= need)
+
+
+def _first_pairs(lists: DataFrame, percent: int) -> DataFrame:
+    """All pairs of small lists that can still link, and every member of a larger list with the one drawn.
+
+    Of a pair's common shingles up to the last one in small lists, ``c`` are known and
+    at most as many as either has in larger lists are not; the rest of the overlap
+    must come from behind it.
+    """
+    small = lists.filter(F.col("m") <= SMALL)
+    hidden = lists.filter(F.col("m") > SMALL).groupBy("set").agg(F.count("*").alias("hidden"))
+    rows = small.select("key", "set", "n", "place").join(hidden, "set", "left").fillna(0, ["hidden"])
+    x, y = rows.alias("x"), rows.alias("y")
+    met = (
+        x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.set") < F.col("y.set")) & (100 * F.least("x.n", "y.n") >= percent * F.greatest("x.n", "y.n")))
+        .groupBy(F.col("x.set").alias("a"), F.col("y.set").alias("b"))
+        .agg(
+            F.count("*").alias("c"),
+            F.min(F.least(F.col("x.hidden"), F.col("y.hidden"))).alias("hidden"),
+            F.min("x.n").alias("n"),
+            F.min("y.n").alias("other_n"),
+            F.max("x.place").alias("last"),
+            F.max("y.place").alias("other_last"),
+        )
+    )
+    behind = F.least(F.col("n") - 1 - F.col("last"), F.col("other_n") - 1 - F.col("other_last"))
+    need = F.ceil(percent * (F.col("n") + F.col("other_n")) / (100 + percent))
+    near = met.filter((F.col("c") + F.col("hidden") + behind) >= need).select("a", "b")
+    drawn = lists.filter((F.col("m") > SMALL) & (F.col("set") != F.col("hub"))).filter(_may_link(F.col("n"), F.col("place"), F.col("hub_n"), F.col("hub_place"), percent))
+    return near.union(drawn.select(F.least("set", "hub"), F.greatest("set", "hub"))).distinct()
+
+
+def _with_neighbour(big: DataFrame, percent: int) -> DataFrame:
+    """The sets of larger lists that have a member of a fitting size next to them, by size."""
+    order = Window.partitionBy("key").orderBy("n", "set")
+    before, after = F.lag("n").over(order), F.lead("n").over(order)
+    near = big.select("set", "n", before.alias("before"), after.alias("after"))
+    return near.filter((100 * F.col("before") >= percent * F.col("n")) | (100 * F.col("n") >= percent * F.col("after"))).select("set")
+
+
+def _open_pairs(big: DataFrame, parts: DataFrame, percent: int) -> DataFrame:
+    """The pairs across components that a larger list holding several of them still allows."""
+    by_key = Window.partitionBy("key")
+    rows = big.join(parts, big["set"] == parts["node"], "left").select("key", "set", "n", "place", F.coalesce("root", "set").alias("part"))
+    rows = rows.select("*", F.min("part").over(by_key).alias("low"), F.max("part").over(by_key).alias("high")).filter("low <> high").select("key", "set", "n", "place", "part")
+    rows = materialise(rows, "open")
+    x, y = rows.alias("x"), rows.alias("y")
+    return (
+        x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.set") < F.col("y.set")) & (F.col("x.part") != F.col("y.part")) & (100 * F.least("x.n", "y.n") >= percent * F.greatest("x.n", "y.n")))
+        .filter(_may_link(F.col("x.n"), F.col("x.place"), F.col("y.n"), F.col("y.place"), percent))
+        .select(F.col("x.set").alias("a"), F.col("y.set").alias("b"))
+        .distinct()
+    )
+
+
 def _hashes_of(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
-    """(set, hashes) of the wanted (row, set), from the texts."""
+    """(set, hashes) of the wanted (row, set), from the texts; more than once where rows repeat, which only repeats links."""
 
     def run(batches):
         for batch in batches:
@@ -232,7 +302,7 @@ def _hashes_of(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(map(digest, sets), pa.binary()), batch.column("set"), pa.array([s.tobytes() for s in sets], pa.binary())], ["found", "set", "hashes"])
 
     texts = docs.join(wanted, "row").select("set", "text").mapInArrow(run, "found binary, set binary, hashes binary")
-    return texts.filter("found = set").groupBy("set").agg(F.first("hashes").alias("hashes"))
+    return texts.filter("found = set").select("set", "hashes")
 
 
 def _verified(pairs: DataFrame, hashes: DataFrame, percent: int) -> DataFrame:
@@ -286,34 +356,16 @@ def similar_components(docs: DataFrame, words: int = 5, percent: int = 80, id_co
     first = materialise(_sets_and_counts(base, words), "sets")
     sets = first.filter("part is null").select("row", "n", "set")
     classes = sets.filter("n > 0").groupBy("set").agg(F.min("row").alias("rep"))
-    prefixes = _prefixes(base, words, percent, _levels(first)).distinct()
-    # the draw of each list's partner, and whether the list has two sets at all
-    by_key = Window.partitionBy("key")
-    draw = F.min(F.struct(F.xxhash64("key", "set").alias("h"), "set", "n")).over(by_key)
-    last = F.max(F.struct(F.xxhash64("key", "set").alias("h"), "set")).over(by_key)
-    lists = prefixes.select("*", draw.alias("draw"), last["set"].alias("last")).filter(F.col("draw")["set"] != F.col("last"))
-    lists = materialise(lists.select("key", "set", "n", "place", F.col("draw")["set"].alias("hub"), F.col("draw")["n"].alias("hub_n")), "lists")
-    sized = 100 * F.least("n", "hub_n") >= percent * F.greatest("n", "hub_n")
-    pairs = lists.filter((F.col("set") != F.col("hub")) & sized).select(F.least("set", "hub").alias("a"), F.greatest("set", "hub").alias("b")).distinct()
-    wanted = lists.select("set").distinct().join(classes, "set").select(F.col("rep").alias("row"), "set")
+    prefixes = _prefixes(base, words, percent, _levels(first)).repartition("key").distinct()
+    lists = _lists(prefixes)
+    pairs = materialise(_first_pairs(lists, percent), "pairs")
+    big = lists.filter(F.col("m") > SMALL)
+    wanted = pairs.select(F.col("a").alias("set")).union(pairs.select("b")).union(_with_neighbour(big, percent)).distinct()
+    wanted = wanted.join(classes, "set").select(F.col("rep").alias("row"), "set")
     hashes = materialise(_hashes_of(base, wanted, words), "hashes")
     found = materialise(_verified(pairs, hashes, percent), "links")
-    parts = connected_components(found, "parts")
-    # lists that still hold several components
-    place = lists.join(parts, lists["set"] == parts["node"], "left").select("key", "set", "n", "place", F.coalesce("root", "set").alias("part"))
-    open_lists = place.select("*", F.min("part").over(by_key).alias("low"), F.max("part").over(by_key).alias("high")).filter("low <> high").select("key", "set", "n", "place", "part")
-    open_lists = materialise(open_lists, "open")
-    x, y = open_lists.alias("x"), open_lists.alias("y")
-    need = F.ceil(percent * (F.col("x.n") + F.col("y.n")) / (100 + percent))
-    room = F.least(F.col("x.n") - F.col("x.place"), F.col("y.n") - F.col("y.place"))
-    rest = (
-        x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.set") < F.col("y.set")) & (F.col("x.part") != F.col("y.part")))
-        .filter((100 * F.least("x.n", "y.n") >= percent * F.greatest("x.n", "y.n")) & (room >= need))
-        .select(F.col("x.set").alias("a"), F.col("y.set").alias("b"))
-        .distinct()
-        .join(pairs, ["a", "b"], "left_anti")
-    )
-    links = materialise(_verified(rest, hashes, percent).union(found), "links")
+    rest = materialise(_open_pairs(big, connected_components(found, "parts"), percent).join(pairs, ["a", "b"], "left_anti"), "rest")
+    links = materialise(_verified(rest, hashes, percent).union(found).distinct(), "links")
     roots = connected_components(links, "components")
     named = classes.join(roots, classes["set"] == roots["node"], "left").select("set", "rep", F.coalesce("root", "set").alias("root"))
     least = named.groupBy("root").agg(F.min("rep").alias("component_id"))
