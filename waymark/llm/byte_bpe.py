@@ -17,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .scratch import bounded_batches
 from .textarrays import WordTable, look_up_texts
 from .vocabulary import ranks_of
 
@@ -157,7 +158,7 @@ def encode_texts(docs: DataFrame, ranks_path: str, id_col: str = "doc_id", text_
             yield pa.RecordBatch.from_arrays(columns, names)
 
     ddl = f"id {kind}, n_tokens long" + ", ids array<int>, decoded binary" * with_ids + ", ids_sha256 string, decoded_sha256 string" * with_digests
-    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    rows = bounded_batches(docs).select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     return rows.mapInArrow(run, ddl).withColumnRenamed("id", id_col)
 
 

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .scratch import materialise
+from .scratch import bounded_batches, materialise
 from .textarrays import Rolling, mix, small_groups
 
 #: Hash buckets of the corpus counts, and parts they are shuffled in.
@@ -212,7 +212,7 @@ def _prefixes(docs: DataFrame, words: int, percent: int, levels: bytes) -> DataF
                 name = digest(s)
                 if not len(s) or name in seen:
                     continue
-                if len(seen) < 1_000_000:
+                if len(seen) < 200_000:
                     seen.add(name)
                 order = np.argsort(level[(s & np.uint64(BUCKETS - 1)).astype(np.int64)], kind="stable")
                 p = len(s) - -(-percent * len(s) // 100) + 1
@@ -352,7 +352,7 @@ def similar_components(docs: DataFrame, words: int = 5, percent: int = 80, id_co
     """
     if not 50 <= percent <= 100 or words < 1:
         raise ValueError("percent from 50 to 100, one word or more")
-    base = docs.select(F.col(id_col).alias("row"), F.col(text_col).alias("text"))
+    base = bounded_batches(docs).select(F.col(id_col).alias("row"), F.col(text_col).alias("text"))
     first = materialise(_sets_and_counts(base, words), "sets")
     sets = first.filter("part is null").select("row", "n", "set")
     classes = sets.filter("n > 0").groupBy("set").agg(F.min("row").alias("rep"))

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from .scratch import materialise
+from .scratch import bounded_batches, materialise
 from .textarrays import Rolling, codes_of, small_groups
 
 MIN_CHARS = 20
@@ -117,7 +117,7 @@ def _distinct_lines(base: DataFrame, min_chars: int) -> tuple[DataFrame, DataFra
 
 def repeated_lines(docs: DataFrame, min_chars: int = MIN_CHARS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(row, line) of every line to remove, lines counted from 0."""
-    base = docs.select(F.col(id_col).alias("row"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    base = bounded_batches(docs).select(F.col(id_col).alias("row"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     kind = base.schema["row"].dataType.simpleString()
     lines, distinct = _distinct_lines(base, min_chars)
     distinct = materialise(distinct, "distinct")

@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
+from .scratch import bounded_batches
 from .vocabulary import json_vocabulary
 
 #: Documents dealt to one packing task.
@@ -60,7 +61,7 @@ def tokenised_pieces(docs: DataFrame, tokenizer_path: str, size: int, end_id: in
     ddl = f"bin_group long, id {kind}, piece long, start long, length long, ids_crc32 long" + ", ids binary" * bool(id_bytes)
     schema = to_arrow_schema(StructType.fromDDL(ddl))
     text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = docs.select(F.col(id_col).alias("id"), F.pmod(F.xxhash64(id_col, F.octet_length(text)), F.lit(1 << 40)).alias("seed"), text.alias("text"))
+    rows = bounded_batches(docs).select(F.col(id_col).alias("id"), F.pmod(F.xxhash64(id_col, F.octet_length(text)), F.lit(1 << 40)).alias("seed"), text.alias("text"))
     return rows.mapInArrow(run, ddl)
 
 

@@ -16,6 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .scratch import bounded_batches
 from .textarrays import Rolling, small_groups
 
 #: Hash buckets for words, word beginnings and byte pairs.
@@ -140,7 +141,7 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = 4000, id_col: str = "d
     for value in (0, 1):
         part = own.filter(F.col("_label") == value).orderBy(F.xxhash64(id_col), id_col).limit(rows // 2)
         sample = part if sample is None else sample.union(part)
-    texts = docs.select(F.col(id_col), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    texts = bounded_batches(docs).select(F.col(id_col), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
 
     def run(batches):
         for batch in batches:
@@ -177,7 +178,7 @@ def score_documents(docs: DataFrame, voters: Voters, threshold: float = 0.3, id_
             scores = shared.value.score(batch.column("text").to_pylist()) if batch.num_rows else np.empty(0)
             yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("held_out"), pa.array(scores, pa.float64())], ["id", "held_out", "score"])
 
-    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(held_out(id_col), F.lit(True)).alias("held_out"), F.col(text_col).alias("text"))
+    rows = bounded_batches(docs).select(F.col(id_col).alias("id"), F.coalesce(held_out(id_col), F.lit(True)).alias("held_out"), F.col(text_col).alias("text"))
     scored = rows.mapInArrow(run, f"id {kind}, held_out boolean, score double")
     return scored.select(F.col("id").alias(id_col), "held_out", "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
@@ -195,4 +196,4 @@ def keep_good(docs: DataFrame, voters: Voters, threshold: float = 0.3, text_col:
             if batch.num_rows:
                 yield batch.filter(pa.array(shared.value.score(batch.column(text_col).to_pylist()) >= threshold))
 
-    return docs.mapInArrow(run, docs.schema)
+    return bounded_batches(docs).mapInArrow(run, docs.schema)

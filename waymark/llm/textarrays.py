@@ -182,7 +182,7 @@ class WordTable:
     so equal hashes of different words cannot pass for one another.
     """
 
-    def __init__(self, resolve, limit: int = 1_000_000):
+    def __init__(self, resolve, limit: int = 500_000):
         self.resolve, self.limit = resolve, limit
         self._clear()
 

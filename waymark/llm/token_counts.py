@@ -22,6 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .scratch import bounded_batches
 from .textarrays import WordTable, last_safe_cut, look_up_texts, safe_cut
 from .vocabulary import JsonVocabulary, json_vocabulary
 
@@ -191,7 +192,7 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", t
     """
     path, kind = tokenizer_path, dict(docs.dtypes)[id_col]
     text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = docs.select(F.col(id_col).alias("id"), F.octet_length(text).cast("long").alias("n_bytes"), text.alias("text"))
+    rows = bounded_batches(docs).select(F.col(id_col).alias("id"), F.octet_length(text).cast("long").alias("n_bytes"), text.alias("text"))
 
     def short(batches):
         count = counter(path).counts

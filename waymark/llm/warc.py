@@ -23,7 +23,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .scratch import materialise, scratch_dir
+from .scratch import bounded_batches, materialise, scratch_dir
 
 #: Bytes of records after which a task begins the next package.
 PACKAGE_BYTES = 16 << 20
@@ -169,7 +169,7 @@ def plan_records(pages: DataFrame, least: int = 0, id_col: str = "page_id", url_
     they are shuffled.
     """
     text = F.coalesce(F.col(html_col), F.lit(""))
-    rows = pages.select(F.col(id_col).alias("id"), F.coalesce(F.col(url_col), F.lit("")).alias("url"), text.alias("html"), F.sha2(text, 256).alias("key"), F.octet_length(text).alias("size"))
+    rows = bounded_batches(pages).select(F.col(id_col).alias("id"), F.coalesce(F.col(url_col), F.lit("")).alias("url"), text.alias("html"), F.sha2(text, 256).alias("key"), F.octet_length(text).alias("size"))
     last = rows.filter(F.col("size") >= least).groupBy("key", "size").agg(F.max("id").alias("last"), F.count("*").alias("copies")).filter("copies > 1").select("key", "last")
     joined = rows.join(last, (rows["key"] == last["key"]) & (rows["size"] >= least), "left")
     again = F.col("last").isNotNull() & (F.col("id").isNull() | (F.col("id") != F.col("last")))
