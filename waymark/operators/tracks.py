@@ -71,9 +71,9 @@ def track_summary(points: DataFrame) -> DataFrame:
 
 def grade_in_range(reach: float = 15.0) -> Column:
     """Grade in % over ``reach`` metres either way, at least to both neighbours; needs d and z."""
-    around = Window.partitionBy("track_id").orderBy("d").rangeBetween(-reach, reach)
     here = F.struct("d", "z")
-    low, high = F.first(here).over(around), F.last(here).over(around)
+    around = f"over (partition by track_id order by d range between {reach}D preceding and {reach}D following)"
+    low, high = F.expr(f"first(struct(d, z)) {around}"), F.expr(f"last(struct(d, z)) {around}")
     by_d = Window.partitionBy("track_id").orderBy("d")
     low = F.least(low, F.coalesce(F.lag(here).over(by_d), here))
     high = F.greatest(high, F.coalesce(F.lead(here).over(by_d), here))
