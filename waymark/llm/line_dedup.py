@@ -8,7 +8,7 @@ on the order of work.
 
 Two lines within one edit agree in their first or their last h characters, h being
 half the shorter one's length (pigeonhole). Only distinct lines that share such a
-half go on to the deletion neighbourhood, where each emits hashed keys: one for
+half under one length of the shorter go on to the deletion neighbourhood, where each emits hashed keys: one for
 every (variant, place of deletion), equal for lines with a replaced character, and
 one for every variant and for the line as it is, equal for lines with an inserted
 one. Equal keys are grouped and only their earliest members kept, so a group of m
@@ -19,12 +19,12 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from .scratch import bounded_batches, materialise
-from .textarrays import Rolling, codes_of, small_groups
+from .textarrays import Rolling, codes_of, mix, small_groups
 
 MIN_CHARS = 20
 
@@ -48,8 +48,8 @@ def _hash_lines(batches, min_chars: int, id_type):
             one, two = Rolling(codes), Rolling(codes, 1)
             n = ends - starts
             halves = []
-            for h in (n // 2, (n - 1) // 2):
-                tag = h.astype(np.uint64) << np.uint64(1)
+            for shorter in (n, n - 1):
+                h, tag = shorter // 2, shorter.astype(np.uint64) << np.uint64(1)
                 for side, (x, y) in enumerate(((starts, starts + h), (ends - h, ends))):
                     halves.append(one.spans(x, y) ^ (tag + np.uint64(side)))
             halves = np.column_stack(halves).view(np.int64).reshape(-1)
@@ -76,15 +76,13 @@ def neighbourhood(line: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
         variants = roll.sums[at] + (roll.sums[n] - roll.sums[at + 1]) * back
         size = np.uint64(n - 1) * np.uint64(0xD6E8FEB86659FD93)
         own = roll.sums[n] + np.uint64(n) * np.uint64(0xD6E8FEB86659FD93)
-        from .textarrays import mix
-
         alone = mix(variants + size)
         placed = mix(alone + np.uint64(0x9E3779B97F4A7C15) * (at.astype(np.uint64) + np.uint64(1)))
         return placed, alone, int(mix(np.array([own], np.uint64))[0])
 
 
 def _variants(batches):
-    """(key, kind, row, line, h1, h2): kind 0 keys make lines with one replacement meet; 1 is the line as it is, 2 a line with one character taken out."""
+    """(key, kind, row, line): kind 0 keys make lines with one replacement meet; 1 is the line as it is, 2 a line with one character taken out."""
     for batch in batches:
         keys, kinds, rows = [], [], []
         for i, text in enumerate(batch.column("text").to_pylist()):
@@ -102,59 +100,36 @@ def _variants(batches):
 
 def _variant_batch(batch, keys, kinds, rows):
     take = pa.array(np.concatenate(rows))
-    columns = [pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(kinds)), *(batch.column(c).take(take) for c in ("row", "line", "h1", "h2"))]
-    return pa.RecordBatch.from_arrays(columns, ["key", "kind", "row", "line", "h1", "h2"])
+    columns = [pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(kinds)), *(batch.column(c).take(take) for c in ("row", "line"))]
+    return pa.RecordBatch.from_arrays(columns, ["key", "kind", "row", "line"])
 
 
-def _distinct_lines(base: DataFrame, min_chars: int) -> tuple[DataFrame, DataFrame]:
-    """All long lines, and a row for each distinct one with its first place and how often it occurs."""
+def repeated_lines(docs: DataFrame, min_chars: int = MIN_CHARS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(row, line) of every line to remove, lines counted from 0. A distinct line goes by its first place."""
+    base = bounded_batches(docs).select(F.col(id_col).alias("row"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     kind = base.schema["row"].dataType
     lines = base.mapInArrow(lambda it: _hash_lines(it, min_chars, to_arrow_type(kind)), f"row {kind.simpleString()}, line long, n long, h1 long, h2 long, halves array<long>")
-    lines = materialise(lines, "lines")
     distinct = lines.groupBy("h1", "h2").agg(F.min(F.struct("row", "line")).alias("place"), F.count("*").alias("copies"), F.first("halves").alias("halves"))
-    return lines, distinct
-
-
-def repeated_lines(docs: DataFrame, min_chars: int = MIN_CHARS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(row, line) of every line to remove, lines counted from 0."""
-    base = bounded_batches(docs).select(F.col(id_col).alias("row"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    kind = base.schema["row"].dataType.simpleString()
-    lines, distinct = _distinct_lines(base, min_chars)
-    distinct = materialise(distinct, "distinct")
-    halves = distinct.select("h1", "h2", F.explode(F.array_distinct("halves")).alias("half"))
-    shared = halves.groupBy("half").agg(F.min("h1").alias("a"), F.max("h1").alias("b"), F.min("h2").alias("c"), F.max("h2").alias("d")).filter("a <> b or c <> d").select("half")
-    candidates = halves.join(shared, "half").select("h1", "h2").distinct().join(distinct.select("h1", "h2", "place"), ["h1", "h2"])
-    wanted = candidates.select(F.col("place.row").alias("row"), F.col("place.line").alias("line"), "h1", "h2")
-    per_doc = wanted.groupBy("row").agg(F.collect_list(F.struct("line", "h1", "h2")).alias("own"))
-    with_text = base.join(per_doc, "row").select("row", F.explode(F.col("own")).alias("w"), F.split("text", "\n").alias("all"))
-    texts = with_text.select("row", "w.line", "w.h1", "w.h2", F.get("all", F.col("w.line").cast("int")).alias("text")).filter(F.length("text") >= min_chars).distinct()
+    distinct = materialise(distinct.select("h1", "h2", "place.row", "place.line", "copies", "halves"), "distinct")
+    halves = distinct.select(F.explode(F.array_distinct("halves")).alias("half"), "row", "line")
+    members = F.count("*").over(Window.partitionBy("half"))
+    wanted = halves.withColumn("members", members).filter("members > 1").select("row", "line").distinct()
+    per_doc = wanted.groupBy("row").agg(F.collect_list("line").alias("own"))
+    with_text = base.join(per_doc, "row").select("row", F.explode("own").alias("line"), F.split("text", "\n").alias("all"))
+    texts = with_text.select("row", "line", F.get("all", F.col("line").cast("int")).alias("text")).filter(F.length("text") >= min_chars).distinct()
     texts = materialise(texts, "candidates")
-    variants = texts.mapInArrow(_variants, f"key long, kind int, row {kind}, line long, h1 long, h2 long")
-    own = F.struct("row", "line", "h1", "h2")
-    met = variants.groupBy("key", F.when(F.col("kind") == 0, 0).otherwise(1).alias("family")).agg(
-        F.min(own).alias("low"),
-        F.max(own).alias("high"),
-        F.min(F.when(F.col("kind") == 1, own)).alias("whole"),
-        F.min(F.when(F.col("kind") == 2, own)).alias("cut"),
-    )
-    met = met.filter("(family = 0 and low <> high) or (family = 1 and whole is not null and cut is not null)")
-    met = materialise(met.select("key", "family", "low", "whole", "cut"), "met")
     # each line with the earliest line it meets
-    joined = variants.withColumn("family", F.when(F.col("kind") == 0, 0).otherwise(1)).join(met, ["key", "family"])
-    partner = F.when(F.col("kind") == 0, F.col("low")).when(F.col("kind") == 1, F.col("cut")).otherwise(F.col("whole"))
-    met_by = joined.select("h1", "h2", "row", "line", partner.alias("p")).filter(F.struct("p.row", "p.line") < F.struct("row", "line"))
-    pairs = met_by.groupBy("h1", "h2").agg(F.min("p").alias("p"))
-    mine = texts.select("h1", "h2", F.col("text").alias("mine"))
-    theirs = texts.select(F.col("h1").alias("p1"), F.col("h2").alias("p2"), F.col("text").alias("theirs"))
-    proven = (
-        pairs.select("h1", "h2", F.col("p.h1").alias("p1"), F.col("p.h2").alias("p2"))
-        .join(mine, ["h1", "h2"])
-        .join(theirs, ["p1", "p2"])
-        .filter(F.levenshtein("mine", "theirs", 1) >= 0)
-        .select("h1", "h2", F.lit(True).alias("near"))
-    )
-    verdict = distinct.join(proven, ["h1", "h2"], "left").select("h1", "h2", "place", "copies", F.coalesce("near", F.lit(False)).alias("near")).filter("copies > 1 or near")
-    return lines.select("row", "line", "h1", "h2").join(verdict, ["h1", "h2"]).filter(F.col("near") | (F.struct("row", "line") != F.col("place"))).select("row", "line")
+    variants = texts.mapInArrow(_variants, f"key long, kind int, row {kind.simpleString()}, line long").withColumn("family", F.when(F.col("kind") == 0, 0).otherwise(1))
+    group = Window.partitionBy("key", "family")
+    place = F.struct("row", "line")
+    whole, cut = (F.min(F.when(F.col("kind") == k, place)).over(group) for k in (1, 2))
+    partner = F.when(F.col("kind") == 0, F.min(place).over(group)).when(F.col("kind") == 1, cut).otherwise(whole)
+    met = variants.withColumn("p", partner).filter(F.col("p") < place)
+    pairs = met.groupBy("row", "line").agg(F.min("p").alias("p"))
+    theirs = texts.select(F.struct("row", "line").alias("p"), F.col("text").alias("theirs"))
+    proven = pairs.join(texts, ["row", "line"]).join(theirs, "p").filter(F.levenshtein("text", "theirs", 1) >= 0).select("row", "line", F.lit(True).alias("near"))
+    verdict = distinct.join(proven, ["row", "line"], "left").select("h1", "h2", F.struct("row", "line").alias("place"), "copies", F.coalesce("near", F.lit(False)).alias("near")).filter("copies > 1 or near")
+    return lines.select("row", "line", "h1", "h2").join(verdict, ["h1", "h2"]).filter(F.col("near") | (place != F.col("place"))).select("row", "line")
 
 
 def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
