@@ -247,16 +247,14 @@ def _first_pairs(lists: DataFrame, percent: int) -> DataFrame:
     at most as many as either has in larger lists are not; the rest of the overlap
     must come from behind it.
     """
-    small = lists.filter(F.col("m") <= SMALL)
+    rows = lists.filter(F.col("m") <= SMALL).select("key", "set", "n", "place")
     hidden = lists.filter(F.col("m") > SMALL).groupBy("set").agg(F.count("*").alias("hidden"))
-    rows = small.select("key", "set", "n", "place").join(hidden, "set", "left").fillna(0, ["hidden"])
     x, y = rows.alias("x"), rows.alias("y")
     met = (
         x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.set") < F.col("y.set")) & (100 * F.least("x.n", "y.n") >= percent * F.greatest("x.n", "y.n")))
         .groupBy(F.col("x.set").alias("a"), F.col("y.set").alias("b"))
         .agg(
             F.count("*").alias("c"),
-            F.min(F.least(F.col("x.hidden"), F.col("y.hidden"))).alias("hidden"),
             F.min("x.n").alias("n"),
             F.min("y.n").alias("other_n"),
             F.max("x.place").alias("last"),
@@ -265,7 +263,9 @@ def _first_pairs(lists: DataFrame, percent: int) -> DataFrame:
     )
     behind = F.least(F.col("n") - 1 - F.col("last"), F.col("other_n") - 1 - F.col("other_last"))
     need = F.ceil(percent * (F.col("n") + F.col("other_n")) / (100 + percent))
-    near = met.filter((F.col("c") + F.col("hidden") + behind) >= need).select("a", "b")
+    known = met.withColumn("lacks", need - F.col("c") - behind)
+    known = known.join(hidden.toDF("a", "of_a"), "a", "left").join(hidden.toDF("b", "of_b"), "b", "left")
+    near = known.filter(F.coalesce(F.least(F.coalesce("of_a", F.lit(0)), F.coalesce("of_b", F.lit(0))), F.lit(0)) >= F.col("lacks")).select("a", "b")
     drawn = lists.filter((F.col("m") > SMALL) & (F.col("set") != F.col("hub"))).filter(_may_link(F.col("n"), F.col("place"), F.col("hub_n"), F.col("hub_place"), percent))
     return near.union(drawn.select(F.least("set", "hub"), F.greatest("set", "hub"))).distinct()
 
@@ -283,10 +283,13 @@ def _open_pairs(big: DataFrame, parts: DataFrame, percent: int) -> DataFrame:
     by_key = Window.partitionBy("key")
     rows = big.join(parts, big["set"] == parts["node"], "left").select("key", "set", "n", "place", F.coalesce("root", "set").alias("part"))
     rows = rows.select("*", F.min("part").over(by_key).alias("low"), F.max("part").over(by_key).alias("high")).filter("low <> high").select("key", "set", "n", "place", "part")
+    # a pair is made where it first meets, as far back as 16 lists tell
+    rows = rows.withColumn("prior", F.collect_list("key").over(Window.partitionBy("set").orderBy("place").rowsBetween(-16, -1)))
     rows = materialise(rows, "open")
     x, y = rows.alias("x"), rows.alias("y")
+    fits = (F.col("x.part") != F.col("y.part")) & (100 * F.least("x.n", "y.n") >= percent * F.greatest("x.n", "y.n")) & ~F.arrays_overlap("x.prior", "y.prior")
     return (
-        x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.set") < F.col("y.set")) & (F.col("x.part") != F.col("y.part")) & (100 * F.least("x.n", "y.n") >= percent * F.greatest("x.n", "y.n")))
+        x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.set") < F.col("y.set")) & fits)
         .filter(_may_link(F.col("x.n"), F.col("x.place"), F.col("y.n"), F.col("y.place"), percent))
         .select(F.col("x.set").alias("a"), F.col("y.set").alias("b"))
         .distinct()
