@@ -78,7 +78,7 @@ def zip_members(read, size: int) -> dict[str, tuple[int, int, int]]:
     tail_at = max(0, size - 22 - 65535)
     tail = read(tail_at, size - tail_at)
     end = tail.rfind(b"PK\x05\x06")
-    while end >= 0 and end + 22 + struct.unpack_from("<H", tail, end + 20)[0] != len(tail):
+    while end >= 0 and (end + 22 > len(tail) or end + 22 + struct.unpack_from("<H", tail, end + 20)[0] != len(tail)):
         end = tail.rfind(b"PK\x05\x06", 0, end)
     if end < 0:
         raise ValueError("not a ZIP file: no end record")
