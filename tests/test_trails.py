@@ -59,7 +59,7 @@ def test_resample_two_legs(spark):
 
 
 def test_hold_side_and_crossings(spark):
-    s = spark.createDataFrame([(1, i, v) for i, v in enumerate([0, 0.3, 0.01, -0.01, 0.2, -0.3])], "line_id int, i int, v double")
+    s = spark.createDataFrame([(1, i, v) for i, v in enumerate([0.0, 0.3, 0.01, -0.01, 0.2, -0.3])], "line_id int, i int, v double")
     assert [r.s for r in s.select("i", L.hold_side("v", 0.1).alias("s")).orderBy("i").collect()] == [1, 1, 1, 1, 1, -1]
     loop = [(1, 0, 0.0, 0.0), (1, 1, 10.0, 10.0), (1, 2, 10.0, 0.0), (1, 3, 0.0, 10.0), (2, 0, 0.0, 0.0), (2, 1, 5.0, 1.0), (2, 2, 10.0, 0.0)]
     assert [(r.line_id, r.a, r.b) for r in L.self_crossings(spark.createDataFrame(loop, "line_id int, seq int, x double, y double")).collect()] == [(1, 0, 2)]
