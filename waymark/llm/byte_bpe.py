@@ -31,7 +31,7 @@ class PerfectHash:
     displacement that sends its keys to free places; a bucket of one key names its place
     itself, as a negative number. n keys take n places."""
 
-    def __init__(self, keys: list[bytes], load: int = 4):
+    def __init__(self, keys: list[bytes], load: int = 2):
         n = self.size = len(keys)
         self.buckets = max(1, n // load)
         own = [_hashed(k, 0) for k in keys]
@@ -81,7 +81,7 @@ class ByteBpe:
         for key, place in zip(keys, self.index.place_of, strict=True):
             self.rank_at[place] = ranks[key]
         self.longest = max(map(len, keys))
-        self.table = WordTable(lambda words: [self.word(w.encode("utf-8", "surrogatepass")) for w in words])
+        self.table = WordTable(lambda words: [self.word(w.encode("utf-8", "surrogatepass")) for w in words], limit=1_500_000)
         most = max(ranks.values()) + 1
         self.text_of, self.name_of = [b""] * most, [str(i) for i in range(most)]
         for key, i in ranks.items():
@@ -97,24 +97,27 @@ class ByteBpe:
     def merge(self, word: bytes) -> list[int]:
         """Merge the pair of lowest rank, leftmost first, until none is left; n log n for n bytes."""
         n = len(word)
-        get = self.ranks.get
+        get, push, pop = self.ranks.get, heapq.heappush, heapq.heappop
+        bits = max(10, n.bit_length())  # a heap entry is one number: rank, where the pair begins, where it ends
+        low, high = (1 << bits) - 1, 2 * bits
         end = list(range(1, n + 1))  # where the part that begins here ends; 0 once it is merged away
         back = list(range(-1, n - 1))
-        heap = [(r, i, i + 2) for i in range(n - 1) if (r := get(word[i : i + 2])) is not None]
+        heap = [r << high | i << bits | i + 2 for i in range(n - 1) if (r := get(word[i : i + 2])) is not None]
         heapq.heapify(heap)
         while heap:
-            _, at, upto = heapq.heappop(heap)
+            x = pop(heap)
+            upto, at = x & low, x >> bits & low
             mid = end[at]
-            if not mid or mid >= n or end[mid] != upto or mid == upto:
+            if not mid or mid >= n or end[mid] != upto:
                 continue
             end[at], end[mid] = upto, 0
             if upto < n:
                 back[upto] = at
                 if (r := get(word[at : end[upto]])) is not None:
-                    heapq.heappush(heap, (r, at, end[upto]))
+                    push(heap, r << high | at << bits | end[upto])
             before = back[at]
             if before >= 0 and (r := get(word[before:upto])) is not None:
-                heapq.heappush(heap, (r, before, upto))
+                push(heap, r << high | before << bits | upto)
         out, at = [], 0
         while at < n:
             out.append(self.ranks[word[at : end[at]]])
