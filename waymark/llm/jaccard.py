@@ -247,14 +247,18 @@ def _first_pairs(lists: DataFrame, percent: int) -> DataFrame:
     at most as many as either has in larger lists are not; the rest of the overlap
     must come from behind it.
     """
-    rows = lists.filter(F.col("m") <= SMALL).select("key", "set", "n", "place")
     hidden = lists.filter(F.col("m") > SMALL).groupBy("set").agg(F.count("*").alias("hidden"))
+    rows = lists.filter(F.col("m") <= SMALL).select("key", "set", "n", "place").join(hidden, "set", "left").fillna(0, ["hidden"])
     x, y = rows.alias("x"), rows.alias("y")
+    sized = 100 * F.least("x.n", "y.n") >= percent * F.greatest("x.n", "y.n")
+    # what both can share before this shingle, and from it on
+    room = F.least("x.place", "y.place") + F.least(F.col("x.n") - F.col("x.place"), F.col("y.n") - F.col("y.place"))
     met = (
-        x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.set") < F.col("y.set")) & (100 * F.least("x.n", "y.n") >= percent * F.greatest("x.n", "y.n")))
+        x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.set") < F.col("y.set")) & sized & (room >= F.ceil(percent * (F.col("x.n") + F.col("y.n")) / (100 + percent))))
         .groupBy(F.col("x.set").alias("a"), F.col("y.set").alias("b"))
         .agg(
             F.count("*").alias("c"),
+            F.min(F.least("x.hidden", "y.hidden")).alias("hidden"),
             F.min("x.n").alias("n"),
             F.min("y.n").alias("other_n"),
             F.max("x.place").alias("last"),
@@ -263,9 +267,7 @@ def _first_pairs(lists: DataFrame, percent: int) -> DataFrame:
     )
     behind = F.least(F.col("n") - 1 - F.col("last"), F.col("other_n") - 1 - F.col("other_last"))
     need = F.ceil(percent * (F.col("n") + F.col("other_n")) / (100 + percent))
-    known = met.withColumn("lacks", need - F.col("c") - behind)
-    known = known.join(hidden.toDF("a", "of_a"), "a", "left").join(hidden.toDF("b", "of_b"), "b", "left")
-    near = known.filter(F.coalesce(F.least(F.coalesce("of_a", F.lit(0)), F.coalesce("of_b", F.lit(0))), F.lit(0)) >= F.col("lacks")).select("a", "b")
+    near = met.filter(F.col("c") + F.col("hidden") + behind >= need).select("a", "b")
     drawn = lists.filter((F.col("m") > SMALL) & (F.col("set") != F.col("hub"))).filter(_may_link(F.col("n"), F.col("place"), F.col("hub_n"), F.col("hub_place"), percent))
     return near.union(drawn.select(F.least("set", "hub"), F.greatest("set", "hub"))).distinct()
 
