@@ -134,11 +134,11 @@ def w19_duplicate_alignment(spark, d):
     return copy.select(F.col("alignment_id").cast("long").alias("alignment_id"), "project_id", "parent_id", "name")
 
 
-@query("select alignment_id, row_number() over (order by priority_text, name, taken_at desc nulls first, alignment_id) as place from alignments where project_id = 3")
+@query("select alignment_id, row_number() over (partition by project_id order by priority_text, name, taken_at desc nulls first, alignment_id) as place from alignments")
 def o01_listing_orders(spark, d):
     from pyspark.sql import Window
 
-    a = adapted(spark, d, "alignments").filter("project_id = 3")
+    a = adapted(spark, d, "alignments")
     order = Window.partitionBy("project_id").orderBy("priority_text", "name", F.col("taken_at").desc_nulls_first(), "alignment_id")
     return a.select("alignment_id", F.row_number().over(order).cast("long").alias("place"))
 
@@ -264,15 +264,16 @@ def l02_densify(spark, d):
 
 
 @query(
-    f"""with {_VERTICES}, s as (select line_id, seq as seg, x, y, lead(x) over w as x2, lead(y) over w as y2 from v window w as (partition by line_id order by seq)),
-    p as (select o_orderkey as point_id, (o_custkey % 400 - 200)::double as px, (o_orderkey % 400 - 200)::double as py from orders where o_orderkey % 15 = 0),
-    t as (select point_id, px, py, s.*, least(greatest(((px - x) * (x2 - x) + (py - y) * (y2 - y)) / (power(x2 - x, 2) + power(y2 - y, 2)), 0), 1) as t from p join s on x2 is not null and (x <> x2 or y <> y2) and px between least(x, x2) - 30 and greatest(x, x2) + 30 and py between least(y, y2) - 30 and greatest(y, y2) + 30),
+    f"""with {_VERTICES}, s as (select line_id, seq as seg, x, y, lead(x) over w as x2, lead(y) over w as y2 from (select line_id, seq, x + line_id * 50 as x, y from v) window w as (partition by line_id order by seq)),
+    p as (select o_orderkey as point_id, (o_custkey * 5)::double as px, (o_orderkey % 400 - 200)::double as py from orders), k as (select *, unnest(range(floor((least(x, x2) - 30) / 30)::bigint, floor((greatest(x, x2) + 30) / 30)::bigint + 1)) as kx from s where x2 is not null and (x <> x2 or y <> y2)),
+    t as (select point_id, px, py, s.line_id, s.seg, x, y, x2, y2, least(greatest(((px - x) * (x2 - x) + (py - y) * (y2 - y)) / (power(x2 - x, 2) + power(y2 - y, 2)), 0), 1) as t from p join (select *, unnest(range(floor((least(y, y2) - 30) / 30)::bigint, floor((greatest(y, y2) + 30) / 30)::bigint + 1)) as ky from k) s on floor(px / 30)::bigint = kx and floor(py / 30)::bigint = ky and px between least(x, x2) - 30 and greatest(x, x2) + 30 and py between least(y, y2) - 30 and greatest(y, y2) + 30),
     m as (select point_id, min(sqrt(power(px - x - t * (x2 - x), 2) + power(py - y - t * (y2 - y), 2))) as distance from t group by point_id)
     select p.point_id, case when distance <= 30 then round(distance, 6) end as distance from p left join m using (point_id)"""
 )
 def j06_nearest_on_lines(spark, d):
-    p = table(spark, d, "orders").filter("o_orderkey % 15 = 0").select(F.col("o_orderkey").alias("point_id"), (F.col("o_custkey") % 400 - 200).cast("double").alias("x"), (F.col("o_orderkey") % 400 - 200).cast("double").alias("y"))
-    return rounded(L.nearest_on_lines(p, _vertices(spark, d).drop("leg"), 30.0).select("point_id", "distance"))
+    p = table(spark, d, "orders").select(F.col("o_orderkey").alias("point_id"), (F.col("o_custkey") * 5).cast("double").alias("x"), (F.col("o_orderkey") % 400 - 200).cast("double").alias("y"))
+    spread = _vertices(spark, d).drop("leg").withColumn("x", F.col("x") + F.col("line_id") * 50)  # side by side, as trails lie
+    return rounded(L.nearest_on_lines(p, spread, 30.0).select("point_id", "distance"))
 
 
 @query(None)
