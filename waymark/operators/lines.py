@@ -83,17 +83,18 @@ def _segment_cells(size: float) -> Column:
     return F.flatten(F.transform(xs, lambda i: F.transform(ys, lambda j: F.struct(i.alias("cx"), j.alias("cy")))))
 
 
-def nearest_on_lines(points: DataFrame, lines: DataFrame, limit: float) -> DataFrame:
+def nearest_on_lines(points: DataFrame, lines: DataFrame, limit: float, same_line: bool = False) -> DataFrame:
     """(point_id, line_id, seg, distance, along): nearest place on any line within ``limit`` metres, null beyond; the first segment wins ties.
 
     Points look at the cells around their own, of the limit's size, so no nearer
-    segment can be missed.
+    segment can be missed. With ``same_line`` a point has a line_id and looks at that line only.
     """
+    keys = ["line_id", "cell"] if same_line else ["cell"]
     seg = segments(lines, ["line_id"]).withColumn("cell", F.explode(_segment_cells(limit)))
-    p = points.select("point_id", F.col("x").alias("px"), F.col("y").alias("py")).withColumn("cell", F.explode(_cells(F.col("px"), F.col("py"), limit, 1)))
+    p = points.select("point_id", *keys[:-1], F.col("x").alias("px"), F.col("y").alias("py")).withColumn("cell", F.explode(_cells(F.col("px"), F.col("py"), limit, 1)))
     dx, dy = F.col("x2") - F.col("x"), F.col("y2") - F.col("y")
     t = F.least(F.greatest(((F.col("px") - F.col("x")) * dx + (F.col("py") - F.col("y")) * dy) / (F.col("length") * F.col("length")), F.lit(0.0)), F.lit(1.0))
-    near = p.join(seg, "cell").withColumn("t", t).withColumn("distance", F.hypot(F.col("px") - F.col("x") - F.col("t") * dx, F.col("py") - F.col("y") - F.col("t") * dy)).filter(F.col("distance") <= limit)
+    near = p.join(seg, keys).withColumn("t", t).withColumn("distance", F.hypot(F.col("px") - F.col("x") - F.col("t") * dx, F.col("py") - F.col("y") - F.col("t") * dy)).filter(F.col("distance") <= limit)
     best = near.groupBy("point_id").agg(F.min(F.struct("distance", "line_id", "seg", (F.col("c0") + F.col("t") * F.col("length")).alias("along"))).alias("b"))
     return points.select("point_id").join(best, "point_id", "left").select("point_id", "b.line_id", "b.seg", "b.distance", "b.along")
 
