@@ -86,34 +86,36 @@ def vector_best_fit(needs: np.ndarray, capacities, weights, rule: str = "residua
     share = needs / capacities
     order = np.lexsort((np.arange(len(needs)), -(share * weights).sum(1), -needs[:, 0]))
     least = needs.min(0) if len(needs) else capacities
-    left = np.empty((64, len(capacities)))
+    left = np.empty((len(capacities), 64))  # a row per capacity, a column per open bin
     number = np.empty(64, np.int64)
     opened = made = 0
     bins, places = np.empty(len(needs), np.int64), np.empty(len(needs), np.int64)
     held: list[int] = []
-    scale = weights / capacities**2 if rule == "residual" else weights / capacities
+    scale = weights / capacities**2
     for i in order.tolist():
         need = needs[i]
-        rest = left[:opened] - need
-        fits = np.flatnonzero((rest >= 0).all(1))
+        fit = left[0, :opened] >= need[0]
+        for k in range(1, len(need)):
+            fit &= left[k, :opened] >= need[k]
+        fits = np.flatnonzero(fit)
         if len(fits):
-            score = (rest[fits] ** 2 @ scale) if rule == "residual" else -((left[fits] / capacities) @ (need * scale))
+            score = scale @ (left[:, fits] - need[:, None]) ** 2 if rule == "residual" else -((need * scale) @ left[:, fits])
             at = int(fits[np.argmin(score)])
         else:
-            if opened == len(left):
-                left = np.concatenate([left, np.empty_like(left)])
+            if opened == left.shape[1]:
+                left = np.concatenate([left, np.empty_like(left)], axis=1)
                 number = np.concatenate([number, np.empty_like(number)])
             at = opened
-            left[at], number[at] = capacities, made
+            left[:, at], number[at] = capacities, made
             held.append(0)
             opened, made = opened + 1, made + 1
         b = int(number[at])
         bins[i], places[i] = b, held[b]
         held[b] += 1
-        left[at] -= need
-        if (left[at] < least).any():  # nothing fits any more
+        left[:, at] -= need
+        if (left[:, at] < least).any():  # nothing fits any more
             opened -= 1
-            left[at], number[at] = left[opened], number[opened]
+            left[:, at], number[at] = left[:, opened], number[opened]
     return bins, places
 
 
