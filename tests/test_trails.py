@@ -65,6 +65,32 @@ def test_hold_side_and_crossings(spark):
     assert [(r.line_id, r.a, r.b) for r in L.self_crossings(spark.createDataFrame(loop, "line_id int, seq int, x double, y double")).collect()] == [(1, 0, 2)]
 
 
+def test_nearest_place_at_any_distance(spark):
+    lines = [(k, i, 40.0 * k + 9 * math.cos(i * k), 7.0 * i + 5 * math.sin(i)) for k in range(1, 8) for i in range(30)] + [(9, 0, -900.0, 0.0), (9, 1, 900.0, -400.0)]
+    points = [(i, (i * 37 % 101 - 50) * 10.0 ** (i % 5), (i * 53 % 97 - 48) * 10.0 ** (i % 4)) for i in range(120)] + [(998, None, 0.0), (999, math.nan, 0.0)]
+    legs = [(a, p) for a, p in zip(lines, lines[1:]) if a[0] == p[0]]
+
+    def away(px, py, line=None):
+        found = []
+        for (k, i, ax, ay), (_, _, bx, by) in legs:
+            dx, dy = bx - ax, by - ay
+            t = min(max(((px - ax) * dx + (py - ay) * dy) / (dx * dx + dy * dy), 0), 1)
+            if line in (None, k):
+                found.append((math.hypot(px - ax - t * dx, py - ay - t * dy), k, i))
+        return min(found)
+
+    v = spark.createDataFrame(lines, "line_id int, seq int, x double, y double")
+    p = spark.createDataFrame(points, "point_id int, x double, y double")
+    for same in (False, True):
+        got = {r.point_id: r for r in L.nearest_on_lines(p.withColumn("line_id", F.lit(9)) if same else p, v, same_line=same).collect()}
+        assert len(got) == 122 and got[998].distance is None and got[999].distance is None
+        for i, x, y in points[:120]:
+            assert abs(got[i].distance - away(x, y, 9 if same else None)[0]) < 1e-6 * (1 + got[i].distance)
+    assert L.nearest_on_lines(p, v.limit(0)).filter("distance is null").count() == 122
+    tie = spark.createDataFrame([(1, 0, 0.0, 0.0), (1, 1, 1.0, 0.0), (2, 0, 0.0, 0.0), (2, 1, 0.0, 1.0)], "line_id int, seq int, x double, y double")
+    assert L.nearest_on_lines(spark.createDataFrame([(1, -500.0, -500.0)], p.schema), tie).first().line_id == 1
+
+
 def test_upsert_is_idempotent(spark):
     old = spark.createDataFrame([(1, "a", True), (2, "b", False)], "k int, v string, enabled boolean")
     new = spark.createDataFrame([(2, "c"), (3, "d")], "k int, v string")

@@ -83,22 +83,60 @@ def _segment_cells(size: float) -> Column:
     return F.flatten(F.transform(xs, lambda i: F.transform(ys, lambda j: F.struct(i.alias("cx"), j.alias("cy")))))
 
 
-def nearest_on_lines(points: DataFrame, lines: DataFrame, limit: float, same_line: bool = False) -> DataFrame:
-    """(point_id, line_id, seg, distance, along): nearest place on any line within ``limit`` metres, null beyond; the first segment wins ties.
+def nearest_on_lines(points: DataFrame, lines: DataFrame, limit: float | None = None, same_line: bool = False) -> DataFrame:
+    """(point_id, line_id, seg, distance, along): nearest place on any line, at any distance; with ``limit``, null beyond so many metres. The first segment wins ties.
 
-    Points look at the cells around their own, of the limit's size, so no nearer
+    Under a limit points look at the cells around their own, of the limit's size, so no nearer
     segment can be missed. With ``same_line`` a point has a line_id and looks at that line only.
     """
-    keys = ["line_id", "cell"] if same_line else ["cell"]
-    seg = segments(lines, ["line_id"]).withColumn("cell", F.explode(_segment_cells(limit)))
-    p = points.select("point_id", *keys[:-1], F.col("x").alias("px"), F.col("y").alias("py")).withColumn("cell", F.explode(_cells(F.col("px"), F.col("py"), limit, 1)))
+    keys = ["line_id"] if same_line else []
+    if limit is None:
+        near = _near_at_any_distance(points, lines, keys)
+    else:
+        seg = segments(lines, ["line_id"]).withColumn("cell", F.explode(_segment_cells(limit)))
+        p = points.select("point_id", *keys, F.col("x").alias("px"), F.col("y").alias("py")).withColumn("cell", F.explode(_cells(F.col("px"), F.col("py"), limit, 1)))
+        near = p.join(seg, [*keys, "cell"])
     dx, dy = F.col("x2") - F.col("x"), F.col("y2") - F.col("y")
     t = F.least(F.greatest(((F.col("px") - F.col("x")) * dx + (F.col("py") - F.col("y")) * dy) / (F.col("length") * F.col("length")), F.lit(0.0)), F.lit(1.0))
-    near = p.join(seg, keys).withColumn("t", t).withColumn("distance", F.hypot(F.col("px") - F.col("x") - F.col("t") * dx, F.col("py") - F.col("y") - F.col("t") * dy)).filter(F.col("distance") <= limit)
+    near = near.withColumn("t", t).withColumn("distance", F.hypot(F.col("px") - F.col("x") - F.col("t") * dx, F.col("py") - F.col("y") - F.col("t") * dy))
+    if limit is not None:
+        near = near.filter(F.col("distance") <= limit)
     best = near.groupBy("point_id").agg(F.min(F.struct("distance", "line_id", "seg", (F.col("c0") + F.col("t") * F.col("length")).alias("along"))).alias("b"))
     return points.select("point_id").join(best, "point_id", "left").select("point_id", "b.line_id", "b.seg", "b.distance", "b.along")
 
 
+def _near_at_any_distance(points: DataFrame, lines: DataFrame, keys: list[str]) -> DataFrame:
+    """Each finite point with the segments that can be its nearest: branch and bound over a tree of cells, 16 to a cell.
+
+    A segment lies in the cell of its middle; a cell's box holds its segments whole. Each side of a
+    box is touched by a segment, which bounds a point's distance from above; boxes farther than the
+    least such bound go. One action finds the extent.
+    """
+    seg = segments(lines, ["line_id"]).filter("length < double('infinity')").persist()
+    mx, my = (F.col("x") + F.col("x2")) / 2, (F.col("y") + F.col("y2")) / 2
+    size = seg.agg(F.count("*").alias("n"), F.avg("length").alias("length"), *[f(m).alias(k) for k, f, m in (("x0", F.min, mx), ("x1", F.max, mx), ("y0", F.min, my), ("y1", F.max, my))]).first()
+    wide = max(size.x1 - size.x0, size.y1 - size.y0, size.length) if size.n else 1.0
+    depth = max(1, min(math.ceil(math.log(max(size.n, 1), 16)), int(math.log(wide / (size.length or 1.0), 4))))
+    leaf = lambda m, low: F.least(F.floor((m - F.lit(low or 0.0)) / wide * 4**depth), F.lit(4**depth - 1))
+    seg = seg.withColumns({"cx": leaf(mx, size.x0), "cy": leaf(my, size.y0)})
+    p = points.select("point_id", *keys, F.col("x").cast("double").alias("px"), F.col("y").cast("double").alias("py")).filter("abs(px) < double('infinity') and abs(py) < double('infinity')")
+    p = p.withColumns({"ux": F.lit(0).cast("long"), "uy": F.lit(0).cast("long")})
+    box = [f(g(a, b)).alias(n) for n, f, g, a, b in (("xl", F.min, F.least, "x", "x2"), ("xh", F.max, F.greatest, "x", "x2"), ("yl", F.min, F.least, "y", "y2"), ("yh", F.max, F.greatest, "y", "y2"))]
+    for k in range(1, depth + 1):
+        at = [F.shiftright(c, 2 * (depth - k)).alias(c) for c in ("cx", "cy")]
+        nodes = seg.groupBy(*keys, *at).agg(*box).withColumns({"ux": F.shiftright("cx", 2), "uy": F.shiftright("cy", 2)})
+        few = not keys and k <= 4  # at most 65,536 nodes, whatever the input
+        f = p.join(F.broadcast(nodes) if few else nodes, [*keys, "ux", "uy"])
+        (nx, fx, lx), (ny, fy, ly) = (
+            (F.least(F.abs(F.col(q) - F.col(lo)), F.abs(F.col(hi) - F.col(q))), F.greatest(F.col(q) - F.col(lo), F.col(hi) - F.col(q)), F.greatest(F.col(lo) - F.col(q), F.col(q) - F.col(hi), F.lit(0.0)))
+            for q, lo, hi in (("px", "xl", "xh"), ("py", "yl", "yh"))
+        )
+        f = f.withColumns({"least": F.hypot(lx, ly), "most": F.least(F.hypot(nx, fy), F.hypot(fx, ny))})
+        f = f.withColumn("most", F.min("most").over(Window.partitionBy("point_id")))
+        p = f.filter(F.col("least") <= F.col("most") * (1 + 1e-9) + 1e-6).select("point_id", *keys, "px", "py", F.col("cx").alias("ux"), F.col("cy").alias("uy"))
+    return p.join(seg.withColumnsRenamed({"cx": "ux", "cy": "uy"}), [*keys, "ux", "uy"])
+
+
 def interp_at(profile: DataFrame, at: DataFrame, value: str) -> DataFrame:
     """(line_id, q, value): linear between samples (line_id, d), held at the ends, for the distances ``at`` (line_id, q)."""
     here = profile.select("line_id", F.col("d").alias("pos"), F.struct("d", F.col(value).alias("v")).alias("s"), F.lit(None).cast("double").alias("q"))

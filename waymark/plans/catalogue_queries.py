@@ -263,6 +263,11 @@ def l02_densify(spark, d):
     return L.densify(_vertices(spark, d), ["line_id"], 4.0).groupBy("line_id").agg(F.count("*").alias("points"))
 
 
+def _beside(spark, d):
+    p = table(spark, d, "orders").select(F.col("o_orderkey").alias("point_id"), (F.col("o_custkey") * 5).cast("double").alias("x"), (F.col("o_orderkey") % 400 - 200).cast("double").alias("y"))
+    return p, _vertices(spark, d).drop("leg").withColumn("x", F.col("x") + F.col("line_id") * 50)  # side by side, as trails lie
+
+
 @query(
     f"""with {_VERTICES}, s as (select line_id, seq as seg, x, y, lead(x) over w as x2, lead(y) over w as y2 from (select line_id, seq, x + line_id * 50 as x, y from v) window w as (partition by line_id order by seq)),
     p as (select o_orderkey as point_id, (o_custkey * 5)::double as px, (o_orderkey % 400 - 200)::double as py from orders), k as (select *, unnest(range(floor((least(x, x2) - 30) / 30)::bigint, floor((greatest(x, x2) + 30) / 30)::bigint + 1)) as kx from s where x2 is not null and (x <> x2 or y <> y2)),
@@ -271,9 +276,18 @@ def l02_densify(spark, d):
     select p.point_id, case when distance <= 30 then round(distance, 6) end as distance from p left join m using (point_id)"""
 )
 def j06_nearest_on_lines(spark, d):
-    p = table(spark, d, "orders").select(F.col("o_orderkey").alias("point_id"), (F.col("o_custkey") * 5).cast("double").alias("x"), (F.col("o_orderkey") % 400 - 200).cast("double").alias("y"))
-    spread = _vertices(spark, d).drop("leg").withColumn("x", F.col("x") + F.col("line_id") * 50)  # side by side, as trails lie
-    return rounded(L.nearest_on_lines(p, spread, 30.0).select("point_id", "distance"))
+    return rounded(L.nearest_on_lines(*_beside(spark, d), 30.0).select("point_id", "distance"))
+
+
+@query(
+    f"""with {_VERTICES}, s as (select * from (select line_id, seq as seg, x, y, lead(x) over w as x2, lead(y) over w as y2 from (select line_id, seq, x + line_id * 50 as x, y from v) window w as (partition by line_id order by seq)) where x2 is not null and (x <> x2 or y <> y2)),
+    p as (select o_orderkey as point_id, (o_custkey * 5)::double as px, (o_orderkey % 400 - 200)::double as py from orders),
+    t as (select point_id, px, py, x, y, x2, y2, least(greatest(((px - x) * (x2 - x) + (py - y) * (y2 - y)) / (power(x2 - x, 2) + power(y2 - y, 2)), 0), 1) as t from p cross join s),
+    m as (select point_id, min(sqrt(power(px - x - t * (x2 - x), 2) + power(py - y - t * (y2 - y), 2))) as distance from t group by point_id)
+    select p.point_id, round(distance, 6) as distance from p left join m using (point_id)"""
+)
+def j06_nearest_on_lines_whole(spark, d):
+    return rounded(L.nearest_on_lines(*_beside(spark, d)).select("point_id", "distance"))
 
 
 @query(None)

@@ -172,6 +172,14 @@ def g07_distance_field(spark, d):
     return rounded(T.distance_field(_grid(spark, d), _vertices(spark, d).drop("leg"), 12.0, res=5.0))
 
 
+@query(
+    f"""with {_VERTICES}, {_GRID}, s as ({_SEGMENTS.format(t="v")}), p as (select r, c, c * 5e0 as x, r * 5e0 as y from g where z is not null), n as (select p.r, p.c, p.x as px, p.y as py, s.x, s.y, s.x2, s.y2, {_PLACE} as t from p cross join s),
+    m as (select r, c, min(sqrt(power(px - x - t * (x2 - x), 2) + power(py - y - t * (y2 - y), 2))) as a from n group by r, c) select p.r, p.c, round(a, 6) as distance from p left join m on m.r = p.r and m.c = p.c"""
+)
+def g07_distance_field_whole(spark, d):
+    return rounded(T.distance_field(_grid(spark, d), _vertices(spark, d).drop("leg"), res=5.0))
+
+
 def _ramp(k):
     """SQL: one channel of the wetness colours at t."""
     legs = " ".join(f"when t <= {q[0]} then {p[k]} + ({q[k]} - {p[k]}) * (t - {p[0]}) / ({q[0]} - {p[0]})" for p, q in zip(WET_STOPS, WET_STOPS[1:]))
