@@ -2,8 +2,11 @@ import math
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from waymark.operators import scoring, terrain
+from waymark.plans import QUERIES
+from waymark.plans.catalogue_queries import _grid
 
 
 def _line(spark, points, key=1):
@@ -68,3 +71,26 @@ def test_legs_signature_changes_with_a_leg_only(spark):
     sign = lambda r: scoring.legs_signature(spark.createDataFrame(r, schema)).first().signature
     assert sign(rows) == sign(rows[::-1]) == sign([rows[0], (1, 0, 1, "new", 1.5 + 1e-9, 2.0)])
     assert sign(rows) != sign([rows[0], (1, 0, 1, "new", 1.5 + 1e-6, 2.0)]) and sign(rows) != sign([rows[0], (1, 0, 1, "reroute", 1.5, 2.0)])
+
+
+def test_many_views_over_a_grid(spark):
+    cells = spark.createDataFrame([(r, c, None if (r, c) == (2, 2) else math.nan if (r, c) == (3, 3) else 10.0 * r + c) for r in range(8) for c in range(6)], "r int, c int, z double")
+    views = spark.createDataFrame([(1, 0, 0, 2, 2), (2, 1, 2, 4, 6), (3, 90, 90, 95, 95), (4, 3, 5, 2, 1), (5, 0, 0, 5000, 5000)], "view_id int, c0 int, r0 int, c1 int, r1 int")
+    got = {r.view_id: (r.p50, r.p90, r.p99) for r in terrain.view_percentiles(cells, "z", views).collect()}
+    assert got[3] == got[4] == (None, None, None)
+    for k, box in ((1, (0, 0, 2, 2)), (2, (1, 2, 4, 6)), (5, (0, 0, 5000, 5000))):
+        assert got[k] == tuple(terrain.cropped_percentiles(cells, "z", box).first())
+    paint, p, refused = terrain.wet_overlays(cells, "z", views, 1.0)
+    assert [r.view_id for r in refused.collect()] == [5] and {r.view_id for r in p.collect()} == {1, 2, 3, 4}
+    for k, box in ((1, (0, 0, 2, 2)), (2, (1, 2, 4, 6))):
+        assert sorted(map(tuple, paint.filter(f"view_id = {k}").drop("view_id").collect())) == sorted(map(tuple, terrain.wet_overlay(cells, "z", box, 1.0)[0].collect()))
+
+
+def test_whole_queries_reach_every_trail_view_and_row(spark):
+    folder = "/root/testdata/sf0.001"
+    trails = spark.read.parquet(f"{folder}/lineitem.parquet").select("l_partkey").distinct().count()
+    assert QUERIES["j12_study_projects_whole"](spark, folder).select("trail").distinct().count() == trails
+    last = _grid(spark, folder).agg(F.max("r")).first()[0]
+    painted = QUERIES["g08_wet_overlay_whole"](spark, folder)
+    assert painted.agg(F.max("r")).first()[0] == last and painted.select("view_id").distinct().count() > 100
+    assert QUERIES["a22_twi_percentiles_whole"](spark, folder).count() == spark.read.parquet(f"{folder}/customer.parquet").count()

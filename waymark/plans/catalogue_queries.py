@@ -83,6 +83,13 @@ def j12_study_projects(spark, d):
     return adapted(spark, d, "alignments").join(on_trail, "alignment_id", "left_semi").select("project_id").distinct()
 
 
+@query("select distinct l_partkey as trail, project_id from lineitem join alignments on alignment_id = l_orderkey")
+def j12_study_projects_whole(spark, d):
+    """The projects on every trail."""
+    on_trail = table(spark, d, "lineitem").select(F.col("l_partkey").alias("trail"), F.col("l_orderkey").alias("alignment_id")).distinct()
+    return adapted(spark, d, "alignments").select("alignment_id", "project_id").join(on_trail, "alignment_id").select("trail", "project_id").distinct()
+
+
 @query("select o_orderkey from orders where o_orderkey % 4 <> 0 and o_orderkey % 5 = 0")
 def j13_gone_rows(spark, d):
     o = table(spark, d, "orders").select("o_orderkey")
@@ -201,17 +208,35 @@ def _grid(spark, d):
 _GRID = "g as (select (p_partkey // 40)::int as r, (p_partkey % 40)::int as c, case when p_partkey % 37 <> 0 then p_retailprice end as z from part)"
 
 
-@query(
-    f"""with {_GRID}, p as (select o_orderkey as id, (o_custkey % 390) / 10e0 as x, (o_orderkey % 490) / 10e0 as y from orders),
+_SAMPLED = f"""with {_GRID}, p as (select o_orderkey as id, (o_custkey % 390) / 10e0 as x, (o_orderkey % 490) / 10e0 as y from orders),
     q as (select id, x - floor(x) as fu, y - floor(y) as fv, floor(y)::int as r, floor(x)::int as c from p)
     select id as point_id, round((1 - fv) * ((1 - fu) * a.z + fu * b.z) + fv * ((1 - fu) * e.z + fu * f.z), 6) as z from q
     left join g a on a.r = q.r and a.c = q.c left join g b on b.r = q.r and b.c = q.c + 1 left join g e on e.r = q.r + 1 and e.c = q.c left join g f on f.r = q.r + 1 and f.c = q.c + 1"""
-)
+#: y over the first rows, and over all rows of the grid at every size.
+_FIRST_ROWS, _ALL_ROWS = "(o_orderkey % 490) / 10e0", "o_orderkey / 300e0"
+
+
+@query(_SAMPLED)
 def j02_sample_grid_bilinear(spark, d):
     p = table(spark, d, "orders").select(F.col("o_orderkey").alias("point_id"), (F.col("o_custkey") % 390 / 10).alias("x"), (F.col("o_orderkey") % 490 / 10).alias("y"))
     return rounded(L.sample_grid(p, _grid(spark, d)))
 
 
+@query(_SAMPLED.replace(_FIRST_ROWS, _ALL_ROWS))
+def j02_sample_grid_bilinear_whole(spark, d):
+    p = table(spark, d, "orders").select(F.col("o_orderkey").alias("point_id"), (F.col("o_custkey") % 390 / 10).alias("x"), (F.col("o_orderkey") / 300).alias("y"))
+    return rounded(L.sample_grid(p, _grid(spark, d)))
+
+
+#: A box of 16 columns and 11 rows for every customer; first rows go over the whole grid at every size.
+_VIEWS = "w as (select c_custkey as view_id, (c_custkey % 25)::int as c0, (c_custkey // 30)::int as r0 from customer)"
+
+
+def _views(spark, d):
+    w = table(spark, d, "customer").select(F.col("c_custkey").alias("view_id"), (F.col("c_custkey") % 25).cast("int").alias("c0"), (F.col("c_custkey") / 30).cast("int").alias("r0"))
+    return w.withColumns({"c1": F.col("c0") + 15, "r1": F.col("r0") + 10})
+
+
 @query(f"with {_GRID} select g.r, g.c, round((e.z - w.z) / 4, 6) as zx, round((n.z - s.z) / 4, 6) as zy from g left join g e on e.r = g.r and e.c = g.c + 2 left join g w on w.r = g.r and w.c = g.c - 2 left join g n on n.r = g.r + 2 and n.c = g.c left join g s on s.r = g.r - 2 and s.c = g.c")
 def g03_side_grids(spark, d):
     return rounded(L.side_grids(_grid(spark, d), 2, 1.0))

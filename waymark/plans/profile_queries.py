@@ -9,7 +9,7 @@ from ..functions.scalars import WET_STOPS, curve_value
 from ..operators import profiles as P
 from ..operators import terrain as T
 from .adapters import adapted, table
-from .catalogue_queries import _GRID, _VERTICES, _grid, _vertices
+from .catalogue_queries import _ALL_ROWS, _FIRST_ROWS, _GRID, _VERTICES, _VIEWS, _grid, _vertices, _views
 from .registry import query, rounded
 from .scoring_queries import _STACK, _stack
 
@@ -62,18 +62,25 @@ def o04_best_tube(spark, d):
     return rounded(P.best_tube(adapted(spark, d, "samples"), total))
 
 
-@query(
-    f"""with {_GRID}, p as (select o_orderkey as point_id, (o_custkey % 390) / 10e0 as x, (o_orderkey % 490) / 10e0 as y, radians(o_orderkey % 360) as h from orders),
+_BENCHES = f"""with {_GRID}, p as (select o_orderkey as point_id, (o_custkey % 390) / 10e0 as x, (o_orderkey % 490) / 10e0 as y, radians(o_orderkey % 360) as h from orders),
     q as (select point_id, n, x + 1.5e0 * (a * cos(h) - b * sin(h)) as x, y + 1.5e0 * (a * sin(h) + b * cos(h)) as y from p, (values ('g', 0, 0), ('l', 0, 1), ('r', 0, -1), ('f', 1, 0), ('b', -1, 0)) o(n, a, b)),
     e as (select point_id, n, case when count(z) = 4 then sum(z * (case when i = 1 then y - floor(y) else 1 - y + floor(y) end) * (case when j = 1 then x - floor(x) else 1 - x + floor(x) end)) end as z from q, (values (0, 0), (0, 1), (1, 0), (1, 1)) o(i, j) left join g on r = floor(y) + i and c = floor(x) + j group by point_id, n),
     f as (select point_id, max(z) filter (n = 'g') as g, max(z) filter (n = 'l') as l, max(z) filter (n = 'r') as r, max(z) filter (n = 'f') as f, max(z) filter (n = 'b') as b from e group by point_id),
     k as (select point_id, g as z, (coalesce(l, g) - coalesce(r, g)) / 3 as x, (coalesce(f, g) - coalesce(b, g)) / 3 as a from f) select point_id, round(z, 4) + 0 as z, round(x, 4) + 0 as "cross", round(a, 4) + 0 as along, round(100 * sqrt(x * x + a * a), 4) + 0 as side from k"""
-)
+
+
+@query(_BENCHES)
 def c01_bench_slopes(spark, d):
     p = table(spark, d, "orders").select(F.col("o_orderkey").alias("point_id"), (F.col("o_custkey") % 390 / 10).alias("x"), (F.col("o_orderkey") % 490 / 10).alias("y"), F.radians(F.col("o_orderkey") % 360).alias("heading"))
     return rounded(T.bench_slopes(p, _grid(spark, d), 3.0), 4)
 
 
+@query(_BENCHES.replace(_FIRST_ROWS, _ALL_ROWS))
+def c01_bench_slopes_whole(spark, d):
+    p = table(spark, d, "orders").select(F.col("o_orderkey").alias("point_id"), (F.col("o_custkey") % 390 / 10).alias("x"), (F.col("o_orderkey") / 300).alias("y"), F.radians(F.col("o_orderkey") % 360).alias("heading"))
+    return rounded(T.bench_slopes(p, _grid(spark, d), 3.0), 4)
+
+
 @query(
     """with f as (select line_id, d as s, abs(gx) as turn, 1 + w * 3 as r, i % 7 <> 0 as free from samples), m as (select line_id, d, i from samples where i % 4 = 0), e as (select line_id, max(i) as e from m group by 1), n as (select f.line_id, f.s, min(m.i) as i from f left join m on m.line_id = f.line_id and m.d >= f.s - 10 group by f.line_id, f.s), o as (select f.*, coalesce(n.i, e) as i from f join n on n.line_id = f.line_id and n.s = f.s join e on e.line_id = f.line_id),
     b as (select line_id, i, sum(case when free then turn / (pi() / 2) * case when r <= 3 then 8 when r <= 40 then exp(ln(8) + (ln(0.5) - ln(8)) * (r - 3) / 37) when r <= 100 then exp(ln(0.5) + (ln(0.01) - ln(0.5)) * (r - 40) / 60) else 0.01 end else 0 end) as bends, min(r) as bend_r from o group by all)
@@ -191,6 +198,11 @@ def g08_wet_overlay(spark, d):
     return T.wet_overlay(_grid(spark, d).withColumn("twi", F.col("z") / 70 - 7), "twi", (5, 5, 30, 40), 5.0)[0]
 
 
+@query(f"with {_GRID}, {_VIEWS} select view_id, r, c, {_ramp(1)} as red, {_ramp(2)} as green, {_ramp(3)} as blue, {_ramp(4)} as alpha from (select view_id, r, c, z / 70e0 - 7 as t from g join w on c between c0 and c0 + 15 and r between r0 and r0 + 10) o")
+def g08_wet_overlay_whole(spark, d):
+    return T.wet_overlays(_grid(spark, d).withColumn("twi", F.col("z") / 70 - 7), "twi", _views(spark, d), 5.0)[0]
+
+
 _PX = "select track_id, seq, (lon + 180) / 360 * 1048576e0 - 0.5e0 as u, (0.5e0 - ln((1 + sin(radians(lat))) / (1 - sin(radians(lat)))) / (4 * pi())) * 1048576e0 - 0.5e0 as v from track_points"
 
 

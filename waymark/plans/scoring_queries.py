@@ -9,7 +9,7 @@ from ..operators import lines as L
 from ..operators import scoring as R
 from ..operators import terrain as T
 from .adapters import adapted, table
-from .catalogue_queries import _GRID, _VERTICES, _grid, _members, _vertices
+from .catalogue_queries import _ALL_ROWS, _FIRST_ROWS, _GRID, _VERTICES, _VIEWS, _grid, _members, _vertices, _views
 from .registry import query, rounded
 
 _SOURCES = """sources as (select s_name as slug, case s_suppkey % 4 when 0 then 'mapbox' else 'lidar' end as kind, s_suppkey % 5 <> 0 as enabled, s_suppkey % 7 = 0 as gated, case when s_suppkey % 13 <> 0 then 'u' end as cog_url, case when s_suppkey % 3 <> 0 then 'u' end as tiles_url,
@@ -50,19 +50,39 @@ def _stack(spark, d):
     return p, g.select(F.lit("a").alias("source"), "r", "c", "z").unionByName(other)
 
 
-@query(
-    f"""{_STACK}, f as (select point_id, source, max(z) filter (k = 0) as z, (max(z) filter (k = 1) - max(z) filter (k = 2)) / 2 as gx, (max(z) filter (k = 3) - max(z) filter (k = 4)) / 2 as gy from e group by all having count(*) = 5 and min(n) = 4), b as (select *, row_number() over (partition by point_id order by source) as k from f)
+_STACKED = f"""{_STACK}, f as (select point_id, source, max(z) filter (k = 0) as z, (max(z) filter (k = 1) - max(z) filter (k = 2)) / 2 as gx, (max(z) filter (k = 3) - max(z) filter (k = 4)) / 2 as gy from e group by all having count(*) = 5 and min(n) = 4), b as (select *, row_number() over (partition by point_id order by source) as k from f)
     select p.point_id, round(z, 6) as z, round(gx, 6) + 0 as gx, round(gy, 6) + 0 as gy, source from p left join (select * from b where k = 1) b using (point_id)"""
-)
+
+
+@query(_STACKED)
 def j04_sample_stack(spark, d):
     return rounded(T.sample_stack(*_stack(spark, d)))
 
 
-@query(f"{_STACK}, b as (select *, row_number() over (partition by point_id order by source) as place from e where k = 0 and n = 4) select p.point_id, round(z, 6) as z, source from p left join (select * from b where place = 1) b using (point_id)")
+def _whole_stack(spark, d):
+    """The stack with points over all rows of the grid."""
+    p, cells = _stack(spark, d)
+    return p.withColumn("y", F.col("point_id") / 300), cells
+
+
+@query(_STACKED.replace(_FIRST_ROWS, _ALL_ROWS))
+def j04_sample_stack_whole(spark, d):
+    return rounded(T.sample_stack(*_whole_stack(spark, d)))
+
+
+_FIRST = f"{_STACK}, b as (select *, row_number() over (partition by point_id order by source) as place from e where k = 0 and n = 4) select p.point_id, round(z, 6) as z, source from p left join (select * from b where place = 1) b using (point_id)"
+
+
+@query(_FIRST)
 def j05_sample_first(spark, d):
     return rounded(T.sample_first(*_stack(spark, d)))
 
 
+@query(_FIRST.replace(_FIRST_ROWS, _ALL_ROWS))
+def j05_sample_first_whole(spark, d):
+    return rounded(T.sample_first(*_whole_stack(spark, d)))
+
+
 @query(
     f"""with {_VERTICES}, s as (select line_id, x, y, lead(x) over w as x2, lead(y) over w as y2 from v window w as (partition by line_id order by seq)), t as (select *, greatest(1, ceil(sqrt(power(x2 - x, 2) + power(y2 - y, 2)) / 5 - 1e-9))::bigint as n from s where x <> x2 or y <> y2),
     m as (select line_id, x + (x2 - x) * j / n as x, y + (y2 - y) * j / n as y from (select *, unnest(range(n + 1)) as j from t)) select distinct line_id, bx, unnest(range(floor((y - 20) / 32)::bigint, floor((y + 20) / 32)::bigint + 1)) as by from (select *, unnest(range(floor((x - 20) / 32)::bigint, floor((x + 20) / 32)::bigint + 1)) as bx from m)"""
@@ -91,6 +111,11 @@ def a22_twi_percentiles(spark, d):
     return rounded(T.cropped_percentiles(_grid(spark, d), "z", (5, 5, 30, 40)))
 
 
+@query(f"with {_GRID}, {_VIEWS} select view_id, round(quantile_cont(z, 0.5), 6) as p50, round(quantile_cont(z, 0.9), 6) as p90, round(quantile_cont(z, 0.99), 6) as p99 from w left join g on c between c0 and c0 + 15 and r between r0 and r0 + 10 group by view_id")
+def a22_twi_percentiles_whole(spark, d):
+    return rounded(T.view_percentiles(_grid(spark, d), "z", _views(spark, d)))
+
+
 @query(
     """with a as (select line_id, unnest([500e0, 2500.5e0, 7000e0]) as q from (select distinct line_id from samples)), m as (select a.line_id, q, s.i, s.d, row_number() over (partition by a.line_id, q order by abs(s.d - q), s.d desc) as k from a join samples s using (line_id)) select line_id, q, i, d from m where k = 1"""
 )
