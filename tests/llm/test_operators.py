@@ -13,7 +13,7 @@ import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
-from waymark.llm import byte_bpe, exact_dedup, jaccard, line_dedup, packing, quality, token_counts, top_k, vocabulary, warc
+from waymark.llm import byte_bpe, exact_dedup, jaccard, line_dedup, packing, quality, queries, token_counts, top_k, vocabulary, warc
 
 JSON, RANKS = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken")
 SMALL = "/root/testdata/sf0.001"
@@ -231,6 +231,26 @@ def test_line_dedup(spark, odd, none):
     assert line_dedup.dedup_lines(none).count() == 0 and line_dedup.dedup_lines(odd).count() == odd.count()
 
 
+def test_short_lines_repeat_exactly(spark):
+    line = "the quick brown fox jumps over it"
+    texts = [f"Menu\n{line}\n\nMenu\n  ", f"Menv\n  \n{line[:-1]}\n\nMenu", None, f"{line[:19]}\n{line[:20]}\na\nMenv", "a\n\ta\n\t\n\t\n\u00e9\n\u00e9"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: (r.text, r.n_removed) for r in line_dedup.dedup_lines(rows, exact_chars=1).collect()}
+    assert got == {0: (f"Menu\n{line}\n\n  ", 1), 1: ("Menv\n  \n", 2), 2: (None, 0), 3: (f"{line[:19]}\n{line[:20]}\na", 1), 4: ("\ta\n\t\n\t\n\u00e9", 2)}
+
+
+def test_op6_removes_every_exact_repeat(spark):
+    folder = "/root/testdata/sf0.001"
+    seen, least = set(), {}
+    for r in spark.read.parquet(f"{folder}/documents.parquet").orderBy("doc_id").collect():
+        least[r.doc_id] = 0
+        for x in (r.text or "").split("\n"):
+            least[r.doc_id] += x in seen and x.strip() != ""
+            seen.add(x)
+    got = {r.doc_id: r.n_removed for r in queries.QUERIES["op6_line_dedup"](spark, folder).collect()}
+    assert sum(least.values()) and all(got[k] >= n for k, n in least.items())
+
+
 def test_quality(spark, docs, odd, none):
     big = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")

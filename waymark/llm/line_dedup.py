@@ -1,10 +1,11 @@
 """Operator 6: removes lines that repeat an earlier line, exactly or within one edit.
 
-Lines are cut at line feeds and compared as code points. A line shorter than
-``min_chars`` is never removed. A longer one is removed if any earlier line, in
-the order of (document id, line number), is within one insertion, deletion or
-replacement of it, be that line itself removed or not; so the rule does not hang
-on the order of work.
+Lines are cut at line feeds and compared as code points. A line of ``min_chars`` or
+more is removed if any earlier one so long, in the order of (document id, line number),
+is within one insertion, deletion or replacement of it, be that line itself removed or
+not; so the rule does not hang on the order of work. A shorter one of ``exact_chars`` or
+more that isn't blank is removed if an earlier line is equal; without ``exact_chars``
+short lines are never removed.
 
 Two lines within one edit agree in their first or their last h characters, h being
 half the shorter one's length (pigeonhole). Only distinct lines that share such a
@@ -29,8 +30,12 @@ from .textarrays import Rolling, codes_of, mix, small_groups
 MIN_CHARS = 20
 
 
-def _hash_lines(batches, min_chars: int, id_type):
-    """(row, line, n, h1, h2, halves) of every line that is long enough; halves are the hashes of its first and last halves."""
+#: Code points of which a blank line consists.
+BLANK = np.array([9, 11, 12, 13, 32])
+
+
+def _hash_lines(batches, min_chars: int, exact_chars: int, id_type):
+    """(row, line, n, h1, h2, halves) of every line that is long enough; halves are the hashes of its first and last halves, none for a line under ``min_chars``."""
     names = ["row", "line", "n", "h1", "h2", "halves"]
     for batch in batches:
         ids, texts = batch.column("row"), batch.column("text").to_pylist()
@@ -43,7 +48,10 @@ def _hash_lines(batches, min_chars: int, id_type):
             first = np.searchsorted(starts, edges)
             owner = np.repeat(np.arange(b - a), np.diff(first))
             number = np.arange(len(starts)) - first[owner]
-            keep = ends - starts >= min_chars
+            solid = np.concatenate([[0], np.cumsum(~np.isin(codes, BLANK))])
+            long = ends - starts >= min_chars
+            keep = long | ((ends - starts >= exact_chars) & (solid[ends] > solid[starts]))
+            long = long[keep]
             starts, ends, owner, number = starts[keep], ends[keep], owner[keep], number[keep]
             one, two = Rolling(codes), Rolling(codes, 1)
             n = ends - starts
@@ -52,7 +60,8 @@ def _hash_lines(batches, min_chars: int, id_type):
                 h, tag = shorter // 2, shorter.astype(np.uint64) << np.uint64(1)
                 for side, (x, y) in enumerate(((starts, starts + h), (ends - h, ends))):
                     halves.append(one.spans(x, y) ^ (tag + np.uint64(side)))
-            halves = np.column_stack(halves).view(np.int64).reshape(-1)
+            halves = np.column_stack(halves).view(np.int64)[long].reshape(-1)
+            edges = np.concatenate([[0], np.cumsum(long * 4)]).astype(np.int32)
             yield pa.RecordBatch.from_arrays(
                 [
                     ids.take(pa.array(owner + a)),
@@ -60,7 +69,7 @@ def _hash_lines(batches, min_chars: int, id_type):
                     pa.array(n, pa.int64()),
                     pa.array(one.spans(starts, ends).view(np.int64)),
                     pa.array(two.spans(starts, ends).view(np.int64)),
-                    pa.ListArray.from_arrays(pa.array(np.arange(len(starts) + 1, dtype=np.int32) * 4), pa.array(halves)),
+                    pa.ListArray.from_arrays(pa.array(edges), pa.array(halves)),
                 ],
                 names,
             )
@@ -104,11 +113,12 @@ def _variant_batch(batch, keys, kinds, rows):
     return pa.RecordBatch.from_arrays(columns, ["key", "kind", "row", "line"])
 
 
-def repeated_lines(docs: DataFrame, min_chars: int = MIN_CHARS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def repeated_lines(docs: DataFrame, min_chars: int = MIN_CHARS, id_col: str = "doc_id", text_col: str = "text", exact_chars: int | None = None) -> DataFrame:
     """(row, line) of every line to remove, lines counted from 0. A distinct line goes by its first place."""
     base = bounded_batches(docs).select(F.col(id_col).alias("row"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     kind = base.schema["row"].dataType
-    lines = base.mapInArrow(lambda it: _hash_lines(it, min_chars, to_arrow_type(kind)), f"row {kind.simpleString()}, line long, n long, h1 long, h2 long, halves array<long>")
+    least = min_chars if exact_chars is None else exact_chars
+    lines = base.mapInArrow(lambda it: _hash_lines(it, min_chars, least, to_arrow_type(kind)), f"row {kind.simpleString()}, line long, n long, h1 long, h2 long, halves array<long>")
     distinct = lines.groupBy("h1", "h2").agg(F.min(F.struct("row", "line")).alias("place"), F.count("*").alias("copies"), F.first("halves").alias("halves"))
     distinct = materialise(distinct.select("h1", "h2", "place.row", "place.line", "copies", "halves"), "distinct")
     halves = distinct.select(F.explode(F.array_distinct("halves")).alias("half"), "row", "line")
@@ -132,7 +142,7 @@ def repeated_lines(docs: DataFrame, min_chars: int = MIN_CHARS, id_col: str = "d
     return lines.select("row", "line", "h1", "h2").join(verdict, ["h1", "h2"]).filter(F.col("near") | (place != F.col("place"))).select("row", "line")
 
 
-def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, id_col: str = "doc_id", text_col: str = "text", exact_chars: int | None = None) -> DataFrame:
     """``docs`` with (n_lines, n_removed) added and the repeated lines taken out of the text; a row per row.
 
     A null text stays null with no lines; an empty one has one empty line. Ids are
@@ -141,7 +151,7 @@ def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, id_col: str = "doc_
     of ``docs`` other than the text pass unchanged; ones named n_lines or n_removed
     are replaced.
     """
-    gone = repeated_lines(docs, min_chars, id_col, text_col).groupBy(F.col("row").alias("_row")).agg(F.sort_array(F.collect_set("line")).alias("_gone"))
+    gone = repeated_lines(docs, min_chars, id_col, text_col, exact_chars).groupBy(F.col("row").alias("_row")).agg(F.sort_array(F.collect_set("line")).alias("_gone"))
     kept = docs.drop("n_lines", "n_removed").join(gone, docs[id_col] == F.col("_row"), "left")
     all_lines = F.split(F.col(text_col), "\n")
     rest = F.when(F.col("_gone").isNull(), F.col(text_col)).otherwise(F.array_join(F.filter(all_lines, lambda x, i: ~F.array_contains(F.col("_gone"), i.cast("long"))), "\n"))
