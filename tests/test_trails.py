@@ -1,11 +1,14 @@
 import math
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from waymark.functions import scalars as S
 from waymark.operators import catalogue as C
 from waymark.operators import evaluate as V
 from waymark.operators import lines as L
+from waymark.plans import QUERIES
+from waymark.plans.adapters import adapted
 from waymark.sources import gpx
 
 
@@ -51,6 +54,29 @@ def test_units_and_curve(spark):
     assert abs(r.c0 - 0.1) < 1e-12 and abs(r.c1 - 1) < 1e-12 and abs(r.c2 - 10) < 1e-12
 
 
+def test_window_fit_query_gives_curvature(spark):
+    folder = "/root/testdata/sf0.001"
+    rows = QUERIES["a12_window_fit_whole"](spark, folder).collect()
+    samples = adapted(spark, folder, "samples").filter("z is not null and d between 1000 and 3000").collect()
+    for r in rows:
+        at = [(x.d, x.z) for x in samples if x.line_id == r.track_id]
+        mean = sum(d for d, _ in at) / len(at)
+        quad = np.polyfit([d - mean for d, _ in at], [z for _, z in at], 2)[0]
+        assert abs(r.curvature - 2000 * quad) < 1e-3
+    assert rows
+
+
+def test_headline_has_all_fields_and_falls_back(spark):
+    s = plane(spark, 0, 1).withColumn("src", F.when(F.col("i") <= 25, 1).otherwise(0))
+    legs = spark.createDataFrame([(1, 0, "new", 1.0)], "line_id int, leg int, kind string, effort_factor double")
+    r = V.headline_fields(s, legs).first()
+    assert len(r) == 23 and (r.z_min, r.z_max, r.steep_threshold, r.very_steep_threshold, r.fall_line_threshold, r.heavy_slope_threshold) == (0, 30, 18, 35, 45, 73)
+    assert abs(r.grade_p95 - 30) < 1e-6 and abs(r.steep_longest_m - 100) < 1e-6 and r.very_steep_pct == 0 and r.lidar_pct == 25 and r.coverage_pct == 100
+    r = V.headline_fields(s, legs, [31.0], [], [10.0]).first()
+    assert (r.steep_threshold, r.steep_pct, r.steep_longest_m) == (31, 0, 0) and r.very_steep_pct is r.fall_line_threshold is r.fall_line_pct is r.heavy_slope_pct is None
+    assert V.headline_fields(s, legs, [], [], []).first().steep_longest_m is None
+
+
 def test_resample_two_legs(spark):
     v = spark.createDataFrame([(1, 0, 0, 0.0, 0.0), (1, 0, 1, 10.5, 0.0), (1, 1, 0, 10.5, 0.0), (1, 1, 1, 10.5, 7.0)], "line_id int, leg int, seq int, x double, y double")
     rows = L.resample_legs(v, 2.0).orderBy("leg", "k").collect()

@@ -202,6 +202,28 @@ def headline(summary: DataFrame, bands: DataFrame) -> DataFrame:
     return summary.select("line_id", "length_m", "climb_s", "descent_s", "build_m", "existing_m", "construct_days", "maintain_days").join(wide, "line_id", "left")
 
 
+def headline_fields(samples: DataFrame, legs: DataFrame, grade_steps=GRADE_STEPS, tsa_steps=TSA_STEPS, slope_steps=SLOPE_STEPS, lidar=(1,)) -> DataFrame:
+    """All numbers of a listing, with their thresholds: steep is the second grade threshold or an only one, very steep the third, fall line the first TSA one, heavy the third slope one; null where there is none. ``lidar`` has the sources that count as such."""
+    at = lambda steps, k: float(steps[k]) if len(steps) > k else None
+    steep = at(grade_steps, 1) or at(grade_steps, 0)
+    parts = [("steep", "grade_s", steep), ("very_steep", "grade_s", at(grade_steps, 2)), ("fall_line", "tsa_s", at(tsa_steps, 0)), ("heavy_slope", "slope_s", at(slope_steps, 2))]
+    share = lambda flag, of: F.try_divide(100 * F.sum(F.when(flag, F.col("w")).otherwise(0.0)), F.sum(F.when(of, F.col("w"))))
+    m = measured(samples)
+    aggs = [F.percentile("grade_s", F.lit(0.95)).alias("grade_p95"), share(F.col("src").isin(*lidar), F.lit(True)).alias("lidar_pct")]
+    for name, value, t in parts:
+        v = F.col(value)
+        aggs.append(F.lit(t).cast("double").alias(f"{name}_threshold"))
+        aggs.append((F.lit(None).cast("double") if t is None else share(v < t if name == "fall_line" else v >= t, v.isNotNull())).alias(f"{name}_pct"))
+    out = alignment_summary(samples, legs).join(m.groupBy("line_id").agg(*aggs), "line_id")
+    if steep is None:
+        out = out.withColumn("steep_longest_m", F.lit(None).cast("double"))
+    else:
+        out = out.join(longest_run(m, ["line_id"], F.coalesce(F.col("grade_s") >= steep, F.lit(False))).withColumnRenamed("longest", "steep_longest_m"), "line_id")
+    first = ["length_m", "build_m", "existing_m", F.col("climb_s").alias("climb_m"), F.col("descent_s").alias("descent_m"), "z_min", "z_max", "grade_p50", "grade_p95", "steep_threshold", "steep_pct", "steep_longest_m"]
+    rest = [f"{name}_{k}" for name, _, _ in parts[1:] for k in ("threshold", "pct")]
+    return out.select("line_id", *first, *rest, "construct_days", "maintain_days", "lidar_pct", "coverage_pct")
+
+
 def threshold_shares(m: DataFrame) -> DataFrame:
     """(line_id, measure, pct) of the headline's thresholds."""
     parts = [("grade_steep", "grade_s", GRADE_STEPS[1], False), ("grade_very", "grade_s", GRADE_STEPS[2], False), ("tsa_fall", "tsa_s", TSA_STEPS[0], True), ("slope_heavy", "slope_s", SLOPE_STEPS[2], False)]

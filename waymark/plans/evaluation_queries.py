@@ -155,6 +155,22 @@ def a10_alignment_summary(spark, d):
     return out.select("line_id", *[F.round(c, 6).alias(c) for c in ("build_m", "existing_m")], *[F.round(c, 3).alias(c) for c in ("construct_days", "maintain_days")], "runs_uphill")
 
 
+@query(
+    _LEG_SQL
+    + """, cs as (select line_id, zs - lag(zs) over (partition by line_id order by i) as s from m where zs is not null), ct as (select line_id, coalesce(sum(s) filter (s > 0), 0) as climb_m, coalesce(-sum(s) filter (s < 0), 0) as descent_m from cs group by 1),
+    r as (select line_id, w, coalesce(grade_s >= 18, false) as h, i - row_number() over (partition by line_id, coalesce(grade_s >= 18, false) order by i) as island from m), q as (select line_id, sum(w) as x from r where h group by line_id, island), lr as (select line_id, max(x) as x from q group by 1),
+    a as (select line_id, sum(length_m) filter (leg % 4 <> 0) as build_m, sum(length_m) filter (leg % 4 = 0) as existing_m, sum(construct_days) as construct_days, sum(keep) as maintain_days from l group by 1),
+    t as (select line_id, sum(w) as length_m, min(z) as z_min, max(z) as z_max, quantile_cont(grade_s, 0.5) as grade_p50, quantile_cont(grade_s, 0.95) as grade_p95, 100 * coalesce(sum(w) filter (grade_s >= 18), 0) / sum(w) filter (grade_s is not null) as steep_pct, 100 * coalesce(sum(w) filter (grade_s >= 35), 0) / sum(w) filter (grade_s is not null) as very_steep_pct,
+      100 * coalesce(sum(w) filter (tsa_s < 45), 0) / sum(w) filter (tsa_s is not null) as fall_line_pct, 100 * coalesce(sum(w) filter (slope_s >= 73), 0) / sum(w) filter (slope_s is not null) as heavy_slope_pct, 100 * coalesce(sum(w) filter (src = 1), 0) / sum(w) as lidar_pct, 100 * coalesce(sum(w) filter (z is not null), 0) / sum(w) as coverage_pct from m group by 1)
+    select line_id, round(length_m, 4) as length_m, round(coalesce(build_m, 0), 4) as build_m, round(coalesce(existing_m, 0), 4) as existing_m, round(coalesce(climb_m, 0), 4) as climb_m, round(coalesce(descent_m, 0), 4) as descent_m, round(z_min, 4) as z_min, round(z_max, 4) as z_max, round(grade_p50, 4) as grade_p50, round(grade_p95, 4) as grade_p95,
+    18e0 as steep_threshold, round(steep_pct, 4) as steep_pct, round(coalesce(x, 0), 4) as steep_longest_m, 35e0 as very_steep_threshold, round(very_steep_pct, 4) as very_steep_pct, 45e0 as fall_line_threshold, round(fall_line_pct, 4) as fall_line_pct, 73e0 as heavy_slope_threshold, round(heavy_slope_pct, 4) as heavy_slope_pct,
+    round(construct_days, 4) as construct_days, round(maintain_days, 4) as maintain_days, round(lidar_pct, 4) as lidar_pct, round(coverage_pct, 4) as coverage_pct from t join a using (line_id) left join ct using (line_id) left join lr using (line_id)"""
+)
+def p09_headline_whole(spark, d):
+    s = adapted(spark, d, "samples")
+    return rounded(V.headline_fields(s, _legs(s)), 4)
+
+
 @query("select line_id, src, round(sum(w), 6) as length, round(100 * sum(w) / sum(sum(w)) over (partition by line_id), 6) as pct from samples group by line_id, src")
 def a11_coverage_by_source(spark, d):
     return rounded(V.coverage_by_source(adapted(spark, d, "samples"), ["line_id"]))
@@ -250,6 +266,17 @@ def a12_window_fit(spark, d):
     return rounded(K.window_fit(s, 1000.0, 3000.0).drop("curvature"), 4)
 
 
+@query(
+    """with u as (select line_id, d, z, d - avg(d) over (partition by line_id) as u from samples where z is not null and d between 1000 and 3000),
+    f as (select line_id as track_id, count(*) as n, avg(z) as mean_z, regr_slope(z, d) as slope, sum(u) as s1, sum(u * u) as s2, sum(u * u * u) as s3, sum(u * u * u * u) as s4, sum(z) as t0, sum(u * z) as t1, sum(u * u * z) as t2 from u group by line_id),
+    e as (select *, n * (s2 * s4 - s3 * s3) - s1 * (s1 * s4 - s2 * s3) + s2 * (s1 * s3 - s2 * s2) as det, n * (s2 * t2 - t1 * s3) - s1 * (s1 * t2 - t1 * s2) + t0 * (s1 * s3 - s2 * s2) as quad from f)
+    select track_id, n, round(mean_z, 4) as mean_z, round(100 * slope, 4) as slope_pct, round(case when n >= 3 and abs(det) > 1e-9 then 2000 * quad / det end, 4) as curvature from e"""
+)
+def a12_window_fit_whole(spark, d):
+    s = adapted(spark, d, "samples").filter("z is not null").withColumnRenamed("line_id", "track_id")
+    return rounded(K.window_fit(s, 1000.0, 3000.0), 4)
+
+
 @query("select track_id, seq, (32600 + cast(floor((lon + 180) / 6) as int) % 60 + 1)::int as srid, true as returns from track_points")
 def f01_utm_round_trip(spark, d):
     """Every point to UTM and back, to a centimetre."""
