@@ -14,11 +14,9 @@ TSA_FLOOR, FALL_FLOOR = 3.0, 4.0
 
 # Metres in each unit, by its accepted spellings.
 UNITS = {
-    "m": 1.0, "meter": 1.0, "meters": 1.0, "metre": 1.0, "metres": 1.0,
+    "m": 1.0, "meter": 1.0, "metre": 1.0, "meters": 1.0, "metres": 1.0,
     "ft": 0.3048, "foot": 0.3048, "feet": 0.3048,
-    "km": 1000.0, "kilometer": 1000.0, "kilometers": 1000.0, "kilometre": 1000.0, "kilometres": 1000.0,
-    "mi": 1609.344, "mile": 1609.344, "miles": 1609.344,
-    "yd": 0.9144, "yard": 0.9144, "yards": 0.9144,
+    "km": 1000.0, "mi": 1609.344, "mile": 1609.344, "miles": 1609.344, "yd": 0.9144,
 }
 
 
@@ -46,23 +44,26 @@ def equirect_m(lon1: Column, lat1: Column, lon2: Column, lat2: Column) -> Column
     return F.hypot(x, F.radians(lat2 - lat1)) * EARTH_M
 
 
+_NUMBER = r"^\s*([-+]?[0-9]+(?:\.[0-9]+)?)\s*"
+
+
 def length_m(text: Column) -> Column:
-    """Metres of '5 ft', '1.2 km' or a bare number; null for anything else."""
-    t = F.lower(F.trim(text))
-    number = F.regexp_extract(t, r"^([+-]?(?:\d+\.?\d*|\.\d+)(?:e[+-]?\d+)?)\s*([a-z]*)$", 1)
-    unit = F.regexp_extract(t, r"^([+-]?(?:\d+\.?\d*|\.\d+)(?:e[+-]?\d+)?)\s*([a-z]*)$", 2)
+    """Metres of '5 ft', '1.2 km' or a bare number; null for anything else, numbers like .5 or 1e3 and other spellings of units too."""
+    pattern = _NUMBER + r"([A-Za-z]*)\s*$"
+    number, unit = F.regexp_extract(text, pattern, 1), F.lower(F.regexp_extract(text, pattern, 2))
     table = F.create_map(*[F.lit(x) for kv in UNITS.items() for x in kv])
-    factor = F.when(unit == "", F.lit(1.0)).otherwise(F.try_element_at(table, unit))
-    return F.when(number != "", number.try_cast("double") * factor)
+    return F.when(number != "", number.try_cast("double") * F.when(unit == "", F.lit(1.0)).otherwise(F.try_element_at(table, unit)))
 
 
 def rate_m_per_day(text: Column) -> Column:
-    """Metres a day of '10 m/day' or a plain length."""
-    return length_m(F.regexp_replace(text, r"(?i)\s*(/|per)\s*(day|d)\s*$", ""))
+    """Metres a day of '10 m/day'; null without a unit of length and "/day"."""
+    plain = F.regexp_extract(text, _NUMBER + r"([A-Za-z]+)\s*/\s*day\s*$", 0)
+    return F.when(plain != "", length_m(F.regexp_replace(text, r"\s*/\s*day\s*$", "")))
 
 
 def percent(text: Column) -> Column:
-    return F.regexp_replace(F.trim(text), r"\s*%$", "").try_cast("double")
+    """The number of '10 %' or '10'; null for anything else."""
+    return F.nullif(F.regexp_extract(text, _NUMBER + r"%?\s*$", 1), F.lit("")).try_cast("double")
 
 
 # --- projections ----------------------------------------------------------------
@@ -146,17 +147,17 @@ def climb_cost(m: Column, grade: Column) -> Column:
 
 
 #: Stops of the wetness colours (index value, red, green, blue, alpha).
-WET_STOPS = [(5.0, 255, 255, 217, 0), (8.0, 161, 218, 180, 90), (10.0, 65, 182, 196, 150), (13.0, 34, 94, 168, 190), (17.0, 8, 29, 88, 220)]
+WET_STOPS = [(6.0, 198, 233, 245, 0), (7.0, 160, 215, 240, 90), (9.0, 79, 163, 217, 150), (12.0, 31, 95, 191, 205), (14.0, 11, 42, 128, 230)]
 
 
 def colour_ramp(value: Column, stops=WET_STOPS) -> Column:
-    """struct(r, g, b, a), piecewise linear over the stops; null is transparent black."""
+    """struct(r, g, b, a), piecewise linear over the stops, halves rounded to even; null and values that aren't finite are transparent black."""
 
     def channel(k: int) -> Column:
-        out = F.when(value.isNull(), 0.0).when(value <= stops[0][0], float(stops[0][k]))
+        out = F.when(value.isNull() | F.isnan(value) | (F.abs(value) == float("inf")), 0.0).when(value <= stops[0][0], float(stops[0][k]))
         for p, q in zip(stops, stops[1:]):
             out = out.when(value <= q[0], p[k] + (q[k] - p[k]) * (value - p[0]) / (q[0] - p[0]))
-        return F.round(out.otherwise(float(stops[-1][k]))).cast("int")
+        return F.bround(out.otherwise(float(stops[-1][k]))).cast("int")
 
     return F.struct(*[channel(k).alias(n) for k, n in enumerate("rgba", 1)])
 

@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .rounds import settled
+
 # --- access ---------------------------------------------------------------------
 
 
@@ -132,37 +134,49 @@ def leg_range(picked: DataFrame) -> DataFrame:
 
 
 def ancestors(spark: SparkSession, nodes: DataFrame, id_col: str, parent_col: str = "parent_id") -> DataFrame:
-    """(id, depth, ancestor), nearest first; a chain that comes back on itself ends there."""
-    return spark.sql(
-        f"""with recursive up as (
-          select {id_col} as id, 1 as depth, {parent_col} as ancestor, array({id_col}) as path from {{nodes}} where {parent_col} is not null and {parent_col} <> {id_col}
-          union all select u.id, u.depth + 1, n.{parent_col}, array_append(u.path, u.ancestor) from up u join {{nodes}} n on n.{id_col} = u.ancestor
-          where n.{parent_col} is not null and not array_contains(u.path, n.{parent_col}) and n.{parent_col} <> u.ancestor)
-        select id, depth, ancestor from up""",
-        nodes=nodes,
-    )
+    """(id, depth, ancestor), nearest first; a chain that comes back on itself ends there.
+
+    Known chains are doubled in length each round, so a tree of depth n takes about log2 n rounds, whatever its rows.
+    """
+    known = nodes.filter(F.col(parent_col).isNotNull() & (F.col(parent_col) != F.col(id_col))).select(F.col(id_col).alias("id"), F.lit(1).alias("depth"), F.col(parent_col).alias("ancestor"))
+    known, reach = settled(known), 1
+    while True:
+        ends, above = known.filter(F.col("depth") == reach).select("id", F.col("ancestor").alias("at")), known.select(F.col("id").alias("at"), "depth", "ancestor")
+        more = ends.join(above, "at").filter("ancestor <> id").select("id", (F.col("depth") + reach).alias("depth"), "ancestor")
+        more = settled(more.join(known.select("id", "ancestor"), ["id", "ancestor"], "left_anti").groupBy("id", "ancestor").agg(F.min("depth").alias("depth")).select("id", "depth", "ancestor"))
+        if more.isEmpty():
+            return known
+        known, reach = settled(known.union(more)), 2 * reach
 
 
 def variant_tree(spark: SparkSession, nodes: DataFrame, id_col: str, parent_col: str = "parent_id") -> DataFrame:
-    """(id, root, depth): a node whose parent is not among the nodes is a root."""
-    return spark.sql(
-        f"""with recursive down as (
-          select c.{id_col} as id, c.{id_col} as root, 0 as depth from {{nodes}} c left anti join {{nodes}} p on p.{id_col} = c.{parent_col}
-          union all select n.{id_col}, d.root, d.depth + 1 from down d join {{nodes}} n on n.{parent_col} = d.id)
-        select id, root, depth from down""",
-        nodes=nodes,
-    )
+    """(id, root, depth): a node whose parent is not among the nodes is a root; nodes of a ring have none and are left out.
+
+    Each round every node jumps to where its ancestor has got, so a tree of depth n takes about log2 n rounds.
+    """
+    n = nodes.select(F.col(id_col).alias("id"), F.col(parent_col).alias("at"))
+    parents = n.select(F.col("id").alias("at"), F.lit(True).alias("found"))
+    started = n.join(parents, "at", "left").select("id", F.when(F.col("found"), F.col("at")).otherwise(F.col("id")).alias("root"), F.when(F.col("found"), 1).otherwise(0).alias("depth"), F.col("found").isNull().alias("done"))
+    # a node next to a root is as good as done after the first round
+    now, open_ = settled(started), None
+    while True:
+        left = now.filter("not done").count()
+        if left == 0 or left == open_:
+            return now.filter("done").select("id", "root", "depth")
+        open_ = left
+        jump = now.select(F.col("id").alias("root"), F.col("root").alias("next"), F.col("depth").alias("more"), F.col("done").alias("there"))
+        moved = now.filter("not done").join(jump, "root").select("id", F.col("next").alias("root"), (F.col("depth") + F.col("more")).alias("depth"), F.col("there").alias("done"))
+        now = settled(now.filter("done").union(moved))
 
 
 def move_with_variants(spark: SparkSession, nodes: DataFrame, id_col: str, moved, section) -> DataFrame:
     """(id, section_id): the moved node, and descendants reached through nodes of its old section, go to the new one."""
-    return spark.sql(
-        f"""with recursive m as (
-          select {id_col} as id, section_id as was from {{nodes}} where {id_col} = {{moved}}
-          union all select n.{id_col}, m.was from m join {{nodes}} n on n.parent_id = m.id where n.section_id <=> m.was)
-        select n.{id_col} as id, case when m.id is null then n.section_id else {{section}} end as section_id from {{nodes}} n left join m on m.id = n.{id_col}""",
-        nodes=nodes, moved=F.lit(moved), section=F.lit(section),
-    )
+    was = nodes.filter(F.col(id_col) == F.lit(moved)).select(F.col("section_id").alias("_was"), F.lit(True).alias("_one"))
+    inside = nodes.join(F.broadcast(was), F.col("section_id").eqNullSafe(F.col("_was"))).filter("_one")  # one row
+    cut = inside.select(F.col(id_col).alias("id"), F.when(F.col(id_col) != F.lit(moved), F.col("parent_id")).alias("parent_id"))
+    goes = variant_tree(spark, cut, "id").filter(F.col("root") == F.lit(moved)).select(F.col("id").alias("_id"))
+    joined = nodes.join(goes, nodes[id_col] == goes["_id"], "left")
+    return joined.select(F.col(id_col).alias("id"), F.when(F.col("_id").isNull(), F.col("section_id")).otherwise(F.lit(section)).alias("section_id"))
 
 
 def renumber_sections(rows: DataFrame, by: list[str], order: list) -> DataFrame:
@@ -189,6 +203,23 @@ def duplicate_alignment(alignments: DataFrame, legs: DataFrame, source, new_id)
 # --- listings ---------------------------------------------------------------------
 
 
+def listing_order(kind: str) -> list[Column]:
+    """The order of a listing: alignments by priority and name, tracks latest first with undated ones before ("tiles": after) them, trails longest first, DEMs by kind, region and title."""
+    c = F.col
+    return {
+        "alignments": [c("priority").asc(), c("name").asc()],
+        "tracks": [c("taken_at").desc_nulls_first()],
+        "tiles": [c("taken_at").desc_nulls_last()],
+        "trails": [c("length_m").desc_nulls_last()],
+        "dems": [c("kind").asc(), c("region").asc(), c("title").asc()],
+    }[kind]
+
+
+def placed(rows: DataFrame, by: list[str], order: list[Column]) -> DataFrame:
+    """``rows`` with their ``place`` from 1 in each group."""
+    return rows.withColumn("place", F.row_number().over(Window.partitionBy(*by).orderBy(*order)).cast("long"))
+
+
 def project_listing(projects: DataFrame, alignments: DataFrame, visible: DataFrame) -> DataFrame:
     """(project_id, name, alignments, parent): the parent is named only if it is visible itself."""
     counts = alignments.groupBy("project_id").agg(F.count("*").alias("alignments"))

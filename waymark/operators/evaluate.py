@@ -31,17 +31,21 @@ def grade_bridged() -> Column:
 
 
 def running_mean_sym(value: str, width: int) -> Column:
-    """Centred mean over an odd width, null-skipping; near the ends the window shrinks on both sides."""
+    """Centred mean over an odd width, null-skipping; near the ends the window shrinks on both sides.
+
+    The values of the widest window are gathered once and the middle of them is taken.
+    """
     half = width // 2
     if half < 1:
         return F.col(value)
     at = F.row_number().over(_line()) - 1
     n = F.count(F.lit(1)).over(Window.partitionBy("line_id"))
-    radius = F.least(at, n - 1 - at, F.lit(half))
-    out = F.when(radius == 0, F.col(value))
-    for r in range(1, half + 1):
-        out = out.when(radius == r, F.avg(value).over(_line().rowsBetween(-r, r)))
-    return out
+    radius = F.least(at, n - 1 - at, F.lit(half)).cast("int")
+    near = F.collect_list(F.struct(F.col(value).cast("double").alias("v"))).over(_line().rowsBetween(-half, half))
+    middle = F.slice(near, F.least(at, F.lit(half)).cast("int") - radius + 1, 2 * radius + 1)
+    known = F.filter(F.transform(middle, lambda x: x["v"]), lambda x: x.isNotNull())
+    total = F.aggregate(known, F.lit(0.0), lambda a, x: a + x)
+    return F.when(F.size(known) > 0, total / F.size(known))
 
 
 def running_mean_clip(value: str, width: int) -> Column:
@@ -133,25 +137,24 @@ def exceedance(points: DataFrame, by: list[str], value: str, at: float, below: b
     return share.join(longest_run(points, by, flag), by).select(*by, "length", F.when(F.col("known") > 0, 100 * F.col("length") / F.col("known")).alias("pct"), "longest")
 
 
-def _rubric(spark, rubric):
-    return spark.createDataFrame([(float(a), float(b), float(c), float(m)) for a, b, c, m in rubric], "low double, high double, build double, maintain double")
+def _per_metre(value: str, rubric, k: int) -> Column:
+    """Days a metre by the band of the value; null outside all bands."""
+    out = F.when(F.lit(False), 0.0)
+    for band in rubric:
+        out = out.when((F.col(value) >= float(band[0])) & (F.col(value) < float(band[1])), 1 / float(band[k]))
+    return out
+
+
+def _effort(slope: str, grade: str, slope_rubric, grade_rubric) -> list[Column]:
+    both = ((slope, slope_rubric or SLOPE_RUBRIC), (grade, grade_rubric or GRADE_RUBRIC))
+    days = lambda k: sum(F.coalesce(F.sum(F.col("w") * _per_metre(v, r, k)), F.lit(0.0)) for v, r in both)
+    unknown = [F.coalesce(F.sum(F.when(_per_metre(v, r, 2).isNull(), F.col("w"))), F.lit(0.0)) for v, r in both]
+    return [days(2).alias("construct_days"), days(3).alias("maintain_days"), F.greatest(*unknown).alias("unassessed_m")]
 
 
 def effort(points: DataFrame, by: list[str], slope: str = "slope_s", grade: str = "grade_s", slope_rubric=None, grade_rubric=None) -> DataFrame:
-    """(by, construct_days, maintain_days, unassessed_m): length over rate in each band of side slope and of grade, summed."""
-    spark = points.sparkSession
-    parts = None
-    for name, value, rubric in (("slope", slope, slope_rubric or SLOPE_RUBRIC), ("grade", grade, grade_rubric or GRADE_RUBRIC)):
-        r = F.broadcast(_rubric(spark, rubric))  # a handful of rows
-        v = F.col(value)
-        met = points.join(r, (v >= r["low"]) & (v < r["high"]), "left")
-        part = met.groupBy(*by).agg(
-            F.coalesce(F.sum(F.col("w") / F.col("build")), F.lit(0.0)).alias(f"{name}_build"),
-            F.coalesce(F.sum(F.col("w") / F.col("maintain")), F.lit(0.0)).alias(f"{name}_maintain"),
-            F.coalesce(F.sum(F.when(F.col("low").isNull(), F.col("w"))), F.lit(0.0)).alias(f"{name}_open"),
-        )
-        parts = part if parts is None else parts.join(part, by)
-    return parts.select(*by, (F.col("slope_build") + F.col("grade_build")).alias("construct_days"), (F.col("slope_maintain") + F.col("grade_maintain")).alias("maintain_days"), F.greatest("slope_open", "grade_open").alias("unassessed_m"))
+    """(by, construct_days, maintain_days, unassessed_m): length over rate in each band of side slope and of grade, summed in one pass."""
+    return points.groupBy(*by).agg(*_effort(slope, grade, slope_rubric, grade_rubric))
 
 
 def coverage_by_source(points: DataFrame, by: list[str]) -> DataFrame:
@@ -162,14 +165,22 @@ def coverage_by_source(points: DataFrame, by: list[str]) -> DataFrame:
 
 
 def _stats(m: DataFrame, by: list[str]) -> DataFrame:
-    first, last = F.min_by("z", F.when(F.col("z").isNotNull(), F.col("i"))), F.max_by("z", F.when(F.col("z").isNotNull(), F.col("i")))
-    base = m.groupBy(*by).agg(
-        F.sum("w").alias("length_m"), F.count("*").alias("samples"), (100 * F.sum(F.when(F.col("z").isNotNull(), F.col("w"))) / F.sum("w")).alias("coverage_pct"),
+    """All statistics of ``measured`` samples by group, in one pass after one window."""
+    before = Window.partitionBy(*by).orderBy("i").rowsBetween(Window.unboundedPreceding, -1)
+    m = m.withColumns({"_up": F.col("z") - F.last("z", True).over(before), "_ups": F.col("zs") - F.last("zs", True).over(before)})
+    known = F.col("z").isNotNull()
+    first, last = F.min_by("z", F.when(known, F.col("i"))), F.max_by("z", F.when(known, F.col("i")))
+    moves = [F.coalesce(F.sum(F.when(F.col(c) * way > 0, F.col(c) * way)), F.lit(0.0)).alias(n) for c, way, n in (("_up", 1, "climb"), ("_up", -1, "descent"), ("_ups", 1, "climb_s"), ("_ups", -1, "descent_s"))]
+    return m.groupBy(*by).agg(
+        F.sum("w").alias("length_m"), F.count("*").alias("samples"), (100 * F.sum(F.when(known, F.col("w"))) / F.sum("w")).alias("coverage_pct"),
         F.min("z").alias("z_min"), F.max("z").alias("z_max"), first.alias("z_start"), last.alias("z_end"),
         (F.min("d") - F.min_by("w", "i")).alias("d_start"), F.max("d").alias("d_end"), F.expr("percentile(grade_s, 0.5)").alias("grade_p50"), F.expr("percentile(slope_s, 0.5)").alias("slope_p50"), F.expr("percentile(tsa_s, 0.5)").alias("tsa_p50"),
+        *moves, *_effort("slope_s", "grade_s", None, None),
     )
-    raw, smooth = climb_descent(m, by), climb_descent(m, by, "zs").withColumnsRenamed({"climb": "climb_s", "descent": "descent_s"})
-    return base.join(raw, by, "left").join(smooth, by, "left").join(effort(m, by), by, "left").fillna(0.0, ["climb", "descent", "climb_s", "descent_s"])
+
+
+def _factor() -> Column:
+    return F.when(F.col("kind") == "existing", 0.0).otherwise(F.coalesce("effort_factor", F.lit(0.0)))
 
 
 def leg_stats(samples: DataFrame, legs: DataFrame) -> DataFrame:
@@ -179,20 +190,28 @@ def leg_stats(samples: DataFrame, legs: DataFrame) -> DataFrame:
     """
     by = ["line_id", "leg"]
     stats = legs.join(_stats(measured(samples), by), by, "left")
-    factor = F.when(F.col("kind") == "existing", 0.0).otherwise(F.coalesce("effort_factor", F.lit(0.0)))
     zero = ["length_m", "climb", "descent", "climb_s", "descent_s", "construct_days", "maintain_days", "unassessed_m"]
-    return stats.fillna(0.0, zero).fillna(0, ["samples"]).withColumn("construct_days", F.col("construct_days") * factor)
+    return stats.fillna(0.0, zero).fillna(0, ["samples"]).withColumn("construct_days", F.col("construct_days") * _factor())
 
 
 def alignment_summary(samples: DataFrame, legs: DataFrame) -> DataFrame:
-    """A row per line: its statistics, metres built and existing, the legs' days, and whether it runs uphill."""
-    per_leg = leg_stats(samples, legs).groupBy("line_id").agg(
-        F.sum(F.when(F.col("kind") != "existing", F.col("length_m")).otherwise(0.0)).alias("build_m"),
-        F.sum(F.when(F.col("kind") == "existing", F.col("length_m")).otherwise(0.0)).alias("existing_m"),
-        F.sum("construct_days").alias("construct_days"), F.sum("maintain_days").alias("maintain_days"),
+    """A row per line that has legs: its statistics, metres built and existing, the legs' days, and whether it runs uphill.
+
+    Each measured sample counts for its leg and for its line (part -1), so samples are measured once.
+    """
+    parts = measured(samples).withColumn("leg", F.explode(F.array(F.col("leg"), F.lit(-1))))
+    stats = _stats(parts, ["line_id", "leg"]).join(legs, ["line_id", "leg"], "full")
+    own = [c for c in stats.columns if c not in ("line_id", "leg", "kind", "effort_factor", "construct_days", "maintain_days")]
+    metres = lambda flag: F.coalesce(F.sum(F.when(flag, F.col("length_m"))), F.lit(0.0))
+    built = F.col("kind") != "existing"
+    out = stats.groupBy("line_id").agg(
+        F.max(F.when(F.col("leg") == -1, F.struct(*own))).alias("whole"), F.count("kind").alias("n"),
+        metres(built).alias("build_m"), metres(~built).alias("existing_m"),
+        F.coalesce(F.sum(F.when(F.col("kind").isNotNull(), F.col("construct_days") * _factor())), F.lit(0.0)).alias("construct_days"),
+        F.coalesce(F.sum(F.when(F.col("kind").isNotNull(), F.col("maintain_days"))), F.lit(0.0)).alias("maintain_days"),
     )
-    whole = _stats(measured(samples), ["line_id"]).drop("construct_days", "maintain_days")
-    return whole.join(per_leg, "line_id").withColumn("runs_uphill", F.col("z_end") > F.col("z_start"))
+    out = out.filter("n > 0 and whole is not null").select("line_id", "whole.*", "build_m", "existing_m", "construct_days", "maintain_days")
+    return out.withColumn("runs_uphill", F.col("z_end") > F.col("z_start"))
 
 
 def headline(summary: DataFrame, bands: DataFrame) -> DataFrame:

@@ -52,23 +52,33 @@ def rebuild_from_legs(vertices: DataFrame) -> DataFrame:
     return kept.withColumn("n", F.row_number().over(w) - 1)
 
 
-def fillet(vertices: DataFrame, least: float = 1.5, steps: int = 6) -> DataFrame:
-    """Interior vertices become tangent arcs of at most 45 % of the shorter neighbour; turns under 2 degrees stay as they are."""
+def fillet(vertices: DataFrame, radius: float, step: float, least: float = 1.5) -> DataFrame:
+    """(line_id, seq, j, x, y): interior vertices become arcs tangent to both neighbours, a point every ``step`` metres or closer, two steps at least.
+
+    An arc has the radius asked for, less where its tangents would take more than 45 % of
+    a neighbour, but ``least`` if that leaves tangents of at most 49 %. Turns under 2
+    degrees stay as they are; points that coincide with the one before them go.
+    """
     w = Window.partitionBy("line_id").orderBy("seq")
     v = vertices.withColumns({"ax": F.col("x") - F.lag("x").over(w), "ay": F.col("y") - F.lag("y").over(w), "bx": F.lead("x").over(w) - F.col("x"), "by": F.lead("y").over(w) - F.col("y")})
-    la, lb = F.hypot("ax", "ay"), F.hypot("bx", "by")
-    turn = F.atan2(F.col("ax") * F.col("by") - F.col("ay") * F.col("bx"), F.col("ax") * F.col("bx") + F.col("ay") * F.col("by"))
-    v = v.withColumns({"la": la, "lb": lb, "turn": turn})
-    reach = 0.45 * F.least("la", "lb")
-    radius = reach / F.tan(F.abs("turn") / 2)
-    bends = F.col("turn").isNotNull() & (F.abs("turn") >= math.radians(2)) & (radius >= least) & (F.abs("turn") < math.pi - 1e-6)
-    v = v.withColumns({"reach": reach, "bends": F.coalesce(bends, F.lit(False))}).withColumn("j", F.explode(F.when(F.col("bends"), F.sequence(F.lit(0), F.lit(steps))).otherwise(F.array(F.lit(0)))))
-    u = F.col("j") / steps
-    px, py = F.col("x") - F.col("ax") / F.col("la") * F.col("reach"), F.col("y") - F.col("ay") / F.col("la") * F.col("reach")
-    side, r = F.signum("turn"), F.col("reach") / F.tan(F.abs("turn") / 2)
-    cx, cy = px - side * r * F.col("ay") / F.col("la"), py + side * r * F.col("ax") / F.col("la")
-    angle = F.atan2(py - cy, px - cx) + u * F.col("turn")
-    return v.select("line_id", "seq", "j", F.when(F.col("bends"), cx + r * F.cos(angle)).otherwise(F.col("x")).alias("x"), F.when(F.col("bends"), cy + r * F.sin(angle)).otherwise(F.col("y")).alias("y"))
+    v = v.withColumns({"la": F.greatest(F.hypot("ax", "ay"), F.lit(1e-12)), "lb": F.greatest(F.hypot("bx", "by"), F.lit(1e-12))})
+    v = v.withColumns({"ax": F.col("ax") / F.col("la"), "ay": F.col("ay") / F.col("la"), "bx": F.col("bx") / F.col("lb"), "by": F.col("by") / F.col("lb")})
+    turn = F.acos(F.least(F.greatest(F.col("ax") * F.col("bx") + F.col("ay") * F.col("by"), F.lit(-1.0)), F.lit(1.0)))
+    side = F.when(F.col("ax") * F.col("by") - F.col("ay") * F.col("bx") > 0, 1.0).otherwise(-1.0)
+    v = v.withColumns({"turn": turn, "side": side}).withColumn("half", F.greatest(F.tan(F.least(F.col("turn") / 2, F.lit(math.radians(89.5)))), F.lit(1e-9)))
+    short = F.least("la", "lb")
+    wanted = F.greatest(F.lit(float(least)), F.least(F.lit(float(radius)), 0.45 * short / F.col("half")))
+    v = v.withColumn("reach", F.least(wanted * F.col("half"), 0.49 * short)).withColumn("r", F.col("reach") / F.col("half"))
+    bends = F.coalesce(F.col("turn") >= math.radians(2), F.lit(False))
+    v = v.withColumn("m", F.when(bends, F.greatest(F.lit(2), F.ceil(F.col("r") * F.col("turn") / step)).cast("int"))).withColumn("j", F.explode(F.when(F.col("m").isNotNull(), F.sequence(F.lit(0), F.col("m"))).otherwise(F.array(F.lit(0)))))
+    px, py = F.col("x") - F.col("ax") * F.col("reach"), F.col("y") - F.col("ay") * F.col("reach")
+    cx, cy = px - F.col("ay") * F.col("side") * F.col("r"), py + F.col("ax") * F.col("side") * F.col("r")
+    angle = F.atan2(py - cy, px - cx) + F.col("side") * F.col("turn") * F.col("j") / F.col("m")
+    arc = lambda centre, f, own: F.when(F.col("m").isNotNull(), centre + F.col("r") * f(angle)).otherwise(F.col(own)).alias(own)
+    out = v.select("line_id", "seq", "j", arc(cx, F.cos, "x"), arc(cy, F.sin, "y"))
+    w = Window.partitionBy("line_id").orderBy("seq", "j")
+    moved = F.hypot(F.col("x") - F.lag("x").over(w), F.col("y") - F.lag("y").over(w))
+    return out.withColumn("_moved", moved).filter("_moved is null or _moved > 1e-6").drop("_moved")
 
 
 def _cells(x: Column, y: Column, size: float, ring: int = 0) -> Column:
@@ -141,8 +151,9 @@ def interp_at(profile: DataFrame, at: DataFrame, value: str) -> DataFrame:
     """(line_id, q, value): linear between samples (line_id, d), held at the ends, for the distances ``at`` (line_id, q)."""
     here = profile.select("line_id", F.col("d").alias("pos"), F.struct("d", F.col(value).alias("v")).alias("s"), F.lit(None).cast("double").alias("q"))
     asked = at.select("line_id", F.col("q").cast("double").alias("pos"), F.lit(None).cast(here.schema["s"].dataType).alias("s"), F.col("q").cast("double").alias("q"))
-    w = Window.partitionBy("line_id").orderBy("pos", F.col("s").isNull().cast("int"))
-    both = here.union(asked).withColumns({"a": F.last("s", True).over(w.rowsBetween(Window.unboundedPreceding, 0)), "b": F.first("s", True).over(w.rowsBetween(0, Window.unboundedFollowing))}).filter("q is not null")
+    up = Window.partitionBy("line_id").orderBy("pos", F.col("s").isNull().cast("int")).rowsBetween(Window.unboundedPreceding, 0)
+    down = Window.partitionBy("line_id").orderBy(F.desc("pos"), F.col("s").isNull().cast("int").desc()).rowsBetween(Window.unboundedPreceding, 0)
+    both = here.union(asked).withColumns({"a": F.last("s", True).over(up), "b": F.last("s", True).over(down)}).filter("q is not null")
     a, b = F.coalesce("a", "b"), F.coalesce("b", "a")
     mixed = F.when(b["d"] > a["d"], a["v"] + (b["v"] - a["v"]) * (F.col("q") - a["d"]) / (b["d"] - a["d"])).otherwise(a["v"])
     return both.select("line_id", "q", mixed.alias(value))
@@ -232,7 +243,7 @@ def hold_side(value: str, threshold: float) -> Column:
     side = F.when(F.col(value) > threshold, 1).when(F.col(value) < -threshold, -1)
     w = Window.partitionBy("line_id").orderBy("i")
     last = F.last(side, True).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    first = F.first(side, True).over(w.rowsBetween(0, Window.unboundedFollowing))
+    first = F.last(side, True).over(Window.partitionBy("line_id").orderBy(F.desc("i")).rowsBetween(Window.unboundedPreceding, 0))
     return F.coalesce(last, first, F.lit(0)).cast("int")
 
 
@@ -248,7 +259,7 @@ def switch_point(costs: DataFrame) -> DataFrame:
     inf = F.lit(float("inf"))
     low, high = F.coalesce("low", inf), F.coalesce("high", inf)
     before = F.coalesce(F.sum(low).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
-    after = F.sum(high).over(w.rowsBetween(0, Window.unboundedFollowing))
+    after = F.sum(high).over(Window.partitionBy("edge_id").orderBy(F.desc("k")).rowsBetween(Window.unboundedPreceding, 0))
     n = F.count("*").over(Window.partitionBy("edge_id"))
     priced = costs.withColumns({"cost": before + after, "off": F.abs(F.col("k") - n / 2)})
     return priced.groupBy("edge_id").agg(F.min_by("k", F.struct("cost", "off", "k")).alias("k"))

@@ -121,8 +121,8 @@ def bend_charge(fine: DataFrame, samples: DataFrame, value: Column, h: float) ->
     here = samples.select("line_id", F.col("d").alias("pos"), "i", F.lit(None).cast("double").alias("bend"), F.lit(None).cast("double").alias("radius"))
     bend = F.when(F.col("free"), value * F.col("turn") / (math.pi / 2)).otherwise(0.0)
     asked = fine.select("line_id", (F.col("s") - h / 2).alias("pos"), F.lit(None).cast(here.schema["i"].dataType).alias("i"), bend.alias("bend"), F.col("radius").cast("double").alias("radius"))
-    w = Window.partitionBy("line_id").orderBy("pos", F.col("i").isNotNull().cast("int"))
-    own = F.coalesce(F.first("i", True).over(w.rowsBetween(0, Window.unboundedFollowing)), F.max("i").over(Window.partitionBy("line_id")))
+    w = Window.partitionBy("line_id").orderBy(F.desc("pos"), F.col("i").isNotNull().cast("int").desc())
+    own = F.coalesce(F.last("i", True).over(w.rowsBetween(Window.unboundedPreceding, 0)), F.max("i").over(Window.partitionBy("line_id")))
     out = here.union(asked).withColumn("i", own).groupBy("line_id", "i")
     return out.agg(F.coalesce(F.sum("bend"), F.lit(0.0)).alias("bends"), F.least(F.coalesce(F.min("radius"), F.lit(1e4)), F.lit(1e4)).alias("bend_r"))
 

@@ -16,8 +16,8 @@ def nearest_sample(samples: DataFrame, at: DataFrame) -> DataFrame:
     """(line_id, q, i, d): the sample nearest each asked distance, the later one on a tie."""
     here = samples.select("line_id", F.col("d").alias("pos"), F.struct("d", "i").alias("s"), F.lit(None).cast("double").alias("q"))
     asked = at.select("line_id", F.col("q").alias("pos"), F.lit(None).cast(here.schema["s"].dataType).alias("s"), "q")
-    w = Window.partitionBy("line_id").orderBy("pos", F.col("s").isNull())
-    a, b = F.last("s", True).over(w.rowsBetween(Window.unboundedPreceding, 0)), F.first("s", True).over(w.rowsBetween(0, Window.unboundedFollowing))
+    line, gap = Window.partitionBy("line_id"), F.col("s").isNull()
+    a, b = (F.last("s", True).over(line.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)) for order in (["pos", gap], [F.desc("pos"), gap.desc()]))
     both = here.union(asked).withColumns({"a": a, "b": b}).filter("q is not null")
     before = F.col("b").isNull() | (F.col("q") - F.col("a.d") < F.col("b.d") - F.col("q"))
     return both.withColumn("s", F.when(before, F.col("a")).otherwise(F.col("b"))).select("line_id", "q", "s.i", "s.d")

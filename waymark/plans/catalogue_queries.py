@@ -141,13 +141,12 @@ def w19_duplicate_alignment(spark, d):
     return copy.select(F.col("alignment_id").cast("long").alias("alignment_id"), "project_id", "parent_id", "name")
 
 
-@query("select alignment_id, row_number() over (partition by project_id order by priority_text, name, taken_at desc nulls first, alignment_id) as place from alignments")
+@query("select alignment_id, row_number() over (partition by project_id order by case priority_text when 'Preferred' then 1 when ' alternate ' then 2 when 'Future' then 3 else 2 end, name, alignment_id) as place, row_number() over (partition by project_id order by case when alignment_id % 3 > 0 then taken_at end desc nulls first, alignment_id) as track_place, row_number() over (partition by project_id order by case when alignment_id % 3 > 0 then taken_at end desc nulls last, alignment_id) as tile_place from alignments")
 def o01_listing_orders(spark, d):
-    from pyspark.sql import Window
-
-    a = adapted(spark, d, "alignments")
-    order = Window.partitionBy("project_id").orderBy("priority_text", "name", F.col("taken_at").desc_nulls_first(), "alignment_id")
-    return a.select("alignment_id", F.row_number().over(order).cast("long").alias("place"))
+    a = adapted(spark, d, "alignments").withColumn("priority", C.parse_priority(F.col("priority_text"))).withColumn("taken_at", F.when(F.col("alignment_id") % 3 > 0, F.col("taken_at")))
+    for kind, name in (("alignments", "by_name"), ("tracks", "track_place"), ("tiles", "tile_place")):
+        a = C.placed(a, ["project_id"], [*C.listing_order(kind), F.col("alignment_id").asc()]).withColumnRenamed("place", name)
+    return a.select("alignment_id", F.col("by_name").alias("place"), "track_place", "tile_place")
 
 
 @query("select track_id, min(lon) as w, min(lat) as s, max(lon) as e, max(lat) as n from track_points group by track_id")
@@ -315,9 +314,16 @@ def j06_nearest_on_lines_whole(spark, d):
     return rounded(L.nearest_on_lines(*_beside(spark, d)).select("point_id", "distance"))
 
 
-@query(None)
+@query(
+    f"""with {_VERTICES}, a as (select *, x - lag(x) over w as e1, y - lag(y) over w as e2, lead(x) over w - x as f1, lead(y) over w - y as f2 from v window w as (partition by line_id order by seq)),
+    b as (select *, greatest(sqrt(e1 * e1 + e2 * e2), 1e-12) as la, greatest(sqrt(f1 * f1 + f2 * f2), 1e-12) as lb from a), c as (select *, e1 / la as ux, e2 / la as uy, acos(least(greatest((e1 * f1 + e2 * f2) / la / lb, -1), 1)) as t, case when e1 * f2 - e2 * f1 > 0 then 1 else -1 end as o from b),
+    d as (select *, tan(least(t / 2, radians(89.5))) as h from c), e as (select *, least(greatest(1.5, least(4, 0.45 * least(la, lb) / h)) * h, 0.49 * least(la, lb)) as q from d),
+    f as (select *, greatest(2, ceil(q / h * t / 0.75))::bigint as m from e), g as (select line_id, seq, 0 as j, x, y from f where t is null or t < radians(2) union all
+    select line_id, seq, j, cx + q / h * cos(g0 + o * t * j / m), cy + q / h * sin(g0 + o * t * j / m) from (select *, atan2(-o * ux, o * uy) as g0, x - ux * q - uy * o * q / h as cx, y - uy * q + ux * o * q / h as cy, unnest(range(m + 1)) as j from f where t >= radians(2)) k),
+    n as (select *, sqrt(power(x - lag(x) over w, 2) + power(y - lag(y) over w, 2)) as away from g window w as (partition by line_id order by seq, j)) select line_id, seq, j::int as j, round(x, 4) + 0 as x, round(y, 4) + 0 as y from n where away is null or away > 1e-6"""
+)
 def l04_fillet(spark, d):
-    return rounded(L.fillet(_vertices(spark, d)), 4)
+    return rounded(L.fillet(_vertices(spark, d), 4.0, 0.75), 4)
 
 
 @query(None)

@@ -192,14 +192,20 @@ def o05_downsample_profile(spark, d):
 
 
 @query(
-    """with s as (select l_quantity as q, l_linenumber % 6 as k, l_orderkey, l_partkey, l_suppkey, l_extendedprice from lineitem)
-    select l_orderkey, l_partkey, l_suppkey, l_extendedprice, round(case k when 0 then q when 1 then q * 0.3048 when 2 then q * 1000 when 3 then q * 1609.344 when 4 then q * 0.9144 end, 6) as metres from s"""
+    """with s as (select l_quantity as q, l_linenumber % 6 as k, l_orderkey % 4 as f, l_orderkey, l_partkey, l_suppkey, l_extendedprice from lineitem)
+    select l_orderkey, l_partkey, l_suppkey, l_extendedprice, round(case when f = 3 then case when k = 4 then q * 0.9144 end else case k when 0 then q when 1 then q * 0.3048 when 2 then q * 1000 when 3 then q * 1609.344 when 4 then q * 0.9144 end end, 6) as metres,
+    round(case when f = 1 and k = 1 then q * 0.3048 when f = 1 and k = 2 then q * 1000 when f = 1 and k = 3 then q * 1609.344 when f = 1 and k = 4 then q * 0.9144 end, 6) as rate, case f when 0 then q when 2 then -q end as share from s"""
 )
 def f07_length_m(spark, d):
+    """Accepted spellings, and ones that are refused: other words for units, numbers with an exponent or without a digit in front."""
     li = spark.read.parquet(f"{d}/lineitem.parquet")
-    units = F.array(*map(F.lit, ("", " ft", "km", " Miles", " yd", " parsecs")))
-    text = F.concat(F.col("l_quantity").cast("string"), F.get(units, F.col("l_linenumber") % 6))
-    return rounded(li.select("l_orderkey", "l_partkey", "l_suppkey", "l_extendedprice", S.length_m(text).alias("metres")))
+    pick = lambda words, k: F.get(F.array(*map(F.lit, words)), k)
+    q, k, f = F.col("l_quantity").cast("string"), F.col("l_linenumber") % 6, F.col("l_orderkey") % 4
+    good, bad = pick(("", " ft", "km", " Miles", " yd", " parsecs"), k), pick(("e0", " yards", " kilometers", " miles.", "yd", "ft 2"), k)
+    length = F.when(f == 3, F.concat(q, bad)).otherwise(F.concat(q, good))
+    rate = F.when(f == 1, F.concat(length, F.lit(" / day"))).when(f == 2, F.concat(length, F.lit(" per day"))).otherwise(length)
+    share = F.concat(pick(("", ".", "-", "1e"), f), q, pick((" %", "%", "", " % "), f))
+    return rounded(li.select("l_orderkey", "l_partkey", "l_suppkey", "l_extendedprice", S.length_m(length).alias("metres"), S.rate_m_per_day(rate).alias("rate"), S.percent(share).alias("share")))
 
 
 # --- tracks ---------------------------------------------------------------------

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import settings as S
-from ..functions.scalars import WET_STOPS, curve_value
+from ..functions.scalars import colour_ramp, curve_value
 from ..operators import profiles as P
 from ..operators import terrain as T
 from .adapters import adapted, table
@@ -187,10 +187,22 @@ def g07_distance_field_whole(spark, d):
     return rounded(T.distance_field(_grid(spark, d), _vertices(spark, d).drop("leg"), res=5.0))
 
 
+# The wetness colours, said here apart from the library's own.
+_RED = "when t <= 6 then 198 when t <= 7 then 198 - 38 * (t - 6) when t <= 9 then 160 - 81 * (t - 7) / 2 when t <= 12 then 79 - 48 * (t - 9) / 3 when t <= 14 then 31 - 20 * (t - 12) / 2 else 11"
+_GREEN = "when t <= 6 then 233 when t <= 7 then 233 - 18 * (t - 6) when t <= 9 then 215 - 52 * (t - 7) / 2 when t <= 12 then 163 - 68 * (t - 9) / 3 when t <= 14 then 95 - 53 * (t - 12) / 2 else 42"
+_BLUE = "when t <= 6 then 245 when t <= 7 then 245 - 5 * (t - 6) when t <= 9 then 240 - 23 * (t - 7) / 2 when t <= 12 then 217 - 26 * (t - 9) / 3 when t <= 14 then 191 - 63 * (t - 12) / 2 else 128"
+_ALPHA = "when t <= 6 then 0 when t <= 7 then 90 * (t - 6) when t <= 9 then 90 + 60 * (t - 7) / 2 when t <= 12 then 150 + 55 * (t - 9) / 3 when t <= 14 then 205 + 25 * (t - 12) / 2 else 230"
+
+
 def _ramp(k):
     """SQL: one channel of the wetness colours at t."""
-    legs = " ".join(f"when t <= {q[0]} then {p[k]} + ({q[k]} - {p[k]}) * (t - {p[0]}) / ({q[0]} - {p[0]})" for p, q in zip(WET_STOPS, WET_STOPS[1:]))
-    return f"cast(round(case when t is null then 0 when t <= {WET_STOPS[0][0]} then {WET_STOPS[0][k]} {legs} else {WET_STOPS[-1][k]} end) as int)"
+    return f"cast(round_even(case when t is null then 0 {(_RED, _GREEN, _BLUE, _ALPHA)[k - 1]} end, 0) as int)"
+
+
+@query(f"select p_partkey, p_size, {_ramp(1)} as red, {_ramp(2)} as green, {_ramp(3)} as blue, {_ramp(4)} as alpha from (select p_partkey, p_size, case when p_size > 3 then p_size / 3e0 + p_partkey % 7 / 8e0 end as t from part) o")
+def f13_colour_ramp(spark, d):
+    p = table(spark, d, "part").select("p_partkey", "p_size", colour_ramp(F.when(F.col("p_size") > 3, F.col("p_size") / 3 + F.col("p_partkey") % 7 / 8).when(F.col("p_size") == 3, F.lit(float("nan")))).alias("p"))
+    return p.select("p_partkey", "p_size", *[F.col(f"p.{k}").alias(n) for k, n in zip("rgba", ("red", "green", "blue", "alpha"), strict=True)])
 
 
 @query(f"with {_GRID} select r, c, {_ramp(1)} as red, {_ramp(2)} as green, {_ramp(3)} as blue, {_ramp(4)} as alpha from (select r, c, z / 70e0 - 7 as t from g where c between 5 and 30 and r between 5 and 40) o")
