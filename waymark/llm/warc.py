@@ -1,33 +1,38 @@
 """Operator 10: web archives packaged in ZIP files, written by tasks and read by ranges.
 
-A package holds ``archive/data.warc`` and ``indexes/index.jsonl`` as stored members,
-so a record is a byte range of the package. The reader parses the end record, its
-ZIP64 form where there is one, and the central directory; finds each stored member
-behind its local header; and reads the index and the records by range. Nothing is
-extracted and no package is read whole.
+A package holds ``archive/data.warc.gz`` and ``indexes/index.jsonl`` as stored members.
+Each record is a gzip member of its own, so a record is a byte range of the package.
+The reader parses the end record, its ZIP64 form where there is one, and the central
+directory; finds each stored member behind its local header; and reads the index and
+the records by range. Nothing is extracted and no package is read whole.
 """
 
 from __future__ import annotations
 
 import base64
-import datetime
+import gzip
 import hashlib
 import io
 import json
+import re
 import struct
 import uuid
 import zipfile
+from urllib.parse import quote, unquote
 
+import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .bitmaps import bits_for, collect_bitmap, is_in, numbers_of
 from .scratch import bounded_batches, materialise, scratch_dir
 
-#: Bytes of records after which a task begins the next package.
+#: Bytes of compressed records after which a task begins the next package.
 PACKAGE_BYTES = 16 << 20
-ARCHIVE, INDEX = "archive/data.warc", "indexes/index.jsonl"
+ARCHIVE, INDEX = "archive/data.warc.gz", "indexes/index.jsonl"
 _EPOCH = "1970-01-01T00:00:00Z"
 
 
@@ -46,7 +51,7 @@ def record_bytes(record_type: str, uri: str, record_id: str, payload: bytes, dig
         ("WARC-Type", record_type),
         ("WARC-Record-ID", record_id),
         ("WARC-Date", date),
-        ("WARC-Target-URI", " ".join(uri.split())),
+        ("WARC-Target-URI", re.sub(r"[\x00-\x20\x7f]", lambda m: quote(m[0]), uri)),
         ("WARC-Payload-Digest", f"sha1:{digest}"),
         ("Content-Type", "application/http;msgtype=response"),
     ]
@@ -163,17 +168,40 @@ class Package:
 
 
 def plan_records(pages: DataFrame, least: int = 0, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """(id, url, html, record_type, refers_to): of pages with equal payloads of at least ``least`` bytes the largest id is the response.
+    """(id, n, url, html, record_type, refers_to, refers_n): of pages with equal payloads of at least ``least`` bytes the one with the largest id is the response.
 
-    Payloads are equal when their lengths and SHA-256 are; groups are reduced before
-    they are shuffled.
+    Payloads are equal when their lengths and SHA-256 are. Only digests are counted; a
+    bitmap of the repeated ones tells which pages are written down to be told apart,
+    all others stay where they are read. Such a page has a number ``n``, null for the
+    others, which decides between rows that repeat an id and a payload: one of them is
+    the response. A page without an id is the response only if its whole group has none.
     """
     text = F.coalesce(F.col(html_col), F.lit(""))
-    rows = bounded_batches(pages).select(F.col(id_col).alias("id"), F.coalesce(F.col(url_col), F.lit("")).alias("url"), text.alias("html"), F.sha2(text, 256).alias("key"), F.octet_length(text).alias("size"))
-    last = rows.filter(F.col("size") >= least).groupBy("key", "size").agg(F.max("id").alias("last"), F.count("*").alias("copies")).filter("copies > 1").select("key", "last")
-    joined = rows.join(last, (rows["key"] == last["key"]) & (rows["size"] >= least), "left")
-    again = F.col("last").isNotNull() & (F.col("id").isNull() | (F.col("id") != F.col("last")))
-    return joined.select("id", "url", "html", F.when(again, "revisit").otherwise("response").alias("record_type"), F.when(again, F.col("last")).alias("refers_to"))
+    rows = bounded_batches(pages).select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), text.alias("html"), F.unhex(F.sha2(text, 256)).alias("key"), F.octet_length(text).alias("size"))
+    again = rows.filter(F.col("size") >= least).groupBy("key", "size").agg(F.count("*").alias("copies")).filter("copies > 1").select("key")
+    held = pages.sparkSession.sparkContext.broadcast(collect_bitmap(again, bits_for(pages.count())))
+
+    @F.pandas_udf("boolean")
+    def may_repeat(keys: pd.Series) -> pd.Series:
+        return pd.Series(is_in(np.frombuffer(held.value, np.uint8), numbers_of(pa.array(keys, pa.binary()))))
+
+    alone = rows.filter(~may_repeat("key")).select("id", F.lit(None).cast("long").alias("n"), "url", "html", F.lit("response").alias("record_type"), F.lit(None).cast(rows.schema["id"].dataType).alias("refers_to"), F.lit(None).cast("long").alias("refers_n"))
+    numbered = materialise(rows.filter(may_repeat("key")).withColumn("n", F.monotonically_increasing_id()), "repeated")
+    first = numbered.filter(F.col("size") >= least).groupBy("key", "size").agg(F.max(F.struct("id", "n")).alias("first"))
+    joined = numbered.join(first, ["key", "size"], "left")
+    later = F.col("first.n").isNotNull() & (F.col("n") != F.col("first.n"))
+    known = joined.select("id", "n", "url", "html", F.when(later, "revisit").otherwise("response").alias("record_type"), F.when(later, F.col("first.id")).alias("refers_to"), F.when(later, F.col("first.n")).alias("refers_n"))
+    return alone.union(known)
+
+
+def _name(own, n, digest: str) -> str:
+    """A record's name: its page's id, its payload's digest and, where payloads repeat, its number."""
+    return f"urn:page:{'' if own is None else '=' + quote(str(own), safe='')}:{digest}" + (f":{n}" if n is not None else "")
+
+
+def _id_of(name: str | None) -> str | None:
+    own = (name or "<urn:page::>").split(":")[2]
+    return unquote(own[1:]) if own else None
 
 
 def write_packages(records: DataFrame, folder: str, package_bytes: int = PACKAGE_BYTES) -> DataFrame:
@@ -181,7 +209,7 @@ def write_packages(records: DataFrame, folder: str, package_bytes: int = PACKAGE
 
     A package's name is new for every attempt at it and only packages named in the
     result count, so a task that runs twice leaves no record twice. A task holds one
-    package at a time.
+    package at a time, and a record larger than a package has one of its own.
     """
 
     def run(batches):
@@ -190,23 +218,21 @@ def write_packages(records: DataFrame, folder: str, package_bytes: int = PACKAGE
         body, index, n = io.BytesIO(), io.BytesIO(), 0
 
         def flush():
-            packed = io.BytesIO()
-            with zipfile.ZipFile(packed, "w", zipfile.ZIP_STORED) as z:
-                for name, data in ((ARCHIVE, body), (INDEX, index)):
-                    with z.open(zipfile.ZipInfo(name), "w", force_zip64=True) as member:
-                        member.write(data.getbuffer())
             name = f"{uuid.uuid4().hex}.zip"
-            with where.open_output_stream(f"{base}/{name}") as out:
-                out.write(packed.getbuffer())
+            with where.open_output_stream(f"{base}/{name}") as out, zipfile.ZipFile(out, "w", zipfile.ZIP_STORED) as z:
+                for member_name, data in ((ARCHIVE, body), (INDEX, index)):
+                    with z.open(zipfile.ZipInfo(member_name), "w", force_zip64=True) as member:
+                        member.write(data.getbuffer())
             return pa.RecordBatch.from_pydict({"path": [f"{folder}/{name}"], "records": pa.array([n], pa.int64())})
 
         for batch in batches:
             for r in batch.to_pylist():
                 payload = r["html"].encode("utf-8", "surrogatepass")
                 digest = base32_sha1(payload)
-                uri = f"urn:page:{r['id']}"
-                data = record_bytes(r["record_type"], r["url"] or uri, f"<{uri}>", payload, digest, len(payload), None if r["refers_to"] is None else f"<urn:page:{r['refers_to']}>")
-                entry = {"id": r["id"], "offset": body.tell(), "length": len(data), "digest": digest, "type": r["record_type"]}
+                name, revisit = _name(r["id"], r["n"], digest), r["record_type"] == "revisit"
+                refers_to = f"<{_name(r['refers_to'], r['refers_n'], digest)}>" if revisit else None
+                data = gzip.compress(record_bytes(r["record_type"], r["url"] or name, f"<{name}>", payload, digest, len(payload), refers_to), 6, mtime=0)
+                entry = {"id": f"<{name}>", "url": r["url"], "offset": body.tell(), "length": len(data), "digest": digest, "type": r["record_type"]}
                 index.write(json.dumps(entry).encode() + b"\n")
                 body.write(data)
                 n += 1
@@ -219,20 +245,17 @@ def write_packages(records: DataFrame, folder: str, package_bytes: int = PACKAGE
     return records.mapInArrow(run, "path string, records long")
 
 
-def read_packages(paths: DataFrame) -> DataFrame:
+def read_packages(paths: DataFrame, id_type: str = "long") -> DataFrame:
     """A row per record of the packages in ``paths``.path: (path, id, url, payload_bytes, payload_digest, record_type, refers_to, payload).
 
-    Each record is read by its own range. A revisit's length and digest are those of
-    the full payload it stands for; its payload is null. A response whose bytes do not
-    match its digest fails the read.
+    Each record is read by its own range, its url as it was given from the index. A
+    revisit's length and digest are those of the full payload it stands for; its
+    payload is null. A response whose bytes do not match its digest fails the read, and
+    so does a record that isn't the one its index entry names.
     """
-    ddl = "path string, id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary"
+    ddl = "path string, id string, url string, payload_bytes long, payload_digest string, record_type string, refers_to string, payload binary"
     names = ["path", "id", "url", "payload_bytes", "payload_digest", "record_type", "refers_to", "payload"]
-    types = [pa.string(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.binary()]
-
-    def number(name: str | None):
-        text = (name or "").removeprefix("<urn:page:").removesuffix(">")
-        return int(text) if text.lstrip("-").isdigit() else None
+    types = [pa.string(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.binary()]
 
     def run(batches):
         for batch in batches:
@@ -243,28 +266,33 @@ def read_packages(paths: DataFrame) -> DataFrame:
                     entry = json.loads(line)
                     if entry["offset"] + entry["length"] > length:
                         raise ValueError(f"{path}: the index leads past the archive")
-                    fields, http, payload = parse_record(package.read(start + entry["offset"], entry["length"]))
+                    fields, http, payload = parse_record(gzip.decompress(package.read(start + entry["offset"], entry["length"])))
                     digest = fields["warc-payload-digest"].removeprefix("sha1:")
                     whole = fields["warc-type"] == "response"
-                    if whole and base32_sha1(payload) != digest:
-                        raise ValueError(f"{path}: record {entry['id']} does not match its digest")
-                    rows.append((path, number(fields["warc-record-id"]), fields["warc-target-uri"], len(payload) if whole else int(http["content-length"]), digest, fields["warc-type"], number(fields.get("warc-refers-to")), payload if whole else None))
-                    held += entry["length"]
-                    if held > 8 << 20:
+                    if fields["warc-record-id"] != entry["id"] or whole and base32_sha1(payload) != digest:
+                        raise ValueError(f"{path}: record {entry['id']} does not match its digest or its index entry")
+                    rows.append((path, _id_of(fields["warc-record-id"]), entry["url"], len(payload) if whole else int(http["content-length"]), digest, fields["warc-type"], _id_of(fields.get("warc-refers-to")), payload if whole else None))
+                    held += len(payload)
+                    if held > 8 << 20 or len(rows) >= 10_000:
                         yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), types, strict=True)], names)
                         rows, held = [], 0
                 package.close()
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), types, strict=True)], names)
 
-    return paths.select("path").mapInArrow(run, ddl)
+    found = paths.select("path").mapInArrow(run, ddl)
+    return found.withColumns({c: F.col(c).cast(id_type) for c in ("id", "refers_to")})
 
 
 def archive_pages(spark: SparkSession, pages: DataFrame, least: int = 0) -> DataFrame:
     """Write all ``pages`` to packages in the shared folder and read them back; see ``read_packages``.
 
-    Null html is an empty payload and null urls become the record's own name. Pages
-    without an id are written and read with id null. Other columns are not read.
+    Null html is an empty payload. Urls come back as given, null ones as null; in the
+    record, white space in them is percent-encoded and a null one gives way to the
+    record's own name. Ids may be of any type that casts from a string; pages without
+    one are written and read with id null. Rows that repeat an id are records of their
+    own; of those that repeat a payload too one is the response. An empty table makes no
+    package. Other columns are not read.
     """
     written = materialise(write_packages(plan_records(pages, least), scratch_dir(spark, "warc")), "packages")
-    return read_packages(written.repartition(max(1, written.count())))
+    return read_packages(written.repartition(max(1, written.count())), dict(pages.dtypes)["page_id"])
