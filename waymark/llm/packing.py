@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import math
 import zlib
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -46,22 +47,25 @@ def tokenised_pieces(docs: DataFrame, tokenizer_path: str, size: int, end_id: in
 
     def run(batches):
         vocabulary = json_vocabulary(tokenizer_path)
+        again: Counter = Counter()  # rows that repeat go to groups one after the other
         for batch in batches:
             ids = batch.column("id").to_pylist()
             seeds = batch.column("seed").to_pylist()
             rows: list[tuple] = []
             for own, seed, found in zip(ids, seeds, vocabulary.encode(batch.column("text").to_pylist()), strict=True):
                 data = np.append(found, end_id).astype("<u4")
+                place = seed + again[seed]
+                again[seed] += 1
                 for k, (start, length) in enumerate(cut_points(len(data), size)):
                     part = data[start : start + length]
-                    row = ((seed + k * 7919) % groups, own, k, start, length, zlib.crc32(part.tobytes()))
+                    row = ((place + k * 7919) % groups, own, k, start, length, zlib.crc32(part.tobytes()))
                     rows.append((*row, (part.astype("<u2") if id_bytes == 2 else part).tobytes()) if id_bytes else row)
             yield pa.RecordBatch.from_arrays([pa.array(x) if i != 1 else pa.array(x, batch.schema.field("id").type) for i, x in enumerate(zip(*rows, strict=True))], names) if rows else pa.RecordBatch.from_pylist([], schema)
 
     ddl = f"bin_group long, id {kind}, piece long, start long, length long, ids_crc32 long" + ", ids binary" * bool(id_bytes)
     schema = to_arrow_schema(StructType.fromDDL(ddl))
     text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = bounded_batches(docs).select(F.col(id_col).alias("id"), F.pmod(F.xxhash64(id_col, F.octet_length(text)), F.lit(1 << 40)).alias("seed"), text.alias("text"))
+    rows = bounded_batches(docs).select(F.col(id_col).alias("id"), F.pmod(F.xxhash64(id_col, text), F.lit(1 << 40)).alias("seed"), text.alias("text"))
     return rows.mapInArrow(run, ddl)
 
 
@@ -80,7 +84,8 @@ def vector_best_fit(needs: np.ndarray, capacities, weights, rule: str = "residua
     (by the first column, then by the weighted size); an item goes to the open bin
     that can hold it under every capacity and that has, with it placed, the least
     weighted residual norm ("residual"), or whose residual has the largest weighted
-    dot product with the item ("dot"). If there is none it opens one.
+    dot product with the item ("dot"). If there is none it opens one. An item over a
+    capacity by itself has a bin of its own.
     """
     capacities, weights = np.asarray(capacities, float), np.asarray(weights, float)
     share = needs / capacities
@@ -113,7 +118,7 @@ def vector_best_fit(needs: np.ndarray, capacities, weights, rule: str = "residua
         bins[i], places[i] = b, held[b]
         held[b] += 1
         left[:, at] -= need
-        if (left[:, at] < least).any():  # nothing fits any more
+        if (left[:, at] < least).any():  # nothing fits any more, nor beside an item over a capacity
             opened -= 1
             left[:, at], number[at] = left[:, opened], number[opened]
     return bins, places
@@ -135,12 +140,14 @@ def vector_pack(
 
     Capacities of a sequence: ``size`` tokens, ``max_docs`` pieces (default: size)
     and ``max_attention``, the sum of the squared piece lengths (default: size**2);
-    the defaults of the last two never bind. ``weights`` order the bins that fit.
-    A null text counts as empty and packs as the end id alone. Null or repeated ids
-    are packed row by row; other columns are not read.
+    the defaults of the last two never bind. A piece whose own square is over
+    ``max_attention`` has a sequence to itself. ``weights`` order the bins that fit.
+    A null text counts as empty and packs as the end id alone; texts of any length are
+    read whole; an empty table gives no rows. Null or repeated ids are packed row by
+    row; other columns are not read.
     """
-    if max_attention is not None and max_attention < size * size:
-        raise ValueError("a full piece must fit: max_attention >= size**2")
+    if min(x for x in (size, max_docs, max_attention) if x is not None) < 1:
+        raise ValueError("every capacity must be 1 or more")
     capacities = (size, max_docs or size, max_attention or size * size)
     kind = dict(docs.dtypes)[id_col]
     ddl = f"id {kind}, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"

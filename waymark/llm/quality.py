@@ -80,6 +80,17 @@ def _features(texts: list[str]) -> np.ndarray:
     return out
 
 
+def nearest(cosine: np.ndarray, k: int) -> np.ndarray:
+    """The columns of the k largest values of each row; of equal ones the first."""
+    if k >= cosine.shape[1]:
+        return np.tile(np.arange(cosine.shape[1]), (len(cosine), 1))
+    near = np.argpartition(-cosine, k - 1, axis=1)[:, :k]
+    bar = np.take_along_axis(cosine, near, 1).min(1, keepdims=True)
+    for i in np.flatnonzero((cosine >= bar).sum(1) > k).tolist():
+        near[i] = np.argsort(-cosine[i], kind="stable")[:k]
+    return near
+
+
 @dataclass(frozen=True)
 class Voters:
     """What is broadcast: scales and projection of the features, and the labelled vectors. Its size is fixed by ``rows`` and ``rank``."""
@@ -100,7 +111,7 @@ class Voters:
         k = min(self.neighbours, len(self.labels))
         for a in range(0, len(texts), block):
             cosine = self.project(features(texts[a : a + block])) @ self.vectors.T
-            near = np.argpartition(-cosine, k - 1, axis=1)[:, :k] if k < cosine.shape[1] else np.tile(np.arange(k), (len(cosine), 1))
+            near = nearest(cosine, k)
             weight = np.exp(12 * (np.take_along_axis(cosine, near, 1) - 1)).astype(np.float64)
             out[a : a + block] = (weight * self.labels[near]).sum(1) / weight.sum(1)
         return np.clip(out, 0.0, 1.0)
@@ -166,9 +177,11 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = 4000, id_col: str = "d
 def score_documents(docs: DataFrame, voters: Voters, threshold: float = 0.3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, held_out, score, predicted), a row per row of ``docs``; only the text is scored.
 
-    Null and empty texts are scored like any other, by their (empty) counts. Without
-    any labelled row every score is 1. A null id counts as held out. Other columns are
-    not read.
+    Null and empty texts are scored like any other, by their (empty) counts, texts of
+    any length by all their counts. Of labelled rows equally near the first in the order
+    of ``train`` vote. Without any labelled row every score is 1. A null id counts as
+    held out; rows that repeat get equal scores, an empty table gives no rows. Other
+    columns are not read.
     """
     shared = docs.sparkSession.sparkContext.broadcast(voters)
     kind = dict(docs.dtypes)[id_col]
