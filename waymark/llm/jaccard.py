@@ -4,19 +4,26 @@
    class, so copies cost one row each and no pairs.
 2. Shingles are ordered by how often their hash bucket occurs in the whole corpus
    (a table of fixed size), rare ones first. Sets as similar as asked share one of
-   their first n - ceil(t n) + 1 shingles (prefix filter), so only those are
-   shuffled.
+   their first n - ceil(t n) + 1 shingles (prefix filter). Of these only the bare
+   keys are counted; those that occur once in the corpus are ruled out by a bitmap
+   before rows are shuffled.
 3. Lists of up to ``SMALL`` sets give their pairs, less those whose sizes or whose
    remaining overlap rule a link out. In a larger list every set is paired with one
    member, drawn anew for each shingle; m sets make m pairs, and a large group of
    near copies is joined up by them.
 4. What is left are larger lists with sets of different components: there every set
-   is paired with those of other components whose size and remaining overlap allow it.
-5. Pairs are decided by T-occurrence search: the sets paired with a query are kept
+   is paired with those of other components whose size, remaining overlap and parities
+   allow it.
+5. A pair is ruled out where the parities of its sets over 256 bins put their difference
+   above the one allowed, or their counts over a few bins (a sketch of a byte for some
+   three shingles) bound their overlap below the one required.
+6. Pairs are decided by T-occurrence search: the sets paired with a query are kept
    as inverted lists, the short lists are merged by a heap, the long ones probed by
    binary search (DivideSkip), and sets that reach the required overlap are kept.
 
-A set's 64-bit shingle hashes stand for its shingles, and 128 bits for the set.
+A set's 64-bit shingle hashes stand for its shingles, and 128 bits for the set. Counts
+of a key are formed before its rows meet and joined back to them, so that Spark can
+split a key that is in very many sets.
 """
 
 from __future__ import annotations
@@ -25,14 +32,17 @@ import hashlib
 import heapq
 import math
 import zlib
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
+from .bitmaps import bits_for, collect_bitmap, is_in, numbers_of
 from .components import connected_components
-from .scratch import bounded_batches, materialise
+from .scratch import bounded_batches, materialise, release
 from .textarrays import Rolling, mix, small_groups
 
 #: Hash buckets of the corpus counts, and parts they are shuffled in.
@@ -44,6 +54,8 @@ CELL = 256
 #: DivideSkip's tuning constant: how much dearer a probe is than a heap step.
 MU = 0.01
 
+PARITIES = ["q0", "q1", "q2", "q3"]
+
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _BLANK = np.zeros(256, bool)
@@ -108,6 +120,34 @@ def required(n: int, m: int, percent: int) -> int:
     return -(-percent * (n + m) // (100 + percent))
 
 
+# --- sketches -----------------------------------------------------------------------
+
+
+def sketch(hashes: np.ndarray) -> bytes:
+    """How many of the hashes fall in each of 2**k bins, two to four a bin; empty where a count is over a byte, which bounds nothing."""
+    bins = 1 << max(4, (max(len(hashes), 1) - 1).bit_length() - 2)
+    counts = np.bincount((hashes & np.uint64(bins - 1)).astype(np.int64), minlength=bins)
+    return counts.astype(np.uint8).tobytes() if counts.max() < 256 else b""
+
+
+def parities(sets: list[np.ndarray]) -> np.ndarray:
+    """Four 64-bit words a set: for each of 256 bins, whether an odd number of its shingles falls in it. Two sets differ in as many shingles as bits, at least."""
+    flat = np.concatenate([np.empty(0, np.uint64), *sets])
+    owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    odd = np.bincount(owner * 256 + ((flat >> np.uint64(40)) & np.uint64(255)).astype(np.int64), minlength=256 * len(sets)) & 1
+    return np.packbits(odd.astype(np.uint8).reshape(len(sets), 256), axis=1, bitorder="little").view(np.int64)
+
+
+def most_common(x: bytes, y: bytes) -> int | None:
+    """The most elements that the sets of two sketches can share, if the sketches bound it."""
+    if not x or not y:
+        return None
+    a, b = np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)
+    bins = min(len(a), len(b))
+    a, b = (v.reshape(-1, bins).sum(0, dtype=np.int64) for v in (a, b))
+    return int(np.minimum(a, b).sum())
+
+
 # --- T-occurrence search ----------------------------------------------------------
 
 
@@ -160,27 +200,33 @@ def t_occurrence(query: np.ndarray, sets: list[np.ndarray], percent: int) -> lis
 
 
 def _sets_and_counts(docs: DataFrame, words: int) -> DataFrame:
-    """Rows (row, n, set) for documents, and rows (part, counts) with each task's bucket counts."""
+    """Rows (row, n, set, sketch, q0..q3) for documents, and rows (part, counts) with each task's bucket counts. Of equal sets in a task one has the sketch and the parities."""
 
     def run(batches):
         total = np.zeros(BUCKETS, np.uint32)
+        seen: set[bytes] = set()
         for batch in batches:
             sets = shingle_sets(batch.column("text").to_pylist(), words)
             for a in range(0, len(sets), 1000):
                 total += np.bincount((np.concatenate(sets[a : a + 1000]) & np.uint64(BUCKETS - 1)).astype(np.int64), minlength=BUCKETS).astype(np.uint32)
-            n = len(sets)
+            n, digests = len(sets), list(map(digest, sets))
+            sketches = [None if d in seen or not len(s) else sketch(s) for d, s in zip(digests, sets, strict=True)]
+            if len(seen) < 200_000:
+                seen.update(digests)
+            odd, none = parities(sets), np.array([x is None for x in sketches], bool)
+            words_of = [pa.array(odd[:, k], mask=none) for k in range(4)]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("row"), pa.array(map(len, sets), pa.int64()), pa.array(map(digest, sets), pa.binary()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], names
+                [batch.column("row"), pa.array(map(len, sets), pa.int64()), pa.array(digests, pa.binary()), pa.array(sketches, pa.binary()), *words_of, pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], names
             )
         used = [k for k, x in enumerate(np.split(total, PARTS)) if x.any()]
         blobs = [zlib.compress(total[k * BUCKETS // PARTS : (k + 1) * BUCKETS // PARTS].tobytes(), 1) for k in used]
-        yield pa.RecordBatch.from_arrays([pa.nulls(len(used), id_type), pa.nulls(len(used), pa.int64()), pa.nulls(len(used), pa.binary()), pa.array(used, pa.int32()), pa.array(blobs, pa.binary())], names)
+        n = len(used)
+        empty = [pa.nulls(n, t) for t in (id_type, pa.int64(), pa.binary(), pa.binary(), *[pa.int64()] * 4)]
+        yield pa.RecordBatch.from_arrays([*empty, pa.array(used, pa.int32()), pa.array(blobs, pa.binary())], names)
 
-    from pyspark.sql.pandas.types import to_arrow_type
-
-    names = ["row", "n", "set", "part", "counts"]
+    names = ["row", "n", "set", "sketch", *PARITIES, "part", "counts"]
     id_type = to_arrow_type(docs.schema["row"].dataType)
-    return docs.mapInArrow(run, f"row {docs.schema['row'].dataType.simpleString()}, n long, set binary, part int, counts binary")
+    return docs.mapInArrow(run, f"row {docs.schema['row'].dataType.simpleString()}, n long, set binary, sketch binary, {', '.join(f'{q} long' for q in PARITIES)}, part int, counts binary")
 
 
 def _levels(rows: DataFrame) -> bytes:
@@ -199,15 +245,29 @@ def _levels(rows: DataFrame) -> bytes:
     return b"".join(by.get(k, bytes(BUCKETS // PARTS)) for k in range(PARTS))
 
 
-def _prefixes(docs: DataFrame, words: int, percent: int, levels: bytes) -> DataFrame:
-    """(key, set, n, place): the rarest shingles of each set. A task emits a set once."""
-    shared = docs.sparkSession.sparkContext.broadcast(levels)
+def prefix(n: int, percent: int) -> tuple[int, int, int]:
+    """(p, q, shared) of a set of n: it has a shingle of every partner among its first p, and at least ``shared`` among its first q.
+
+    With L shingles more than needed to have one, two sets share the first L that they
+    have in common; L grows with the size, so the smallest partner allowed counts.
+    """
+
+    def more(m: int) -> int:
+        return min(1 + (m - -(-percent * m // 100) + 1) // 2, -(-percent * m // 100))
+
+    p = n - -(-percent * n // 100) + 1
+    return p, p + more(n) - 1, more(-(-percent * n // 100))
+
+
+def _prefixes(docs: DataFrame, words: int, percent: int, levels, bitmap=None) -> DataFrame:
+    """(key): the longer prefix of each set; with a bitmap of keys, (key, set, n, place) of those of the prefix that it may hold. A task emits a set once."""
 
     def run(batches):
-        level = np.frombuffer(shared.value, np.uint8)
+        level = np.frombuffer(levels.value, np.uint8)
+        held = None if bitmap is None else np.frombuffer(bitmap.value, np.uint8)
         seen: set[bytes] = set()
         for batch in batches:
-            keys, names, sizes, places = [], [], [], []
+            keys, names, sizes, places = [np.empty(0, np.int64)], [], [], []
             for s in shingle_sets(batch.column("text").to_pylist(), words):
                 name = digest(s)
                 if not len(s) or name in seen:
@@ -215,23 +275,40 @@ def _prefixes(docs: DataFrame, words: int, percent: int, levels: bytes) -> DataF
                 if len(seen) < 200_000:
                     seen.add(name)
                 order = np.argsort(level[(s & np.uint64(BUCKETS - 1)).astype(np.int64)], kind="stable")
-                p = len(s) - -(-percent * len(s) // 100) + 1
-                keys.append(s[order[:p]].view(np.int64))
-                names += [name] * p
-                sizes += [len(s)] * p
-                places += range(p)
-            if keys:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(names, pa.binary()), pa.array(sizes, pa.int64()), pa.array(places, pa.int32())], ["key", "set", "n", "place"])
-
-    return docs.select("text").mapInArrow(run, "key long, set binary, n long, place int")
-
-
-def _lists(prefixes: DataFrame) -> DataFrame:
-    """Prefix rows whose shingle is in two sets or more, with the list's size m and one member drawn for the shingle."""
-    by_key = Window.partitionBy("key")
-    draw = F.min(F.struct(F.xxhash64("key", "set").alias("h"), "set", "n", "place")).over(by_key)
-    lists = prefixes.select("*", F.count("*").over(by_key).alias("m"), draw.alias("hub")).filter("m > 1")
-    return materialise(lists.select("key", "set", "n", "place", "m", F.col("hub")["set"].alias("hub"), F.col("hub")["n"].alias("hub_n"), F.col("hub")["place"].alias("hub_place")), "lists")
+                p, q, shared = prefix(len(s), percent)
+                own = s[order[:q]]
+                if held is None:
+                    keys.append(own.view(np.int64))
+                    continue
+                at = np.flatnonzero(is_in(held, own))
+                if len(at) < shared:
+                    continue
+                at = at[at < p]
+                keys.append(own[at].view(np.int64))
+                names += [name] * len(at)
+                sizes += [len(s)] * len(at)
+                places += at.tolist()
+            keys = pa.array(np.concatenate(keys))
+            if held is None:
+                yield pa.RecordBatch.from_arrays([keys], ["key"])
+            else:
+                yield pa.RecordBatch.from_arrays([keys, pa.array(names, pa.binary()), pa.array(sizes, pa.int64()), pa.array(places, pa.int32())], ["key", "set", "n", "place"])
+
+    return docs.select("text").mapInArrow(run, "key long" if bitmap is None else "key long, set binary, n long, place int")
+
+
+def _lists(docs: DataFrame, sets: DataFrame, words: int, percent: int, levels: bytes) -> DataFrame:
+    """Prefix rows (key, set, n, place) whose shingle is in two sets or more, with the list's size m."""
+    context = docs.sparkSession.sparkContext
+    n = F.col("n")
+    made = sets.filter("n > 0").agg(F.sum(1.5 * (n - F.ceil(percent * n / 100) + 1))).first()[0] or 0
+    levels = context.broadcast(levels)
+    repeated = _prefixes(docs, words, percent, levels).groupBy("key").agg(F.count("*").alias("m")).filter("m > 1").select("key")
+    bitmap = context.broadcast(collect_bitmap(repeated, bits_for(int(made), 4)))
+    rows = materialise(_prefixes(docs, words, percent, levels, bitmap).distinct(), "prefixes")
+    lists = materialise(rows.join(rows.groupBy("key").agg(F.count("*").alias("m")).filter("m > 1"), "key"), "lists")
+    release(rows)
+    return lists
 
 
 def _may_link(n, place, other_n, other_place, percent: int):
@@ -268,50 +345,80 @@ def _first_pairs(lists: DataFrame, percent: int) -> DataFrame:
     behind = F.least(F.col("n") - 1 - F.col("last"), F.col("other_n") - 1 - F.col("other_last"))
     need = F.ceil(percent * (F.col("n") + F.col("other_n")) / (100 + percent))
     near = met.filter(F.col("c") + F.col("hidden") + behind >= need).select("a", "b")
-    drawn = lists.filter((F.col("m") > SMALL) & (F.col("set") != F.col("hub"))).filter(_may_link(F.col("n"), F.col("place"), F.col("hub_n"), F.col("hub_place"), percent))
+    big = lists.filter(F.col("m") > SMALL)
+    draw = F.min(F.struct(F.xxhash64("key", "set").alias("h"), F.col("set").alias("hub"), F.col("n").alias("hub_n"), F.col("place").alias("hub_place")))
+    hubs = big.groupBy("key").agg(draw.alias("drawn")).select("key", "drawn.hub", "drawn.hub_n", "drawn.hub_place")
+    drawn = big.join(hubs, "key").filter(F.col("set") != F.col("hub")).filter(_may_link(F.col("n"), F.col("place"), F.col("hub_n"), F.col("hub_place"), percent))
     return near.union(drawn.select(F.least("set", "hub"), F.greatest("set", "hub"))).distinct()
 
 
-def _with_neighbour(big: DataFrame, percent: int) -> DataFrame:
-    """The sets of larger lists that have a member of a fitting size next to them, by size."""
-    order = Window.partitionBy("key").orderBy("n", "set")
-    before, after = F.lag("n").over(order), F.lead("n").over(order)
-    near = big.select("set", "n", before.alias("before"), after.alias("after"))
-    return near.filter((100 * F.col("before") >= percent * F.col("n")) | (100 * F.col("n") >= percent * F.col("after"))).select("set")
+def _open_rows(big: DataFrame, parts: DataFrame) -> DataFrame:
+    """The rows of larger lists that hold several components, with their component."""
+    rows = big.join(parts, big["set"] == parts["node"], "left").select("key", "set", "n", "place", *PARITIES, F.coalesce("root", "set").alias("part"))
+    several = rows.groupBy("key").agg(F.min("part").alias("low"), F.max("part").alias("high")).filter("low <> high").select("key")
+    return materialise(rows.join(several, "key"), "open")
+
 
+def _near_parities(x: str, y: str, percent: int):
+    """The parities of both rows allow a link."""
+    odd = reduce(lambda a, b: a + b, [F.bit_count(F.col(f"{x}.{q}").bitwiseXOR(F.col(f"{y}.{q}"))) for q in PARITIES])
+    n, m = F.col(f"{x}.n"), F.col(f"{y}.n")
+    return F.coalesce(odd <= n + m - 2 * F.ceil(percent * (n + m) / (100 + percent)), F.lit(True))
 
-def _open_pairs(big: DataFrame, parts: DataFrame, percent: int) -> DataFrame:
-    """The pairs across components that a larger list holding several of them still allows."""
-    by_key = Window.partitionBy("key")
-    rows = big.join(parts, big["set"] == parts["node"], "left").select("key", "set", "n", "place", F.coalesce("root", "set").alias("part"))
-    rows = rows.select("*", F.min("part").over(by_key).alias("low"), F.max("part").over(by_key).alias("high")).filter("low <> high").select("key", "set", "n", "place", "part")
+
+def _open_pairs(rows: DataFrame, percent: int) -> DataFrame:
+    """The pairs across components that the open lists still allow."""
     # a pair is made where it first meets, as far back as 16 lists tell
-    rows = rows.withColumn("prior", F.collect_list("key").over(Window.partitionBy("set").orderBy("place").rowsBetween(-16, -1)))
-    rows = materialise(rows, "open")
+    rows = materialise(rows.withColumn("prior", F.collect_list("key").over(Window.partitionBy("set").orderBy("place").rowsBetween(-16, -1))), "open")
     x, y = rows.alias("x"), rows.alias("y")
-    fits = (F.col("x.part") != F.col("y.part")) & (100 * F.least("x.n", "y.n") >= percent * F.greatest("x.n", "y.n")) & ~F.arrays_overlap("x.prior", "y.prior")
-    return (
-        x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.set") < F.col("y.set")) & fits)
-        .filter(_may_link(F.col("x.n"), F.col("x.place"), F.col("y.n"), F.col("y.place"), percent))
-        .select(F.col("x.set").alias("a"), F.col("y.set").alias("b"))
-        .distinct()
-    )
+    fits = (F.col("x.part") != F.col("y.part")) & _may_link(F.col("x.n"), F.col("x.place"), F.col("y.n"), F.col("y.place"), percent) & _near_parities("x", "y", percent) & ~F.arrays_overlap("x.prior", "y.prior")
+    return x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.set") < F.col("y.set")) & fits).select(F.col("x.set").alias("a"), F.col("y.set").alias("b")).distinct()
+
+
+def _sketched(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) whose sketches allow the overlap that they need."""
+    known = sets.filter("sketch is not null").select("set", "n", "sketch").dropDuplicates(["set"])
 
+    def run(batches):
+        for batch in batches:
+            keep = []
+            for n, m, x, y in zip(*(batch.column(c).to_pylist() for c in ("a_n", "b_n", "a_sketch", "b_sketch")), strict=True):
+                most = most_common(x, y)
+                keep.append(most is None or most >= required(n, m, percent))
+            yield pa.RecordBatch.from_arrays([batch.column(c).filter(pa.array(keep, pa.bool_())) for c in ("a", "b")], ["a", "b"])
+
+    both = pairs.join(known.toDF("a", "a_n", "a_sketch"), "a").join(known.toDF("b", "b_n", "b_sketch"), "b")
+    return both.mapInArrow(run, "a binary, b binary")
 
-def _hashes_of(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
-    """(set, hashes) of the wanted (row, set), from the texts; more than once where rows repeat, which only repeats links."""
+
+def _hashes_of(docs: DataFrame, pairs: DataFrame, words: int) -> DataFrame:
+    """(set, hashes) of the sets in ``pairs``, from the texts. A bitmap of the sets says which texts' hashes are sent."""
+    wanted = pairs.select(F.col("a").alias("set")).union(pairs.select("b")).distinct()
+    bitmap = docs.sparkSession.sparkContext.broadcast(collect_bitmap(wanted, bits_for(wanted.count())))
 
     def run(batches):
+        held, seen = np.frombuffer(bitmap.value, np.uint8), set()
         for batch in batches:
             sets = shingle_sets(batch.column("text").to_pylist(), words)
-            yield pa.RecordBatch.from_arrays([pa.array(map(digest, sets), pa.binary()), batch.column("set"), pa.array([s.tobytes() for s in sets], pa.binary())], ["found", "set", "hashes"])
+            names = pa.array(map(digest, sets), pa.binary())
+            out = []
+            for i in np.flatnonzero(is_in(held, numbers_of(names))).tolist() if sets else ():
+                name = names[i].as_py()
+                if len(sets[i]) and name not in seen:
+                    out.append((name, sets[i].tobytes()))
+                    if len(seen) < 200_000:
+                        seen.add(name)
+            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.binary()), pa.array([x[1] for x in out], pa.binary())], ["set", "hashes"])
 
-    texts = docs.join(wanted, "row").select("set", "text").mapInArrow(run, "found binary, set binary, hashes binary")
-    return texts.filter("found = set").select("set", "hashes")
+    return docs.select("text").mapInArrow(run, "set binary, hashes binary").join(wanted, "set", "left_semi").dropDuplicates(["set"])
 
 
-def _verified(pairs: DataFrame, hashes: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) that are similar enough, by one search for each query and at most ``CELL`` of its partners."""
+def _verified(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
+    """The pairs (a, b) that are similar enough, by one search for each query and at most ``CELL`` of its partners.
+
+    A set without hashes would lose links in silence, so it fails the job.
+    """
+    hashes = materialise(_hashes_of(docs, pairs, words), "hashes")
     slot = F.row_number().over(Window.partitionBy("a").orderBy("b"))
     cells = pairs.withColumn("slot", slot - 1).withColumn("cell", F.floor(F.col("slot") / CELL).cast("int"))
     queries = cells.filter(F.col("slot") % CELL == 0).select("a", "cell", F.col("a").alias("set"))
@@ -321,9 +428,10 @@ def _verified(pairs: DataFrame, hashes: DataFrame, percent: int) -> DataFrame:
         now, query, names, sets = None, None, [], []
 
         def finish():
-            if query is None:
-                return []
-            return [(now[0], names[i]) for i in t_occurrence(query, sets, percent)]
+            return [] if now is None else [(now[0], names[i]) for i in t_occurrence(query, sets, percent)]
+
+        def batch_of(out):
+            return pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.binary()), pa.array([x[1] for x in out], pa.binary())], ["u", "v"])
 
         for batch in batches:
             out = []
@@ -336,50 +444,46 @@ def _verified(pairs: DataFrame, hashes: DataFrame, percent: int) -> DataFrame:
                 else:
                     names.append(name)
                     sets.append(np.frombuffer(data, np.uint64))
-            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.binary()), pa.array([x[1] for x in out], pa.binary())], ["u", "v"])
-        out = finish()
-        yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.binary()), pa.array([x[1] for x in out], pa.binary())], ["u", "v"])
+            yield batch_of(out)
+        yield batch_of(finish())
 
-    joined = members.join(hashes, "set").repartition("a", "cell").sortWithinPartitions("a", "cell")
-    return joined.select("a", "cell", "set", "hashes").mapInArrow(run, "u binary, v binary")
+    found = F.coalesce("hashes", F.raise_error(F.lit("a set that was paired has no hashes: the texts have changed")).cast("binary"))
+    joined = members.join(hashes, "set", "left").withColumn("hashes", found).repartition("a", "cell").sortWithinPartitions("a", "cell")
+    links = materialise(joined.select("a", "cell", "set", "hashes").mapInArrow(run, "u binary, v binary"), "links")
+    release(hashes)
+    return links
 
 
 def similar_components(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, n_shingles, n_links, component_id), a row per row of ``docs``.
+    """(id, n_shingles, component_id), a row per row of ``docs``.
 
     Two documents link when 100 * intersection >= percent * union of their shingle
-    sets; a component is closed under links, and its id is its smallest document id.
-    ``n_links`` counts the proven links of a document's set to other sets; links that
-    could not change a component are not all looked for. Null and empty texts have no
-    shingles and stand alone, each under its own id. Documents with null ids take
-    part and get the smallest id of their component, null if it has none. Rows that
-    repeat are linked with each other. Other columns are not read.
+    sets; a component is closed under links, and its id is its smallest document id,
+    nulls aside. Null and empty texts have no shingles and stand alone, each under its
+    own id. Documents with null ids take part and link others, and get the smallest id
+    of their component, null if it has none. Rows that repeat are linked with each
+    other. Texts of any length are read whole; an empty table gives no rows. Other
+    columns are not read. The id may be a struct, which orders by its fields.
     """
     if not 50 <= percent <= 100 or words < 1:
         raise ValueError("percent from 50 to 100, one word or more")
     base = bounded_batches(docs).select(F.col(id_col).alias("row"), F.col(text_col).alias("text"))
     first = materialise(_sets_and_counts(base, words), "sets")
-    sets = first.filter("part is null").select("row", "n", "set")
+    sets = first.filter("part is null")
+    lists = _lists(base, sets, words, percent, _levels(first))
+    pairs = materialise(_sketched(_first_pairs(lists, percent), sets, percent), "pairs")
+    links = _verified(pairs, base, words, percent)
+    parts = connected_components(links, "components")
+    known = sets.filter("q0 is not null").select("set", *PARITIES).dropDuplicates(["set"])
+    open_rows = _open_rows(lists.filter(F.col("m") > SMALL).join(known, "set"), parts)
+    rest = materialise(_sketched(_open_pairs(open_rows, percent).join(pairs, ["a", "b"], "left_anti"), sets, percent), "pairs")
+    release(lists, pairs, open_rows)
+    if not rest.isEmpty():
+        links = links.union(_verified(rest, base, words, percent))
+        parts = connected_components(links, "components")
     classes = sets.filter("n > 0").groupBy("set").agg(F.min("row").alias("rep"))
-    prefixes = _prefixes(base, words, percent, _levels(first)).repartition("key").distinct()
-    lists = _lists(prefixes)
-    pairs = materialise(_first_pairs(lists, percent), "pairs")
-    big = lists.filter(F.col("m") > SMALL)
-    wanted = pairs.select(F.col("a").alias("set")).union(pairs.select("b")).union(_with_neighbour(big, percent)).distinct()
-    wanted = wanted.join(classes, "set").select(F.col("rep").alias("row"), "set")
-    hashes = materialise(_hashes_of(base, wanted, words), "hashes")
-    found = materialise(_verified(pairs, hashes, percent), "links")
-    rest = materialise(_open_pairs(big, connected_components(found, "parts"), percent).join(pairs, ["a", "b"], "left_anti"), "rest")
-    links = materialise(_verified(rest, hashes, percent).union(found).distinct(), "links")
-    roots = connected_components(links, "components")
-    named = classes.join(roots, classes["set"] == roots["node"], "left").select("set", "rep", F.coalesce("root", "set").alias("root"))
-    least = named.groupBy("root").agg(F.min("rep").alias("component_id"))
-    degree = links.select("u").union(links.select("v")).groupBy(F.col("u").alias("set")).agg(F.count("*").alias("n_links"))
-    table = named.join(least, "root").join(degree, "set", "left").select("set", "component_id", "n_links")
-    out = sets.join(table, "set", "left")
-    return out.select(
-        F.col("row").alias(id_col),
-        F.col("n").alias("n_shingles"),
-        F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
-        F.when(F.col("n") == 0, F.col("row")).otherwise(F.col("component_id")).alias("component_id"),
+    named = classes.join(parts, classes["set"] == parts["node"], "left").select("set", "rep", F.coalesce("root", "set").alias("root"))
+    table = named.join(named.groupBy("root").agg(F.min("rep").alias("component_id")), "root").select("set", "component_id")
+    return sets.join(table, "set", "left").select(
+        F.col("row").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("n") == 0, F.col("row")).otherwise(F.col("component_id")).alias("component_id")
     )
