@@ -104,7 +104,7 @@ def unique_slugs(rows: DataFrame, slug: str, order: list[str], taken: DataFrame,
 
 
 def validate_legs(legs: DataFrame) -> DataFrame:
-    """(alignment_id, errors) from legs (alignment_id, leg, kind, effort_factor, coords array<struct<lon,lat>>); an empty list is valid."""
+    """(alignment_id, errors) from legs (alignment_id, leg, kind, effort_factor, coords array<struct<lon,lat>>); an empty list is valid, an alignment without legs isn't seen here."""
     from ..functions.scalars import equirect_m
 
     order = Window.partitionBy("alignment_id").orderBy("leg")
@@ -124,6 +124,18 @@ def validate_legs(legs: DataFrame) -> DataFrame:
     return whole.select("alignment_id", F.concat("e", extra).alias("errors"))
 
 
+def exact_joints(legs: DataFrame, near: float = 0.5, name_most: int = 200, notes_most: int = 5000) -> DataFrame:
+    """``legs`` whose first vertex is the last one of the leg before where they meet within ``near`` metres, with names and notes cut to length."""
+    from ..functions.scalars import equirect_m
+
+    order = Window.partitionBy("alignment_id").orderBy("leg")
+    end = F.lag(F.try_element_at("coords", F.lit(-1))).over(order)
+    start = F.try_element_at("coords", F.lit(1))
+    meets = F.coalesce(equirect_m(end["lon"], end["lat"], start["lon"], start["lat"]) <= near, F.lit(False))
+    out = legs.withColumn("coords", F.when(meets, F.concat(F.array(end), F.slice("coords", 2, F.greatest(F.size("coords") - 1, F.lit(0))))).otherwise(F.col("coords")))
+    return out.withColumns({c: F.substring(c, 1, most) for c, most in (("name", name_most), ("notes", notes_most)) if c in legs.columns})
+
+
 def leg_range(picked: DataFrame) -> DataFrame:
     """(alignment_id, first, last, ok): picked legs without gaps or repeats."""
     out = picked.groupBy("alignment_id").agg(F.min("leg").alias("first"), F.max("leg").alias("last"), F.count("leg").alias("n"), F.count_distinct("leg").alias("u"))
@@ -267,3 +279,13 @@ def compare_saved_now(saved: DataFrame, now: DataFrame, key: str, better: dict[s
 def merged_settings(*layers: Column) -> Column:
     """Maps merged left to right: later layers win, nulls change nothing."""
     return reduce(lambda a, b: F.map_zip_with(a, b, lambda k, x, y: F.coalesce(y, x)), [F.coalesce(x, F.expr("cast(map() as map<string,double>)")) for x in layers])
+
+
+def merged_factors(defaults: Column, *layers: Column) -> Column:
+    """Factor settings (map of struct<k, curve>) laid over the defaults, left to right: a layer changes the ``k`` and the ``curve`` that it gives; names that the defaults don't have are left out."""
+
+    def over(old: Column, layer: Column) -> Column:
+        changed = lambda name, f: F.struct(*[F.coalesce(F.try_element_at(layer, name)[p], f[p]).alias(p) for p in ("k", "curve")])
+        return F.when(layer.isNull(), old).otherwise(F.transform_values(old, changed))
+
+    return reduce(over, layers, defaults)

@@ -28,10 +28,22 @@ def latest_edits(edits: DataFrame, key: str = "alignment_id") -> DataFrame:
 
 
 def reevaluate_on_edit(edits: DataFrame, evaluate, results: str, checkpoint: str):
-    """Evaluate the latest edit of every alignment in a batch; rows are keyed by (alignment_id, seq), so doing it twice changes nothing."""
+    """Evaluate the latest edit of every alignment in a batch; rows are keyed by (alignment_id, seq), so doing it twice changes nothing.
+
+    ``evaluate`` maps edits to results with alignment_id and seq. Edits that it leaves
+    out, and all of a batch that it fails on, are kept as "failed" with the error.
+    """
 
     def apply(batch: DataFrame, n: int) -> None:
-        evaluate(latest_edits(batch)).withColumn("status", F.lit("done")).write.mode("overwrite").parquet(f"{results}/batch={n}")
+        latest = latest_edits(batch)
+        path = f"{results}/batch={n}"
+        kept = latest.select("alignment_id", "seq")
+        try:
+            done = evaluate(latest).withColumns({"status": F.lit("done"), "error": F.lit(None).cast("string")})
+            missing = kept.join(done.select("alignment_id", "seq"), ["alignment_id", "seq"], "left_anti").withColumns({"status": F.lit("failed"), "error": F.lit("no result")})
+            done.unionByName(missing, allowMissingColumns=True).write.mode("overwrite").parquet(path)
+        except Exception as e:  # the edit is not lost; a later one may mend it
+            kept.withColumns({"status": F.lit("failed"), "error": F.lit(str(e)[:500])}).write.mode("overwrite").parquet(path)
 
     return edits.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(apply).start()
 
