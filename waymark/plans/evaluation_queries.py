@@ -236,34 +236,48 @@ def w08_relative_times(spark, d):
     return adapted(spark, d, "track_points").select("track_id", "seq", K.relative_times().alias("seconds"))
 
 
-@query(None)
+#: SQL: UTM of zone 5, by Krueger's series for WGS84; its numbers are written out, apart from the library's.
+_SERIES = (8.37731820630352930e-04, 7.60852771424899765e-07, 1.19763800156052316e-09, 2.44337619452206371e-12)
+_UTM = "e as (select *, sinh(atanh(sin(radians(lat))) - 8.18191908426214864e-02 * atanh(8.18191908426214864e-02 * sin(radians(lat)))) as tt, radians(lon + 153) as ll from track_points), g as (select *, atan2(tt, cos(ll)) as xi, asinh(sin(ll) / sqrt(tt * tt + cos(ll) * cos(ll))) as eta from e), "
+_UTM += "utm as (select *, 500000 + 0.9996e0 * 6.36744914582341537e+06 * (eta" + "".join(f" + {a:.17e} * cos({2 * j} * xi) * sinh({2 * j} * eta)" for j, a in enumerate(_SERIES, 1)) + ") as x, "
+_UTM += "0.9996e0 * 6.36744914582341537e+06 * (xi" + "".join(f" + {a:.17e} * sin({2 * j} * xi) * cosh({2 * j} * eta)" for j, a in enumerate(_SERIES, 1)) + ") as y from g)"
+
+
+@query(f"with {_UTM} select track_id, round(sum(coalesce(l, 0)), 3) as length_m from (select track_id, sqrt(power(x - lag(x) over w, 2) + power(y - lag(y) over w, 2)) as l from utm window w as (partition by track_id order by seq)) group by track_id")
 def a01_line_length(spark, d):
     return rounded(K.line_length(adapted(spark, d, "track_points")), 3)
 
 
 @query(
-    """with f as (select track_id, seq, ts, ele, coalesce(last_value(ele ignore nulls) over (partition by track_id order by seq), 0) as z from track_points),
-    s as (select *, z - lag(z) over (partition by track_id order by seq) as c from f)
-    select track_id, count(*)::int as point_count, round(coalesce(sum(c) filter (c > 0), 0), 4) as climb_m, round(coalesce(-sum(c) filter (c < 0), 0), 4) as descent_m, min(ts) as taken_at, count(ele) > 0 as has_elevation from s group by track_id"""
+    f"""with {_UTM}, f as (select track_id, seq, ts, ele, x, y, coalesce(last_value(ele ignore nulls) over (partition by track_id order by seq), 0) as z from utm),
+    s as (select *, z - lag(z) over w as c, sqrt(power(x - lag(x) over w, 2) + power(y - lag(y) over w, 2)) as l from f window w as (partition by track_id order by seq))
+    select track_id, count(*)::int as point_count, round(sum(coalesce(l, 0)), 4) as length_m, round(coalesce(sum(c) filter (c > 0), 0), 4) as climb_m, round(coalesce(-sum(c) filter (c < 0), 0), 4) as descent_m, min(ts) as taken_at, count(ele) > 0 as has_elevation from s group by track_id"""
 )
 def a03_track_summary(spark, d):
-    return rounded(K.track_summary(adapted(spark, d, "track_points")).drop("length_m"), 4)
+    return rounded(K.track_summary(adapted(spark, d, "track_points")), 4)
 
 
-@query(
-    f"""with p as (select track_id, seq, lon, lat, coalesce(last_value(ele ignore nulls) over (partition by track_id order by seq), 0) as z from track_points),
+_ALONG = f"""p as (select track_id, seq, lon, lat, coalesce(last_value(ele ignore nulls) over (partition by track_id order by seq), 0) as z from track_points),
     s as (select *, coalesce({_STEP}, 0) as step from p window w as (partition by track_id order by seq)),
-    a as (select *, sum(step) over (partition by track_id order by seq) as d from s where seq = 1 or step > 0)
-    select track_id, round(max(d), 4) as length_m, min(z) as z_min, max(z) as z_max from a group by track_id"""
+    a as (select *, sum(step) over (partition by track_id order by seq) as d from s where seq = 1 or step > 0),
+    k as (select *, first_value(d) over r as fd, first_value(z) over r as fz, last_value(d) over r as td, last_value(z) over r as tz, lag(d) over o as pd, lag(z) over o as pz, lead(d) over o as nd, lead(z) over o as nz from a window r as (partition by track_id order by d range between 15 preceding and 15 following), o as (partition by track_id order by d)),
+    h as (select *, case when pd < fd then pd else fd end as ld, case when pd < fd then pz else fz end as lz, case when nd > td then nd else td end as hd, case when nd > td then nz else tz end as hz from k),
+    q as (select *, case when hd > ld then (hz - lz) / (hd - ld) * 100 end as grade from h)"""
+
+
+@query(
+    f"""with {_ALONG}, c as (select track_id, z - lag(z) over (partition by track_id order by seq) as m from a), u as (select track_id, coalesce(sum(m) filter (m > 0), 0) as climb, coalesce(-sum(m) filter (m < 0), 0) as descent from c group by 1)
+    select track_id, round(max(d), 4) as length_m, min(z) as z_min, max(z) as z_max, round(max(struct_pack(a := abs(grade), g := grade)).g, 3) as max_grade, round(any_value(climb), 4) as climb, round(any_value(descent), 4) as descent from q join u using (track_id) group by track_id"""
 )
 def a13_quick_stats(spark, d):
-    return rounded(K.quick_stats(adapted(spark, d, "track_points")).select("track_id", "length_m", "z_min", "z_max"), 4)
+    q = K.quick_stats(adapted(spark, d, "track_points"))
+    return q.select("track_id", F.round("max_grade", 3).alias("max_grade"), *[F.round(c, 4).alias(c) for c in ("length_m", "climb", "descent", "z_min", "z_max")])
 
 
-@query(None)
+@query(f"with {_ALONG} select track_id, seq, round(grade, 3) + 0 as grade from q")
 def w06_grade_in_range(spark, d):
     along = K.cumulative_distance(adapted(spark, d, "track_points").withColumn("z", K.fill_elevation()))
-    return rounded(along.select("track_id", "seq", K.grade_in_range().alias("grade")), 4)
+    return rounded(along.select("track_id", "seq", K.grade_in_range().alias("grade")), 3)
 
 
 @query("select line_id as track_id, count(z) as n, round(avg(z), 4) as mean_z, round(100 * regr_slope(z, d), 4) as slope_pct from samples where z is not null and d between 1000 and 3000 group by line_id")
@@ -283,14 +297,14 @@ def a12_window_fit_whole(spark, d):
     return rounded(K.window_fit(s, 1000.0, 3000.0), 4)
 
 
-@query("select track_id, seq, (32600 + cast(floor((lon + 180) / 6) as int) % 60 + 1)::int as srid, true as returns from track_points")
+@query(f"with {_UTM} select track_id, seq, (32600 + cast(floor((lon + 180) / 6) as int) % 60 + 1)::int as srid, round(x, 3) as x, round(y, 3) as y, true as returns from utm")
 def f01_utm_round_trip(spark, d):
     """Every point to UTM and back, to a centimetre."""
     p = adapted(spark, d, "track_points").withColumn("srid", S.utm_srid(F.col("lon"), F.col("lat")))
     x, y = S.to_utm(F.col("lon"), F.col("lat"), F.col("srid"))
     p = p.withColumns({"x": x, "y": y})
     lon, lat = S.from_utm(F.col("x"), F.col("y"), F.col("srid"))
-    return p.select("track_id", "seq", "srid", (S.equirect_m(lon, lat, F.col("lon"), F.col("lat")) < 0.01).alias("returns"))
+    return p.select("track_id", "seq", "srid", F.round("x", 3).alias("x"), F.round("y", 3).alias("y"), (S.equirect_m(lon, lat, F.col("lon"), F.col("lat")) < 0.01).alias("returns"))
 
 
 @query(
