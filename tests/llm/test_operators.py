@@ -1,6 +1,7 @@
 """The ten operators against brute force, libraries and round trips, on edge cases and a small table."""
 
 import hashlib
+import math
 import random
 import re
 import struct
@@ -58,10 +59,18 @@ def test_token_counts(odd, none, docs):
 def test_chunk_maps_compose_at_any_cut():
     random.seed(5)
     text = "".join(random.choice(["a", "'s", " ", "  ", "\n", "12", "!", "é", "<|endoftext|>" * 0, "word"]) for _ in range(4000)) + "q" * 500
-    count = token_counts.counter(JSON).counts
-    want = len(library([text])[0])
-    for size in (3, 64, 1000):
-        assert token_counts.total(token_counts.scan(token_counts.state_maps(token_counts.chunks_of(text, size), count), count), count) == want
+    own = token_counts.counter(JSON)
+    texts = [text, "中文" * 700 + "，" + "字" * 300, "QUJD12zz+/x9" * 200, "can't " * 300 + "'" * 50 + "s'll" * 40, "a<|endoftext|>" * 90, "x" * 3000, "9" * 500 + "'s" * 100]
+    for t, ids in zip(texts, library(texts)):
+        for size in (3, 17, 64, 1000):
+            assert token_counts.total(token_counts.block_maps([(t, True, True)], own, size)[0], own.counts) == len(ids), (t[:20], size)
+
+
+def test_long_texts_are_counted_by_blocks(spark):
+    rows = [(1, "word, and more words 123 " * 90_000), (1, "QUJD12zz+/x9" * 100_000), (None, "z" * 100_000), (2, "short"), (3, None)]
+    assert max(len(t or "") for _, t in rows) > 2 * token_counts.BLOCK_CHARS
+    got = sorted(((r.doc_id, r.n_tokens) for r in token_counts.count_tokens(spark.createDataFrame(rows, "doc_id int, text string"), JSON).collect()), key=str)
+    assert got == sorted(((i, len(x)) for (i, _), x in zip(rows, library([t for _, t in rows]))), key=str)
 
 
 def test_byte_bpe_against_tiktoken(odd, none):
@@ -231,6 +240,42 @@ def test_line_dedup(spark, odd, none):
     assert line_dedup.dedup_lines(none).count() == 0 and line_dedup.dedup_lines(odd).count() == odd.count()
 
 
+def plain_line_dedup(rows, min_chars=20, exact_chars=1):
+    """(id, text, removed) by the rule as it is stated, with all earlier long lines in buckets by their first and last halves."""
+    seen, shorts, out = defaultdict(set), set(), {}
+    for i, t in sorted(rows):
+        keep = []
+        for x in (t or "").split("\n"):
+            if len(x) >= min_chars:
+                near = {y for k in (len(x) - 1, len(x)) for p in ((0, x[: k // 2]), (1, x[len(x) - k // 2 :])) for y in seen[(k, *p)]}
+                near |= {y for p in ((0, x[: len(x) // 2]), (1, x[len(x) - len(x) // 2 :])) for y in seen[(len(x), *p)]}
+                drop = any(within_one(x, y) for y in near)
+                for k in (len(x) - 1, len(x)):
+                    for p in ((0, x[: k // 2]), (1, x[len(x) - k // 2 :])):
+                        seen[(k, *p)].add(x)
+            else:
+                drop = len(x) >= exact_chars and x.strip(" \t\x0b\x0c\r") != "" and x in shorts
+                shorts.add(x)
+            keep += [x] * (not drop)
+        out[i] = (None if t is None else "\n".join(keep), len((t or "").split("\n")) - len(keep))
+    return out
+
+
+def test_line_dedup_on_the_table(spark, docs):
+    rows = [(r.doc_id, r.text) for r in docs.collect()]
+    got = {r.doc_id: (r.text, r.n_removed) for r in line_dedup.dedup_lines(docs, exact_chars=1).collect()}
+    assert got == plain_line_dedup(rows) and sum(n for _, n in got.values())
+
+
+def test_line_dedup_names_and_rows_without_ids(spark):
+    line = "a line that is long enough to count"
+    rows = [(None, line, 1, 2, 3), (None, "x" + line, 1, 2, 3), (4, line[1:] + "\nother text of its own here", 1, 2, 3), (4, line, 1, 2, 3), (5, line + "s", 1, 2, 3)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, _row int, row int, gone int")
+    got = line_dedup.dedup_lines(frame).collect()
+    assert sorted((r.text, r.n_removed) for r in got) == sorted([(line, 0), ("x" + line, 0), ("other text of its own here", 1), ("", 1), ("", 1)])
+    assert got[0]._row == 1 and got[0].gone == 3
+
+
 def test_short_lines_repeat_exactly(spark):
     line = "the quick brown fox jumps over it"
     texts = [f"Menu\n{line}\n\nMenu\n  ", f"Menv\n  \n{line[:-1]}\n\nMenu", None, f"{line[:19]}\n{line[:20]}\na\nMenv", "a\n\ta\n\t\n\t\n\u00e9\n\u00e9"]
@@ -275,6 +320,22 @@ def test_top_k(spark):
     assert {(r.query_id, r["rank"], r.vec_id, r.score) for r in got} == want
 
 
+def test_top_k_ties_widths_sparse_and_empty(spark):
+    rng = random.Random(9)
+    sparse = [(i, [rng.choice((0.0, 0.0, 0.0, 0.0, 1.0, -0.5)) for _ in range(12)], "x") for i in range(300)]
+    rows = sparse + [(1000 + i, [float(i % 2)] * 3, "y") for i in range(30)] + [(20, [0.25] * 12, "again"), (None, [0.0] * 12, "z"), (2000, [1e7] * 2, "w"), (2001, [-1e7, 5.0], "w")]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>, ids string")
+    got = defaultdict(list)
+    for r in top_k.exact_top_k(frame, F.col("vec_id") % 20 == 0, 7).collect():
+        got[r.query_id].append((r["rank"], r.vec_id, r.score))
+    whole = [(i, [math.floor(64 * x) for x in v]) for i, v, _ in rows if i is not None]
+    for q in {i for i, _ in whole if i % 20 == 0}:
+        mine = [v for i, v in whole if i == q]
+        best = sorted((-sum(a * b for a, b in zip(m, v)), i) for m in mine for i, v in whole if i != q and len(v) == len(m))[:7]
+        assert sorted(got[q]) == [(n + 1, i, -s) for n, (s, i) in enumerate(best)], q
+    assert top_k.exact_top_k(frame.limit(0), F.col("vec_id") % 20 == 0).count() == 0
+
+
 def test_warc_round_trip(spark):
     rows = [(1, "http://a", "<p>x</p>"), (2, None, "<p>x</p>"), (3, "u v", None), (4, "b", ""), (5, "c", "é" * 3000)]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string")
@@ -283,9 +344,34 @@ def test_warc_round_trip(spark):
     for i, _, html in rows:
         data = (html or "").encode()
         assert got[i].payload_bytes == len(data) and got[i].payload_digest == warc.base32_sha1(data)
+        assert got[i].url == rows[i - 1][1]
     assert warc.archive_pages(spark, pages.limit(0)).count() == 0
 
 
+def test_warc_repeated_rows_and_other_ids(spark):
+    rows = [("7", "a  b", "x", 1), ("7", "a  b", "x", 2), ("7", "c", "y", 3), (None, None, "x", 4), ("ü:<1>", "d", "y", 5), (None, "e", "z", 6), (None, "e", "z", 7), ("8", "f", "long " * 400_000, 8)]
+    pages = spark.createDataFrame(rows, "page_id string, url string, html string, n int").withColumn("key", F.lit("k"))
+    got = sorted(((r.id, r.url, r.record_type, r.refers_to, r.payload_bytes) for r in warc.archive_pages(spark, pages).collect()), key=str)
+    want = [("7", "a  b", "response", None, 1), ("7", "a  b", "revisit", "7", 1), ("7", "c", "revisit", "ü:<1>", 1), (None, None, "revisit", "7", 1), ("ü:<1>", "d", "response", None, 1)]
+    want += [(None, "e", "response", None, 1), (None, "e", "revisit", None, 1), ("8", "f", "response", None, 2_000_000)]
+    assert got == sorted(want, key=str)
+    least = {r.url: r.record_type for r in warc.archive_pages(spark, pages.filter("page_id is not null").dropDuplicates(["url"]), least=2).collect()}
+    assert set(least.values()) == {"response"}
+
+
+def test_warc_query_on_the_table(spark):
+    pages = spark.read.parquet(f"{SMALL}/pages.parquet").collect()
+    groups = defaultdict(list)
+    for r in pages:
+        groups[(r.html or "").encode()].append(r.page_id)
+    want = set()
+    for data, ids in groups.items():
+        for i in ids:
+            want.add((i, len(data), warc.base32_sha1(data), "response" if i == max(ids) else "revisit", None if i == max(ids) else max(ids)))
+    got = queries.QUERIES["op10_warc"](spark, SMALL).collect()
+    assert len(got) == len(pages) and {(r.page_id, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in got} == want
+
+
 def test_zip64_directory(tmp_path, monkeypatch):
     monkeypatch.setattr(zipfile, "ZIP64_LIMIT", 10)
     path = tmp_path / "a.zip"
@@ -295,3 +381,50 @@ def test_zip64_directory(tmp_path, monkeypatch):
         z.comment = b"PK\x05\x06 not the end"
     package = warc.Package(f"file://{path}")
     assert package.read(*package.range_of("two")) == b"two" * 50 and b"".join(package.lines("one", 7)) == b"one" * 50
+
+
+def test_jaccard_rows_without_ids_bridge(spark):
+    words = [f"w{i}" for i in range(40)]
+    a, b = list(words), list(words)
+    a[0], b[39] = "first", "last"
+    rows = [(1, " ".join(a)), (None, " ".join(words)), (2, " ".join(b)), (None, "alone it stands here today")]
+    for percent in (80, 60):
+        got = [(r.doc_id, r.component_id) for r in jaccard.similar_components(spark.createDataFrame(rows, "doc_id long, text string"), 5, percent).collect()]
+        assert sorted(got, key=str) == [(1, 1), (2, 1), (None, 1), (None, None)]
+
+
+def test_jaccard_prefixes_share_enough():
+    """Any two sets that reach the threshold share the promised number of shingles in their longer prefixes, in any common order."""
+    rng = random.Random(4)
+    for percent in (50, 80, 90, 100):
+        for _ in range(300):
+            n = rng.randrange(1, 80)
+            a = set(rng.sample(range(200), n))
+            b = set(a)
+            for _ in range(rng.randrange(0, 12)):
+                b.discard(rng.choice(sorted(b))) if rng.random() < 0.5 and len(b) > 1 else b.add(rng.randrange(200, 400))
+            if 100 * len(a & b) < percent * len(a | b):
+                continue
+            order = {x: rng.random() for x in a | b}
+            (p, q, need), (p2, q2, need2) = jaccard.prefix(len(a), percent), jaccard.prefix(len(b), percent)
+            x, y = sorted(a, key=order.get), sorted(b, key=order.get)
+            assert len(set(x[:q]) & set(y[:q2])) >= max(need, need2) and set(x[:p]) & set(y[:p2])
+
+
+def test_parities_bound_the_difference():
+    rng = np.random.default_rng(6)
+    sets = [np.unique(rng.integers(0, 1 << 62, n, dtype=np.uint64)) for n in (0, 3, 40, 41)]
+    sets.append(np.unique(np.concatenate([sets[2][5:], sets[1]])))
+    odd = jaccard.parities(sets).view(np.uint64)
+    for i, a in enumerate(sets):
+        for k, b in enumerate(sets):
+            assert sum(int(x).bit_count() for x in odd[i] ^ odd[k]) <= len(np.setxor1d(a, b))
+
+
+def test_sketches_bound_the_overlap():
+    rng = np.random.default_rng(2)
+    for n, m, common in ((10, 900, 7), (300, 350, 250), (5000, 300, 0), (40, 40, 40)):
+        base = rng.integers(0, 1 << 63, n + m - common, dtype=np.uint64)
+        a, b = base[:n], base[n - common :]
+        assert jaccard.most_common(jaccard.sketch(a), jaccard.sketch(b)) >= common
+    assert jaccard.sketch(np.full(300, 5, np.uint64)) == b"" and jaccard.most_common(b"", b"\x01" * 16) is None

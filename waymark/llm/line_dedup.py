@@ -35,8 +35,8 @@ MIN_CHARS = 20
 BLANK = np.array([9, 11, 12, 13, 32])
 
 
-def _hashed(texts: list[str], min_chars: int, exact_chars: int):
-    """(owner, number, start, end, n, h1, h2, long, halves) of the lines that count, over the joined texts; halves are the hashes of the first and last halves of the long ones."""
+def _hashed(texts: list[str], min_chars: int, exact_chars: int, with_halves: bool = True):
+    """(owner, number, start, end, n, h1, h2, long, halves) of the lines that count, over the joined texts; halves are the hashes of the first and last halves of the long ones, if asked for."""
     codes = codes_of("\n".join(texts) + "\n")
     ends = np.flatnonzero(codes == 10)
     starts = np.concatenate([[0], ends[:-1] + 1])
@@ -51,12 +51,15 @@ def _hashed(texts: list[str], min_chars: int, exact_chars: int):
     starts, ends, owner, number = starts[keep], ends[keep], owner[keep], number[keep]
     one, two = Rolling(codes), Rolling(codes, 1)
     n = ends - starts
-    halves = []
-    for shorter in (n, n - 1):
-        h, tag = shorter // 2, shorter.astype(np.uint64) << np.uint64(1)
-        for side, (x, y) in enumerate(((starts, starts + h), (ends - h, ends))):
-            halves.append(one.spans(x, y) ^ (tag + np.uint64(side)))
-    return owner, number, starts, ends, n, one.spans(starts, ends).view(np.int64), two.spans(starts, ends).view(np.int64), long, np.column_stack(halves)[long]
+    halves = np.empty((0, 4), np.uint64)
+    if with_halves:
+        parts, (a, b, m) = [], (x[long] for x in (starts, ends, n))
+        for shorter in (m, m - 1):
+            h, tag = shorter // 2, shorter.astype(np.uint64) << np.uint64(1)
+            for side, (x, y) in enumerate(((a, a + h), (b - h, b))):
+                parts.append(one.spans(x, y) ^ (tag + np.uint64(side)))
+        halves = np.column_stack(parts)
+    return owner, number, starts, ends, n, one.spans(starts, ends).view(np.int64), two.spans(starts, ends).view(np.int64), long, halves
 
 
 def _hash_lines(batches, min_chars: int, exact_chars: int):
@@ -88,6 +91,16 @@ def _candidates(batches, min_chars: int, bitmap: np.ndarray):
         yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.string()))], ["h1", "h2", "text"])
 
 
+def _occurrences(batches, min_chars: int, exact_chars: int, bitmap: np.ndarray):
+    """(row, line, h1, h2) of the lines whose first hash may be in the bitmap."""
+    for batch in batches:
+        ids, texts = batch.column("row"), batch.column("text").to_pylist()
+        for a, b in small_groups(texts):
+            owner, number, _, _, _, h1, h2, _, _ = _hashed(texts[a:b], min_chars, exact_chars, False)
+            at = np.flatnonzero(is_in(bitmap, h1.view(np.uint64)))
+            yield pa.RecordBatch.from_arrays([ids.take(pa.array(owner[at] + a)), pa.array(number[at], pa.int64()), pa.array(h1[at]), pa.array(h2[at])], ["row", "line", "h1", "h2"])
+
+
 def neighbourhood(line: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
     """Keys of a line's code points: (variant and place) for each deletion, variant alone for each, and the line as it is."""
     n = len(line)
@@ -153,7 +166,10 @@ def repeated_lines(docs: DataFrame, min_chars: int = MIN_CHARS, id_col: str = "d
     proven = both.filter(F.levenshtein("mine", "theirs", 1) >= 0).select(F.col("at").alias("place"), F.lit(True).alias("near")).distinct()
     all_lines = distinct.select("h1", "h2", place.alias("first"), "copies")
     verdict = all_lines.join(proven, all_lines["first"].eqNullSafe(proven["place"]), "left").select("h1", "h2", F.col("first").alias("place"), "copies", F.coalesce("near", F.lit(False)).alias("near")).filter("copies > 1 or near")
-    return lines.select("row", "line", "h1", "h2").join(verdict, ["h1", "h2"]).filter(F.col("near") | (place != F.col("place"))).select("row", "line")
+    verdict = materialise(verdict, "verdict")
+    marks = docs.sparkSession.sparkContext.broadcast(collect_bitmap(verdict.select("h1"), bits_for(verdict.count())))
+    again = base.mapInArrow(lambda it: _occurrences(it, min_chars, least, np.frombuffer(marks.value, np.uint8)), f"row {kind.simpleString()}, line long, h1 long, h2 long")
+    return again.join(verdict, ["h1", "h2"]).filter(F.col("near") | (place != F.col("place"))).select("row", "line")
 
 
 def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, id_col: str = "doc_id", text_col: str = "text", exact_chars: int | None = None) -> DataFrame:

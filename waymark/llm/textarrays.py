@@ -158,15 +158,31 @@ def safe_cut(text: str, at: int) -> int:
         at += 1
 
 
-def last_safe_cut(text: str) -> int:
-    """The last such place, or 0."""
-    at = len(text) - 1
-    while True:
-        at = text.rfind(" ", 0, at)
-        if at <= 0:
-            return 0
-        if not _is_blank(text[at - 1]) and not _is_blank(text[at + 1]):
-            return at
+def certain_starts(text: str, special: list[str] = ()) -> np.ndarray:
+    """The places inside ``text`` where a pre-token begins whatever comes before or after the text.
+
+    These are spaces between two characters that are not white space, and changes
+    between letters, numbers and other characters but for those after an apostrophe;
+    none lies in a string of ``special`` or where one could reach over an end of the text.
+    """
+    codes = codes_of(text)
+    if len(codes) < 3:
+        return np.empty(0, np.int64)
+    kind = _classes()[codes]
+    solid = kind < _BLANK
+    start = np.zeros(len(codes), bool)
+    start[1:] = solid[1:] & solid[:-1] & (kind[1:] != kind[:-1]) & (codes[:-1] != ord("'"))
+    start[1:-1] |= (codes[1:-1] == ord(" ")) & solid[:-2] & solid[2:]
+    reach = max(map(len, special), default=0)
+    if reach:
+        start[:reach] = False
+        start[max(0, len(codes) - reach) :] = False
+        for mark in special:
+            at = text.find(mark)
+            while at >= 0:
+                start[at + 1 : at + len(mark)] = False
+                at = text.find(mark, at + 1)
+    return np.flatnonzero(start)
 
 
 def _is_blank(c: str) -> bool:

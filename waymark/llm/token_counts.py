@@ -6,12 +6,15 @@ may still grow into a token (trie node, the token before it, tokens emitted up t
 it), and a transition carries the change in the number of emitted tokens. States
 and transitions are made when first needed and kept per worker.
 
-A text is a run of chunks. A chunk's state map is constant after the first place
-where a pre-token begins whatever came before, so it is held as (head, count,
-tail): the head is read from the state that the chunk is entered in, the count
-is of what lies between, the tail is what the state at the end has read. Maps
-compose associatively, and the chunks of long texts are counted in different
-tasks and joined by a prefix scan.
+Every text is a run of chunks. A chunk's state map is constant after the first place
+where a pre-token begins whatever came before (a change of letters, numbers and other
+characters, or a space between two of them), so it is held as (head, count, tail): the
+head is read from the state that the chunk is entered in, the count is of what lies
+between, the tail is what the state at the end has read. A text's first chunk is entered
+in the start state and its last one ends it, so these have no open head or tail. Maps
+compose associatively and are joined by a prefix scan; blocks of chunks of one text are
+counted in different tasks. Only a run of one kind of character over whole chunks keeps
+its text open, as one pre-token's merges may reach over all of it.
 """
 
 from __future__ import annotations
@@ -21,15 +24,14 @@ from functools import lru_cache
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from .scratch import bounded_batches
-from .textarrays import WordTable, last_safe_cut, look_up_texts, safe_cut
+from .textarrays import WordTable, certain_starts, look_up_texts
 from .vocabulary import JsonVocabulary, json_vocabulary
 
-#: Characters in a chunk, and in the texts that are cut into chunks.
-CHUNK_CHARS, LONG_CHARS = 32_768, 65_536
-#: Chunks that one task joins at the first level of the scan.
-BLOCK = 256
+#: Characters in a chunk, and in a block of chunks, which one task joins at the first level of the scan.
+CHUNK_CHARS, BLOCK_CHARS = 32_768, 32 * 32_768
 
 
 class Transducer:
@@ -141,17 +143,18 @@ def chunks_of(text: str, size: int = CHUNK_CHARS) -> list[str]:
     return [text[i : i + size] for i in range(0, len(text), size)] or [""]
 
 
-def state_maps(chunks: list[str], count) -> list[tuple[str, int, str | None]]:
-    """(head, count, tail) of each chunk; a chunk without a certain start is (chunk, 0, None)."""
+def state_maps(chunks: list[tuple[str, bool, bool]], count, special: list[str] = ()) -> list[tuple[str, int, str | None]]:
+    """(head, count, tail) of each (chunk, is first, is last); a chunk without a certain start is (chunk, 0, None)."""
     out: list = []
     middles: list[str] = []
-    for chunk in chunks:
-        a, b = safe_cut(chunk, 1), last_safe_cut(chunk)
-        if a >= len(chunk) or b < a:
+    for chunk, first, last in chunks:
+        at = certain_starts(chunk, special) if not (first and last) else ()
+        if not first and not last and len(at) == 0 or first != last and len(at) == 0:
             out.append([chunk, 0, None])
-        else:
-            out.append([chunk[:a], len(middles), chunk[b:]])
-            middles.append(chunk[a:b])
+            continue
+        a, b = 0 if first else int(at[0]), len(chunk) if last else int(at[-1])
+        out.append([chunk[:a], len(middles), chunk[b:]])
+        middles.append(chunk[a:b])
     found = count(middles)
     return [(h, found[n] if t is not None else 0, t) for h, n, t in out]
 
@@ -184,65 +187,67 @@ def total(one: tuple, count) -> int:
     return n + sum(count([head] if tail is None else [head, tail]))
 
 
+def block_maps(blocks: list[tuple[str, bool, bool]], counter_: Counter, size: int = CHUNK_CHARS) -> list[tuple]:
+    """The map of each (block, is first, is last): its chunks' maps, counted all together, and scanned."""
+    cut = [chunks_of(text, size) for text, _, _ in blocks]
+    flat = [(c, first and j == 0, last and j == len(own) - 1) for (_, first, last), own in zip(blocks, cut, strict=True) for j, c in enumerate(own)]
+    maps, out, at = state_maps(flat, counter_.counts, list(counter_.marks)), [], 0
+    for own in cut:
+        out.append(scan(maps[at : at + len(own)], counter_.counts))
+        at += len(own)
+    return out
+
+
 def count_tokens(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", limit: int = 1024) -> DataFrame:
     """(id, n_bytes, n_tokens, over_limit), a row per row of ``docs``.
 
-    A null text counts as empty: no bytes, no tokens. Ids may be null or repeat;
-    every row is counted for itself. Other columns of ``docs`` are not read.
+    A null text counts as empty: no bytes, no tokens. Ids may be null or repeat; every
+    row is counted for itself. Texts of any length are counted whole, an empty table
+    gives no rows. Other columns of ``docs`` are not read.
     """
-    path, kind = tokenizer_path, dict(docs.dtypes)[id_col]
+    path, kind = tokenizer_path, docs.schema[id_col].dataType
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = bounded_batches(docs).select(F.col(id_col).alias("id"), F.octet_length(text).cast("long").alias("n_bytes"), text.alias("text"))
+    id_type = to_arrow_type(kind)
+    base = [("row", pa.int64()), ("id", id_type), ("n_bytes", pa.int64()), ("block", pa.int64()), ("last", pa.bool_())]
+    cut_schema = pa.schema([*base, ("text", pa.string())])
+    map_names = [n for n, _ in base] + ["head", "n", "tail"]
+    ddl = f"row long, id {kind.simpleString()}, n_bytes long, block long, last boolean"
 
-    def short(batches):
-        count = counter(path).counts
+    def one_block(batches):
         for batch in batches:
-            found = count(batch.column("text").to_pylist())
-            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("n_bytes"), pa.array(found, pa.int64())], ["id", "n_bytes", "n_tokens"])
+            maps = block_maps([(t, True, True) for t in batch.column("text").to_pylist()], counter(path))
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("n_bytes"), pa.array([total(m, counter(path).counts) for m in maps], pa.int64())], ["id", "n_bytes", "n_tokens"])
 
     def cut(batches):
         for batch in batches:
             for row, text in zip(batch.select(["row", "id", "n_bytes"]).to_pylist(), batch.column("text").to_pylist(), strict=True):
-                for k, a in enumerate(range(0, len(text), CHUNK_CHARS * 32)):
-                    own = chunks_of(text[a : a + CHUNK_CHARS * 32])
-                    yield pa.RecordBatch.from_pylist([row | {"chunk": k * 32 + j, "text": x} for j, x in enumerate(own)], chunk_schema)
+                blocks = range(0, len(text), BLOCK_CHARS)
+                for k, a in enumerate(blocks):
+                    yield pa.RecordBatch.from_pylist([row | {"block": k, "last": k == len(blocks) - 1, "text": text[a : a + BLOCK_CHARS]}], cut_schema)
 
     def read(batches):
-        count = counter(path).counts
         for batch in batches:
-            maps = state_maps(batch.column("text").to_pylist(), count)
-            keep = [batch.column(c) for c in ("row", "id", "n_bytes", "chunk")]
-            yield pa.RecordBatch.from_arrays([*keep, *(pa.array(x, t) for x, t in zip(zip(*maps, strict=True), (pa.string(), pa.int64(), pa.string()), strict=True))], ["row", "id", "n_bytes", "chunk", "head", "n", "tail"]) if maps else pa.RecordBatch.from_pylist([], map_schema)
-
-    def join(last: bool):
-        def of(group: pa.Table) -> pa.Table:
-            count = counter(path).counts
-            group = group.sort_by("chunk")
-            one = scan(list(zip(*(group.column(c).to_pylist() for c in ("head", "n", "tail")), strict=True)), count)
-            first = {c: group.column(c)[0].as_py() for c in ("row", "id", "n_bytes", "chunk")}
-            if last:
-                return pa.Table.from_pylist([{"id": first["id"], "n_bytes": first["n_bytes"], "n_tokens": total(one, count)}], out_schema)
-            return pa.Table.from_pylist([first | {"chunk": first["chunk"] // BLOCK, "head": one[0], "n": one[1], "tail": one[2]}], map_schema)
-
-        return of
-
-    id_type = pa.string() if kind == "string" else pa.int32() if kind == "int" else pa.int64()
-    base = [("row", pa.int64()), ("id", id_type), ("n_bytes", pa.int64()), ("chunk", pa.int64())]
-    chunk_schema = pa.schema([*base, ("text", pa.string())])
-    map_schema = pa.schema([*base, ("head", pa.string()), ("n", pa.int64()), ("tail", pa.string())])
-    out_schema = pa.schema([("id", id_type), ("n_bytes", pa.int64()), ("n_tokens", pa.int64())])
-    ddl = f"row long, id {kind}, n_bytes long, chunk long"
-    done = f"id {kind}, n_bytes long, n_tokens long"
-    brief = rows.filter(F.length("text") <= LONG_CHARS).mapInArrow(short, done)
+            flags = zip(batch.column("text").to_pylist(), batch.column("block").to_pylist(), batch.column("last").to_pylist(), strict=True)
+            maps = block_maps([(t, k == 0, last) for t, k, last in flags], counter(path))
+            found = [pa.array([m[i] for m in maps], t) for i, t in enumerate((pa.string(), pa.int64(), pa.string()))]
+            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n, _ in base), *found], map_names)
+
+    def join(group: pa.Table) -> pa.Table:
+        count = counter(path).counts
+        group = group.sort_by("block")
+        one = scan(list(zip(*(group.column(c).to_pylist() for c in ("head", "n", "tail")), strict=True)), count)
+        return pa.table([group.column("id").slice(0, 1), group.column("n_bytes").slice(0, 1), pa.array([total(one, count)], pa.int64())], names=["id", "n_bytes", "n_tokens"])
+
+    done = f"id {kind.simpleString()}, n_bytes long, n_tokens long"
+    short = rows.filter(F.length("text") <= BLOCK_CHARS).mapInArrow(one_block, done)
     long = (
-        rows.filter(F.length("text") > LONG_CHARS)
+        rows.filter(F.length("text") > BLOCK_CHARS)
         .withColumn("row", F.monotonically_increasing_id())
         .mapInArrow(cut, f"{ddl}, text string")
-        .repartition("row", "chunk")
+        .repartition("row", "block")
         .mapInArrow(read, f"{ddl}, head string, n long, tail string")
-        .groupBy("row", F.floor(F.col("chunk") / BLOCK).alias("block"))
-        .applyInArrow(join(False), f"{ddl}, head string, n long, tail string")
         .groupBy("row")
-        .applyInArrow(join(True), done)
+        .applyInArrow(join, done)
     )
-    return brief.unionByName(long).select(F.col("id").alias(id_col), "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
+    return short.unionByName(long).select(F.col("id").alias(id_col), "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
