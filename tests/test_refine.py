@@ -1,14 +1,17 @@
 """Per-line and per-tile helpers against plain rules, and the trail network on a small map."""
 
 import heapq
+import itertools
 import json
 import math
+import random
 
 import numpy as np
 from pyspark.sql import functions as F
 
 from waymark.operators import catalogue as C
 from waymark.operators import lines as L
+from waymark.operators import listings as I
 from waymark.operators import network as N
 from waymark.operators import refine as R
 from waymark.operators import wetness as W
@@ -167,3 +170,28 @@ def test_arcs_keep_their_radius(spark):
     v = spark.createDataFrame([(1, 0, 0.0, 0.0), (1, 1, 50.0, 0.0), (1, 2, 50.0, 50.0), (1, 3, 50.5, 50.0), (1, 4, 50.5, 90.0)], "line_id int, seq int, x double, y double")
     rows = L.fillet(v, 8.0, 1.0).filter("seq = 1").collect()
     assert all(abs(math.dist((r.x, r.y), (42.0, 8.0)) - 8) < 1e-6 for r in rows) and len(rows) == math.ceil(8 * math.pi / 2) + 1
+
+
+def test_routes_take_the_cheapest_ways_round(spark):
+    rng, rows = random.Random(3), []
+    for route in range(25):
+        for k in range(rng.randrange(1, 7)):
+            rows.append((route, k, k, rng.choice([None, None, None, True, False]), *[float(rng.randrange(0, 9)) for _ in range(4)]))
+    frame = spark.createDataFrame(rows, "route_id int, place int, piece_id int, forced boolean, x0 double, y0 double, x1 double, y1 double")
+    got = {}
+    for r in I.assemble_route(frame).orderBy("route_id", "place").collect():
+        got.setdefault(r.route_id, []).append(r)
+
+    def price(own, ways):
+        cost = 0.0
+        for (a, x), (b, y) in itertools.pairwise(zip(own, ways)):
+            end, start = (a[4:6] if x else a[6:8]), (b[6:8] if y else b[4:6])
+            gap = math.dist(end, start)
+            cost += gap + (gap > I.MEET) * I.PREFER
+        return round(cost, 9), sum(ways)
+
+    for route, found in got.items():
+        own = [r for r in rows if r[0] == route]
+        allowed = [w for w in itertools.product((False, True), repeat=len(own)) if all(r[3] is None or r[3] == x for r, x in zip(own, w))]
+        assert price(own, [r.reversed for r in found]) == min(price(own, w) for w in allowed)
+        assert all(r.bridge == (r.gap > I.SNAP) for r in found)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import scalars as S
 from ..operators import catalogue as C
 from ..operators import lines as L
+from ..operators import listings as I
 from .adapters import adapted, table
 from .registry import query, rounded
 
@@ -43,7 +44,7 @@ def p12_clean_note(spark, d):
 
 @query("select track_id, seq from track_points where lon between -151.2 and -151.18 and lat between 59.6 and 59.63")
 def p13_bbox_filter(spark, d):
-    return adapted(spark, d, "track_points").filter(F.col("lon").between(-151.2, -151.18) & F.col("lat").between(59.6, 59.63)).select("track_id", "seq")
+    return I.bbox_filter(adapted(spark, d, "track_points"), -151.2, 59.6, -151.18, 59.63).select("track_id", "seq")
 
 
 @query(
@@ -73,21 +74,20 @@ def j09_project_listing(spark, d):
 
 @query("select count(*) as legs, a.project_id, a.parent_id is not null as variant from lineitem join alignments a on l_orderkey = a.alignment_id group by all")
 def j11_legs_with_project(spark, d):
-    a = adapted(spark, d, "alignments").select("alignment_id", "project_id", F.col("parent_id").isNotNull().alias("variant"))
-    return table(spark, d, "lineitem").select(F.col("l_orderkey").alias("alignment_id")).join(a, "alignment_id").groupBy("project_id", "variant").agg(F.count("*").alias("legs"))
+    legs = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("alignment_id"))
+    return I.legs_with_project(legs, adapted(spark, d, "alignments")).groupBy("project_id", "variant").agg(F.count("*").alias("legs"))
 
 
 @query("select distinct project_id from alignments where alignment_id in (select l_orderkey from lineitem where l_partkey = 42)")
 def j12_study_projects(spark, d):
-    on_trail = table(spark, d, "lineitem").filter("l_partkey = 42").select(F.col("l_orderkey").alias("alignment_id"))
-    return adapted(spark, d, "alignments").join(on_trail, "alignment_id", "left_semi").select("project_id").distinct()
+    on_trail = table(spark, d, "lineitem").filter("l_partkey = 42").select(F.col("l_partkey").alias("trail"), F.col("l_orderkey").alias("alignment_id"))
+    return I.study_projects(adapted(spark, d, "alignments"), on_trail).select("project_id")
 
 
 @query("select distinct l_partkey as trail, project_id from lineitem join alignments on alignment_id = l_orderkey")
 def j12_study_projects_whole(spark, d):
     """The projects on every trail."""
-    on_trail = table(spark, d, "lineitem").select(F.col("l_partkey").alias("trail"), F.col("l_orderkey").alias("alignment_id")).distinct()
-    return adapted(spark, d, "alignments").select("alignment_id", "project_id").join(on_trail, "alignment_id").select("trail", "project_id").distinct()
+    return I.study_projects(adapted(spark, d, "alignments"), table(spark, d, "lineitem").select(F.col("l_partkey").alias("trail"), F.col("l_orderkey").alias("alignment_id")))
 
 
 @query("select o_orderkey from orders where o_orderkey % 4 <> 0 and o_orderkey % 5 = 0")
@@ -151,16 +151,13 @@ def o01_listing_orders(spark, d):
 
 @query("select track_id, min(lon) as w, min(lat) as s, max(lon) as e, max(lat) as n from track_points group by track_id")
 def a17_extent(spark, d):
-    return adapted(spark, d, "track_points").groupBy("track_id").agg(F.min("lon").alias("w"), F.min("lat").alias("s"), F.max("lon").alias("e"), F.max("lat").alias("n"))
+    return I.extent(adapted(spark, d, "track_points"), ["track_id"])
 
 
 @query("select o_orderkey, case when o_orderkey % 4 = 0 then 'created' when o_orderkey % 5 = 0 then 'disabled' else 'seen' end as state from orders where o_orderkey % 4 <> 0 or o_orderkey % 5 <> 0")
 def x04_catalog_diff(spark, d):
     o = table(spark, d, "orders").select("o_orderkey")
-    old, new = o.filter("o_orderkey % 4 <> 0"), o.filter("o_orderkey % 5 <> 0")
-    parts = [(old.intersect(new), "seen"), (new.exceptAll(old), "created"), (old.exceptAll(new), "disabled")]
-    out = [p.withColumn("state", F.lit(n)) for p, n in parts]
-    return out[0].unionByName(out[1]).unionByName(out[2])
+    return I.catalog_diff(o.filter("o_orderkey % 4 <> 0"), o.filter("o_orderkey % 5 <> 0"), "o_orderkey")
 
 
 @query(

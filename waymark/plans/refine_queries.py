@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from ..operators import listings as I
 from ..operators import network as N
 from ..operators import profiles as P
 from ..operators import refine as R
@@ -185,3 +186,16 @@ def j18_trail_network_edges(spark, d):
     v = _vertices(spark, d).drop("leg").withColumn("x", F.col("x") + F.col("line_id") * 50)
     out = N.trail_network_edges(v)
     return rounded(out.select("line_id", "edge", "d0", "d1", "length", F.col("a.x").alias("ax"), F.col("a.y").alias("ay"), F.col("b.x").alias("bx"), F.col("b.y").alias("b_y")), 4)
+
+
+@query(f"with {_VERTICES}, p as (select line_id, (seq - 1) // 10 as place from v group by 1, 2 having count(*) > 1 or max(seq) % 10 <> 1) select line_id as route_id, place::int as place, place % 3 = 1 as reversed, 0e0 as gap, false as bridge from p")
+def l10_assemble_route(spark, d):
+    """Every line cut into pieces of ten steps, each third one turned round, put together again."""
+    v = _vertices(spark, d).select("line_id", "seq", "x", "y")
+    at = F.struct("x", "y")
+    cut = v.withColumn("k", F.explode(F.array_distinct(F.array(F.floor((F.col("seq") - 1) / 10), F.floor((F.col("seq") - 2) / 10))))).filter("k >= 0")
+    ends = cut.groupBy("line_id", "k").agg(F.min_by(at, "seq").alias("a"), F.max_by(at, "seq").alias("b"), F.count("*").alias("n")).filter("n > 1")
+    turned = F.col("k") % 3 == 1
+    side = lambda a, b, c, n: F.when(turned, F.col(f"{b}.{c}")).otherwise(F.col(f"{a}.{c}")).alias(n)
+    pieces = ends.select(F.col("line_id").alias("route_id"), F.col("k").cast("int").alias("place"), F.col("k").alias("piece_id"), F.lit(None).cast("boolean").alias("forced"), side("a", "b", "x", "x0"), side("a", "b", "y", "y0"), side("b", "a", "x", "x1"), side("b", "a", "y", "y1"))
+    return rounded(I.assemble_route(pieces).drop("piece_id"))

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import curve_value
 from ..operators import lines as L
+from ..operators import listings as I
 from ..operators import scoring as R
 from ..operators import terrain as T
 from .adapters import adapted, table
@@ -196,7 +197,7 @@ def l05_simplify(spark, d):
 @query("with p as (select l_suppkey as trail, l_orderkey as piece, sum(l_quantity) as length from lineitem group by all) select trail, arg_min(piece, (-length, piece)) as piece, max(length) as length, count(*) as pieces from p group by trail")
 def o02_longest_piece(spark, d):
     p = table(spark, d, "lineitem").groupBy(F.col("l_suppkey").alias("trail"), F.col("l_orderkey").alias("piece")).agg(F.sum("l_quantity").alias("length"))
-    return p.groupBy("trail").agg(F.min_by("piece", F.struct(-F.col("length"), "piece")).alias("piece"), F.max("length").alias("length"), F.count("*").alias("pieces"))
+    return I.longest_piece(p, "trail")
 
 
 @query("select alignment_id, project_id, row_number() over (partition by project_id order by case when visibility <> 'gated' then price end desc nulls last, alignment_id)::int as place from alignments")
@@ -208,7 +209,7 @@ def o03_sort_within_section(spark, d):
 @query("with t as (select l_suppkey as setting, l_orderkey as run, sum(l_quantity) as total from lineitem group by all) select setting, min(total) as total, arg_min(run, (total, run)) as run from t group by setting")
 def o06_best_per_group(spark, d):
     t = table(spark, d, "lineitem").groupBy(F.col("l_suppkey").alias("setting"), F.col("l_orderkey").alias("run")).agg(F.sum("l_quantity").alias("total"))
-    return t.groupBy("setting").agg(F.min("total").alias("total"), F.min_by("run", F.struct("total", "run")).alias("run"))
+    return I.best_per_group(t, ["setting"], "total", "run")
 
 
 @query("select user_id, event_id from events e where event_type = 'error' or not exists (from events f where f.user_id = e.user_id and f.event_type = 'error')")
@@ -219,19 +220,18 @@ def x01_trkpt_else_rtept(spark, d):
 
 @query("select l_orderkey as alignment_id, 'track' as kind, l_linenumber as n from lineitem union all select o_orderkey, 'waypoint', 1 from orders")
 def x02_combined_export(spark, d):
-    tracks = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("alignment_id"), F.lit("track").alias("kind"), F.col("l_linenumber").alias("n"))
-    return tracks.unionByName(table(spark, d, "orders").select(F.col("o_orderkey").alias("alignment_id"), F.lit("waypoint").alias("kind"), F.lit(1).alias("n")))
+    tracks = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("alignment_id"), F.col("l_linenumber").alias("n"))
+    return I.combined({"track": tracks, "waypoint": table(spark, d, "orders").select(F.col("o_orderkey").alias("alignment_id"), F.lit(1).alias("n"))})
 
 
 @query("select alignment_id, project_id from alignments where project_id in (select s_nationkey from supplier)")
 def x03_distinct_visible(spark, d):
-    return adapted(spark, d, "alignments").join(_members(spark, d), "project_id", "left_semi").select("alignment_id", "project_id")
+    return I.distinct_visible(adapted(spark, d, "alignments"), _members(spark, d), "project_id").select("alignment_id", "project_id")
 
 
 @query(
     """with l as (select l_orderkey as alignment_id, count(*) as legs from lineitem group by all) select project_id, count(*) as alignments, sum(coalesce(legs, 0))::bigint as legs, count(parent_id) as variants, arg_max(alignment_id, (taken_at, alignment_id)) as newest from alignments left join l using (alignment_id) where visibility <> 'private' group by project_id"""
 )
 def j10_project_panel(spark, d):
-    legs = table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("alignment_id")).agg(F.count("*").alias("legs"))
-    a = adapted(spark, d, "alignments").filter("visibility <> 'private'").join(legs, "alignment_id", "left")
-    return a.groupBy("project_id").agg(F.count("*").alias("alignments"), F.sum(F.coalesce("legs", F.lit(0))).alias("legs"), F.count("parent_id").alias("variants"), F.max_by("alignment_id", F.struct("taken_at", "alignment_id")).alias("newest"))
+    legs = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("alignment_id"))
+    return I.project_panel(adapted(spark, d, "alignments").filter("visibility <> 'private'"), legs)
