@@ -44,6 +44,15 @@ def densify(vertices: DataFrame, by: list[str], step: float) -> DataFrame:
     return out.select(*by, "seg", "j", (F.col("x") + t * (F.col("x2") - F.col("x"))).alias("x"), (F.col("y") + t * (F.col("y2") - F.col("y"))).alias("y"), (F.col("c0") + t * F.col("length")).alias("d"))
 
 
+def resample_quick(vertices: DataFrame, by: list[str], spacing: float) -> DataFrame:
+    """(by, seg, j, x, y): every segment in equal steps, as near the spacing as can be, one at least; each vertex once."""
+    seg = segments(vertices, by)
+    n = F.greatest(F.floor(F.col("length") / spacing + 0.5), F.lit(1)).cast("int")
+    out = seg.withColumns({"n": n, "j": F.explode(F.sequence(F.when(F.col("c0") == 0, 0).otherwise(1), n))})
+    t = F.col("j") / F.col("n")
+    return out.select(*by, "seg", "j", (F.col("x") + t * (F.col("x2") - F.col("x"))).alias("x"), (F.col("y") + t * (F.col("y2") - F.col("y"))).alias("y"))
+
+
 def rebuild_from_legs(vertices: DataFrame) -> DataFrame:
     """Legs in order as one line; a vertex equal to the one before it goes."""
     w = Window.partitionBy("line_id").orderBy("leg", "seq")
@@ -216,6 +225,17 @@ def box_mean(cells: DataFrame, half: int) -> DataFrame:
     return cells.select("r", "c").join(sent, ["r", "c"], "left").select("r", "c", F.when(F.col("n") == (2 * half + 1) ** 2, F.col("mean")).alias("mean"))
 
 
+def plus_mean(cells: DataFrame, offset: int = 1) -> DataFrame:
+    """(r, c, mean): a cell's mean with the four cells ``offset`` away; beyond the grid's box the cell at its edge counts again, and a missing value makes the mean null."""
+    box = cells.agg(F.min("r").alias("r0"), F.max("r").alias("r1"), F.min("c").alias("c0"), F.max("c").alias("c1"))
+    ways = F.array(*[F.struct(F.lit(i * offset).alias("dr"), F.lit(j * offset).alias("dc")) for i, j in ((0, 0), (1, 0), (-1, 0), (0, 1), (0, -1))])
+    asked = cells.select("r", "c").crossJoin(F.broadcast(box)).withColumn("w", F.explode(ways))  # one row of aggregates
+    held = lambda v, low, high: F.least(F.greatest(v, F.col(low)), F.col(high))
+    asked = asked.select("r", "c", held(F.col("r") + F.col("w.dr"), "r0", "r1").alias("nr"), held(F.col("c") + F.col("w.dc"), "c0", "c1").alias("nc"))
+    met = asked.join(cells.select(F.col("r").alias("nr"), F.col("c").alias("nc"), "z"), ["nr", "nc"], "left")
+    return met.groupBy("r", "c").agg(F.when(F.count("z") == 5, F.avg("z")).alias("mean"))
+
+
 def flow_weights(cells: DataFrame, res: float, power: float = 1.1) -> DataFrame:
     """(r, c, dr, dc, weight): shares of a cell's water to its lower neighbours, by slope to a power."""
     steps = F.array(*[F.struct(F.lit(i).alias("dr"), F.lit(j).alias("dc"), F.lit(math.hypot(i, j) * res).alias("run")) for i in (-1, 0, 1) for j in (-1, 0, 1) if i or j])

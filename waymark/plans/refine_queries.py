@@ -5,15 +5,17 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from ..operators import lines as L
 from ..operators import listings as I
 from ..operators import network as N
 from ..operators import profiles as P
 from ..operators import refine as R
+from ..operators import terrain
 from ..operators import tiles as T
 from ..operators import wetness as W
 from ..sources import dem_catalog
 from .adapters import adapted, table
-from .catalogue_queries import _VERTICES, _grid, _vertices
+from .catalogue_queries import _GRID, _VERTICES, _grid, _vertices
 from .registry import query, rounded
 
 _CURVES = {
@@ -199,3 +201,29 @@ def l10_assemble_route(spark, d):
     side = lambda a, b, c, n: F.when(turned, F.col(f"{b}.{c}")).otherwise(F.col(f"{a}.{c}")).alias(n)
     pieces = ends.select(F.col("line_id").alias("route_id"), F.col("k").cast("int").alias("place"), F.col("k").alias("piece_id"), F.lit(None).cast("boolean").alias("forced"), side("a", "b", "x", "x0"), side("a", "b", "y", "y0"), side("b", "a", "x", "x1"), side("b", "a", "y", "y1"))
     return rounded(I.assemble_route(pieces).drop("piece_id"))
+
+
+@query(
+    f"""with {_GRID}, b as (select min(r) as r0, max(r) as r1, min(c) as c0, max(c) as c1 from g), n as (select r, c, least(greatest(r + i, r0), r1) as nr, least(greatest(c + j, c0), c1) as nc from g, b, (values (0, 0), (1, 0), (-1, 0), (0, 1), (0, -1)) o(i, j))
+    select n.r, n.c, case when count(z) = 5 then round(avg(z), 6) end as mean from n left join g on g.r = nr and g.c = nc group by n.r, n.c"""
+)
+def g04_plus_mean(spark, d):
+    return rounded(L.plus_mean(_grid(spark, d)))
+
+
+@query(
+    f"""with {_VERTICES}, s as (select * from (select line_id, seq, x, y, lead(x) over w as x2, lead(y) over w as y2 from v window w as (partition by line_id order by seq)) where x2 is not null and (x <> x2 or y <> y2)),
+    k as (select *, greatest(floor(sqrt(power(x2 - x, 2) + power(y2 - y, 2)) / 4 + 0.5), 1)::bigint as n, row_number() over (partition by line_id order by seq) = 1 as first from s), j as (select *, unnest(range(case when first then 0 else 1 end, n + 1)) as j from k)
+    select line_id, seq as seg, j::int as j, round(x + (x2 - x) * j / n, 4) + 0 as x, round(y + (y2 - y) * j / n, 4) + 0 as y from j"""
+)
+def l02_resample_quick(spark, d):
+    return rounded(L.resample_quick(_vertices(spark, d), ["line_id"], 4.0), 4)
+
+
+@query(
+    f"""with {_VERTICES}, s as (select * from (select line_id, seq, x, y, lead(x) over w as x2, lead(y) over w as y2 from v window w as (partition by line_id order by seq)) where x2 is not null and (x <> x2 or y <> y2)),
+    k as (select *, greatest(ceil(sqrt(power(x2 - x, 2) + power(y2 - y, 2)) / 5 - 1e-9), 1)::bigint as n from s), j as (select line_id, x + (x2 - x) * j / n as x, y + (y2 - y) * j / n as y from (select *, unnest(range(n + 1)) as j from k)),
+    b as (select distinct line_id, bx, unnest(range(floor((y - 20) / 32)::bigint, floor((y + 20) / 32)::bigint + 1)) as b_y from (select *, unnest(range(floor((x - 20) / 32)::bigint, floor((x + 20) / 32)::bigint + 1)) as bx from j)) select line_id, count(*) as blocks, count(*) * 1024 as cells, count(*) * 1024 > 30000 as refused from b group by line_id"""
+)
+def g01_corridor_cells(spark, d):
+    return terrain.corridor_cells(_vertices(spark, d).drop("leg"), 20.0, most=30_000)
