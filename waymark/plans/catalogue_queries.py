@@ -323,7 +323,11 @@ def l04_fillet(spark, d):
     return rounded(L.fillet(_vertices(spark, d), 4.0, 0.75), 4)
 
 
-@query(None)
+@query(
+    f"""with {_VERTICES}, s as (select * from (select line_id, seq, x, y, lead(x) over w as x2, lead(y) over w as y2 from v window w as (partition by line_id order by seq)) where x2 is not null and (x <> x2 or y <> y2)),
+    c as (select p.line_id, p.seq as a, q.seq as b, (p.x2 - p.x) * (q.y - p.y) - (p.y2 - p.y) * (q.x - p.x) as s1, (p.x2 - p.x) * (q.y2 - p.y) - (p.y2 - p.y) * (q.x2 - p.x) as s2, (q.x2 - q.x) * (p.y - q.y) - (q.y2 - q.y) * (p.x - q.x) as s3, (q.x2 - q.x) * (p.y2 - q.y) - (q.y2 - q.y) * (p.x2 - q.x) as s4
+    from s p join s q on p.line_id = q.line_id and q.seq - p.seq >= 2) select line_id, a, b from c where sign(s1) * sign(s2) < 0 and sign(s3) * sign(s4) < 0"""
+)
 def j19_self_crossings(spark, d):
     return L.self_crossings(_vertices(spark, d))
 
