@@ -35,8 +35,8 @@ MIN_CHARS = 20
 BLANK = np.array([9, 11, 12, 13, 32])
 
 
-def _hashed(texts: list[str], min_chars: int, exact_chars: int, with_halves: bool = True):
-    """(owner, number, start, end, n, h1, h2, long, halves) of the lines that count, over the joined texts; halves are the hashes of the first and last halves of the long ones, if asked for."""
+def _hashed(texts: list[str], min_chars: int, exact_chars: int):
+    """(owner, number, start, end, long, codes, rolling, h1) of the lines that count, over the joined texts' codes."""
     codes = codes_of("\n".join(texts) + "\n")
     ends = np.flatnonzero(codes == 10)
     starts = np.concatenate([[0], ends[:-1] + 1])
@@ -49,17 +49,26 @@ def _hashed(texts: list[str], min_chars: int, exact_chars: int, with_halves: boo
     keep = long | ((ends - starts >= exact_chars) & (solid[ends] > solid[starts]))
     long = long[keep]
     starts, ends, owner, number = starts[keep], ends[keep], owner[keep], number[keep]
-    one, two = Rolling(codes), Rolling(codes, 1)
+    one = Rolling(codes)
+    return owner, number, starts, ends, long, codes, one, one.spans(starts, ends)
+
+
+def _halves(one: Rolling, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Hashes of the first and last halves of lines, as the shorter and as the longer one of a pair."""
+    parts, n = [], ends - starts
+    for shorter in (n, n - 1):
+        h, tag = shorter // 2, shorter.astype(np.uint64) << np.uint64(1)
+        for side, (x, y) in enumerate(((starts, starts + h), (ends - h, ends))):
+            parts.append(one.spans(x, y) ^ (tag + np.uint64(side)))
+    return np.column_stack(parts).view(np.int64)
+
+
+def _second(codes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """The second hash of some lines, from their characters alone."""
     n = ends - starts
-    halves = np.empty((0, 4), np.uint64)
-    if with_halves:
-        parts, (a, b, m) = [], (x[long] for x in (starts, ends, n))
-        for shorter in (m, m - 1):
-            h, tag = shorter // 2, shorter.astype(np.uint64) << np.uint64(1)
-            for side, (x, y) in enumerate(((a, a + h), (b - h, b))):
-                parts.append(one.spans(x, y) ^ (tag + np.uint64(side)))
-        halves = np.column_stack(parts)
-    return owner, number, starts, ends, n, one.spans(starts, ends).view(np.int64), two.spans(starts, ends).view(np.int64), long, halves
+    upto = np.cumsum(n)
+    own = codes[np.repeat(starts - (upto - n), n) + np.arange(int(n.sum()))]
+    return Rolling(own, 1).spans(upto - n, upto).view(np.int64)
 
 
 def _hash_lines(batches, min_chars: int, exact_chars: int):
@@ -67,38 +76,53 @@ def _hash_lines(batches, min_chars: int, exact_chars: int):
     for batch in batches:
         ids, texts = batch.column("row"), batch.column("text").to_pylist()
         for a, b in small_groups(texts):
-            owner, number, _, _, n, h1, h2, long, halves = _hashed(texts[a:b], min_chars, exact_chars)
+            owner, number, starts, ends, long, codes, one, h1 = _hashed(texts[a:b], min_chars, exact_chars)
             edges = np.concatenate([[0], np.cumsum(long * 4)]).astype(np.int32)
-            lists = pa.ListArray.from_arrays(pa.array(edges), pa.array(halves.view(np.int64).reshape(-1)))
-            yield pa.RecordBatch.from_arrays([ids.take(pa.array(owner + a)), pa.array(number, pa.int64()), pa.array(n, pa.int64()), pa.array(h1), pa.array(h2), lists], ["row", "line", "n", "h1", "h2", "halves"])
+            lists = pa.ListArray.from_arrays(pa.array(edges), pa.array(_halves(one, starts[long], ends[long]).reshape(-1)))
+            h2 = Rolling(codes, 1).spans(starts, ends).view(np.int64)
+            yield pa.RecordBatch.from_arrays([ids.take(pa.array(owner + a)), pa.array(number, pa.int64()), pa.array(ends - starts, pa.int64()), pa.array(h1.view(np.int64)), pa.array(h2), lists], ["row", "line", "n", "h1", "h2", "halves"])
 
 
-def _candidates(batches, min_chars: int, bitmap: np.ndarray):
-    """(h1, h2, text) of the long lines that have a half in the bitmap. A task sends a line once."""
-    seen: set[tuple[int, int]] = set()
+def _sharing(batches, bitmap: np.ndarray):
+    """The distinct lines of which a half may be in the bitmap, without their halves."""
+    for batch in batches:
+        halves = batch.column("halves")
+        owner = np.repeat(np.arange(batch.num_rows), np.diff(halves.offsets.to_numpy()))
+        held = np.zeros(batch.num_rows, bool)
+        held[owner[is_in(bitmap, halves.flatten().to_numpy().view(np.uint64))]] = True
+        yield batch.select(["h1", "h2", "row", "line"]).filter(pa.array(held))
+
+
+def _found(batches, min_chars: int, exact_chars: int, bitmap: np.ndarray):
+    """(batch, owner, number, text, h1, h2) of the lines whose first hash may be in the bitmap, some texts at a time."""
     for batch in batches:
-        texts, out = batch.column("text").to_pylist(), []
+        texts = batch.column("text").to_pylist()
         for a, b in small_groups(texts):
-            _, _, starts, ends, _, h1, h2, long, halves = _hashed(texts[a:b], min_chars, min_chars)
-            held = np.flatnonzero(long)[is_in(bitmap, halves).any(axis=1)] if len(halves) else ()
+            owner, number, starts, ends, _, codes, _, h1 = _hashed(texts[a:b], min_chars, exact_chars)
+            at = np.flatnonzero(is_in(bitmap, h1))
             text = "\n".join(texts[a:b])
-            for i in held:
-                name = int(h1[i]), int(h2[i])
-                if name not in seen:
-                    out.append((*name, text[starts[i] : ends[i]]))
-                    if len(seen) < 1_000_000:
-                        seen.add(name)
-        yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.string()))], ["h1", "h2", "text"])
+            yield batch, owner[at] + a, number[at], (lambda k, t=text, s=starts[at], e=ends[at]: t[s[k] : e[k]]), h1[at].view(np.int64), _second(codes, starts[at], ends[at])
+
+
+def _candidates(batches, min_chars: int, bitmap: np.ndarray):
+    """(h1, h2, text) of the long lines that the bitmap may hold. A task sends a line once."""
+    seen: set[tuple[int, int]] = set()
+    for _, _, _, text, h1, h2 in _found(batches, min_chars, min_chars, bitmap):
+        out = []
+        for k, name in enumerate(zip(h1.tolist(), h2.tolist(), strict=True)):
+            if name not in seen:
+                out.append((*name, text(k)))
+                if len(seen) < 1_000_000:
+                    seen.add(name)
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.string()))], ["h1", "h2", "text"])
 
 
 def _occurrences(batches, min_chars: int, exact_chars: int, bitmap: np.ndarray):
-    """(row, line, h1, h2) of the lines whose first hash may be in the bitmap."""
-    for batch in batches:
-        ids, texts = batch.column("row"), batch.column("text").to_pylist()
-        for a, b in small_groups(texts):
-            owner, number, _, _, _, h1, h2, _, _ = _hashed(texts[a:b], min_chars, exact_chars, False)
-            at = np.flatnonzero(is_in(bitmap, h1.view(np.uint64)))
-            yield pa.RecordBatch.from_arrays([ids.take(pa.array(owner[at] + a)), pa.array(number[at], pa.int64()), pa.array(h1[at]), pa.array(h2[at])], ["row", "line", "h1", "h2"])
+    """(row, line, h1, h2) of the lines that the bitmap may hold."""
+    for batch, owner, number, _, h1, h2 in _found(batches, min_chars, exact_chars, bitmap):
+        if len(h1):
+            yield pa.RecordBatch.from_arrays([batch.column("row").take(pa.array(owner)), pa.array(number, pa.int64()), pa.array(h1), pa.array(h2)], ["row", "line", "h1", "h2"])
 
 
 def neighbourhood(line: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
@@ -150,8 +174,11 @@ def repeated_lines(docs: DataFrame, min_chars: int = MIN_CHARS, id_col: str = "d
     # texts of the lines that share a half with another
     halves = distinct.select(F.explode(F.array_distinct("halves")).alias("half")).groupBy("half").agg(F.count("*").alias("members")).filter("members > 1").select("half")
     bitmap = docs.sparkSession.sparkContext.broadcast(collect_bitmap(halves, bits_for(distinct.count(), 8)))
-    sent = base.select("text").mapInArrow(lambda it: _candidates(it, min_chars, np.frombuffer(bitmap.value, np.uint8)), "h1 long, h2 long, text string").dropDuplicates(["h1", "h2"])
-    texts = materialise(sent.join(distinct, ["h1", "h2"]).select("row", "line", "text"), "candidates")
+    shared = distinct.select("h1", "h2", "row", "line", "halves").mapInArrow(lambda it: _sharing(it, np.frombuffer(bitmap.value, np.uint8)), f"h1 long, h2 long, row {kind.simpleString()}, line long")
+    shared = materialise(shared, "shared")
+    names = docs.sparkSession.sparkContext.broadcast(collect_bitmap(shared.select("h1"), bits_for(shared.count())))
+    sent = base.select("text").mapInArrow(lambda it: _candidates(it, min_chars, np.frombuffer(names.value, np.uint8)), "h1 long, h2 long, text string").dropDuplicates(["h1", "h2"])
+    texts = materialise(sent.join(shared, ["h1", "h2"]).select("row", "line", "text"), "candidates")
     # each line with the earliest line it meets
     variants = texts.mapInArrow(_variants, f"key long, kind int, row {kind.simpleString()}, line long").withColumn("family", F.when(F.col("kind") == 0, 0).otherwise(1))
     place = F.struct("row", "line")
