@@ -136,8 +136,8 @@ def test_slugs_and_sections(spark):
     assert [r.n for r in C.move_section(s, ["p"], F.col("n") == "z", 1).orderBy("section_order").collect()] == ["x", "y", "z"]
 
 
-GOOD = """<?xml version="1.0"?><gpx xmlns="http://www.topografix.com/GPX/1/1" creator="unit test"><trk><name>T</name><trkseg>
-<trkpt lat="59.62" lon="-151.19"><ele>120</ele><time>2024-06-01T10:00:00Z</time></trkpt><trkpt lat="59.621" lon="-151.189"><ele>140.5</ele></trkpt>
+GOOD = """<?xml version="1.0"?><gpx xmlns="http://www.topografix.com/GPX/1/1" creator="hand-made sample"><trk><name>T</name><trkseg>
+<trkpt lat="47.10" lon="8.20"><ele>61</ele><time>2023-03-05T08:15:00Z</time></trkpt><trkpt lat="47.11" lon="8.21"><ele>83.2</ele></trkpt>
 <trkpt lat="bad" lon="1"/></trkseg></trk></gpx>"""
 ROUTE = '<gpx><rte><name>R</name><rtept lat="1" lon="2"/><rtept lat="1.1" lon="2"/></rte></gpx>'
 
@@ -147,7 +147,7 @@ def test_gpx_in_and_out(spark):
     points, rejected = gpx.split_gpx(gpx.parse_gpx(files))
     rows = points.orderBy("track_id", "seq").collect()
     assert [(r.track_id, r.seq) for r in rows] == [("good", 1), ("good", 2), ("route", 1), ("route", 2)]
-    assert rows[1].ele == 140.5 and rows[0].device == "unit test" and rows[0].ts is not None
+    assert rows[1].ele == 83.2 and rows[0].device == "hand-made sample" and rows[0].ts is not None
     assert {(r.file, r.reason) for r in rejected.collect()} == {("bad", "not GPX"), ("one", "too few points")}
     text = {r.track_id: r.value for r in gpx.gpx_text(points).collect()}
     again = gpx.split_gpx(gpx.parse_gpx(gpx.gpx_text(points).toDF("file", "value")))[0]

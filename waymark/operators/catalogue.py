@@ -26,7 +26,7 @@ def visible_rows(rows: DataFrame, user: dict | None, members: DataFrame | None =
     if members is None:
         return rows.filter(seen)
     own = members.filter(F.col("user_id") == F.lit(user["id"])).select(F.col("project_id").alias("_p")).distinct()
-    return rows.join(F.broadcast(own), rows["project_id"] == F.col("_p"), "left").filter(seen | F.col("_p").isNotNull()).drop("_p")
+    return rows.join(own, rows["project_id"] == F.col("_p"), "left").filter(seen | F.col("_p").isNotNull()).drop("_p")
 
 
 def can_edit(user: dict | None, owner: Column, visibility: Column, is_member: Column) -> Column:

@@ -299,5 +299,5 @@ def cost_space(samples: DataFrame, x: tuple, y: tuple, cells: tuple[int, int] =
 
 def weight_sweep(costs: DataFrame, settings: DataFrame, margin: float = 0.05) -> DataFrame:
     """(setting, line, total, replaces): the cheapest line of each setting; it replaces the setting's input line only if cheaper by more than the margin. Settings are a small table of (setting, factor, k)."""
-    priced = costs.join(F.broadcast(settings), "factor").groupBy("setting", "line").agg(F.sum(F.col("k") * F.col("cost")).alias("total"))
+    priced = costs.join(settings, "factor").groupBy("setting", "line").agg(F.sum(F.col("k") * F.col("cost")).alias("total"))
     return priced.groupBy("setting").agg(F.min(F.struct("total", "line")).alias("b"), F.min_by("total", "line").alias("first")).select("setting", "b.line", "b.total", (F.col("first") - F.col("b.total") > margin).alias("replaces"))
