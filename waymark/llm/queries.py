@@ -1,11 +1,11 @@
-"""The queries of the ten operators, each over its whole table, and their SQL where SQL can say it."""
+"""The queries of the thirteen operators, each over its whole table, and their SQL where SQL can say it."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, exact_dedup, jaccard, line_dedup, packing, quality, token_counts, top_k, warc
+from . import byte_bpe, exact_dedup, filter_audit, importance, jaccard, line_dedup, packing, pivots, quality, token_counts, top_k, warc
 from .scratch import materialise
 from .vocabulary import default_path
 
@@ -60,6 +60,18 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op11_pivot_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pivots.near_duplicates(_table(spark, sf_dir, "embeddings"))
+
+
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(materialise(filter_audit.mask_counts(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")), "masks"))
+
+
+def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance.resample(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -73,6 +85,9 @@ QUERIES = {
         op8_exact_top_k,
         op9_byte_bpe,
         op10_warc,
+        op11_pivot_near_duplicates,
+        op12_filter_audit,
+        op13_importance_resampling,
     )
 }
 
@@ -101,4 +116,26 @@ with v as (select vec_id, list_transform(embedding, lambda x: floor(64 * x::doub
 p as (select a.vec_id as query_id, b.vec_id, cast(list_inner_product(a.e, b.e) as bigint) as score from v a join v b on a.vec_id <> b.vec_id where a.vec_id % 20 = 0),
 r as (select *, cast(row_number() over (partition by query_id order by score desc, vec_id) as int) as rank from p)
 select query_id, rank, vec_id, score from r where rank <= 20""",
+    "op12_filter_audit": r"""
+with t as (select doc_id, coalesce(source, '') as part, coalesce(text, '') as text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as w from documents),
+e as (select text, min(doc_id) as first from t group by text),
+f as (select part, coalesce(quality = 1, false) as good, coalesce(toxic = 1, false) as toxic,
+  (case when len(w) < 200 then 'A' else '' end) || (case when 100 * len(list_distinct(w)) < 50 * len(w) then 'B' else '' end)
+  || (case when 100 * length(regexp_replace(t.text, '[^A-Z]', '', 'g')) > 2 * length(t.text) then 'C' else '' end)
+  || (case when regexp_matches(t.text, '[#$%&*|]') then 'D' else '' end) || (case when doc_id > e.first then 'E' else '' end) as fails
+  from t join e on e.text = t.text left join labels using (doc_id)),
+m as (select part, fails, count(*) as n, count(*) filter (good) as good, count(*) filter (toxic) as toxic from f group by all),
+l as (select unnest(['A', 'B', 'C', 'D', 'E']) as x),
+o as (select a.x || b.x || c.x || d.x || e.x as filter_order from l a, l b, l c, l d, l e where a.x not in (b.x, c.x, d.x, e.x) and b.x not in (c.x, d.x, e.x) and c.x not in (d.x, e.x) and d.x <> e.x),
+s as (select filter_order, step, filter_order[step] as x, filter_order[1:step - 1] as before from o, (select cast(unnest(range(1, 6)) as int) as step)),
+r as (select part, filter_order, step, s.x,
+  sum(n) filter (len(fails) = 0 or not regexp_matches(fails, '[' || before || s.x || ']')) as kept,
+  sum(n) filter (contains(fails, s.x) and (before = '' or not regexp_matches(fails, '[' || before || '_]'))) as removed,
+  sum(n) filter (contains(fails, s.x) and before <> '' and regexp_matches(fails, '[' || before || '_]')) as redundant,
+  sum(n) filter (fails = s.x) as unique_fails,
+  sum(good) filter (contains(fails, s.x) and (before = '' or not regexp_matches(fails, '[' || before || '_]'))) as good_lost,
+  sum(toxic) filter (contains(fails, s.x) and (before = '' or not regexp_matches(fails, '[' || before || '_]'))) as toxic_lost
+  from m, s group by all)
+select part, filter_order, step, coalesce(kept, 0)::bigint as kept, coalesce(removed, 0)::bigint as removed, coalesce(redundant, 0)::bigint as redundant, coalesce(unique_fails, 0)::bigint as unique_fails,
+  coalesce(good_lost, 0)::bigint as good_lost, coalesce(toxic_lost, 0)::bigint as toxic_lost, coalesce(sum(removed) over (partition by part, x), 0)::bigint as shapley from r""",
 }
