@@ -14,7 +14,7 @@ import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
-from waymark.llm import byte_bpe, exact_dedup, jaccard, line_dedup, packing, quality, queries, token_counts, top_k, vocabulary, warc
+from waymark.llm import byte_bpe, exact_dedup, jaccard, line_dedup, packing, quality, queries, textarrays, token_counts, top_k, vocabulary, warc
 
 JSON, RANKS = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken")
 SMALL = "/root/testdata/sf0.001"
@@ -428,3 +428,37 @@ def test_sketches_bound_the_overlap():
         a, b = base[:n], base[n - common :]
         assert jaccard.most_common(jaccard.sketch(a), jaccard.sketch(b)) >= common
     assert jaccard.sketch(np.full(300, 5, np.uint64)) == b"" and jaccard.most_common(b"", b"\x01" * 16) is None
+
+
+def thue_morse(n, letters="ab"):
+    word = [0]
+    while len(word) < n:
+        word += [1 - x for x in word]
+    return "".join(letters[x] for x in word[:n])
+
+
+def test_strings_that_defeat_a_hash_modulo_a_power_of_two(spark):
+    """A long line and its complement collide under every odd base modulo 2**64; neither operator may take them for one."""
+    for size in (1024, 2048, 4096):
+        a, b = thue_morse(size), thue_morse(size, "ba")
+        rows = [(1, a), (2, b), (3, a), (4, a[:-1]), (5, b[1:])]
+        frame = spark.createDataFrame(rows, "doc_id long, text string")
+        left = {r.doc_id: r.text for r in line_dedup.dedup_lines(frame, exact_chars=1).collect()}
+        assert left == {1: a, 2: b, 3: "", 4: "", 5: ""}
+        words = spark.createDataFrame([(1, f"x {a} y"), (2, f"x {b} y"), (3, f"X {a} Y"), (4, a), (5, b)], "doc_id long, text string")
+        assert {r.doc_id: r.component_id for r in jaccard.similar_components(words, words=3, percent=90).collect()} == {1: 1, 2: 2, 3: 1, 4: 4, 5: 5}
+
+
+def test_rolling_hashes_follow_the_characters():
+    rng = random.Random(2)
+    text = "".join(rng.choice("ab") for _ in range(3000)) + "é中😀" * 20
+    codes = textarrays.codes_of(text)
+    spans = [(i, j) for i in rng.sample(range(3000), 60) for j in (i, i + 1, i + 2, i + 9)]
+    got = textarrays.Rolling(codes).spans(*np.array(spans).T)
+    by = defaultdict(set)
+    for (i, j), h in zip(spans, got.tolist()):
+        by[text[i:j]].add(h)
+    assert all(len(x) == 1 for x in by.values()) and len({h for x in by.values() for h in x}) == len(by)
+    small = codes[-70:]
+    without = textarrays.Rolling(small).without_one().tolist()
+    assert without == [int(textarrays.Rolling(np.delete(small, k)).spans(np.array([0]), np.array([69]))[0]) for k in range(70)]

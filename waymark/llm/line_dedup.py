@@ -19,6 +19,9 @@ lines costs m rows. The distance to the earliest line is then verified on the te
 
 from __future__ import annotations
 
+from hashlib import blake2b
+from itertools import compress
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -36,8 +39,9 @@ BLANK = np.array([9, 11, 12, 13, 32])
 
 
 def _hashed(texts: list[str], min_chars: int, exact_chars: int):
-    """(owner, number, start, end, n, h1, h2, long, halves) of the lines that count, over the joined texts; halves are the hashes of the first and last halves of the long ones."""
-    codes = codes_of("\n".join(texts) + "\n")
+    """(owner, number, lines, n, h1, h2, long, halves) of the lines that count, over the joined texts; h1 and h2 are a digest's halves, ``halves`` the hashes of the first and last halves of the long ones."""
+    joined = "\n".join(texts)
+    codes = codes_of(joined + "\n")
     ends = np.flatnonzero(codes == 10)
     starts = np.concatenate([[0], ends[:-1] + 1])
     edges = np.cumsum([0, *(len(t) + 1 for t in texts)])
@@ -47,16 +51,16 @@ def _hashed(texts: list[str], min_chars: int, exact_chars: int):
     solid = np.concatenate([[0], np.cumsum(~np.isin(codes, BLANK))])
     long = ends - starts >= min_chars
     keep = long | ((ends - starts >= exact_chars) & (solid[ends] > solid[starts]))
-    long = long[keep]
-    starts, ends, owner, number = starts[keep], ends[keep], owner[keep], number[keep]
-    one, two = Rolling(codes), Rolling(codes, 1)
-    n = ends - starts
-    halves = []
-    for shorter in (n, n - 1):
+    lines = list(compress(joined.split("\n"), keep.tolist()))
+    digests = b"".join(blake2b(x.encode("utf-8", "surrogatepass"), digest_size=16).digest() for x in lines)
+    names = np.frombuffer(digests, "<i8").reshape(-1, 2)
+    n, halves, roll = (ends - starts)[keep], [], Rolling(codes)
+    x0, y0 = starts[long], ends[long]
+    for shorter in (y0 - x0, y0 - x0 - 1):
         h, tag = shorter // 2, shorter.astype(np.uint64) << np.uint64(1)
-        for side, (x, y) in enumerate(((starts, starts + h), (ends - h, ends))):
-            halves.append(one.spans(x, y) ^ (tag + np.uint64(side)))
-    return owner, number, starts, ends, n, one.spans(starts, ends).view(np.int64), two.spans(starts, ends).view(np.int64), long, np.column_stack(halves)[long]
+        for side, (x, y) in enumerate(((x0, x0 + h), (y0 - h, y0))):
+            halves.append(roll.spans(x, y) ^ (tag + np.uint64(side)))
+    return owner[keep], number[keep], lines, n, names[:, 0].copy(), names[:, 1].copy(), long[keep], np.column_stack(halves)
 
 
 def _hash_lines(batches, min_chars: int, exact_chars: int):
@@ -64,7 +68,7 @@ def _hash_lines(batches, min_chars: int, exact_chars: int):
     for batch in batches:
         ids, texts = batch.column("row"), batch.column("text").to_pylist()
         for a, b in small_groups(texts):
-            owner, number, _, _, n, h1, h2, long, halves = _hashed(texts[a:b], min_chars, exact_chars)
+            owner, number, _, n, h1, h2, long, halves = _hashed(texts[a:b], min_chars, exact_chars)
             edges = np.concatenate([[0], np.cumsum(long * 4)]).astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(edges), pa.array(halves.view(np.int64).reshape(-1)))
             yield pa.RecordBatch.from_arrays([ids.take(pa.array(owner + a)), pa.array(number, pa.int64()), pa.array(n, pa.int64()), pa.array(h1), pa.array(h2), lists], ["row", "line", "n", "h1", "h2", "halves"])
@@ -76,13 +80,12 @@ def _candidates(batches, min_chars: int, bitmap: np.ndarray):
     for batch in batches:
         texts, out = batch.column("text").to_pylist(), []
         for a, b in small_groups(texts):
-            _, _, starts, ends, _, h1, h2, long, halves = _hashed(texts[a:b], min_chars, min_chars)
+            _, _, lines, _, h1, h2, long, halves = _hashed(texts[a:b], min_chars, min_chars)
             held = np.flatnonzero(long)[is_in(bitmap, halves).any(axis=1)] if len(halves) else ()
-            text = "\n".join(texts[a:b])
             for i in held:
                 name = int(h1[i]), int(h2[i])
                 if name not in seen:
-                    out.append((*name, text[starts[i] : ends[i]]))
+                    out.append((*name, lines[i]))
                     if len(seen) < 1_000_000:
                         seen.add(name)
         yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.string()))], ["h1", "h2", "text"])
@@ -92,15 +95,10 @@ def neighbourhood(line: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
     """Keys of a line's code points: (variant and place) for each deletion, variant alone for each, and the line as it is."""
     n = len(line)
     roll = Rolling(line)
-    at = np.arange(n)
-    back = roll.inverse[1]
+    alone = roll.without_one()
     with np.errstate(over="ignore"):
-        variants = roll.sums[at] + (roll.sums[n] - roll.sums[at + 1]) * back
-        size = np.uint64(n - 1) * np.uint64(0xD6E8FEB86659FD93)
-        own = roll.sums[n] + np.uint64(n) * np.uint64(0xD6E8FEB86659FD93)
-        alone = mix(variants + size)
-        placed = mix(alone + np.uint64(0x9E3779B97F4A7C15) * (at.astype(np.uint64) + np.uint64(1)))
-        return placed, alone, int(mix(np.array([own], np.uint64))[0])
+        placed = mix(alone + np.uint64(0x9E3779B97F4A7C15) * np.arange(1, n + 1, dtype=np.uint64))
+    return placed, alone, int(roll.spans(np.array([0]), np.array([n]))[0])
 
 
 def _variants(batches):
@@ -169,10 +167,11 @@ def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, id_col: str = "doc_
     """
     row, gone = _unused("row", docs.columns), _unused("gone", docs.columns)
     out = repeated_lines(docs, min_chars, id_col, text_col, exact_chars).groupBy(F.col("row").alias(row)).agg(F.sort_array(F.collect_set("line")).alias(gone))
-    kept = docs.join(out, docs[id_col] == out[row], "left")
-    all_lines = F.split(F.col(text_col), "\n")
-    rest = F.when(F.col(gone).isNull(), F.col(text_col)).otherwise(F.array_join(F.filter(all_lines, lambda x, i: ~F.array_contains(F.col(gone), i.cast("long"))), "\n"))
-    n_lines = F.when(F.col(text_col).isNull(), 0).otherwise(F.size(all_lines))
+    lines = _unused("lines", docs.columns)
+    kept = docs.join(out, docs[id_col] == out[row], "left").withColumn(lines, F.split(F.col(text_col), "\n"))
+    numbers = F.array_except(F.sequence(F.lit(0).cast("long"), F.size(lines).cast("long") - 1), F.col(gone))
+    rest = F.when(F.col(gone).isNull(), F.col(text_col)).otherwise(F.array_join(F.transform(numbers, lambda i: F.get(F.col(lines), i.cast("int"))), "\n"))
+    n_lines = F.when(F.col(text_col).isNull(), 0).otherwise(F.size(lines))
     return kept.select(
         *[(rest.alias(c) if c == text_col else F.col(c)) for c in docs.columns if c not in ("n_lines", "n_removed")],
         n_lines.cast("long").alias("n_lines"),

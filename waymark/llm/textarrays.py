@@ -1,7 +1,7 @@
 """Texts of a batch as flat numpy arrays: pre-token boundaries, words, lines and their hashes.
 
 Everything here works on one Arrow batch inside a task. A span's hash is a
-polynomial over its characters, taken from one running sum, so a batch costs a
+polynomial over its characters, taken from running sums, so a batch costs a
 fixed number of array passes whatever its words are.
 """
 
@@ -15,23 +15,37 @@ import numpy as np
 #: Characters of text handled at a time; the arrays of a batch stay near the processor's caches.
 BATCH_CHARS = 150_000
 
-_BASE = 0x9E3779B97F4A7C15 | 1
-_MASK = (1 << 64) - 1
-_power = np.ones(1, np.uint64)
-_inverse = np.ones(1, np.uint64)
+#: Hashes are polynomials over the field of this prime, at two independent bases (drawn once at random).
+_PRIME = (1 << 31) - 1
+_BASES = (1_148_725_973, 790_430_611)
+_P, _SHIFT = np.uint64(_PRIME), np.uint64(31)
+_tables: list[tuple[np.ndarray, np.ndarray]] = [(np.ones(1, np.uint64), np.ones(1, np.uint64)) for _ in _BASES]
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """The first n powers, mod 2**64, of the base and of its inverse."""
-    global _power, _inverse
-    if len(_power) < n:
-        size = 1 << (n - 1).bit_length()
-        back = pow(_BASE, -1, 1 << 64)
-        with np.errstate(over="ignore"):
-            one = np.ones(1, np.uint64)
-            _power = np.cumprod(np.concatenate([one, np.full(size - 1, _BASE, np.uint64)]))
-            _inverse = np.cumprod(np.concatenate([one, np.full(size - 1, back, np.uint64)]))
-    return _power[:n], _inverse[:n]
+def _fold(x: np.ndarray) -> np.ndarray:
+    """``x`` modulo the prime, short of a last subtraction."""
+    return (x & _P) + (x >> _SHIFT)
+
+
+def _residue(x: np.ndarray) -> np.ndarray:
+    x = _fold(_fold(x))
+    return np.where(x >= _P, x - _P, x)
+
+
+def _power_table(base: int, size: int) -> np.ndarray:
+    table = np.ones(1, np.uint64)
+    while len(table) < size:
+        table = np.concatenate([table, _residue(table * np.uint64(pow(base, len(table), _PRIME)))])
+    return table
+
+
+def _powers(lane: int, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first n powers of the lane's base and of its inverse."""
+    if len(_tables[lane][0]) < n:
+        base = _BASES[lane]
+        _tables[lane] = _power_table(base, n), _power_table(pow(base, -1, _PRIME), n)
+    power, inverse = _tables[lane]
+    return power[:n], inverse[:n]
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -43,22 +57,34 @@ def mix(h: np.ndarray) -> np.ndarray:
 
 
 class Rolling:
-    """Hashes of any spans of one array of character codes, by differences of a running sum."""
+    """Hashes of any spans of one array of character codes, by differences of running sums.
 
-    def __init__(self, codes: np.ndarray, seed: int = 0):
-        with np.errstate(over="ignore"):
-            value = mix(codes.astype(np.uint64) + np.uint64((0x632BE59BD9B4E019 * (2 * seed + 1)) & _MASK))
-            power, self.inverse = _powers(len(codes) + 1)
-            self.sums = np.zeros(len(codes) + 1, np.uint64)
-            np.cumsum(value * power[:-1], out=self.sums[1:])
+    Two spans of n characters that differ have one hash for at most (n / 2**31)**2 of
+    all pairs of bases, whatever their characters are. Equal spans always have one hash.
+    """
 
-    def raw(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        with np.errstate(over="ignore"):
-            return (self.sums[ends] - self.sums[starts]) * self.inverse[starts]
+    def __init__(self, codes: np.ndarray):
+        value = codes.astype(np.uint64) + np.uint64(1)
+        self.lanes = []
+        for lane in range(len(_BASES)):
+            power, inverse = _powers(lane, len(codes) + 1)
+            sums = np.zeros(len(codes) + 1, np.uint64)
+            np.cumsum(_fold(value * power[:-1]), out=sums[1:])
+            self.lanes.append((sums, inverse))
 
     def spans(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        with np.errstate(over="ignore"):
-            return mix(self.raw(starts, ends) + (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+        return _joined([_residue(_residue(sums[ends] - sums[starts]) * inverse[starts]) for sums, inverse in self.lanes], ends - starts)
+
+    def without_one(self) -> np.ndarray:
+        """The hash of the whole array less one character, for each character; equal to that of the same array made anew."""
+        n = len(self.lanes[0][0]) - 1
+        return _joined([_residue(_residue(sums[:n]) + _residue(sums[n] - sums[1:]) * inverse[1]) for sums, inverse in self.lanes], np.full(n, n - 1))
+
+
+def _joined(lanes: list[np.ndarray], sizes: np.ndarray) -> np.ndarray:
+    """One number of the residues of both lanes (62 bits) and the length."""
+    with np.errstate(over="ignore"):
+        return mix(((lanes[0] << _SHIFT) | lanes[1]) + sizes.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
 
 
 def codes_of(text: str) -> np.ndarray:
