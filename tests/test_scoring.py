@@ -89,8 +89,8 @@ def test_many_views_over_a_grid(spark):
 def test_whole_queries_reach_every_trail_view_and_row(spark):
     folder = "/root/testdata/sf0.001"
     trails = spark.read.parquet(f"{folder}/lineitem.parquet").select("l_partkey").distinct().count()
-    assert QUERIES["j12_study_projects_whole"](spark, folder).select("trail").distinct().count() == trails
+    assert QUERIES["j12_study_projects"](spark, folder).select("trail").distinct().count() == trails
     last = _grid(spark, folder).agg(F.max("r")).first()[0]
-    painted = QUERIES["g08_wet_overlay_whole"](spark, folder)
+    painted = QUERIES["g08_wet_overlay"](spark, folder)
     assert painted.agg(F.max("r")).first()[0] == last and painted.select("view_id").distinct().count() > 100
-    assert QUERIES["a22_twi_percentiles_whole"](spark, folder).count() == spark.read.parquet(f"{folder}/customer.parquet").count()
+    assert QUERIES["a22_twi_percentiles"](spark, folder).count() == spark.read.parquet(f"{folder}/customer.parquet").count()

@@ -56,7 +56,7 @@ def test_units_and_curve(spark):
 
 def test_window_fit_query_gives_curvature(spark):
     folder = "/root/testdata/sf0.001"
-    rows = QUERIES["a12_window_fit_whole"](spark, folder).collect()
+    rows = QUERIES["a12_window_fit"](spark, folder).collect()
     samples = adapted(spark, folder, "samples").filter("z is not null and d between 1000 and 3000").collect()
     for r in rows:
         at = [(x.d, x.z) for x in samples if x.line_id == r.track_id]

@@ -7,6 +7,8 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import packed
+
 
 def segments(vertices: DataFrame, by: list[str]) -> DataFrame:
     """(by, seg, x, y, x2, y2, length, c0): segments with the distance at their start; those of no length dropped."""
@@ -200,12 +202,8 @@ def self_crossings(vertices: DataFrame, size: float = 50.0) -> DataFrame:
 
 def sample_grid(points: DataFrame, cells: DataFrame, x0: float = 0.0, y0: float = 0.0, res: float = 1.0) -> DataFrame:
     """(point_id, z): bilinear between cell centres at (x0 + c res, y0 + r res); null unless all four have a value."""
-    p = points.select("point_id", ((F.col("x") - x0) / res).alias("u"), ((F.col("y") - y0) / res).alias("v"))
-    p = p.withColumns({"c0": F.floor("u"), "r0": F.floor("v")}).withColumns({"fu": F.col("u") - F.col("c0"), "fv": F.col("v") - F.col("r0")})
-    corner = F.array(*[F.struct((F.col("r0") + i).alias("r"), (F.col("c0") + j).alias("c"), ((F.col("fv") if i else 1 - F.col("fv")) * (F.col("fu") if j else 1 - F.col("fu"))).alias("k")) for i in (0, 1) for j in (0, 1)])
-    wide = p.select("point_id", F.explode(corner).alias("q")).select("point_id", "q.r", "q.c", "q.k")
-    joined = wide.join(cells.select("r", "c", "z").filter("z is not null"), ["r", "c"], "left")
-    return joined.groupBy("point_id").agg(F.when(F.count("z") == 4, F.sum(F.col("k") * F.col("z"))).alias("z"))
+    p = points.select("point_id", ((F.col("x") - x0) / res).alias("u"), ((F.col("y") - y0) / res).alias("v")).withColumns(packed.probes([(0, 0)]))
+    return packed.read_tiles(p, packed.pack_tiles(cells.select("r", "c", "z"))).select("point_id", F.get("z", F.lit(0)).alias("z"))
 
 
 def side_grids(cells: DataFrame, offset: int, res: float) -> DataFrame:

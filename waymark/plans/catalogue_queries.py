@@ -78,14 +78,8 @@ def j11_legs_with_project(spark, d):
     return I.legs_with_project(legs, adapted(spark, d, "alignments")).groupBy("project_id", "variant").agg(F.count("*").alias("legs"))
 
 
-@query("select distinct project_id from alignments where alignment_id in (select l_orderkey from lineitem where l_partkey = 42)")
-def j12_study_projects(spark, d):
-    on_trail = table(spark, d, "lineitem").filter("l_partkey = 42").select(F.col("l_partkey").alias("trail"), F.col("l_orderkey").alias("alignment_id"))
-    return I.study_projects(adapted(spark, d, "alignments"), on_trail).select("project_id")
-
-
 @query("select distinct l_partkey as trail, project_id from lineitem join alignments on alignment_id = l_orderkey")
-def j12_study_projects_whole(spark, d):
+def j12_study_projects(spark, d):
     """The projects on every trail."""
     return I.study_projects(adapted(spark, d, "alignments"), table(spark, d, "lineitem").select(F.col("l_partkey").alias("trail"), F.col("l_orderkey").alias("alignment_id")))
 
@@ -204,22 +198,12 @@ def _grid(spark, d):
 _GRID = "g as (select (p_partkey // 40)::int as r, (p_partkey % 40)::int as c, case when p_partkey % 37 <> 0 then p_retailprice end as z from part)"
 
 
-_SAMPLED = f"""with {_GRID}, p as (select o_orderkey as id, (o_custkey % 390) / 10e0 as x, (o_orderkey % 490) / 10e0 as y from orders),
+_SAMPLED = f"""with {_GRID}, p as (select o_orderkey as id, (o_custkey % 390) / 10e0 as x, o_orderkey / 300e0 as y from orders),
     q as (select id, x - floor(x) as fu, y - floor(y) as fv, floor(y)::int as r, floor(x)::int as c from p)
     select id as point_id, round((1 - fv) * ((1 - fu) * a.z + fu * b.z) + fv * ((1 - fu) * e.z + fu * f.z), 6) as z from q
     left join g a on a.r = q.r and a.c = q.c left join g b on b.r = q.r and b.c = q.c + 1 left join g e on e.r = q.r + 1 and e.c = q.c left join g f on f.r = q.r + 1 and f.c = q.c + 1"""
-#: y over the first rows, and over all rows of the grid at every size.
-_FIRST_ROWS, _ALL_ROWS = "(o_orderkey % 490) / 10e0", "o_orderkey / 300e0"
-
-
 @query(_SAMPLED)
 def j02_sample_grid_bilinear(spark, d):
-    p = table(spark, d, "orders").select(F.col("o_orderkey").alias("point_id"), (F.col("o_custkey") % 390 / 10).alias("x"), (F.col("o_orderkey") % 490 / 10).alias("y"))
-    return rounded(L.sample_grid(p, _grid(spark, d)))
-
-
-@query(_SAMPLED.replace(_FIRST_ROWS, _ALL_ROWS))
-def j02_sample_grid_bilinear_whole(spark, d):
     p = table(spark, d, "orders").select(F.col("o_orderkey").alias("point_id"), (F.col("o_custkey") % 390 / 10).alias("x"), (F.col("o_orderkey") / 300).alias("y"))
     return rounded(L.sample_grid(p, _grid(spark, d)))
 
@@ -289,17 +273,6 @@ def _beside(spark, d):
     return p, _vertices(spark, d).drop("leg").withColumn("x", F.col("x") + F.col("line_id") * 50)  # side by side, as trails lie
 
 
-@query(
-    f"""with {_VERTICES}, s as (select line_id, seq as seg, x, y, lead(x) over w as x2, lead(y) over w as y2 from (select line_id, seq, x + line_id * 50 as x, y from v) window w as (partition by line_id order by seq)),
-    p as (select o_orderkey as point_id, (o_custkey * 5)::double as px, (o_orderkey % 400 - 200)::double as py from orders), k as (select *, unnest(range(floor((least(x, x2) - 30) / 30)::bigint, floor((greatest(x, x2) + 30) / 30)::bigint + 1)) as kx from s where x2 is not null and (x <> x2 or y <> y2)),
-    t as (select point_id, px, py, s.line_id, s.seg, x, y, x2, y2, least(greatest(((px - x) * (x2 - x) + (py - y) * (y2 - y)) / (power(x2 - x, 2) + power(y2 - y, 2)), 0), 1) as t from p join (select *, unnest(range(floor((least(y, y2) - 30) / 30)::bigint, floor((greatest(y, y2) + 30) / 30)::bigint + 1)) as ky from k) s on floor(px / 30)::bigint = kx and floor(py / 30)::bigint = ky and px between least(x, x2) - 30 and greatest(x, x2) + 30 and py between least(y, y2) - 30 and greatest(y, y2) + 30),
-    m as (select point_id, min(sqrt(power(px - x - t * (x2 - x), 2) + power(py - y - t * (y2 - y), 2))) as distance from t group by point_id)
-    select p.point_id, case when distance <= 30 then round(distance, 6) end as distance from p left join m using (point_id)"""
-)
-def j06_nearest_on_lines(spark, d):
-    return rounded(L.nearest_on_lines(*_beside(spark, d), 30.0).select("point_id", "distance"))
-
-
 @query(
     f"""with {_VERTICES}, s as (select * from (select line_id, seq as seg, x, y, lead(x) over w as x2, lead(y) over w as y2 from (select line_id, seq, x + line_id * 50 as x, y from v) window w as (partition by line_id order by seq)) where x2 is not null and (x <> x2 or y <> y2)),
     p as (select o_orderkey as point_id, (o_custkey * 5)::double as px, (o_orderkey % 400 - 200)::double as py from orders),
@@ -307,7 +280,7 @@ def j06_nearest_on_lines(spark, d):
     m as (select point_id, min(sqrt(power(px - x - t * (x2 - x), 2) + power(py - y - t * (y2 - y), 2))) as distance from t group by point_id)
     select p.point_id, round(distance, 6) as distance from p left join m using (point_id)"""
 )
-def j06_nearest_on_lines_whole(spark, d):
+def j06_nearest_on_lines(spark, d):
     return rounded(L.nearest_on_lines(*_beside(spark, d)).select("point_id", "distance"))
 
 

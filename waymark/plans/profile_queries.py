@@ -9,7 +9,7 @@ from ..functions.scalars import colour_ramp, curve_value
 from ..operators import profiles as P
 from ..operators import terrain as T
 from .adapters import adapted, table
-from .catalogue_queries import _ALL_ROWS, _FIRST_ROWS, _GRID, _VERTICES, _VIEWS, _grid, _vertices, _views
+from .catalogue_queries import _GRID, _VERTICES, _VIEWS, _grid, _vertices, _views
 from .registry import query, rounded
 from .scoring_queries import _STACK, _stack
 
@@ -62,7 +62,7 @@ def o04_best_tube(spark, d):
     return rounded(P.best_tube(adapted(spark, d, "samples"), total))
 
 
-_BENCHES = f"""with {_GRID}, p as (select o_orderkey as point_id, (o_custkey % 390) / 10e0 as x, (o_orderkey % 490) / 10e0 as y, radians(o_orderkey % 360) as h from orders),
+_BENCHES = f"""with {_GRID}, p as (select o_orderkey as point_id, (o_custkey % 390) / 10e0 as x, o_orderkey / 300e0 as y, radians(o_orderkey % 360) as h from orders),
     q as (select point_id, n, x + 1.5e0 * (a * cos(h) - b * sin(h)) as x, y + 1.5e0 * (a * sin(h) + b * cos(h)) as y from p, (values ('g', 0, 0), ('l', 0, 1), ('r', 0, -1), ('f', 1, 0), ('b', -1, 0)) o(n, a, b)),
     e as (select point_id, n, case when count(z) = 4 then sum(z * (case when i = 1 then y - floor(y) else 1 - y + floor(y) end) * (case when j = 1 then x - floor(x) else 1 - x + floor(x) end)) end as z from q, (values (0, 0), (0, 1), (1, 0), (1, 1)) o(i, j) left join g on r = floor(y) + i and c = floor(x) + j group by point_id, n),
     f as (select point_id, max(z) filter (n = 'g') as g, max(z) filter (n = 'l') as l, max(z) filter (n = 'r') as r, max(z) filter (n = 'f') as f, max(z) filter (n = 'b') as b from e group by point_id),
@@ -71,12 +71,6 @@ _BENCHES = f"""with {_GRID}, p as (select o_orderkey as point_id, (o_custkey % 3
 
 @query(_BENCHES)
 def c01_bench_slopes(spark, d):
-    p = table(spark, d, "orders").select(F.col("o_orderkey").alias("point_id"), (F.col("o_custkey") % 390 / 10).alias("x"), (F.col("o_orderkey") % 490 / 10).alias("y"), F.radians(F.col("o_orderkey") % 360).alias("heading"))
-    return rounded(T.bench_slopes(p, _grid(spark, d), 3.0), 4)
-
-
-@query(_BENCHES.replace(_FIRST_ROWS, _ALL_ROWS))
-def c01_bench_slopes_whole(spark, d):
     p = table(spark, d, "orders").select(F.col("o_orderkey").alias("point_id"), (F.col("o_custkey") % 390 / 10).alias("x"), (F.col("o_orderkey") / 300).alias("y"), F.radians(F.col("o_orderkey") % 360).alias("heading"))
     return rounded(T.bench_slopes(p, _grid(spark, d), 3.0), 4)
 
@@ -171,19 +165,11 @@ def g02_build_grid(spark, d):
     return rounded(T.build_grid(wanted, cells, 2.0, 2))
 
 
-@query(
-    f"""with {_VERTICES}, {_GRID}, s as ({_SEGMENTS.format(t="v")}), p as (select r, c, c * 5e0 as x, r * 5e0 as y from g where z is not null), n as (select p.r, p.c, p.x as px, p.y as py, s.x, s.y, s.x2, s.y2, {_PLACE} as t from p join s on p.x between least(s.x, s.x2) - 12 and greatest(s.x, s.x2) + 12 and p.y between least(s.y, s.y2) - 12 and greatest(s.y, s.y2) + 12),
-    m as (select r, c, min(sqrt(power(px - x - t * (x2 - x), 2) + power(py - y - t * (y2 - y), 2))) as a from n group by r, c) select p.r, p.c, case when a <= 12 then round(a, 6) end as distance from p left join m on m.r = p.r and m.c = p.c"""
-)
-def g07_distance_field(spark, d):
-    return rounded(T.distance_field(_grid(spark, d), _vertices(spark, d).drop("leg"), 12.0, res=5.0))
-
-
 @query(
     f"""with {_VERTICES}, {_GRID}, s as ({_SEGMENTS.format(t="v")}), p as (select r, c, c * 5e0 as x, r * 5e0 as y from g where z is not null), n as (select p.r, p.c, p.x as px, p.y as py, s.x, s.y, s.x2, s.y2, {_PLACE} as t from p cross join s),
     m as (select r, c, min(sqrt(power(px - x - t * (x2 - x), 2) + power(py - y - t * (y2 - y), 2))) as a from n group by r, c) select p.r, p.c, round(a, 6) as distance from p left join m on m.r = p.r and m.c = p.c"""
 )
-def g07_distance_field_whole(spark, d):
+def g07_distance_field(spark, d):
     return rounded(T.distance_field(_grid(spark, d), _vertices(spark, d).drop("leg"), res=5.0))
 
 
@@ -205,13 +191,8 @@ def f13_colour_ramp(spark, d):
     return p.select("p_partkey", "p_size", *[F.col(f"p.{k}").alias(n) for k, n in zip("rgba", ("red", "green", "blue", "alpha"), strict=True)])
 
 
-@query(f"with {_GRID} select r, c, {_ramp(1)} as red, {_ramp(2)} as green, {_ramp(3)} as blue, {_ramp(4)} as alpha from (select r, c, z / 70e0 - 7 as t from g where c between 5 and 30 and r between 5 and 40) o")
-def g08_wet_overlay(spark, d):
-    return T.wet_overlay(_grid(spark, d).withColumn("twi", F.col("z") / 70 - 7), "twi", (5, 5, 30, 40), 5.0)[0]
-
-
 @query(f"with {_GRID}, {_VIEWS} select view_id, r, c, {_ramp(1)} as red, {_ramp(2)} as green, {_ramp(3)} as blue, {_ramp(4)} as alpha from (select view_id, r, c, z / 70e0 - 7 as t from g join w on c between c0 and c0 + 15 and r between r0 and r0 + 10) o")
-def g08_wet_overlay_whole(spark, d):
+def g08_wet_overlay(spark, d):
     return T.wet_overlays(_grid(spark, d).withColumn("twi", F.col("z") / 70 - 7), "twi", _views(spark, d), 5.0)[0]
 
 

@@ -10,7 +10,7 @@ from ..operators import listings as I
 from ..operators import scoring as R
 from ..operators import terrain as T
 from .adapters import adapted, table
-from .catalogue_queries import _ALL_ROWS, _FIRST_ROWS, _GRID, _VERTICES, _VIEWS, _grid, _members, _vertices, _views
+from .catalogue_queries import _GRID, _VERTICES, _VIEWS, _grid, _members, _vertices, _views
 from .registry import query, rounded
 
 _SOURCES = """sources as (select s_name as slug, case s_suppkey % 4 when 0 then 'mapbox' else 'lidar' end as kind, s_suppkey % 5 <> 0 as enabled, s_suppkey % 7 = 0 as gated, case when s_suppkey % 13 <> 0 then 'u' end as cog_url, case when s_suppkey % 3 <> 0 then 'u' end as tiles_url,
@@ -39,13 +39,13 @@ def j01_choose_dem_sources(spark, d):
     return chosen.select("line_id", F.array_join("sources", ",").alias("sources"))
 
 
-_STACK = f"""with {_GRID}, cells as (select 'a' as source, r, c, z from g union all select 'b', r, c, r * 3e0 + c * c from g where r % 17 <> 3), p as (select o_orderkey as point_id, (o_custkey % 390) / 10e0 as x, (o_orderkey % 490) / 10e0 as y from orders),
+_STACK = f"""with {_GRID}, cells as (select 'a' as source, r, c, z from g union all select 'b', r, c, r * 3e0 + c * c from g where r % 17 <> 3), p as (select o_orderkey as point_id, (o_custkey % 390) / 10e0 as x, o_orderkey / 300e0 as y from orders),
  q as (select point_id, source, k, x + dx as u, y + dy as v from p, (values ('a'), ('b')) s(source), (values (0, 0, 0), (1, 1, 0), (2, -1, 0), (3, 0, 1), (4, 0, -1)) o(k, dx, dy)),
  e as (select point_id, q.source, k, sum(z * (case when i = 1 then v - floor(v) else 1 - v + floor(v) end) * (case when j = 1 then u - floor(u) else 1 - u + floor(u) end)) as z, count(z) as n from q, (values (0, 0), (0, 1), (1, 0), (1, 1)) o(i, j), cells where cells.source = q.source and r = floor(v) + i and c = floor(u) + j group by all)"""
 
 
 def _stack(spark, d):
-    p = table(spark, d, "orders").select(F.col("o_orderkey").alias("point_id"), (F.col("o_custkey") % 390 / 10).alias("x"), (F.col("o_orderkey") % 490 / 10).alias("y"), F.array(F.lit("a"), F.lit("b")).alias("sources"))
+    p = table(spark, d, "orders").select(F.col("o_orderkey").alias("point_id"), (F.col("o_custkey") % 390 / 10).alias("x"), (F.col("o_orderkey") / 300).alias("y"), F.array(F.lit("a"), F.lit("b")).alias("sources"))
     g = _grid(spark, d)
     other = g.filter("r % 17 <> 3").select(F.lit("b").alias("source"), "r", "c", (F.col("r") * 3.0 + F.col("c") * F.col("c")).alias("z"))
     return p, g.select(F.lit("a").alias("source"), "r", "c", "z").unionByName(other)
@@ -60,17 +60,6 @@ def j04_sample_stack(spark, d):
     return rounded(T.sample_stack(*_stack(spark, d)))
 
 
-def _whole_stack(spark, d):
-    """The stack with points over all rows of the grid."""
-    p, cells = _stack(spark, d)
-    return p.withColumn("y", F.col("point_id") / 300), cells
-
-
-@query(_STACKED.replace(_FIRST_ROWS, _ALL_ROWS))
-def j04_sample_stack_whole(spark, d):
-    return rounded(T.sample_stack(*_whole_stack(spark, d)))
-
-
 _FIRST = f"{_STACK}, b as (select *, row_number() over (partition by point_id order by source) as place from e where k = 0 and n = 4) select p.point_id, round(z, 6) as z, source from p left join (select * from b where place = 1) b using (point_id)"
 
 
@@ -79,11 +68,6 @@ def j05_sample_first(spark, d):
     return rounded(T.sample_first(*_stack(spark, d)))
 
 
-@query(_FIRST.replace(_FIRST_ROWS, _ALL_ROWS))
-def j05_sample_first_whole(spark, d):
-    return rounded(T.sample_first(*_whole_stack(spark, d)))
-
-
 @query(
     f"""with {_VERTICES}, s as (select line_id, x, y, lead(x) over w as x2, lead(y) over w as y2 from v window w as (partition by line_id order by seq)), t as (select *, greatest(1, ceil(sqrt(power(x2 - x, 2) + power(y2 - y, 2)) / 5 - 1e-9))::bigint as n from s where x <> x2 or y <> y2),
     m as (select line_id, x + (x2 - x) * j / n as x, y + (y2 - y) * j / n as y from (select *, unnest(range(n + 1)) as j from t)) select distinct line_id, bx, unnest(range(floor((y - 20) / 32)::bigint, floor((y + 20) / 32)::bigint + 1)) as by from (select *, unnest(range(floor((x - 20) / 32)::bigint, floor((x + 20) / 32)::bigint + 1)) as bx from m)"""
@@ -107,13 +91,8 @@ def g10_analytic_surface(spark, d):
     return rounded(cone.join(dome, ["r", "c"]).join(plane, ["r", "c"]))
 
 
-@query(f"with {_GRID} select round(quantile_cont(z, 0.5), 6) as p50, round(quantile_cont(z, 0.9), 6) as p90, round(quantile_cont(z, 0.99), 6) as p99 from g where c between 5 and 30 and r between 5 and 40")
-def a22_twi_percentiles(spark, d):
-    return rounded(T.cropped_percentiles(_grid(spark, d), "z", (5, 5, 30, 40)))
-
-
 @query(f"with {_GRID}, {_VIEWS} select view_id, round(quantile_cont(z, 0.5), 6) as p50, round(quantile_cont(z, 0.9), 6) as p90, round(quantile_cont(z, 0.99), 6) as p99 from w left join g on c between c0 and c0 + 15 and r between r0 and r0 + 10 group by view_id")
-def a22_twi_percentiles_whole(spark, d):
+def a22_twi_percentiles(spark, d):
     return rounded(T.view_percentiles(_grid(spark, d), "z", _views(spark, d)))
 
 
