@@ -44,8 +44,8 @@ NEAREST, SHARED = 10, 2
 APART = 0.8
 #: The most pivots, and the sampled classes looked at for each.
 MOST_PIVOTS, TRIES = 8192, 4
-#: Classes of a list that is not parted, and of a block.
-LIST = BLOCK = 1024
+#: Classes of a list that is not parted, and of a block of one that stays longer.
+LIST, BLOCK = 4096, 2048
 
 
 def _rows(column: pa.Array) -> np.ndarray:
@@ -83,7 +83,7 @@ def _unit(x: np.ndarray) -> np.ndarray:
 
 def choose_pivots(classes: DataFrame, n: int) -> np.ndarray:
     """At most ``MOST_PIVOTS`` unit vectors of the sample, apart from one another."""
-    wanted = min(MOST_PIVOTS, max(64, 1 << math.ceil(math.log2(2 * math.sqrt(n)))))
+    wanted = min(MOST_PIVOTS, max(64, 1 << math.ceil(math.log2(4 * math.sqrt(n)))))
     sample = classes.select("vector").orderBy(F.xxhash64("class"), "class").limit(TRIES * wanted)
     points = _unit(np.array([np.frombuffer(r.vector, "<f8") for r in sample.collect()]))
     kept = np.empty((wanted, points.shape[1]))
@@ -115,24 +115,32 @@ def _linked(vectors: np.ndarray, near: np.ndarray, sides: np.ndarray, first: int
     """The linked pairs (positions a < b) of a group: shared pivots are counted list by list, then candidates verified."""
     n = len(vectors)
     counts, taken = np.zeros((n, n), np.uint8), np.zeros((n, n), bool)
-    pivots, where = np.unique(near, return_inverse=True)
-    member = np.zeros((len(pivots), n), bool)
-    member[where.ravel(), np.repeat(np.arange(n), near.shape[1])] = True
-    for number, own in zip(pivots.tolist(), member, strict=True):
-        at = np.flatnonzero(own)
-        if len(at) > 1:
-            both = np.ix_(at, at)
-            counts[both] += 1
-            if number < first or first < number < second:
-                taken[both] = True  # the pair belongs to another list
+    order = np.argsort(near, axis=None, kind="stable")
+    own = order // near.shape[1]
+    pivots, starts, sizes = np.unique(near.ravel()[order], return_index=True, return_counts=True)
+    other = (pivots < first) | ((first < pivots) & (pivots < second))  # a pair that shares such a pivot belongs to another list
+    short = sizes <= 64
+    for at, size, elsewhere in zip(starts[~short].tolist(), sizes[~short].tolist(), other[~short].tolist(), strict=True):
+        both = own[at : at + size, None], own[None, at : at + size]
+        counts[both] += 1
+        if elsewhere:
+            taken[both] = True
+    member = np.repeat(np.arange(len(pivots)), sizes)  # of the short lists all pairs at once
+    member, left = member[short[member]], own[short[member]]
+    width = sizes[member]
+    right = own[np.repeat(starts[member] - np.cumsum(width) + width, width) + np.arange(int(width.sum()))]
+    pairs = np.repeat(left, width) * n + right
+    np.add.at(counts.ravel(), pairs, np.uint8(1))
+    taken.ravel()[pairs[np.repeat(other[member], width)]] = True
     allowed = (counts >= shared) & ~taken
     unit = _unit(vectors)
-    a, b = np.nonzero(np.triu(allowed, 1) if sides.min() == sides.max() else allowed & (sides[:, None] < sides[None, :]))
-    keep = np.empty(len(a), bool)
-    for k in range(0, len(a), 1 << 16):
-        cut = slice(k, k + (1 << 16))
-        keep[cut] = np.einsum("ij,ij->i", unit[a[cut]], unit[b[cut]]) >= least
-    return a[keep], b[keep]
+    found = []
+    for k in range(0, n, 512):
+        cut = slice(k, k + 512)
+        later = np.arange(n)[None, :] > np.arange(n)[cut, None] if sides.min() == sides.max() else sides[cut, None] < sides[None, :]
+        a, b = np.nonzero(allowed[cut] & later & (unit[cut] @ unit.T >= least))
+        found.append((a + k, b))
+    return np.concatenate([a for a, _ in found]), np.concatenate([b for _, b in found])
 
 
 def _local_roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
