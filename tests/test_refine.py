@@ -7,6 +7,7 @@ import math
 import random
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from waymark.operators import catalogue as C
@@ -14,6 +15,7 @@ from waymark.operators import lines as L
 from waymark.operators import listings as I
 from waymark.operators import network as N
 from waymark.operators import refine as R
+from waymark.operators import routing
 from waymark.operators import wetness as W
 from waymark.sources import dem_catalog
 
@@ -125,11 +127,92 @@ def test_network_edges_and_ways(spark):
     got = {(r.line_id, r.edge): round(r.length, 3) for r in edges.collect()}
     assert got == {(1, 0): 50, (1, 1): 30, (1, 2): 20, (2, 0): 50, (2, 1): 50, (3, 0): 57, (4, 0): 100}
     pairs = spark.createDataFrame([(1, 0.0, 2.0, 80.0, 60.0), (2, 10.0, 0.0, 30.0, 0.0), (3, 0.0, 0.0, 600.0, 500.0), (4, 0.0, 0.0, 5000.0, 0.0), (5, 10.0, 0.0, 10.0, 1.0)], "pair_id int, x double, y double, x2 double, y2 double")
-    ways = {r.pair_id: r for r in N.follow_network(v, edges, pairs).collect()}
-    assert abs(ways[1].length - 137) < 1e-6 and ways[1].trails == [1, 3] and ways[1].start_off == 2
-    assert abs(ways[2].length - 20) < 1e-6 and ways[2].trails == [1]
+    found = routing.follow_network(v, edges, pairs).persist()
+    ways = {r.pair_id: r for r in found.collect()}
+    assert abs(ways[1].length - 137) < 1e-6 and [(t.line_id, round(t.length, 6)) for t in ways[1].trails] == [(1, 80), (3, 57)] and ways[1].start_off == 2
+    assert abs(ways[2].length - 20) < 1e-6 and [t.line_id for t in ways[2].trails] == [1]
     assert [ways[k].error for k in (3, 4, 5)] == ["not connected", "too far", "same place"]
-    assert N.follow_network(v, edges.limit(0), pairs).filter("error = 'no trails'").count() == 5
+    path = [(r.x, r.y) for r in routing.route_vertices(found, v).filter("pair_id = 1").orderBy("seq").collect()]
+    assert path == [(0, 0), (50, 0), (80, 0), (80, 3), (80, 60)]
+    assert routing.follow_network(v, edges.limit(0), pairs).filter("error = 'no trails'").count() == 5
+    far = pairs.select("pair_id", *[(F.col(c) + 50_000).alias(c) for c in ("x", "y", "x2", "y2")])
+    assert routing.follow_network(v, edges, far).filter("error = 'no trails'").count() == 5
+    with pytest.raises(RuntimeError, match="rounds"):
+        routing.follow_network(v, edges, pairs, most_rounds=1)
+    found.unpersist()
+
+
+def lattice(spark, n, gap=100.0, missing=()):
+    """n rows and n columns of straight lines, some cells of the rows left out."""
+    rows = [(k, [(0.0, k * gap), ((n - 1) * gap, k * gap)]) for k in range(n) if k not in missing]
+    rows += [(n + k, [(k * gap, 0.0), (k * gap, (n - 1) * gap)]) for k in range(n)]
+    return rows, spark.createDataFrame([(i, k, x, y) for i, p in rows for k, (x, y) in enumerate(p)], "line_id int, seq int, x double, y double")
+
+
+def test_ways_against_one_search_a_pair(spark):
+    """Random slanted lines and pairs; lengths against a search over the same edges, paths against their lengths."""
+    rng = random.Random(12)
+    rows = [(i, [(rng.uniform(0, 900), rng.uniform(0, 900)) for _ in range(4)]) for i in range(9)]
+    v = spark.createDataFrame([(i, k, x, y) for i, p in rows for k, (x, y) in enumerate(p)], "line_id int, seq int, x double, y double")
+    edges = N.trail_network_edges(v)
+    pairs = spark.createDataFrame([(k, *[rng.uniform(100, 800) for _ in range(4)]) for k in range(12)], "pair_id int, x double, y double, x2 double, y2 double")
+    found = routing.follow_network(v, edges, pairs).persist()
+    held = edges.collect()
+    on = {}
+    for r in routing._places(v, edges, pairs, 250.0).collect():
+        on[r.pair_id, r.end] = r
+    near = lambda p: {n: p.along - p.d0 if n == p.a else p.d1 - p.along for n in (p.a, p.b)}
+    for r in found.collect():
+        s, g = on.get((r.pair_id, 0)), on.get((r.pair_id, 1))
+        if s is None or g is None:
+            assert r.error == "too far"
+            continue
+        best = dict(near(s))
+        for _ in range(len(held)):
+            for e in held:
+                for a, b in ((e.a, e.b), (e.b, e.a)):
+                    if a in best and best[a] + e.length < best.get(b, math.inf):
+                        best[b] = best[a] + e.length
+        want = min([best[n] + m for n, m in near(g).items() if n in best] + [abs(s.along - g.along)] * ((s.line_id, s.edge) == (g.line_id, g.edge)), default=None)
+        assert r.error == "same place" if want is not None and want < 1e-6 else (r.length is None) == (want is None) and (want is None or abs(r.length - want) < 1e-6), r
+    paths = {}
+    for r in routing.route_vertices(found, v, 120.0).orderBy("pair_id", "seq").collect():
+        paths.setdefault(r.pair_id, []).append((r.x, r.y))
+    whole = [r for r in found.collect() if r.error is None]
+    assert len(whole) > 6
+    for r in whole:
+        assert abs(sum(math.dist(a, b) for a, b in zip(paths[r.pair_id], paths[r.pair_id][1:])) - r.length) < 0.01
+        assert abs(sum(t.length for t in r.trails) - r.length) < 1e-6
+    found.unpersist()
+
+
+def test_ways_stay_in_the_box_and_near_the_best(spark, monkeypatch):
+    """On a wide lattice a short pair's ways reach no farther than its best way allows; outside the box there are none at all."""
+    rows, v = lattice(spark, 12, missing=(5,))
+    edges = N.trail_network_edges(v)
+    pairs = spark.createDataFrame([(1, 210.0, 200.0, 390.0, 200.0), (2, 200.0, 450.0, 300.0, 550.0)], "pair_id int, x double, y double, x2 double, y2 double")
+    seen = []
+    real = routing.settled
+    monkeypatch.setattr(routing, "settled", lambda df: seen.append(real(df)) or seen[-1])
+    got = {r.pair_id: r for r in routing.follow_network(v, edges, pairs).collect()}
+    assert abs(got[1].length - 180) < 1e-6 and abs(got[2].length - 300) < 1e-6
+    reached = {(r.pair_id, r.node.x, r.node.y) for df in seen if df.columns == ["pair_id", "node", *routing._WAY] for r in df.collect()}
+    assert len(reached) < 60 and all(100_000 <= x <= 500_000 for _, x, _ in reached)
+    seen.clear()
+    routing.follow_network(v, edges, pairs.filter("pair_id = 1"), margin=-250.0, share=0.0).collect()
+    assert max(df.count() for df in seen if df.columns == ["pair_id", "node", *routing._WAY]) <= 2
+
+
+def test_segments_walk_their_own_cells(spark):
+    rng = random.Random(6)
+    rows = [(k, *[rng.uniform(-300, 300) for _ in range(4)]) for k in range(200)] + [(900, 0.0, 0.0, 100_000.0, 90_000.0), (901, 50.0, 0.0, 50.0, 200.0), (902, 0.0, 50.0, 200.0, 50.0)]
+    frame = spark.createDataFrame(rows, "k int, x double, y double, x2 double, y2 double")
+    for r in frame.select("*", L._segment_cells(50.0).alias("cells")).collect():
+        cells = {(c.cx, c.cy) for c in r.cells}
+        assert len(cells) == len(r.cells) <= 4 + 2 * math.dist((r.x, r.y), (r.x2, r.y2)) / 50
+        for t in range(501):
+            x, y = r.x + (r.x2 - r.x) * t / 500, r.y + (r.y2 - r.y) * t / 500
+            assert (math.floor(x / 50), math.floor(y / 50)) in cells
 
 
 def test_parts_that_touch_are_merged(spark):

@@ -90,14 +90,45 @@ def suffixed(name: str, order: list, by: list[str] = ()) -> Column:
     return F.when(n == 1, F.col(name)).otherwise(F.concat(F.col(name), F.lit(" ("), n.cast("string"), F.lit(")")))
 
 
-def unique_slugs(rows: DataFrame, slug: str, order: list[str], taken: DataFrame, most_rounds: int = 20) -> DataFrame:
-    """Slugs with -2, -3 ... so that none repeats and none is in ``taken``.slug; rows that clash try the next number, all together, until none does."""
-    base = rows.withColumn("_k", F.row_number().over(Window.partitionBy(slug).orderBy(*order)))
-    high = taken.select(F.regexp_extract("slug", r"^(.*?)(?:-(\d+))?$", 1).alias("_b"), F.coalesce(F.regexp_extract("slug", r"-(\d+)$", 1).try_cast("int"), F.lit(1)).alias("_n"))
-    top = high.groupBy("_b").agg(F.array_sort(F.collect_set("_n")).alias("_used"))
-    joined = base.join(top, base[slug] == top["_b"], "left")
-    free = F.when(F.col("_used").isNull(), F.col("_k")).otherwise(F.get(F.array_except(F.sequence(F.lit(1), F.size("_used") + F.col("_k")), F.col("_used")), F.col("_k") - 1))
-    return joined.withColumn(slug, F.when(free == 1, F.col(slug)).otherwise(F.concat(F.col(slug), F.lit("-"), free.cast("string")))).drop("_k", "_b", "_used")
+_NUMBERED = r"^(.*)-([2-9]|[1-9][0-9]+)$"
+
+
+def _readings(slug: Column) -> Column:
+    """What a slug stands for: itself as a name, and the name before its number."""
+    number = F.regexp_extract(slug, _NUMBERED, 2).try_cast("long")
+    return F.array_compact(F.array(F.struct(slug.alias("base"), F.lit(1).cast("long").alias("n")), F.when(number.isNotNull(), F.struct(F.regexp_extract(slug, _NUMBERED, 1).alias("base"), number.alias("n")))))
+
+
+def unique_slugs(rows: DataFrame, slug: str, order: list[str], taken: DataFrame) -> DataFrame:
+    """``rows`` with slugs of which none repeats and none is in ``taken``.slug: as if each row in ``order`` took its own name, or the first of name-2, name-3, ... that is free.
+
+    All rows take numbers at once, each knowing which slugs earlier rows of other names
+    hold by the round before; that is repeated until no row moves. A row's slug follows
+    from those before it only, so the rounds end; there are as many as names that clash in
+    a chain. Rows that share an order key follow one another in some order. Null slugs stay.
+    """
+    base = settled(rows.withColumn("_id", F.monotonically_increasing_id()))
+    key = F.struct(*order, "_id")
+    asked = base.filter(F.col(slug).isNotNull()).select("_id", F.col(slug).alias("base"), key.alias("key"), F.row_number().over(Window.partitionBy(slug).orderBy(key)).cast("long").alias("k"))
+    asked = settled(asked)
+    names = asked.select("base").distinct()
+    read = lambda f, held: f.select(F.explode(_readings(F.col("slug"))).alias("r"), held.alias("held"), F.col("own").alias("own")).select("r.base", "r.n", "held", "own").filter("own is null or own <> base").join(names, "base", "left_semi").select("base", "n", "held")
+    nobody = F.lit(None).cast(asked.schema["key"].dataType)
+    fixed = settled(read(taken.filter("slug is not null").select("slug", F.lit(None).cast("string").alias("own")).distinct(), nobody))
+    now = asked.withColumn("n", F.col("k"))
+    while True:
+        called = now.withColumn("slug", F.when(F.col("n") == 1, F.col("base")).otherwise(F.concat("base", F.lit("-"), F.col("n").cast("string"))))
+        holders = called.groupBy("slug").agg(F.min_by("base", "key").alias("own"), F.min("key").alias("key"))
+        used = fixed.union(read(holders, F.col("key"))).groupBy("base").agg(F.array_sort(F.collect_set(F.struct("n", "held"))).alias("used"))
+        known = F.filter(F.coalesce("used", F.array().cast(used.schema["used"].dataType)), lambda u: u["held"].isNull() | (u["held"] < F.col("key")))
+        number = F.aggregate(F.array_distinct(F.transform(known, lambda u: u["n"])), F.col("k"), lambda n, u: F.when(u <= n, n + 1).otherwise(n))
+        moved = settled(called.join(used, "base", "left").select("_id", "base", "key", "k", number.alias("n"), F.col("n").alias("was"), "slug"))
+        if moved.filter("n <> was").isEmpty():
+            break
+        now = moved.drop("was", "slug")
+    final = moved.select("_id", F.col("slug").alias("_slug"))
+    out = base.join(final, "_id", "left")
+    return out.select(*[F.col("_slug").alias(c) if c == slug else F.col(c) for c in rows.columns])
 
 
 # --- legs -------------------------------------------------------------------------

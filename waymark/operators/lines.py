@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import packed
+from .rounds import settled
 
 
 def segments(vertices: DataFrame, by: list[str]) -> DataFrame:
@@ -98,10 +99,17 @@ def _cells(x: Column, y: Column, size: float, ring: int = 0) -> Column:
 
 
 def _segment_cells(size: float) -> Column:
-    """The grid cells of a segment's bounding box; densify long segments first."""
-    xs = F.sequence(F.floor(F.least("x", "x2") / size), F.floor(F.greatest("x", "x2") / size))
-    ys = F.sequence(F.floor(F.least("y", "y2") / size), F.floor(F.greatest("y", "y2") / size))
-    return F.flatten(F.transform(xs, lambda i: F.transform(ys, lambda j: F.struct(i.alias("cx"), j.alias("cy")))))
+    """The grid cells that a segment (x, y, x2, y2) touches, column by column; about its length over ``size`` of them."""
+    low, high = F.least("x", "x2"), F.greatest("x", "x2")
+    rise = F.try_divide(F.col("y2") - F.col("y"), F.col("x2") - F.col("x"))
+
+    def rows(i: Column) -> Column:
+        a, b = (F.coalesce(F.col("y") + (edge - F.col("x")) * rise, other) for edge, other in ((F.greatest(i * size, low), F.col("y")), (F.least((i + 1) * size, high), F.col("y2"))))
+        least, most = F.greatest(F.least(a, b), F.least("y", "y2")), F.least(F.greatest(a, b), F.greatest("y", "y2"))
+        return F.sequence(F.floor((least - 1e-6) / size), F.floor((most + 1e-6) / size))
+
+    columns = F.sequence(F.floor((low - 1e-6) / size), F.floor((high + 1e-6) / size))
+    return F.flatten(F.transform(columns, lambda i: F.transform(rows(i), lambda j: F.struct(i.alias("cx"), j.alias("cy")))))
 
 
 def nearest_on_lines(points: DataFrame, lines: DataFrame, limit: float | None = None, same_line: bool = False) -> DataFrame:
@@ -133,7 +141,7 @@ def _near_at_any_distance(points: DataFrame, lines: DataFrame, keys: list[str])
     box is touched by a segment, which bounds a point's distance from above; boxes farther than the
     least such bound go. One action finds the extent.
     """
-    seg = segments(lines, ["line_id"]).filter("length < double('infinity')").persist()
+    seg = settled(segments(lines, ["line_id"]).filter("length < double('infinity')"))
     mx, my = (F.col("x") + F.col("x2")) / 2, (F.col("y") + F.col("y2")) / 2
     size = seg.agg(F.count("*").alias("n"), F.avg("length").alias("length"), *[f(m).alias(k) for k, f, m in (("x0", F.min, mx), ("x1", F.max, mx), ("y0", F.min, my), ("y1", F.max, my))]).first()
     wide = max(size.x1 - size.x0, size.y1 - size.y0, size.length) if size.n else 1.0

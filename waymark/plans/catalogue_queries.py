@@ -121,6 +121,22 @@ def w16_suffix_numbering(spark, d):
     return adapted(spark, d, "alignments").select("alignment_id", C.suffixed("name", ["alignment_id"], ["project_id"]).alias("name"))
 
 
+@query(
+    """with r as (select s_suppkey as id, case when s_suppkey % 4 = 1 then 'trail-' || (s_suppkey % 6 + 1) else 'trail' || case s_suppkey % 3 when 0 then '' else '-' || (s_suppkey % 3 + 1) end end as base from supplier), t as (select 'trail-' || (n_nationkey + 4) as slug from nation where n_nationkey % 2 = 0 union all select 'trail-2-2'),
+    o as (select row_number() over (order by id) as k, id, base from r),
+    walk as (with recursive w(k, id, slug, held) as (select 0::bigint, null::bigint, null::varchar, (select list(slug) from t) union all
+      select o.k, o.id::bigint, p.slug, list_append(w.held, p.slug) from w join o on o.k = w.k + 1, lateral (select case when n = 1 then o.base else o.base || '-' || n end as slug from (select unnest(range(1, 2 + len(w.held))) as n) c where not list_contains(w.held, case when n = 1 then o.base else o.base || '-' || n end) order by n limit 1) p) select * from w where k > 0)
+    select id, slug from walk"""
+)
+def w16_unique_slugs(spark, d):
+    """Names that are one another's numbered forms, beside taken ones; the SQL walks the rows one by one."""
+    k = F.col("s_suppkey")
+    base = F.when(k % 4 == 1, F.concat(F.lit("trail-"), (k % 6 + 1).cast("string"))).otherwise(F.concat(F.lit("trail"), F.when(k % 3 == 0, "").otherwise(F.concat(F.lit("-"), (k % 3 + 1).cast("string")))))
+    taken = table(spark, d, "nation").filter("n_nationkey % 2 = 0").select(F.concat(F.lit("trail-"), (F.col("n_nationkey") + 4).cast("string")).alias("slug"))
+    taken = taken.union(spark.createDataFrame([("trail-2-2",)], "slug string"))
+    return C.unique_slugs(table(spark, d, "supplier").select(k.cast("long").alias("id"), base.alias("slug")), "slug", ["id"], taken)
+
+
 @query("select alignment_id, (row_number() over (partition by project_id order by price desc, alignment_id) - 1)::int as section_order from alignments")
 def w17_renumber_sections(spark, d):
     a = adapted(spark, d, "alignments").select("alignment_id", "project_id", "price")

@@ -10,9 +10,11 @@ from ..operators import listings as I
 from ..operators import network as N
 from ..operators import profiles as P
 from ..operators import refine as R
+from ..operators import routing as G
 from ..operators import terrain
 from ..operators import tiles as T
 from ..operators import wetness as W
+from ..operators.rounds import settled
 from ..sources import dem_catalog
 from .adapters import adapted, table
 from .catalogue_queries import _GRID, _VERTICES, _grid, _vertices
@@ -227,3 +229,72 @@ def l02_resample_quick(spark, d):
 )
 def g01_corridor_cells(spark, d):
     return terrain.corridor_cells(_vertices(spark, d).drop("leg"), 20.0, most=30_000)
+
+
+#: A network that grows with the suppliers: a trail along every nation's row and a climb per supplier over one to three rows; a pair from each supplier to one of the eleven next.
+_NET = """net as (select n_nationkey as line_id, -50e0 as x0, n_nationkey * 200e0 as y0, (select max(s_suppkey) * 20e0 + 50 from supplier) as x1, n_nationkey * 200e0 as y1 from nation union all select 1000 + s_suppkey, s_suppkey * 20e0, s_nationkey * 200e0 - 30, s_suppkey * 20e0, (s_nationkey + 1 + s_suppkey % 3) * 200e0 + 30 from supplier),
+ asks as (select a.s_suppkey as pair_id, a.s_suppkey * 20e0 + 7 as x, a.s_nationkey * 200e0 + 45 as y, b.s_suppkey * 20e0 + 6 as x2, b.s_nationkey * 200e0 + 120 as y2 from supplier a join supplier b on b.s_suppkey = a.s_suppkey + 1 + a.s_suppkey * 7 % 11)"""
+_AT_NODE = "select h.line_id as row_id, v.line_id as climb_id, v.x0 as x, h.y0 as y from net h join net v on h.line_id < 1000 and v.line_id >= 1000 and h.y0 > v.y0 and h.y0 < v.y1 and v.x0 > h.x0 and v.x0 < h.x1"
+_FOLLOWED = f"""with recursive {_NET}, node as ({_AT_NODE}),
+ stop as (select row_id as line_id, x as pos, x, y from node union all select climb_id, y, x, y from node union all select line_id, case when y0 = y1 then x0 else y0 end, x0, y0 from net union all select line_id, case when y0 = y1 then x1 else y1 end, x1, y1 from net),
+ edge as (select * from (select line_id, pos as t0, x as ax, y as ay, lead(pos) over w as t1, lead(x) over w as bx, lead(y) over w as b_y from stop window w as (partition by line_id order by pos)) o where t1 > t0),
+ ends as (select pair_id, 0 as far, x as px, y as py from asks union all select pair_id, 1, x2, y2 from asks),
+ off as (select e.*, line_id, y0 = y1 as flat, sqrt(power(px - least(greatest(px, x0), x1), 2) + power(py - least(greatest(py, y0), y1), 2)) as away, case when y0 = y1 then least(greatest(px, x0), x1) else least(greatest(py, y0), y1) end as pos from ends e join net on px between x0 - 250 and x1 + 250 and py between y0 - 250 and y1 + 250),
+ near as (select * from (select *, row_number() over (partition by pair_id, far order by away, line_id) as k from off where away <= 250) o where k = 1),
+ spot as (select * from (select pair_id, far, away, n.line_id, n.pos, t0, t1, ax, ay, bx, b_y, row_number() over (partition by pair_id, far order by t0) as k from near n join edge e on e.line_id = n.line_id and n.pos between t0 - 1e-6 and t1 + 1e-6) o where k = 1),
+ reach as (select pair_id, px as gx, py as gy from ends where far = 1),
+ both_ways as (select ax as x, ay as y, bx as nx, b_y as ny, t1 - t0 as more, line_id from edge union all select bx, b_y, ax, ay, t1 - t0, line_id from edge),
+ lanes as (select a.pair_id, b.x, b.y, b.nx, b.ny, more from asks a join net n on n.x0 <= greatest(a.x, a.x2) + 1500 + 0.25e0 * sqrt(power(a.x2 - a.x, 2) + power(a.y2 - a.y, 2)) and n.x1 >= least(a.x, a.x2) - 1500 - 0.25e0 * sqrt(power(a.x2 - a.x, 2) + power(a.y2 - a.y, 2)) and n.y0 <= greatest(a.y, a.y2) + 1500 + 0.25e0 * sqrt(power(a.x2 - a.x, 2) + power(a.y2 - a.y, 2)) and n.y1 >= least(a.y, a.y2) - 1500 - 0.25e0 * sqrt(power(a.x2 - a.x, 2) + power(a.y2 - a.y, 2)) join both_ways b on b.line_id = n.line_id and abs(b.x - a.x) < 3000 and abs(b.nx - a.x) < 3000),
+ way(pair_id, x, y, metres) using key (pair_id, x, y) as (
+  select pair_id, x, y, min(metres) from (select pair_id, ax as x, ay as y, pos - t0 as metres from spot where far = 0 union all select pair_id, bx, b_y, t1 - pos from spot where far = 0) o group by all
+  union select t.pair_id, t.x, t.y, t.metres from (select w.pair_id, l.nx as x, l.ny as y, min(w.metres + l.more) as metres from way w join lanes l on l.pair_id = w.pair_id and l.x = w.x and l.y = w.y group by all) t left join recurring.way k on k.pair_id = t.pair_id and k.x = t.x and k.y = t.y where k.metres is null or t.metres < k.metres - 1e-9),
+ got as (select w.pair_id, w.metres + least(case when w.x = ax and w.y = ay then pos - t0 else 1e18 end, case when w.x = bx and w.y = b_y then t1 - pos else 1e18 end) as metres from way w join spot g on g.pair_id = w.pair_id and g.far = 1 and (w.x = ax and w.y = ay or w.x = bx and w.y = b_y)
+  union all select s.pair_id, abs(s.pos - g.pos) from spot s join spot g on s.pair_id = g.pair_id and s.far = 0 and g.far = 1 and s.line_id = g.line_id and s.t0 = g.t0),
+ best as (select pair_id, min(metres) as metres from got group by 1)
+ select a.pair_id, round(case when metres > 1e-6 then metres end, 4) as length, round(s.away, 4) as start_off, round(g.away, 4) as end_off, case when s.away is null or g.away is null then 'too far' when metres is null then 'not connected' when metres < 1e-6 then 'same place' end as error, round(case when metres > 1e-6 then metres end, 4) as drawn, round(case when metres > 1e-6 then metres end, 4) as on_trails
+ from asks a left join spot s on s.pair_id = a.pair_id and s.far = 0 left join spot g on g.pair_id = a.pair_id and g.far = 1 left join best b on b.pair_id = a.pair_id"""
+
+
+@query(_FOLLOWED)
+def l11_follow_network(spark, d):
+    """Lengths of the shortest ways; ``drawn`` is measured along the path's vertices and ``on_trails`` over the trails followed, so both must agree."""
+    s = table(spark, d, "supplier").select(F.col("s_suppkey").cast("long").alias("k"), F.col("s_nationkey").alias("n"))
+    width = F.lit(s.agg(F.max("k")).first()[0] * 20.0 + 50)
+    line = lambda i, *at: F.struct(i.cast("long").alias("line_id"), F.array(*[F.struct(F.lit(q).alias("seq"), F.round(x, 6).cast("double").alias("x"), F.round(y, 6).cast("double").alias("y")) for q, (x, y) in enumerate(at)]).alias("at"))
+    rows = table(spark, d, "nation").select(line(F.col("n_nationkey"), (F.lit(-50.0), F.col("n_nationkey") * 200.0), (width, F.col("n_nationkey") * 200.0)).alias("l"))
+    climbs = s.select(line(F.col("k") + 1000, (F.col("k") * 20.0, F.col("n") * 200.0 - 30), (F.col("k") * 20.0, (F.col("n") + 1 + F.col("k") % 3) * 200.0 + 30)).alias("l"))
+    v = rows.union(climbs).select("l.line_id", F.explode("l.at").alias("p")).select("line_id", "p.*")
+    a, b = s.alias("a"), s.alias("b")
+    pairs = a.join(b, F.col("b.k") == F.col("a.k") + 1 + F.col("a.k") * 7 % 11).select(F.col("a.k").alias("pair_id"), (F.col("a.k") * 20.0 + 7).alias("x"), (F.col("a.n") * 200.0 + 45).alias("y"), (F.col("b.k") * 20.0 + 6).alias("x2"), (F.col("b.n") * 200.0 + 120).alias("y2"))
+    got = settled(G.follow_network(v, N.trail_network_edges(v), pairs))
+    step = Window.partitionBy("pair_id").orderBy("seq")
+    drawn = G.route_vertices(got, v).withColumn("l", F.hypot(F.col("x") - F.lag("x").over(step), F.col("y") - F.lag("y").over(step))).groupBy("pair_id").agg(F.sum("l").alias("drawn"))
+    out = got.join(drawn, "pair_id", "left")
+    return rounded(out.select("pair_id", "length", "start_off", "end_off", "error", "drawn", F.aggregate("trails", F.lit(0.0), lambda t, x: t + x["length"]).alias("on_trails")), 4)
+
+
+#: Every line cut into pieces of ten steps, each third one turned round and each seventh left out.
+_PIECES = f"""{_VERTICES}, k as (select line_id, seq, x, y, unnest(list_distinct([(seq - 1) // 10, (seq - 2) // 10])) as k from v), q as (select * from k where k >= 0 and k % 7 <> 5),
+ e as (select line_id, k, count(*) as n, min_by(x, seq) as ax, min_by(y, seq) as ay, max_by(x, seq) as bx, max_by(y, seq) as b_y from q group by all having count(*) > 1)"""
+
+
+@query(
+    f"""with recursive {_PIECES}, w as (select line_id, k, round(ax, 3) as px, round(ay, 3) as py from e union all select line_id, k, round(bx, 3), round(b_y, 3) from e),
+    t as (select line_id, min(k) as a, max(k) as b from w group by line_id, px, py having count(*) = 2 and min(k) < max(k)), l as (select line_id, a, b from t union select line_id, b, a from t),
+    reach as (select line_id, k as a, k as b from e union select r.line_id, r.a, l.b from reach r join l on l.line_id = r.line_id and l.a = r.b),
+    c as (select line_id, a as k, min(b) as least from reach group by all), s as (select line_id, k, sqrt(power(x - lag(x) over o, 2) + power(y - lag(y) over o, 2)) as m from q join e using (line_id, k) window o as (partition by line_id, k order by seq)),
+    m as (select c.line_id, least, count(*) as pieces, sum(n) as points from c join e using (line_id, k) group by all), g as (select c.line_id, least, sum(m) as length from c join s using (line_id, k) group by all),
+    f as (select m.line_id, row_number() over (partition by m.line_id order by m.least) - 1 as part, pieces, points, length, (select count(*) from t join c on c.line_id = t.line_id and c.k = t.a where t.line_id = m.line_id and c.least = m.least) as joints from m join g on g.line_id = m.line_id and g.least = m.least)
+    select line_id, part, (points - least(joints, pieces - 1) )::bigint as points, round(length, 4) as length from f"""
+)
+def l09_merge_parts(spark, d):
+    """Points and lengths of the merged lines; a piece turned round or put out of place would make one longer."""
+    v = _vertices(spark, d).select("line_id", "seq", "x", "y")
+    cut = v.withColumn("k", F.explode(F.array_distinct(F.array(F.floor((F.col("seq") - 1) / 10), F.floor((F.col("seq") - 2) / 10))))).filter("k >= 0 and k % 7 <> 5")
+    own = cut.withColumn("n", F.count("*").over(Window.partitionBy("line_id", "k"))).filter("n > 1")
+    pieces = own.select("line_id", F.col("k").alias("part"), F.when(F.col("k") % 3 == 1, -F.col("seq")).otherwise(F.col("seq")).alias("seq"), "x", "y")
+    merged = N.merge_parts(pieces)
+    step = Window.partitionBy("line_id", "part").orderBy("seq")
+    length = F.hypot(F.col("x") - F.lag("x").over(step), F.col("y") - F.lag("y").over(step))
+    out = merged.withColumn("l", length).groupBy("line_id", "part").agg(F.count("*").alias("points"), F.coalesce(F.sum("l"), F.lit(0.0)).alias("length"))
+    return rounded(out, 4)

@@ -5,19 +5,31 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.network import merge_parts
+
 _FEATURES = "struct<features:array<struct<id:string,properties:map<string,string>,geometry:struct<type:string,coordinates:string>>>>"
 
 
 def read_geojson_lines(spark: SparkSession, path: str) -> DataFrame:
-    """(stem, fid, props, parts array<array<struct<lon,lat>>>): a row per line feature; features without a line are skipped."""
+    """(stem, fid, props, parts array<array<struct<lon,lat>>>): a row per line feature; features without a line are skipped.
+
+    The parts of a multi-line that touch end to end, where just two ends meet, are one
+    part; of the others those of two points and more stay.
+    """
     files = spark.read.text(path, wholetext=True).select(F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)\.\w+$", 1).alias("stem"), F.from_json("value", _FEATURES).alias("g"))
     f = files.select("stem", F.posexplode("g.features").alias("fid", "f"))
     one = F.array(F.from_json("f.geometry.coordinates", "array<array<double>>"))
     many = F.from_json("f.geometry.coordinates", "array<array<array<double>>>")
     parts = F.when(F.col("f.geometry.type") == "LineString", one).when(F.col("f.geometry.type") == "MultiLineString", many)
     plain = F.transform(parts, lambda p: F.transform(p, lambda c: F.struct(F.get(c, F.lit(0)).alias("lon"), F.get(c, F.lit(1)).alias("lat"))))
-    out = f.select("stem", F.coalesce("f.id", F.col("fid").cast("string")).alias("fid"), F.col("f.properties").alias("props"), F.filter(plain, lambda p: F.size(p) >= 2).alias("parts"))
-    return out.filter(F.size("parts") > 0)
+    out = f.select("stem", F.col("fid").alias("row"), F.coalesce("f.id", F.col("fid").cast("string")).alias("fid"), F.col("f.properties").alias("props"), F.filter(plain, lambda p: F.size(p) >= 2).alias("parts"))
+    out = out.filter(F.size("parts") > 0)
+    several = out.filter(F.size("parts") > 1).select(F.struct("stem", "row").alias("line_id"), F.posexplode("parts").alias("part", "p"))
+    points = several.select("line_id", "part", F.posexplode("p").alias("seq", "c")).select("line_id", "part", "seq", F.col("c.lon").alias("x"), F.col("c.lat").alias("y"))
+    joined = merge_parts(points, 9).groupBy("line_id", "part").agg(F.array_sort(F.collect_list(F.struct("seq", "x", "y"))).alias("p"))
+    whole = joined.groupBy("line_id").agg(F.array_sort(F.collect_list(F.struct("part", "p"))).alias("ps"))
+    whole = whole.select("line_id.stem", "line_id.row", F.transform("ps", lambda q: F.transform(q["p"], lambda c: F.struct(c["x"].alias("lon"), c["y"].alias("lat")))).alias("merged"))
+    return out.join(whole, ["stem", "row"], "left").select("stem", "fid", "props", F.coalesce("merged", "parts").alias("parts"))
 
 
 def geojson_legs(legs: DataFrame) -> DataFrame:
