@@ -10,6 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from waymark.operators import assembly as A
 from waymark.operators import catalogue as C
 from waymark.operators import lines as L
 from waymark.operators import listings as I
@@ -255,26 +256,75 @@ def test_arcs_keep_their_radius(spark):
     assert all(abs(math.dist((r.x, r.y), (42.0, 8.0)) - 8) < 1e-6 for r in rows) and len(rows) == math.ceil(8 * math.pi / 2) + 1
 
 
-def test_routes_take_the_cheapest_ways_round(spark):
-    rng, rows = random.Random(3), []
-    for route in range(25):
-        for k in range(rng.randrange(1, 7)):
-            rows.append((route, k, k, rng.choice([None, None, None, True, False]), *[float(rng.randrange(0, 9)) for _ in range(4)]))
-    frame = spark.createDataFrame(rows, "route_id int, place int, piece_id int, forced boolean, x0 double, y0 double, x1 double, y1 double")
-    got = {}
-    for r in I.assemble_route(frame).orderBy("route_id", "place").collect():
-        got.setdefault(r.route_id, []).append(r)
+def nearest_place(line, p):
+    best, done = None, 0.0
+    for (x, y), (x2, y2) in itertools.pairwise(line):
+        size = math.dist((x, y), (x2, y2))
+        t = min(max(((p[0] - x) * (x2 - x) + (p[1] - y) * (y2 - y)) / size**2, 0), 1)
+        found = math.dist(p, (x + t * (x2 - x), y + t * (y2 - y))), done + t * size
+        best = found if best is None or found[0] < best[0] - 1e-12 else best
+        done += size
+    return best
+
+
+def metres(line):
+    return sum(math.dist(a, b) for a, b in itertools.pairwise(line))
 
-    def price(own, ways):
-        cost = 0.0
-        for (a, x), (b, y) in itertools.pairwise(zip(own, ways)):
-            end, start = (a[4:6] if x else a[6:8]), (b[6:8] if y else b[4:6])
-            gap = math.dist(end, start)
-            cost += gap + (gap > I.MEET) * I.PREFER
-        return round(cost, 9), sum(ways)
-
-    for route, found in got.items():
-        own = [r for r in rows if r[0] == route]
-        allowed = [w for w in itertools.product((False, True), repeat=len(own)) if all(r[3] is None or r[3] == x for r, x in zip(own, w))]
-        assert price(own, [r.reversed for r in found]) == min(price(own, w) for w in allowed)
-        assert all(r.bridge == (r.gap > I.SNAP) for r in found)
+
+def joint(p, n):
+    """(price, kind, gap, cut of p, cut of n) of two lines as they run."""
+    gap = math.dist(p[-1], n[0])
+    out = gap, "end", gap, None, None
+    away, s = nearest_place(p, n[0])
+    if 1 < s < metres(p) - 0.5 and away + 1 < gap:
+        out = away + 1, "leaves", away, s, None
+    away, s = nearest_place(n, p[-1])
+    if 0.5 < s < metres(n) - 1 and away + 1 < out[2]:
+        out = away + 1, "joins", away, None, s
+    return out
+
+
+def test_routes_are_put_together_the_cheapest_way(spark):
+    rng, lines, pieces = random.Random(9), {}, []
+    for route in range(30):
+        at = 0.0
+        for k in range(rng.randrange(1, 6)):
+            size, side = rng.uniform(20, 60), rng.uniform(-6, 6)
+            line = [(at + size * f + rng.uniform(-3, 3), side + rng.uniform(-2, 2)) for f in (0, 0.3, 0.55, 0.8, 1)]
+            lines[route * 10 + k] = line[::-1] if rng.random() < 0.4 else line
+            pieces.append((route, k, route * 10 + k, rng.choice([None, None, None, True, False])))
+            at += size + rng.uniform(-15, 8)
+    pieces.append((99, 0, 12345, None))
+    legs = [(i, leg, k, x, y) for i, line in lines.items() for leg, part in enumerate((line[:3], line[2:])) for k, (x, y) in enumerate(part)]
+    joins, report, vertices = A.assemble_route(spark.createDataFrame(pieces, "route_id int, place int, piece_id int, forced boolean"), spark.createDataFrame(legs, "piece_id int, leg int, seq int, x double, y double"))
+    got, told, drawn = {}, {}, {}
+    for r in joins.orderBy("route_id", "place").collect():
+        got.setdefault(r.route_id, []).append(r)
+    for r in report.orderBy("route_id", "place").collect():
+        told.setdefault(r.route_id, []).append(r)
+    for r in vertices.orderBy("route_id", "n", "seq").collect():
+        drawn.setdefault(r.route_id, {}).setdefault((r.n, r.piece_id, r.leg), []).append((r.x, r.y))
+    assert [r.error for r in told.pop(99)] == ["no legs"] and 99 not in drawn
+    kinds = set()
+    for route, found in told.items():
+        own = [p for p in pieces if p[0] == route]
+        run = lambda way: [lines[p[2]][::-1] if t else lines[p[2]] for p, t in zip(own, way)]
+        price = lambda way: (round(sum(joint(a, b)[0] for a, b in itertools.pairwise(run(way))), 9), sum(way))
+        allowed = [w for w in itertools.product((False, True), repeat=len(own)) if all(p[3] is None or p[3] == t for p, t in zip(own, w))]
+        way = tuple(r.turned for r in found)
+        assert way in allowed and price(way) == min(map(price, allowed))
+        kept = [[0.0, metres(x)] for x in run(way)]
+        for k, (j, r) in enumerate(zip([joint(a, b) for a, b in itertools.pairwise(run(way))], got.get(route, []))):
+            kinds.add(r.kind)
+            assert (r.kind, r.bridge) == (j[1], j[2] > 3) and abs(r.gap - j[2]) < 1e-9
+            kept[k][1], kept[k + 1][0] = j[3] or kept[k][1], j[4] or 0.0
+        assert all(abs(a - r.kept0) < 1e-9 and abs(b - r.kept1) < 1e-9 for (a, b), r in zip(kept, found))
+        if any(b - a < 1 for a, b in kept):
+            assert "cut away" in {r.error for r in found} and route not in drawn
+            continue
+        legs_of = [drawn[route][k] for k in sorted(drawn[route], key=lambda k: k[0])]
+        assert all(a[-1] == b[0] for a, b in itertools.pairwise(legs_of))
+        assert sum(k[1] is None for k in drawn[route]) == sum(r.bridge for r in got.get(route, []))
+        snapped = sum(r.snapped for r in got.get(route, []))
+        assert abs(sum(map(metres, legs_of)) - sum(b - a for a, b in kept) - sum(r.gap for r in got.get(route, []) if r.bridge)) <= snapped + 0.5 * len(own) + 1e-6
+    assert kinds == {"end", "leaves", "joins"}

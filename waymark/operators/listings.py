@@ -63,61 +63,3 @@ def catalog_diff(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
     """(key, state): "seen" in both, "created" in the new one only, "disabled" in the old one only; one full join."""
     o, n = (x.select(key).distinct().withColumn(f, F.lit(True)) for x, f in ((old, "_o"), (new, "_n")))
     return o.join(n, key, "full").select(key, F.when(F.col("_o").isNull(), "created").when(F.col("_n").isNull(), "disabled").otherwise("seen").alias("state"))
-
-
-# --- a route from pieces --------------------------------------------------------------
-
-#: Metres: ends this near are one place, a gap that is snapped, the penalty of a join that isn't end to end.
-MEET, SNAP, PREFER = 0.5, 3.0, 1.0
-
-
-def assemble_route(pieces: DataFrame, meet: float = MEET, snap: float = SNAP, prefer: float = PREFER) -> DataFrame:
-    """(route_id, place, piece_id, reversed, gap, bridge): pieces in their order, each the way round that makes the route's gaps shortest.
-
-    ``pieces``: route_id, place, piece_id, forced (null, or whether it is reversed) and its
-    ends x0, y0, x1, y1. A route costs its gaps and ``prefer`` metres for every joint that
-    doesn't meet within ``meet``; of equal costs the one with fewer reversals wins. ``gap``
-    is that to the piece before; up to ``snap`` it is closed, a longer one needs a new leg
-    (``bridge``). Joins in the middle of a piece are not looked for. The two ways of each
-    piece are two states, folded along the route.
-    """
-    inf = float("inf")
-    p = F.struct(*[F.col(c).cast("double").alias(c) for c in ("x0", "y0", "x1", "y1")])
-    w = pieces.groupBy("route_id").agg(F.array_sort(F.collect_list(F.struct("place", "piece_id", "forced", p.alias("p")))).alias("all"))
-
-    def start(piece: Column, back: bool) -> tuple[Column, Column]:
-        return (piece["p"]["x1"], piece["p"]["y1"]) if back else (piece["p"]["x0"], piece["p"]["y0"])
-
-    def gap(a: Column, a_back: bool, b: Column, b_back: bool) -> Column:
-        (ax, ay), (bx, by) = start(a, not a_back), start(b, b_back)
-        return F.hypot(ax - bx, ay - by)
-
-    def barred(piece: Column, back: bool) -> Column:
-        return F.when(piece["forced"].isNotNull() & (piece["forced"] != F.lit(back)), F.lit(inf)).otherwise(0.0)
-
-    none = F.array().cast("array<boolean>")
-    first = F.get("all", F.lit(0))
-    state = lambda cost, turns, ways: F.struct(cost.cast("double").alias("cost"), turns.cast("int").alias("turns"), ways.alias("ways"))
-    begin = F.struct(*[state(barred(first, b), F.lit(int(b)), F.concat(none, F.array(F.lit(b)))).alias(n) for b, n in ((False, "f"), (True, "r"))], first.alias("last"))
-
-    def fold(acc: Column, piece: Column) -> Column:
-        def reach(back: bool) -> Column:
-            options = []
-            for was, n in ((False, "f"), (True, "r")):
-                g = gap(acc["last"], was, piece, back)
-                cost = acc[n]["cost"] + g + F.when(g > meet, prefer).otherwise(0.0) + barred(piece, back)
-                options.append(state(cost, acc[n]["turns"] + int(back), F.concat(acc[n]["ways"], F.array(F.lit(back)))))
-            a, b = options
-            better = (b["cost"] < a["cost"]) | ((b["cost"] == a["cost"]) & (b["turns"] < a["turns"]))
-            return F.when(better, b).otherwise(a)
-
-        return F.struct(reach(False).alias("f"), reach(True).alias("r"), piece.alias("last"))
-
-    done = F.aggregate(F.slice("all", 2, F.greatest(F.size("all") - 1, F.lit(0))), begin, fold)
-    f, r = F.col("d")["f"], F.col("d")["r"]
-    ways = F.when((r["cost"] < f["cost"]) | ((r["cost"] == f["cost"]) & (r["turns"] < f["turns"])), r["ways"]).otherwise(f["ways"])
-    rows = w.withColumn("d", done).select("route_id", F.posexplode(F.arrays_zip(F.col("all").alias("piece"), ways.alias("back"))).alias("k", "z")).select("route_id", "z.piece", "z.back")
-    ends = rows.select("route_id", F.col("piece.place").alias("place"), F.col("piece.piece_id").alias("piece_id"), F.col("back").alias("reversed"), *[F.when(F.col("back"), F.col(f"piece.p.{b}")).otherwise(F.col(f"piece.p.{a}")).alias(n) for a, b, n in (("x0", "x1", "sx"), ("y0", "y1", "sy"), ("x1", "x0", "ex"), ("y1", "y0", "ey"))])
-    line = Window.partitionBy("route_id").orderBy("place")
-    away = F.hypot(F.col("sx") - F.lag("ex").over(line), F.col("sy") - F.lag("ey").over(line))
-    return ends.withColumn("gap", F.coalesce(away, F.lit(0.0))).select("route_id", "place", "piece_id", "reversed", "gap", (F.col("gap") > snap).alias("bridge"))

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from ..operators import assembly as A
 from ..operators import lines as L
-from ..operators import listings as I
 from ..operators import network as N
 from ..operators import profiles as P
 from ..operators import refine as R
@@ -192,17 +192,49 @@ def j18_trail_network_edges(spark, d):
     return rounded(out.select("line_id", "edge", "d0", "d1", "length", F.col("a.x").alias("ax"), F.col("a.y").alias("ay"), F.col("b.x").alias("bx"), F.col("b.y").alias("b_y")), 4)
 
 
-@query(f"with {_VERTICES}, p as (select line_id, (seq - 1) // 10 as place from v group by 1, 2 having count(*) > 1 or max(seq) % 10 <> 1) select line_id as route_id, place::int as place, place % 3 = 1 as reversed, 0e0 as gap, false as bridge from p")
+#: A route per nation and a piece per supplier: three vertices in two legs along x, overlapping the next piece or leaving a gap, some drawn backwards, some with a way forced.
+_ROUTES = """pc as (select s_nationkey as route_id, row_number() over (partition by s_nationkey order by s_suppkey)::int - 1 as place, s_suppkey as piece_id, case when s_suppkey % 9 = 4 then true when s_suppkey % 9 = 7 then false end as forced from supplier),
+ pz as (select *, 100e0 * place - 18 * (piece_id % 3) as x0, 100e0 * place + 88 + 11 * (piece_id % 4) as x1, piece_id % 7 * 0.9e0 as h, piece_id % 5 in (1, 3) as back from pc),
+ vx as (select piece_id, unnest([0, 1, 2]) as seq, unnest(case when back then [x1, 0.45e0 * x0 + 0.55e0 * x1, x0] else [x0, 0.45e0 * x0 + 0.55e0 * x1, x1] end) as x, unnest(case when back then [h + 1, h + 2.5e0, h] else [h, h + 2.5e0, h + 1] end) as y from pz)"""
+
+
+@query(
+    f"""with recursive {_ROUTES}, sg as (select *, sum(l) over (partition by piece_id order by seq) - l as c0, sum(l) over (partition by piece_id) as total from (select *, sqrt(power(x2 - x, 2) + power(y2 - y, 2)) as l from (select piece_id, seq, x, y, lead(x) over w as x2, lead(y) over w as y2 from vx window w as (partition by piece_id order by seq)) where x2 is not null)),
+    en as (select piece_id, min_by(x, seq) as ax, min_by(y, seq) as ay, max_by(x2, seq) as bx, max_by(y2, seq) as b_y, max(total) as total from sg group by 1),
+    pr as (select n.route_id, n.place, p.piece_id as p, n.piece_id as n from pc n join pc p on p.route_id = n.route_id and p.place = n.place - 1),
+    wy as (select pr.*, a as was, b as turned, case when a then e.ax else e.bx end as ex, case when a then e.ay else e.b_y end as ey, case when b then f.bx else f.ax end as sx, case when b then f.b_y else f.ay end as sy, e.total as pt, f.total as nt from pr join en e on e.piece_id = p join en f on f.piece_id = n, (values (false), (true)) x(a), (values (false), (true)) y(b)),
+    di as (select route_id, place, was, turned, 'p' as side, sqrt(power(x + t * (x2 - x) - sx, 2) + power(y + t * (y2 - y) - sy, 2)) as away, case when was then pt - c0 - t * l else c0 + t * l end as s from (select wy.*, g.*, least(greatest(((sx - x) * (x2 - x) + (sy - y) * (y2 - y)) / (l * l), 0), 1) as t from wy join sg g on g.piece_id = p) o
+     union all select route_id, place, was, turned, 'n', sqrt(power(x + t * (x2 - x) - ex, 2) + power(y + t * (y2 - y) - ey, 2)), case when turned then nt - c0 - t * l else c0 + t * l end from (select wy.*, g.*, least(greatest(((ex - x) * (x2 - x) + (ey - y) * (y2 - y)) / (l * l), 0), 1) as t from wy join sg g on g.piece_id = n) o),
+    nr as (select route_id, place, was, turned, min(away) filter (side = 'p') as dp, min_by(s, away) filter (side = 'p') as sp, min(away) filter (side = 'n') as dn, min_by(s, away) filter (side = 'n') as sn from di group by all),
+    jn as (select *, case when kind = 'end' then de when kind = 'leaves' then dp else dn end as gap from (select *, case when sn > 0.5 and sn < nt - 1 and dn + 1 < case when lv then dp else de end then 'joins' when lv then 'leaves' else 'end' end as kind from (select wy.*, dp, sp, dn, sn, sqrt(power(ex - sx, 2) + power(ey - sy, 2)) as de, sp > 1 and sp < pt - 0.5 and dp + 1 < sqrt(power(ex - sx, 2) + power(ey - sy, 2)) as lv from wy join nr using (route_id, place, was, turned)) o) o),
+    dp as (select route_id, place, t as turned, 0e0 as cost, t::int as turns, [t] as ways from pc, (values (false), (true)) x(t) where place = 0 and (forced is null or forced = t)
+     union all select route_id, place, turned, b.cost, b.turns, list_append(b.ways, turned) from (select j.route_id, j.place, j.turned, min({{'cost': d.cost + j.gap + case when j.kind <> 'end' then 1 else 0 end, 'turns': d.turns + j.turned::int, 'was': j.was, 'ways': d.ways}}) as b from dp d join jn j on j.route_id = d.route_id and j.place = d.place + 1 and j.was = d.turned join pc on pc.route_id = j.route_id and pc.place = j.place where forced is null or forced = j.turned group by all) o),
+    be as (select route_id, min({{'cost': cost, 'turns': turns, 'last': turned, 'ways': ways}}) as b from dp d where place = (select max(place) from pc where pc.route_id = d.route_id) group by 1),
+    dr as (select pc.*, b.ways[pc.place + 1] as turned, b.ways[pc.place] as was from pc join be using (route_id)),
+    jo as (select d.route_id, d.place, j.kind, j.gap, case when j.kind = 'leaves' then sp end as cp, case when j.kind = 'joins' then sn end as cn from dr d join jn j on j.route_id = d.route_id and j.place = d.place and j.was = d.was and j.turned = d.turned),
+    rp as (select d.route_id, d.place, d.piece_id, d.turned, coalesce(j.kind, '') as kind, round(coalesce(j.gap, 0), 5) as gap, coalesce(j.gap > 3, false) as bridge, round(coalesce(j.cn, 0), 5) as kept0, round(coalesce(k.cp, e.total), 5) as kept1, round(coalesce(k.cp, e.total) - coalesce(j.cn, 0), 3) as drawn, case when coalesce(j.gap > 3, false) then round(j.gap, 3) end as bridge_m
+    from dr d join en e using (piece_id) left join jo j on j.route_id = d.route_id and j.place = d.place left join jo k on k.route_id = d.route_id and k.place = d.place + 1)
+    select route_id, place, piece_id, turned, kind, gap, bridge, kept0, kept1, case when kept1 - kept0 < 1 then 'cut away' end as error, case when bool_and(kept1 - kept0 >= 1) over w then drawn end as drawn, case when bool_and(kept1 - kept0 >= 1) over w then bridge_m end as bridge_m from rp window w as (partition by route_id)"""
+)
 def l10_assemble_route(spark, d):
-    """Every line cut into pieces of ten steps, each third one turned round, put together again."""
-    v = _vertices(spark, d).select("line_id", "seq", "x", "y")
-    at = F.struct("x", "y")
-    cut = v.withColumn("k", F.explode(F.array_distinct(F.array(F.floor((F.col("seq") - 1) / 10), F.floor((F.col("seq") - 2) / 10))))).filter("k >= 0")
-    ends = cut.groupBy("line_id", "k").agg(F.min_by(at, "seq").alias("a"), F.max_by(at, "seq").alias("b"), F.count("*").alias("n")).filter("n > 1")
-    turned = F.col("k") % 3 == 1
-    side = lambda a, b, c, n: F.when(turned, F.col(f"{b}.{c}")).otherwise(F.col(f"{a}.{c}")).alias(n)
-    pieces = ends.select(F.col("line_id").alias("route_id"), F.col("k").cast("int").alias("place"), F.col("k").alias("piece_id"), F.lit(None).cast("boolean").alias("forced"), side("a", "b", "x", "x0"), side("a", "b", "y", "y0"), side("b", "a", "x", "x1"), side("b", "a", "y", "y1"))
-    return rounded(I.assemble_route(pieces).drop("piece_id"))
+    """Ways, joins and what is kept of every piece; ``drawn`` is measured on the route's legs but for their moved first vertices, ``bridge_m`` on its bridges."""
+    s = table(spark, d, "supplier")
+    k, place = F.col("s_suppkey"), F.row_number().over(Window.partitionBy("s_nationkey").orderBy("s_suppkey")) - 1
+    pieces = s.select(F.col("s_nationkey").alias("route_id"), place.alias("place"), k.alias("piece_id"), F.when(k % 9 == 4, True).when(k % 9 == 7, False).alias("forced"))
+    p = F.col("piece_id")
+    x0, x1, h, back = 100.0 * F.col("place") - 18 * (p % 3), 100.0 * F.col("place") + 88 + 11 * (p % 4), p % 7 * 0.9, (p % 5).isin(1, 3)
+    middle = 0.45 * x0 + 0.55 * x1
+    at = lambda leg, seq, x, y: F.struct(F.lit(leg).alias("leg"), F.lit(seq).alias("seq"), x.alias("x"), y.alias("y"))
+    a, b = (F.when(back, x1).otherwise(x0), F.when(back, h + 1).otherwise(h)), (F.when(back, x0).otherwise(x1), F.when(back, h).otherwise(h + 1))
+    legs = pieces.select("piece_id", F.explode(F.array(at(0, 0, *a), at(0, 1, middle, h + 2.5), at(1, 0, middle, h + 2.5), at(1, 1, *b))).alias("v")).select("piece_id", "v.*")
+    joins, report, vertices = A.assemble_route(pieces, legs)
+    step = Window.partitionBy("route_id", "n").orderBy("seq")
+    ends = joins.filter("not bridge").select("route_id", "place", F.col("gap").alias("moved"))
+    drawn = vertices.withColumn("l", F.hypot(F.col("x") - F.lag("x").over(step), F.col("y") - F.lag("y").over(step))).groupBy("route_id", "place").agg(F.sum(F.when(F.col("piece_id").isNotNull(), F.col("l"))).alias("drawn"), F.sum(F.when(F.col("piece_id").isNull(), F.col("l"))).alias("bridge_m"))
+    out = report.join(joins.select("route_id", "place", "kind", "gap", "bridge"), ["route_id", "place"], "left").join(drawn, ["route_id", "place"], "left").join(ends, ["route_id", "place"], "left")
+    near = F.abs(F.col("drawn") - F.col("kept1") + F.col("kept0")) <= F.coalesce("moved", F.lit(0.0)) + 1e-6
+    out = out.select("route_id", "place", "piece_id", "turned", F.coalesce("kind", F.lit("")).alias("kind"), F.round(F.coalesce("gap", F.lit(0.0)), 5).alias("gap"), F.coalesce("bridge", F.lit(False)).alias("bridge"), F.round("kept0", 5).alias("kept0"), F.round("kept1", 5).alias("kept1"), "error", F.round(F.when(near, F.col("kept1") - F.col("kept0")).otherwise(F.col("drawn")), 3).alias("drawn"), F.round("bridge_m", 3).alias("bridge_m"))
+    return rounded(out, 5)
 
 
 @query(
