@@ -57,12 +57,34 @@ def drained(z, res):
     return out
 
 
+def test_pits_are_filled_over_any_tiles(spark):
+    """A lake and its only outlet in different tiles, holes without data, a moat round an island of data: cell by cell as on one grid."""
+    rng = np.random.default_rng(7)
+    r, c = np.mgrid[0:45, 0:38]
+    z = 50 + 8 * np.sin(r / 6.0) * np.cos(c / 5.0) + rng.normal(0, 0.6, r.shape)
+    z[6:30, 5:33] -= 30  # a basin over many tiles
+    z[17, 0:6] = 31.0  # and its outlet
+    z[33:36, 10:13] = np.nan
+    z[40:44, 20] = np.nan
+    cells = spark.createDataFrame([(int(i) - 11, int(j) - 5, float(z[i, j])) for i, j in np.argwhere(np.isfinite(z))], "r int, c int, z double")
+    want = {(i - 11, j - 5): v for (i, j), v in flooded(z).items()}
+    for side in (7, 16, 64):
+        got = {(x.r, x.c): (x.z, x.filled) for x in W.fill_pits(cells, side).collect()}
+        assert got.keys() == want.keys() and all(abs(got[k][1] - v) < 1e-12 for k, v in want.items())
+    lake = {round(want[i - 11, j - 5], 1) for i in range(10, 26) for j in range(9, 29)}
+    assert lake == {31.0}
+    assert W.fill_pits(cells.limit(0)).count() == 0
+
+
 def test_wetness_against_cell_by_cell(spark):
     rng = np.random.default_rng(8)
     z = np.round(rng.normal(50, 4, (18, 23)), 1) + np.arange(23) * 0.4
     z[4:6, 7:9] = np.nan
     want = drained(z, 5.0)
-    got = W.wetness(z, 5.0)
+    surface = np.full(z.shape, np.nan)
+    for (r, c), v in flooded(z).items():
+        surface[r, c] = v
+    got = W.wetness(z, surface, 5.0)
     assert all(abs(got[k] - v) < 1e-6 for k, v in want.items()) and np.isnan(got[4, 7])
     cells = spark.createDataFrame([(r, c, None if np.isnan(z[r, c]) else float(z[r, c])) for r in range(18) for c in range(23)], "r int, c int, z double")
     rows = W.twi(cells, 5.0, core=64, halo=30).collect()

@@ -128,6 +128,20 @@ def c03_dig_corners(spark, d):
     return rounded(R.dig_corners(s, R.corners(s, 0.1, 30.0), _CURVES, _K, 3.0, 30.0))
 
 
+_WAVES = f"{_GRID}, gr as (select r, c, z::double + sin(c / 3e0) * 60 as z from g where z is not null)"
+
+
+@query(
+    f"""with recursive {_WAVES}, nb as (select a.r, a.c, a.z, b.r as nr, b.c as nc from gr a join gr b on b.r between a.r - 1 and a.r + 1 and b.c between a.c - 1 and a.c + 1 and (a.r <> b.r or a.c <> b.c)),
+    sh as (select r, c, z from gr except select r, c, z from nb group by r, c, z having count(*) = 8),
+    fl(r, c, f) using key (r, c) as (select r, c, z from sh union select t.r, t.c, t.f from (select n.r, n.c, min(case when n.z > w.f then n.z else w.f + 1e-4::double end) as f from fl w join nb n on n.nr = w.r and n.nc = w.c group by all) t left join recurring.fl k on k.r = t.r and k.c = t.c where k.f is null or t.f < k.f)
+    select gr.r, gr.c, round(gr.z, 6) as z, round(fl.f, 6) as filled from gr left join fl on fl.r = gr.r and fl.c = gr.c"""
+)
+def g05_fill_pits(spark, d):
+    """Tiles of sixteen cells, so that pits lie across borders."""
+    return rounded(W.fill_pits(_grid(spark, d).withColumn("z", F.col("z").cast("double") + F.sin(F.col("c") / 3) * 60), 16))
+
+
 @query(None)
 def g05_twi(spark, d):
     return rounded(W.twi(_grid(spark, d).withColumn("z", F.col("z").cast("double") + F.sin(F.col("c") / 3) * 60), 5.0, 32, 30), 5)
