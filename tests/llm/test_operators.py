@@ -127,7 +127,24 @@ def test_packing(spark, odd, none, docs):
     m = packing.unpack_matrices(packing.pack_matrices(frame, JSON)).withColumnRenamed("id", "doc_id")
     assert packed_well([tuple(r[c] for c in names) for r in m.collect()], rows) <= total / 1024 * 1.02 + 1
     for f in (packing.vector_pack, packing.pack_matrices):
-        assert f(none, JSON).count() == 0 and f(odd, JSON).count() > 0
+        assert f(none, JSON).count() == 0
+    pieces = {"vector": packing.vector_pack(odd, JSON), "matrices": packing.unpack_matrices(packing.pack_matrices(odd, JSON)).withColumnRenamed("id", "doc_id")}
+    texts = [(r.doc_id, r.text) for r in odd.collect()]
+    want = Counter((i, k, start, length, zlib.crc32(struct.pack(f"<{length}I", *ids[start : start + length]))) for (i, _), x in zip(texts, library([t for _, t in texts])) for ids in [[*x, 2]] for k, (start, length) in enumerate(packing.cut_points(len(ids), 1024)))
+    for found in pieces.values():
+        rows = found.collect()
+        assert Counter((r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in rows) == want
+        bins = defaultdict(list)
+        for r in rows:
+            bins[r.sequence_id].append((r.offset, r.length))
+        for own in bins.values():
+            ends = [0, *np.cumsum([n for _, n in sorted(own)]).tolist()]
+            assert [a for a, _ in sorted(own)] == ends[:-1] and ends[-1] <= 1024
+
+
+def test_long_documents_make_more_groups(spark):
+    few = spark.createDataFrame([(k, "word " * 40_000) for k in range(6)] + [(9, None)], "doc_id int, text string")
+    assert packing.group_count(few, group_pieces=100) == 3 and packing.group_count(few.limit(0)) == 1
 
 
 def test_vector_best_fit_holds_every_capacity():
@@ -462,3 +479,14 @@ def test_rolling_hashes_follow_the_characters():
     small = codes[-70:]
     without = textarrays.Rolling(small).without_one().tolist()
     assert without == [int(textarrays.Rolling(np.delete(small, k)).spans(np.array([0]), np.array([69]))[0]) for k in range(70)]
+
+
+def test_exact_dedup_of_an_empty_table(spark, none, tmp_path):
+    none.write.parquet(str(tmp_path / "none"))
+    out = exact_dedup.exact_duplicates(spark, str(tmp_path / "none"))
+    assert out.count() == 0 and set(out.columns) >= {"doc_id", "keep_id", "group_size", "kept", "text_sha256"}
+
+
+def test_bytes_of_a_row_without_an_id(odd):
+    got = byte_bpe.encode_texts(odd.filter("doc_id is null"), RANKS, with_digests=True).collect()
+    assert [(r.doc_id, bytes(r.decoded), r.decoded_sha256) for r in got] == [(None, b"same", hashlib.sha256(b"same").hexdigest())]

@@ -140,7 +140,8 @@ def encode_texts(docs: DataFrame, ranks_path: str, id_col: str = "doc_id", text_
     """(id, n_tokens[, ids array<int>, decoded binary][, ids_sha256, decoded_sha256]), a row per row of ``docs``.
 
     The ids are decoded again in the same pass. A null text counts as empty: no
-    ids, no bytes. Ids may be null or repeat; other columns are not read.
+    ids, no bytes. Texts of any length are read whole; an empty table gives no rows.
+    Ids may be null or repeat; other columns are not read.
     """
     kind = dict(docs.dtypes)[id_col]
     names = ["id", "n_tokens"] + ["ids", "decoded"] * with_ids + ["ids_sha256", "decoded_sha256"] * with_digests

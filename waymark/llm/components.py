@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .scratch import materialise
+from .scratch import materialise, release
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
@@ -32,13 +32,17 @@ def connected_components(edges: DataFrame, label: str, most_rounds: int = 50) ->
     """
     pairs = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).filter("u is not null and v is not null and u > v").distinct()
     pairs = materialise(pairs, label)
-    before = None
     for _ in range(most_rounds):
-        pairs = materialise(_star(_star(pairs, True), False), label)
-        now = pairs.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if now == before:
+        if _only_stars(pairs):
             break
-        before = now
+        done, pairs = pairs, materialise(_star(_star(pairs, True), False), label)
+        release(done)
     else:
         raise RuntimeError(f"components not settled after {most_rounds} rounds")
     return pairs.select(F.col("u").alias("node"), F.col("v").alias("root")).union(pairs.select("v", "v")).distinct()
+
+
+def _only_stars(pairs: DataFrame) -> bool:
+    """Every node has one smaller neighbour, which has none itself: each component is a star about its least node."""
+    sides = pairs.select(F.col("u").alias("node"), F.lit(1).alias("up")).union(pairs.select("v", F.lit(0)).distinct())
+    return sides.groupBy("node").agg(F.count("*").alias("n"), F.max("up").alias("up")).filter("up = 1 and n > 1").isEmpty()

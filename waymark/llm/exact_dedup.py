@@ -86,7 +86,8 @@ def exact_duplicates(spark: SparkSession, path: str, id_col: str = "doc_id", tex
     Texts are equal when their code points without ASCII white space are; null counts
     as empty. The row with the most code points before that stays, then the one with
     the smallest id, null ids last, then the one that comes first in its file. So of
-    rows that repeat an id and a text one is kept. Other columns are not read.
+    rows that repeat an id and a text one is kept. Texts of any length are compared
+    whole; an empty table gives no rows. Other columns are not read.
     """
     docs = spark.read.parquet(path) if pattern is None else spark.read.option("pathGlobFilter", pattern).parquet(path)
     schema = docs.select(id_col, text_col).schema

@@ -479,8 +479,8 @@ def similar_components(docs: DataFrame, words: int = 5, percent: int = 80, id_co
     rest = materialise(_sketched(_open_pairs(open_rows, percent).join(pairs, ["a", "b"], "left_anti"), sets, percent), "pairs")
     release(lists, pairs, open_rows)
     if not rest.isEmpty():
-        links = links.union(_verified(rest, base, words, percent))
-        parts = connected_components(links, "components")
+        more = _verified(rest, base, words, percent)
+        parts = connected_components(parts.select(F.col("node").alias("u"), F.col("root").alias("v")).union(more), "components")
     classes = sets.filter("n > 0").groupBy("set").agg(F.min("row").alias("rep"))
     named = classes.join(parts, classes["set"] == parts["node"], "left").select("set", "rep", F.coalesce("root", "set").alias("root"))
     table = named.join(named.groupBy("root").agg(F.min("rep").alias("component_id")), "root").select("set", "component_id")

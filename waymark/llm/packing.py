@@ -3,7 +3,8 @@
 Both cut documents longer than a sequence into pieces without loss (the first
 piece takes the remainder), deal the pieces to groups of a bounded size by hash,
 and pack each group in one task. A group leaves about one sequence part filled,
-so the loss against one global packing is about one sequence in ``GROUP_DOCS``.
+so the loss against one global packing is about one sequence in ``GROUP_PIECES``
+pieces.
 
 * ``vector_pack``: best fit under several capacities at once (tokens, documents,
   attention cost); among the bins that can take a piece, the one with the least
@@ -28,8 +29,8 @@ from pyspark.sql.types import StructType
 from .scratch import bounded_batches
 from .vocabulary import json_vocabulary
 
-#: Documents dealt to one packing task.
-GROUP_DOCS = 8192
+#: Pieces dealt to one packing task, a document counted as one and one more for every ``PIECE_BYTES`` of its text.
+GROUP_PIECES, PIECE_BYTES = 16_384, 4096
 
 
 def cut_points(length: int, size: int) -> list[tuple[int, int]]:
@@ -69,9 +70,10 @@ def tokenised_pieces(docs: DataFrame, tokenizer_path: str, size: int, end_id: in
     return rows.mapInArrow(run, ddl)
 
 
-def group_count(docs: DataFrame, group_docs: int = GROUP_DOCS) -> int:
-    """From the number of rows alone, which columnar files hold in their footers."""
-    return max(1, math.ceil(docs.count() / group_docs))
+def group_count(docs: DataFrame, text_col: str = "text", group_pieces: int = GROUP_PIECES) -> int:
+    """From the rows and the bytes of their texts, so that long documents make more groups and not larger ones."""
+    n, size = docs.agg(F.count("*"), F.coalesce(F.sum(F.octet_length(text_col).cast("long")), F.lit(0))).first()
+    return max(1, math.ceil((n + size / PIECE_BYTES) / group_pieces))
 
 
 # --- vector best fit ------------------------------------------------------------
@@ -167,7 +169,7 @@ def vector_pack(
         columns = [group.column("id"), group.column("piece").cast(pa.int32()), group.column("start"), group.column("length"), group.column("ids_crc32"), pa.array(number), pa.array(offset)]
         return pa.table(columns, names=["id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"])
 
-    pieces = tokenised_pieces(docs, tokenizer_path, size, end_id, group_count(docs), 0, id_col, text_col)
+    pieces = tokenised_pieces(docs, tokenizer_path, size, end_id, group_count(docs, text_col), 0, id_col, text_col)
     seeded = pieces.withColumn("seed", F.xxhash64("id"))
     return seeded.groupBy("bin_group").applyInArrow(pack, ddl).withColumnRenamed("id", id_col)
 
@@ -230,8 +232,9 @@ def pack_matrices(docs: DataFrame, tokenizer_path: str, size: int = 1024, end_id
     unsigned numbers of ``id_bytes`` bytes (2 for vocabularies under 65,536 ids, else
     4), padded by ``pad_id``. ``cu_seqlens`` runs from 0 to n_tokens, for kernels of
     variable length; positions count from 0 again at each of ``position_resets``. A
-    null text counts as empty and packs as the end id alone; null or repeated ids are
-    packed row by row; other columns are not read.
+    null text counts as empty and packs as the end id alone; texts of any length are
+    read whole; null or repeated ids are packed row by row; an empty table gives no rows;
+    other columns are not read.
     """
     vocabulary = json_vocabulary(tokenizer_path)
     width = 2 if vocabulary.plain and max([*vocabulary.ranks.values(), *vocabulary.special.values(), end_id, pad_id]) < 65536 else 4
@@ -264,7 +267,7 @@ def pack_matrices(docs: DataFrame, tokenizer_path: str, size: int = 1024, end_id
         ]
         return pa.table(columns, names=["sequence_id", "n_tokens", "id_bytes", "input_ids", "cu_seqlens", "position_resets", "segments"])
 
-    pieces = tokenised_pieces(docs, tokenizer_path, size, end_id, group_count(docs), width, id_col, text_col)
+    pieces = tokenised_pieces(docs, tokenizer_path, size, end_id, group_count(docs, text_col), width, id_col, text_col)
     return pieces.withColumn("seed", F.xxhash64("id")).groupBy("bin_group").applyInArrow(pack, ddl)
 
 

@@ -46,7 +46,7 @@ def release(*tables: DataFrame) -> None:
 
 
 def bounded_batches(df: DataFrame, rows: int = 1000) -> DataFrame:
-    """``df``, with Arrow batches of its session held to ``rows`` rows, so that long texts do not fill a task."""
+    """``df``, with Arrow batches of its session held to ``rows`` rows from now on, so that long texts do not fill a task; the setting is read when a job runs, so it can't be put back here."""
     conf = df.sparkSession.conf
     now = int(conf.get("spark.sql.execution.arrow.maxRecordsPerBatch"))
     if now <= 0 or now > rows:

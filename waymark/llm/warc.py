@@ -32,6 +32,8 @@ from .scratch import bounded_batches, materialise, scratch_dir
 
 #: Bytes of compressed records after which a task begins the next package.
 PACKAGE_BYTES = 16 << 20
+#: Reading tasks for each shuffle partition of the session, at most; a task reads its packages one after the other.
+PACKAGE_TASKS = 4
 ARCHIVE, INDEX = "archive/data.warc.gz", "indexes/index.jsonl"
 _EPOCH = "1970-01-01T00:00:00Z"
 
@@ -295,4 +297,5 @@ def archive_pages(spark: SparkSession, pages: DataFrame, least: int = 0) -> Data
     package. Other columns are not read.
     """
     written = materialise(write_packages(plan_records(pages, least), scratch_dir(spark, "warc")), "packages")
-    return read_packages(written.repartition(max(1, written.count())), dict(pages.dtypes)["page_id"])
+    tasks = min(written.count(), PACKAGE_TASKS * int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return read_packages(written.repartition(max(1, tasks)), dict(pages.dtypes)["page_id"])
