@@ -46,3 +46,18 @@ def test_the_latest_edit_wins_and_failures_are_kept(spark, tmp_path):
     assert rows[1, 2].twice == 14 and rows[2, 3].error == "no result" and "no terrain here" in rows[3, 4].error
     now = {r.alignment_id: r.status for r in T.current_results(spark.read.option("mergeSchema", True).parquet(out)).collect()}
     assert now == {1: "done", 2: "done", 3: "failed"}
+
+
+def test_one_bad_edit_does_not_fail_its_batch(spark, tmp_path):
+    """Of forty alignments two can't be evaluated; the others are done, and a batch that runs again leaves no older part."""
+    rows = [(k, 100 + k, float(k)) for k in range(40)]
+    edits = spark.createDataFrame(rows, "alignment_id long, seq long, metres double")
+
+    def picky(e):
+        bad = F.col("alignment_id").isin(7, 23)
+        return e.select("alignment_id", "seq", F.when(bad, F.raise_error(F.concat(F.lit("no terrain at "), F.col("alignment_id").cast("string"))).cast("double")).otherwise(2 * F.col("metres")).alias("twice"))
+
+    T.half_by_half(edits, picky, str(tmp_path / "out"))
+    got = {r.alignment_id: r for r in spark.read.option("mergeSchema", True).parquet(str(tmp_path / "out")).collect()}
+    assert len(got) == 40 and {k for k, r in got.items() if r.status == "failed"} == {7, 23}
+    assert got[9].twice == 18 and "no terrain at 7" in got[7].error and "no terrain at 23" in got[23].error

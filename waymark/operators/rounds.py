@@ -5,14 +5,13 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 _local: list[str] = []
 
 
-def settled(df: DataFrame) -> DataFrame:
-    """``df``, written under ``spark.checkpoint.dir`` and read back; a local session without that setting uses a temporary folder."""
-    spark = df.sparkSession
+def scratch_path(spark: SparkSession, label: str = "round") -> str:
+    """A new path under ``spark.checkpoint.dir``; a local session without that setting uses a temporary folder."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         if not spark.sparkContext.master.startswith("local"):
@@ -20,6 +19,17 @@ def settled(df: DataFrame) -> DataFrame:
         if not _local:
             _local.append("file://" + tempfile.mkdtemp(prefix="spark-"))
         base = _local[0]
-    path = f"{base.rstrip('/')}/round-{uuid.uuid4().hex}"
+    return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """``df``, written to a scratch path and read back."""
+    path = scratch_path(df.sparkSession)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def removed(spark: SparkSession, path: str) -> None:
+    """Delete what is at ``path``, if anything is."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(where, True)

@@ -8,8 +8,9 @@ from ..functions import scalars as S
 from ..operators import catalogue as C
 from ..operators import lines as L
 from ..operators import refine as R
+from ..operators.rounds import scratch_path
 from ..operators.tracks import track_summary
-from ..sources import geojson, gpx
+from ..sources import geojson, gpx, gpx_export
 from ..streaming import tracks as streams
 from .adapters import adapted, table
 from .catalogue_queries import _VERTICES, _vertices
@@ -219,3 +220,64 @@ def s08_geojson_legs(spark, d):
     made = geojson.geojson_legs(legs)
     read = made.select("project_id", F.explode(F.from_json("value", "struct<features:array<struct<properties:struct<alignment_id:bigint>,geometry:struct<coordinates:array<array<double>>>>>>")["features"]).alias("f"))
     return read.filter(F.size("f.geometry.coordinates") == 2).groupBy("project_id").agg(F.count("*").alias("legs"), F.sum("f.properties.alignment_id").alias("ids")).select(F.col("project_id").cast("int").alias("project_id"), "legs", "ids")
+
+
+@query(
+    """with e as (select user_id as alignment_id, max(event_id) as seq, round(arg_max(value, event_id), 4) as value from events group by 1)
+    select alignment_id, seq, case when alignment_id % 149 = 5 then 'failed' else 'done' end as status, case when alignment_id % 149 <> 5 then round(2 * value, 4) end as twice from e"""
+)
+def t02_reevaluate_stream(spark, d):
+    """The edits arrive as a stream of three files; some alignments have no terrain and fail by themselves, the rest of their batch is done."""
+    edits, results = scratch_path(spark, "edits"), scratch_path(spark, "results")
+    e = table(spark, d, "events").select(F.col("user_id").alias("alignment_id"), F.col("event_id").alias("seq"), F.round("value", 4).alias("value"))
+    e.repartitionByRange(3, "seq").write.parquet(edits)
+
+    def evaluate(rows):
+        lost = F.raise_error(F.lit("no terrain here")).cast("double")
+        return rows.select("alignment_id", "seq", F.when(F.col("alignment_id") % 149 == 5, lost).otherwise(F.round(2 * F.col("value"), 4)).alias("twice"))
+
+    arriving = spark.readStream.schema(e.schema).option("maxFilesPerTrigger", 1).parquet(edits)
+    streams.reevaluate_on_edit(arriving, evaluate, results, scratch_path(spark, "mark")).awaitTermination()
+    found = spark.read.option("mergeSchema", True).parquet(results)
+    return streams.current_results(found).select("alignment_id", "seq", "status", "twice")
+
+
+@query("select track_id, count(*) < 2 as rejected from track_points group by 1 having count(*) <= 200000")
+def t01_ingest_stream(spark, d):
+    """Every track arrives as a file of its own; the stream's tables say which were taken and which put aside."""
+    source, tracks, rejects = (scratch_path(spark, n) for n in ("gpx", "tracks", "rejects"))
+    gpx.write_gpx(_points(spark, d).select("track_id", "seq", "lon", "lat", "ele", "name"), source)
+    streams.ingest_tracks_stream(spark, source, tracks, rejects, scratch_path(spark, "mark")).awaitTermination()
+    taken = spark.read.parquet(tracks).select(F.col("track_id").alias("file"), F.lit(False).alias("rejected"))
+    aside = spark.read.parquet(rejects).select("file", F.lit(True).alias("rejected"))
+    return taken.unionByName(aside).select(F.regexp_extract("file", r"track_id=(\d+)", 1).cast("long").alias("track_id"), "rejected").distinct()
+
+
+_EXPORTED = """xa as (select alignment_id, project_id, name, case priority_text when 'Preferred' then 1 when ' alternate ' then 2 when 'Future' then 3 else 2 end as priority from alignments),
+ xn as (select *, row_number() over (partition by project_id order by priority, name, alignment_id) as number, row_number() over (partition by project_id, name order by priority, alignment_id) as again, case priority when 1 then 'preferred' when 3 then 'future' else 'alternate' end as label from xa),
+ xs as (select *, name || case when again > 1 then ' (' || again || ')' else '' end as shown from xn), xl as (select l_orderkey as alignment_id, count(*) as legs from lineitem group by 1),
+ xf as (select xs.*, legs, 'p' || project_id || '/' || printf('%02d', number) || '_' || label || '_' || lower(name) || case when again > 1 then '-' || again else '' end || '.gpx' as file from xs join xl using (alignment_id))"""
+
+
+@query(
+    f"""with {_EXPORTED}, xd as (select project_id, count(*) as flags from (select project_id, alignment_id, min(l_linenumber) as place from xf join lineitem on l_orderkey = alignment_id group by all union select project_id, alignment_id, l_linenumber + 1 from xf join lineitem on l_orderkey = alignment_id) o group by 1),
+    xp as (select n_nationkey as project_id, 'p' || n_nationkey || '/p' || n_nationkey || '_all.gpx' as file, n_name as name from nation)
+    select project_id::int as project_id, file, shown as name, legs as tracks, case when legs = 1 then 2 else legs + 1 end::bigint as flags, 1::bigint as colours from xf
+    union all select xp.project_id::int, xp.file, xp.name, coalesce(sum(legs), 0)::bigint, coalesce(min(xd.flags), 0)::bigint, count(distinct label)::bigint from xp left join xf on xf.project_id = xp.project_id left join xd on xd.project_id = xp.project_id group by xp.project_id, xp.file, xp.name"""
+)
+def s09_export_files(spark, d):
+    """Every project's files written under their names, read back and parsed."""
+    a = adapted(spark, d, "alignments").select("project_id", "alignment_id", "name", C.parse_priority(F.col("priority_text")).alias("priority"), F.lit("a & b").alias("notes"), F.lit(None).cast("string").alias("trailhead"))
+    li = table(spark, d, "lineitem")
+    at = lambda k: F.struct((F.col("l_orderkey") % 170 + k * 0.001).cast("double").alias("lon"), (F.col("l_orderkey") / 10_000).cast("double").alias("lat"))
+    legs = li.select(F.col("l_orderkey").alias("alignment_id"), F.col("l_linenumber").alias("leg"), F.lit("").alias("name"), F.lit("New").alias("kind"), F.lit("").alias("notes"), F.col("l_quantity").cast("double").alias("length_m"), F.array(at(F.col("l_linenumber")), at(F.col("l_linenumber") + 1)).alias("coords"))
+    projects = table(spark, d, "nation").select(F.col("n_nationkey").alias("project_id"), F.concat(F.lit("p"), F.col("n_nationkey").cast("string")).alias("slug"), F.col("n_name").alias("name"))
+    folder = scratch_path(spark, "export")
+    made = gpx_export.export_projects(projects, a, legs, "2026-01-01T00:00:00Z")
+    gpx_export.write_named(made, folder).agg(F.sum("bytes")).first()
+    files = spark.read.option("recursiveFileLookup", True).text(folder, wholetext=True).select(F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+/[^/]+)$", 1).alias("file"), "value")
+    parsed = files.withColumn("g", F.from_xml("value", "metadata struct<name:string,time:string>, wpt array<struct<name:string,sym:string>>, trk array<struct<name:string,extensions:struct<TrackExtension:struct<DisplayColor:string>>,trkseg:array<struct<trkpt:array<struct<_lat:double>>>>>>", {"ignoreNamespace": "true"}))
+    size = lambda c: F.when(F.col(c).isNull(), 0).otherwise(F.size(c)).cast("long")
+    tints = F.array_distinct(F.transform("g.trk", lambda t: t["extensions"]["TrackExtension"]["DisplayColor"]))
+    found = parsed.withColumn("whole", F.forall(F.coalesce("g.trk", F.array().cast(parsed.schema["g"].dataType["trk"].dataType)), lambda t: (F.size(t["trkseg"]) == 1) & (F.size(t["trkseg"][0]["trkpt"]) == 2)) & (F.col("g.metadata.time") == "2026-01-01T00:00:00Z"))
+    return found.filter("whole").select(F.regexp_extract("file", r"^p(\d+)/", 1).cast("int").alias("project_id"), "file", F.col("g.metadata.name").alias("name"), size("g.trk").alias("tracks"), size("g.wpt").alias("flags"), F.when(F.col("g.trk").isNull(), 0).otherwise(F.size(tints)).cast("long").alias("colours"))

@@ -9,9 +9,39 @@ from pyspark.sql import functions as F
 TEXTS = ["title", "region", "product", "source", "source_url", "horizontal_crs", "vertical_datum", "cog_url", "pmtiles_url", "tiles_url", "slope_url", "slope_tiles_url", "fill_mode", "notes"]
 NUMBERS = {"year": "int", "native_res_m": "double", "min_zoom": "int", "max_zoom": "int", "coverage_km2": "double", "z_min": "double", "z_max": "double", "slope_step": "double"}
 CONTEXT = [
-    {"slug": "terrarium", "title": "AWS Terrain Tiles (Terrarium)", "kind": "context", "encoding": "terrarium", "tiles_url": "https://s3.amazonaws.com/elevation-tiles-prod/terrarium/{z}/{x}/{y}.png", "min_zoom": "0", "max_zoom": "15", "region": "Global", "enabled": "true"},
-    {"slug": "usgs3dep", "title": "USGS 3DEP elevation (ImageServer)", "kind": "context", "encoding": "imageserver", "tiles_url": "https://elevation.nationalmap.gov/arcgis/rest/services/3DEPElevation/ImageServer", "min_zoom": "0", "max_zoom": "14", "region": "United States", "enabled": "false"},
+    {
+        "slug": "terrarium",
+        "title": "AWS Terrain Tiles (Terrarium)",
+        "kind": "context",
+        "encoding": "terrarium",
+        "tiles_url": "https://s3.amazonaws.com/elevation-tiles-prod/terrarium/{z}/{x}/{y}.png",
+        "min_zoom": "0",
+        "max_zoom": "15",
+        "region": "Global",
+        "product": "Regional DEM (USGS NED 2 arc-second in Alaska; includes bathymetry)",
+        "source": "Mapzen / AWS Open Data Terrain Tiles",
+        "source_url": "https://registry.opendata.aws/terrain-tiles/",
+        "notes": "Public, no key, CORS open. The map's terrain outside lidar footprints.",
+        "enabled": "true",
+    },
+    {
+        "slug": "usgs3dep",
+        "title": "USGS 3DEP elevation (ImageServer)",
+        "kind": "context",
+        "encoding": "imageserver",
+        "tiles_url": "https://elevation.nationalmap.gov/arcgis/rest/services/3DEPElevation/ImageServer",
+        "min_zoom": "0",
+        "max_zoom": "14",
+        "region": "United States",
+        "product": "Regional DEM (5 m IfSAR in Alaska)",
+        "source": "USGS 3D Elevation Program",
+        "source_url": "https://www.usgs.gov/3d-elevation-program",
+        "notes": "Live float32 exports per tile; slower than Terrarium. Off by default.",
+        "enabled": "false",
+    },
 ]
+# Texts of a catalogue's own context.
+BAKED = {"region": "Around every hosted survey", "product": "Regional DEM (USGS 3DEP 1/3 arc-second, baked)", "source": "USGS 3D Elevation Program, baked", "source_url": "https://www.usgs.gov/3d-elevation-program"}
 _FEATURE = "struct<properties:map<string,string>,geometry:struct<type:string,coordinates:string>>"
 _CATALOGUE = f"struct<features:array<{_FEATURE}>,context:map<string,string>>"
 
@@ -34,15 +64,16 @@ def source_rows(features: DataFrame) -> DataFrame:
     return rows.filter("slug is not null")
 
 
-def context_rows(contexts: DataFrame) -> DataFrame:
-    """The row of a catalogue's own context (a map), if it has an id and tiles: zooms 0 to 13 and ten metres unless it says so."""
+def context_rows(contexts: DataFrame, source: str = BAKED["source"]) -> DataFrame:
+    """The row of a catalogue's own context (a map), if it has an id and tiles: zooms 0 to 13 and ten metres unless it says so. ``source`` says who made it."""
     p = F.col("context")
     at = lambda n: F.nullif(F.try_element_at(p, F.lit(n)), F.lit(""))
     zero = lambda n, t, other: F.when(F.coalesce(at(n).try_cast(t), F.lit(0)) == 0, F.lit(other)).otherwise(at(n).try_cast(t))
     made = {
         "title": F.coalesce(at("title"), at("id")), "pmtiles_url": at("pmtiles_url"), "tiles_url": F.coalesce(at("tiles_url"), F.lit("")),
-        "min_zoom": zero("min_zoom", "int", 0), "max_zoom": zero("max_zoom", "int", 13), "native_res_m": zero("native_res_m", "double", 10.0), "region": F.lit("Around every hosted survey"),
+        "min_zoom": zero("min_zoom", "int", 0), "max_zoom": zero("max_zoom", "int", 13), "native_res_m": zero("native_res_m", "double", 10.0),
     }
+    made |= {n: F.lit(v) for n, v in {**BAKED, "source": source}.items()}
     rest = [(made[n] if n in made else F.lit("")).alias(n) for n in TEXTS] + [(made[n] if n in made else F.lit(None)).cast(t).alias(n) for n, t in NUMBERS.items()]
     rows = contexts.select(at("id").alias("slug"), F.lit("context").alias("kind"), F.lit("mapbox").alias("encoding"), F.lit(None).cast("string").alias("footprint"), F.lit(True).alias("enabled"), *rest)
     return rows.filter("slug is not null and pmtiles_url is not null")

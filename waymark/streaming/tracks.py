@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.rounds import removed, settled
 from ..operators.tracks import track_summary
 from ..sources.gpx import parse_gpx, split_gpx
 
@@ -30,23 +31,38 @@ def latest_edits(edits: DataFrame, key: str = "alignment_id") -> DataFrame:
 def reevaluate_on_edit(edits: DataFrame, evaluate, results: str, checkpoint: str):
     """Evaluate the latest edit of every alignment in a batch; rows are keyed by (alignment_id, seq), so doing it twice changes nothing.
 
-    ``evaluate`` maps edits to results with alignment_id and seq. Edits that it leaves
-    out, and all of a batch that it fails on, are kept as "failed" with the error.
+    ``evaluate`` maps edits to results with alignment_id and seq. Where it fails, the edits
+    are halved by a hash of the alignment and each half is tried again, down to the edits
+    that fail by themselves: those are kept as "failed" with the error, as are edits that
+    it leaves out, and all others are done. A batch that runs again replaces its folder.
     """
 
     def apply(batch: DataFrame, n: int) -> None:
-        latest = latest_edits(batch)
         path = f"{results}/batch={n}"
-        kept = latest.select("alignment_id", "seq")
-        try:
-            done = evaluate(latest).withColumns({"status": F.lit("done"), "error": F.lit(None).cast("string")})
-            missing = kept.join(done.select("alignment_id", "seq"), ["alignment_id", "seq"], "left_anti").withColumns({"status": F.lit("failed"), "error": F.lit("no result")})
-            done.unionByName(missing, allowMissingColumns=True).write.mode("overwrite").parquet(path)
-        except Exception as e:  # the edit is not lost; a later one may mend it
-            kept.withColumns({"status": F.lit("failed"), "error": F.lit(str(e)[:500])}).write.mode("overwrite").parquet(path)
+        removed(batch.sparkSession, path)
+        half_by_half(settled(latest_edits(batch)), evaluate, path)
 
     return edits.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(apply).start()
 
 
+def half_by_half(edits: DataFrame, evaluate, path: str, bits: str = "") -> None:
+    """Write the results of ``edits`` under ``path``, a part for each share that ``evaluate`` could take; ``bits`` are the hash bits that the share's edits have in common."""
+    kept, part = edits.select("alignment_id", "seq"), f"{path}/part={bits or 'all'}"
+    failed = lambda rows, why: rows.withColumns({"status": F.lit("failed"), "error": F.lit(why[:500])})
+    try:
+        done = settled(evaluate(edits).withColumns({"status": F.lit("done"), "error": F.lit(None).cast("string")}))
+        missing = failed(kept.join(done.select("alignment_id", "seq"), ["alignment_id", "seq"], "left_anti"), "no result")
+        done.unionByName(missing, allowMissingColumns=True).write.mode("overwrite").parquet(part)
+    except Exception as e:  # the edit is not lost; a later one may mend it
+        if len(bits) >= 60 or len(kept.take(2)) < 2:
+            failed(kept, str(e)).write.mode("overwrite").parquet(part)
+            return
+        bit = F.shiftright(F.xxhash64("alignment_id"), len(bits)).bitwiseAND(1)
+        for side in (0, 1):
+            share = edits.filter(bit == side)
+            if not share.isEmpty():
+                half_by_half(share, evaluate, path, f"{bits}{side}")
+
+
 def current_results(results: DataFrame, key: str = "alignment_id") -> DataFrame:
     return latest_edits(results, key)
