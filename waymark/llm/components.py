@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import math
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -24,14 +27,44 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     return joined.filter("a > b").toDF("u", "v").distinct()
 
 
+#: Edges of which a task keeps a spanning forest.
+FOREST_EDGES = 1 << 18
+
+
+def _forest(batches):
+    """The edges of a task without those whose ends its earlier edges join already."""
+    root: dict = {}
+
+    def find(x):
+        while (up := root.setdefault(x, x)) != x:
+            root[x] = x = root[up]
+        return x
+
+    for batch in batches:
+        keep = []
+        for u, v in zip(*(map(_hashable, batch.column(c).to_pylist()) for c in ("u", "v")), strict=True):
+            a, b = find(u), find(v)
+            root[a] = b
+            keep.append(a != b)
+        yield batch.filter(pa.array(keep, pa.bool_()))
+
+
+def _hashable(x):
+    return tuple(x.items()) if isinstance(x, dict) else x
+
+
 def connected_components(edges: DataFrame, label: str, most_rounds: int = 50) -> DataFrame:
     """(node, root) for every node of ``edges`` (columns u, v of any one ordered type); root is the least node of its component.
 
-    Each round's pairs are written to the shared folder, so lineage stays short. A
-    null end takes no part; loops and repeated edges change nothing.
+    First a task drops the edges that join nothing anew among its ``FOREST_EDGES``, so many
+    links within a group don't travel. Each round's pairs are written to the shared folder,
+    so lineage stays short. A null end takes no part; loops and repeated edges change nothing.
     """
     pairs = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).filter("u is not null and v is not null and u > v").distinct()
-    pairs = materialise(pairs, label)
+    whole = materialise(pairs, label)
+    tasks = max(1, math.ceil(whole.count() / FOREST_EDGES))
+    pairs = materialise(whole.coalesce(tasks).mapInArrow(_forest, whole.schema), label)
+    release(whole)
     for _ in range(most_rounds):
         if _only_stars(pairs):
             break
