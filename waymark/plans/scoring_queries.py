@@ -214,3 +214,22 @@ def x03_distinct_visible(spark, d):
 def j10_project_panel(spark, d):
     legs = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("alignment_id"))
     return I.project_panel(adapted(spark, d, "alignments").filter("visibility <> 'private'"), legs)
+
+
+@query(
+    """with recursive p as (select alignment_id as project_id, name, parent_id, visibility <> 'private' as seen from alignments), up as (select project_id as id, parent_id as at, 1 as depth from p where parent_id is not null union all select up.id, p.parent_id, depth + 1 from up join p on p.project_id = up.at where p.parent_id is not null),
+    pa as (select up.id, string_agg(up.at::varchar, ',' order by depth) as parents from up join p on p.project_id = up.at and p.seen group by 1), ch as (select parent_id as id, string_agg(project_id::varchar, ',' order by name, project_id) as children from p where seen and parent_id is not null group by 1),
+    al as (select l_orderkey as id, l_linenumber as k, l_partkey % 3 as priority, 'n' || l_linenumber as name, count(*) as legs from lineitem group by all), aa as (select id, string_agg(k || ':' || legs, ',' order by priority, name, k) as alignments from al group by 1),
+    tr as (select l_orderkey as id, string_agg(l_partkey::varchar, ',' order by l_shipdate desc, l_partkey) as tracks from (select distinct l_orderkey, l_partkey, l_shipdate from lineitem) o group by 1)
+    select project_id, coalesce(parents, '') as parents, coalesce(children, '') as children, coalesce(alignments, '') as alignments, coalesce(tracks, '') as tracks from p left join pa on pa.id = project_id left join ch on ch.id = project_id left join aa on aa.id = project_id left join tr on tr.id = project_id where seen"""
+)
+def j10_project_pages(spark, d):
+    """A page for every visible row of the tree of alignments, taken as projects; their lines are the alignments and, by ship date, the tracks."""
+    p = adapted(spark, d, "alignments")
+    projects = p.select(F.col("alignment_id").alias("project_id"), "name", "parent_id")
+    li = table(spark, d, "lineitem")
+    lines = li.select(F.col("l_orderkey").alias("project_id"), F.struct("l_orderkey", "l_linenumber", (F.col("l_partkey") % 3).alias("p")).alias("alignment_id"), F.concat(F.lit("n"), F.col("l_linenumber").cast("string")).alias("name"), (F.col("l_partkey") % 3).alias("priority"), F.lit(None).cast("long").alias("parent_id"))
+    tracks = li.select(F.col("l_orderkey").alias("project_id"), F.col("l_partkey").alias("track_id"), F.lit("t").alias("name"), F.col("l_shipdate").alias("taken_at"), F.lit(1.0).alias("length_m")).distinct()
+    out = I.project_pages(projects, p.filter("visibility <> 'private'").select(F.col("alignment_id").alias("project_id")), lines.distinct(), lines.select("alignment_id"), tracks)
+    ids = lambda c, f: F.array_join(F.transform(c, lambda x: f(x).cast("string")), ",").alias(c)
+    return out.select("project_id", ids("parents", lambda x: x["project_id"]), ids("children", lambda x: x["project_id"]), ids("alignments", lambda x: F.concat(x["alignment_id"]["l_linenumber"].cast("string"), F.lit(":"), x["legs"].cast("string"))), ids("tracks", lambda x: x["track_id"]))
