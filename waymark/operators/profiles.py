@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 
 from .evaluate import running_mean_clip
 from .lines import densify, interp_at, nearest_on_lines
-from .scoring import _turned, turning
+from .rounds import settled
+from .scoring import _turned, legs_signature, turning
 
 def _by_i():
     return Window.partitionBy("line_id").orderBy("i")
@@ -108,6 +109,21 @@ def apply_candidate(vertices: DataFrame, candidate: DataFrame, picked: DataFrame
     return kept.union(new.select("line_id", "leg", "seq", kind.alias("kind"), at["x"].alias("x"), at["y"].alias("y")))
 
 
+def apply_if_unchanged(vertices: DataFrame, candidate: DataFrame, picked: DataFrame, leaving: DataFrame, signed: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """What ``apply_candidate`` makes of the lines whose legs still have the signature that the candidate was made for, and (line_id, reason) of the others.
+
+    ``signed``: line_id, signature (as of ``legs_signature``); ``vertices`` has lon and lat
+    too. A line without a signature, or without legs, is refused.
+    """
+    now = legs_signature(vertices).withColumnRenamed("signature", "now")
+    told = picked.select("line_id").distinct().join(signed, "line_id", "left").join(now, "line_id", "left")
+    reason = F.when(F.col("now").isNull(), "no legs").when(F.col("signature").isNull(), "not signed").when(F.col("now") != F.col("signature"), "the legs have changed")
+    told = settled(told.select("line_id", reason.alias("reason")))
+    good = told.filter("reason is null").select("line_id")
+    held = lambda rows: rows.join(good, "line_id", "left_semi")
+    return apply_candidate(held(vertices), held(candidate), held(picked), held(leaving)), told.filter("reason is not null")
+
+
 # --- effort by sample ---------------------------------------------------------------
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import settings as S
 from ..functions.scalars import colour_ramp, curve_value
 from ..operators import profiles as P
+from ..operators import scoring as R
 from ..operators import terrain as T
 from .adapters import adapted, table
 from .catalogue_queries import _GRID, _VERTICES, _VIEWS, _grid, _vertices, _views
@@ -154,6 +155,23 @@ def l12_apply_candidate(spark, d):
     return rounded(P.apply_candidate(v, _moved(spark, d).withColumn("leg", leg), picked, leaving))
 
 
+@query(
+    f"""with {_MOVED}, o as (select line_id, (seq // 10)::int as leg, seq, x, y, case when seq // 10 % 2 = 0 then 'existing' else 'new' end as kind from v), e as (select o.line_id, o.leg, o.seq, case when o.leg between 1 and 3 and kind = 'existing' and o.leg = 2 then 'reroute' else kind end as kind, case when o.leg between 1 and 3 and o.seq not in (10, f) then m.x else o.x end as x, o.y
+    from o join m on m.line_id = o.line_id and m.seq = o.seq join (select line_id, max(seq) filter (leg = 3) as f from o group by line_id) k on k.line_id = o.line_id)
+    select line_id, leg, seq, kind, round(x, 6) as x, round(y, 6) as y from e where line_id % 4 <> 1 and line_id % 4 <> 2 union all select line_id, null, null, case line_id % 4 when 1 then 'the legs have changed' else 'not signed' end, null, null from (select distinct line_id from o) where line_id % 4 in (1, 2)"""
+)
+def l12_apply_if_unchanged(spark, d):
+    """Candidates for lines of which some have changed since and some were never signed; refusals are rows with their reason."""
+    v = _vertices(spark, d).withColumn("leg", (F.col("seq") / 10).cast("int")).withColumns({"kind": F.when((F.col("seq") / 10).cast("int") % 2 == 0, "existing").otherwise("new"), "lon": F.col("x") / 56000, "lat": F.col("y") / 111000})
+    k = F.col("line_id") % 4
+    signed = R.legs_signature(v.withColumn("lat", F.when((k == 1) & (F.col("seq") == 1), F.col("lat") + 0.001).otherwise(F.col("lat")))).filter(k != 2)
+    picked = v.select("line_id", F.lit(1).alias("first"), F.lit(3).alias("last")).distinct()
+    leaving = v.filter("leg = 2").select("line_id", "leg", F.lit(True).alias("leaves")).distinct()
+    made, refused = P.apply_if_unchanged(v, _moved(spark, d).withColumn("leg", (F.col("seq") / 10).cast("int")), picked, leaving, signed)
+    none = lambda n: F.lit(None).cast(dict(made.dtypes)[n]).alias(n)
+    return rounded(made.unionByName(refused.select("line_id", none("leg"), none("seq"), F.col("reason").alias("kind"), none("x"), none("y"))))
+
+
 @query(
     f"""{_STACK.split(", p as")[0]}, p as (select distinct r // 2 as wr, c // 2 as wc from g), q as (select wr, wc, a * 2 + b as k, source, wc * 2 + b - 0.5e0 as u, wr * 2 + a - 0.5e0 as v from p, (values ('a'), ('b')) s(source), (values (0, 0), (0, 1), (1, 0), (1, 1)) o(a, b)),
     e as (select wr, wc, k, q.source, sum(z * (case when i = 1 then v - floor(v) else 1 - v + floor(v) end) * (case when j = 1 then u - floor(u) else 1 - u + floor(u) end)) as z, count(z) as n from q, (values (0, 0), (0, 1), (1, 0), (1, 1)) o(i, j), cells where cells.source = q.source and r = floor(v) + i and c = floor(u) + j group by all),
