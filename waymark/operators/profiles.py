@@ -29,22 +29,27 @@ def curvature(samples: DataFrame, width: int = 5) -> DataFrame:
 
 
 def adaptive_resample(vertices: DataFrame, h: float, turn_deg: float = 10.0, least: float = 0.3) -> DataFrame:
-    """(line_id, k, x, y): points that turn by ``turn_deg`` at most, from ``least`` to ``h`` metres apart; both ends kept."""
+    """(line_id, k, x, y): points that turn by ``turn_deg`` at most, from ``least`` to ``h`` metres apart; both ends kept.
+
+    The steps wished for add up along a fine copy of the line; where the sum passes a whole
+    share of itself a point is made, so the line is measured once and cut as it is read.
+    """
     fine = densify(vertices, ["line_id"], min(least, h) / 2)
-    fine = fine.withColumn("seq", F.row_number().over(Window.partitionBy("line_id").orderBy("d")))
-    step = F.least(F.greatest(F.col("radius") * math.radians(turn_deg), F.lit(least)), F.lit(float(h)))
-    at = fine.join(turning(fine).select("line_id", F.col("seg").alias("seq"), step.alias("step")), ["line_id", "seq"], "left")
     w = Window.partitionBy("line_id").orderBy("seq")
-    own = F.coalesce("step", F.lag("step").over(w))
-    at = at.withColumn("step", own).withColumn("count", F.coalesce(2 * (F.col("d") - F.lag("d").over(w)) / (F.col("step") + F.lag("step").over(w)), F.lit(0.0)))
-    at = at.withColumn("n", F.sum("count").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    whole = at.groupBy("line_id").agg(F.max("n").alias("n")).withColumn("m", F.greatest(F.ceil("n"), F.lit(1)).cast("int"))
-    asked = whole.select("line_id", "n", "m", F.explode(F.sequence(F.lit(0), "m")).alias("k")).select("line_id", "k", (F.col("n") * F.col("k") / F.col("m")).alias("q"))
-    by_n = at.select("line_id", F.col("n").alias("d"), "x", "y")
-    out = asked
-    for c in ("x", "y"):
-        out = out.join(interp_at(by_n, asked, c), ["line_id", "q"])
-    return out.select("line_id", "k", "x", "y")
+    fine = settled(fine.select("line_id", "d", "x", "y", F.row_number().over(Window.partitionBy("line_id").orderBy("d")).alias("seq")))
+    wished = F.least(F.greatest(F.col("radius") * math.radians(turn_deg), F.lit(least)), F.lit(float(h)))
+    at = fine.join(turning(fine).select("line_id", F.col("seg").alias("seq"), wished.alias("step")), ["line_id", "seq"], "left")
+    at = at.withColumn("step", F.coalesce("step", F.lag("step").over(w)))
+    share = F.coalesce(2 * (F.col("d") - F.lag("d").over(w)) / (F.col("step") + F.lag("step").over(w)), F.lit(0.0))
+    at = at.withColumn("n", F.sum(share).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    at = at.withColumns({"total": F.max("n").over(Window.partitionBy("line_id")), "n0": F.lag("n").over(w), "x0": F.lag("x").over(w), "y0": F.lag("y").over(w), "last": F.lead("n").over(w).isNull()})
+    at = at.withColumn("m", F.greatest(F.ceil("total"), F.lit(1)).cast("int"))
+    passed = lambda n: F.floor(F.col(n) * F.col("m") / F.col("total") + 1e-9).cast("int")
+    at = at.withColumns({"low": F.when(F.col("n0").isNull(), 0).otherwise(passed("n0") + 1), "high": F.when(F.col("n0").isNull(), 0).when(F.col("last"), F.col("m")).otherwise(passed("n"))})
+    cut = at.filter("low <= high").withColumn("k", F.explode(F.sequence("low", "high")))
+    t = F.coalesce(F.least(F.greatest(F.try_divide(F.col("total") * F.col("k") / F.col("m") - F.col("n0"), F.col("n") - F.col("n0")), F.lit(0.0)), F.lit(1.0)), F.lit(1.0))
+    between = lambda c: (F.coalesce(f"{c}0", c) + t * (F.col(c) - F.coalesce(f"{c}0", c))).alias(c)
+    return cut.select("line_id", "k", between("x"), between("y"))
 
 
 def split_at_joints(vertices: DataFrame, joints: DataFrame) -> DataFrame:

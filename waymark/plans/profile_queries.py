@@ -245,3 +245,9 @@ def p16_clean_factor_settings(spark, d):
 def p17_upgrade_settings(spark, d):
     li = table(spark, d, "lineitem")
     return li.select(F.col("l_orderkey").alias("id"), F.col("l_linenumber").alias("n"), S.upgraded_weight(F.pi() * F.col("l_extendedprice").cast("double"), F.col("l_quantity").cast("double") - 2, F.col("l_linenumber") % 2 == 0).alias("k"))
+
+
+@query(None)
+def l03_adaptive_resample(spark, d):
+    """Every line, closer where it turns."""
+    return rounded(P.adaptive_resample(_vertices(spark, d).drop("leg"), 4.0), 4)
