@@ -61,3 +61,18 @@ def test_one_bad_edit_does_not_fail_its_batch(spark, tmp_path):
     got = {r.alignment_id: r for r in spark.read.option("mergeSchema", True).parquet(str(tmp_path / "out")).collect()}
     assert len(got) == 40 and {k for k, r in got.items() if r.status == "failed"} == {7, 23}
     assert got[9].twice == 18 and "no terrain at 7" in got[7].error and "no terrain at 23" in got[23].error
+
+
+def test_errors_told_in_rows_take_no_halving(spark, tmp_path):
+    edits = spark.createDataFrame([(k, 100 + k, float(k)) for k in range(40)], "alignment_id long, seq long, metres double")
+    asked = []
+
+    def picky(e):
+        asked.append(1)
+        bad = F.col("alignment_id") % 2 == 1
+        return e.select("alignment_id", "seq", F.when(~bad, 2 * F.col("metres")).alias("twice"), F.when(bad, "no terrain").alias("error"))
+
+    T.half_by_half(edits, picky, str(tmp_path / "out"))
+    got = {r.alignment_id: r for r in spark.read.option("mergeSchema", True).parquet(str(tmp_path / "out")).collect()}
+    assert len(asked) == 1 and {k for k, r in got.items() if r.status == "failed" and r.error == "no terrain"} == set(range(1, 40, 2))
+    assert all(got[k].status == "done" and got[k].error is None and got[k].twice == 2 * k for k in range(0, 40, 2))

@@ -31,7 +31,8 @@ def latest_edits(edits: DataFrame, key: str = "alignment_id") -> DataFrame:
 def reevaluate_on_edit(edits: DataFrame, evaluate, results: str, checkpoint: str):
     """Evaluate the latest edit of every alignment in a batch; rows are keyed by (alignment_id, seq), so doing it twice changes nothing.
 
-    ``evaluate`` maps edits to results with alignment_id and seq. Where it fails, the edits
+    ``evaluate`` maps edits to results with alignment_id and seq, and may have a text ``error``:
+    rows with one are kept as "failed" and cost no more than others. Where it raises, the edits
     are halved by a hash of the alignment and each half is tried again, down to the edits
     that fail by themselves: those are kept as "failed" with the error, as are edits that
     it leaves out, and all others are done. A batch that runs again replaces its folder.
@@ -50,7 +51,9 @@ def half_by_half(edits: DataFrame, evaluate, path: str, bits: str = "") -> None:
     kept, part = edits.select("alignment_id", "seq"), f"{path}/part={bits or 'all'}"
     failed = lambda rows, why: rows.withColumns({"status": F.lit("failed"), "error": F.lit(why[:500])})
     try:
-        done = settled(evaluate(edits).withColumns({"status": F.lit("done"), "error": F.lit(None).cast("string")}))
+        found = evaluate(edits)
+        error = F.substring("error", 1, 500) if "error" in found.columns else F.lit(None).cast("string")
+        done = settled(found.withColumns({"status": F.when(error.isNull(), "done").otherwise("failed"), "error": error}))
         missing = failed(kept.join(done.select("alignment_id", "seq"), ["alignment_id", "seq"], "left_anti"), "no result")
         done.unionByName(missing, allowMissingColumns=True).write.mode("overwrite").parquet(part)
     except Exception as e:  # the edit is not lost; a later one may mend it
