@@ -7,6 +7,7 @@ from waymark.functions import scalars as S
 from waymark.operators import catalogue as C
 from waymark.operators import evaluate as V
 from waymark.operators import lines as L
+from waymark.operators import network
 from waymark.plans import QUERIES
 from waymark.plans.adapters import adapted
 from waymark.sources import gpx
@@ -152,3 +153,33 @@ def test_gpx_in_and_out(spark):
     text = {r.track_id: r.value for r in gpx.gpx_text(points).collect()}
     again = gpx.split_gpx(gpx.parse_gpx(gpx.gpx_text(points).toDF("file", "value")))[0]
     assert "<name>T</name>" in text["good"] and again.count() == 4
+
+
+def test_nearest_place_within_a_limit(spark):
+    """Against brute force; a point moves once, in the cell it lies in."""
+    r = np.random.default_rng(7)
+    at = np.cumsum(r.uniform(-9, 9, (3, 40, 2)), axis=1)
+    lines = spark.createDataFrame([(k, s, float(at[k, s, 0]), float(at[k, s, 1])) for k in range(3) for s in range(40)], "line_id int, seq int, x double, y double")
+    spots = [(i, int(i % 3), *map(float, r.uniform(-40, 40, 2))) for i in range(200)] + [(900, 1, None, 0.0)]
+    points = spark.createDataFrame(spots, "point_id int, line_id int, x double, y double")
+    for own in (False, True):
+        found = L.nearest_on_lines(points, lines, 4.0, same_line=own)
+        got = {p.point_id: p for p in found.collect()}
+        assert len(got) == 201 and got[900].distance is None
+        for i, k, x, y in spots[:-1]:
+            best = math.inf
+            for j in (k,) if own else range(3):
+                a, d = at[j, :-1], np.diff(at[j], axis=0)
+                t = np.clip(((np.array([x, y]) - a) * d).sum(1) / (d * d).sum(1), 0, 1)
+                best = min(best, np.hypot(*(np.array([x, y]) - a - t[:, None] * d).T).min())
+            assert (got[i].distance is None and best > 4) or math.isclose(got[i].distance, best, abs_tol=1e-9)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Generate explode") == 1  # only the lines are dealt to several cells
+
+
+def test_a_long_segment_carries_no_list_of_its_cells(spark):
+    """A trail of 2,000 km touches 40,000 cells; crossings in many cells are told once."""
+    lines = spark.createDataFrame([(1, 0, -1e6, 0.0), (1, 1, 1e6, 1.0), (2, 0, 5.0, -9.0), (2, 1, 6.0, 9.0), (3, 0, -2000.0, -1.5), (3, 1, 2000.0, 2.5)], "line_id int, seq int, x double, y double")
+    assert sorted(r.line_id for r in network.crossings(lines).collect()) == [1, 1, 2, 2, 3, 3]
+    one = spark.createDataFrame([(1, 0, -900.0, 0.0), (1, 1, 900.0, 1.0), (1, 2, 900.0, 30.0), (1, 3, -900.0, -20.0)], "line_id int, seq int, x double, y double")
+    assert [tuple(r) for r in L.self_crossings(one).collect()] == [(1, 0, 2)]

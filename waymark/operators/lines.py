@@ -98,42 +98,58 @@ def _cells(x: Column, y: Column, size: float, ring: int = 0) -> Column:
     return F.flatten(F.transform(span, lambda i: F.transform(span, lambda j: F.struct((F.floor(x / size) + i).alias("cx"), (F.floor(y / size) + j).alias("cy")))))
 
 
-def _segment_cells(size: float) -> Column:
-    """The grid cells that a segment (x, y, x2, y2) touches, column by column; about its length over ``size`` of them."""
+def _segment_cells(size: float, pad: float = 1e-6) -> Column:
+    """The grid cells that a segment (x, y, x2, y2) touches or comes within ``pad`` of, column by column; about its length over ``size`` of them."""
     low, high = F.least("x", "x2"), F.greatest("x", "x2")
     rise = F.try_divide(F.col("y2") - F.col("y"), F.col("x2") - F.col("x"))
 
     def rows(i: Column) -> Column:
-        a, b = (F.coalesce(F.col("y") + (edge - F.col("x")) * rise, other) for edge, other in ((F.greatest(i * size, low), F.col("y")), (F.least((i + 1) * size, high), F.col("y2"))))
+        a, b = (F.coalesce(F.col("y") + (edge - F.col("x")) * rise, other) for edge, other in ((F.greatest(i * size - pad, low), F.col("y")), (F.least((i + 1) * size + pad, high), F.col("y2"))))
         least, most = F.greatest(F.least(a, b), F.least("y", "y2")), F.least(F.greatest(a, b), F.greatest("y", "y2"))
-        return F.sequence(F.floor((least - 1e-6) / size), F.floor((most + 1e-6) / size))
+        return F.sequence(F.floor((least - pad) / size), F.floor((most + pad) / size))
 
-    columns = F.sequence(F.floor((low - 1e-6) / size), F.floor((high + 1e-6) / size))
+    columns = F.sequence(F.floor((low - pad) / size), F.floor((high + pad) / size))
     return F.flatten(F.transform(columns, lambda i: F.transform(rows(i), lambda j: F.struct(i.alias("cx"), j.alias("cy")))))
 
 
 def nearest_on_lines(points: DataFrame, lines: DataFrame, limit: float | None = None, same_line: bool = False) -> DataFrame:
     """(point_id, line_id, seg, distance, along): nearest place on any line, at any distance; with ``limit``, null beyond so many metres. The first segment wins ties.
 
-    Under a limit points look at the cells around their own, of the limit's size, so no nearer
-    segment can be missed. With ``same_line`` a point has a line_id and looks at that line only.
+    With ``same_line`` a point has a line_id and looks at that line only.
     """
     keys = ["line_id"] if same_line else []
-    if limit is None:
-        near = _near_at_any_distance(points, lines, keys)
-    else:
-        seg = segments(lines, ["line_id"]).withColumn("cell", F.explode(_segment_cells(limit)))
-        p = points.select("point_id", *keys, F.col("x").alias("px"), F.col("y").alias("py")).withColumn("cell", F.explode(_cells(F.col("px"), F.col("py"), limit, 1)))
-        near = p.join(seg, [*keys, "cell"])
+    if limit is not None:
+        return _near_within(points, lines, keys, float(limit))
+    near = _near_at_any_distance(points, lines, keys)
     dx, dy = F.col("x2") - F.col("x"), F.col("y2") - F.col("y")
     t = F.least(F.greatest(((F.col("px") - F.col("x")) * dx + (F.col("py") - F.col("y")) * dy) / (F.col("length") * F.col("length")), F.lit(0.0)), F.lit(1.0))
     near = near.withColumn("t", t).withColumn("distance", F.hypot(F.col("px") - F.col("x") - F.col("t") * dx, F.col("py") - F.col("y") - F.col("t") * dy))
-    if limit is not None:
-        near = near.filter(F.col("distance") <= limit)
     best = near.groupBy("point_id").agg(F.min(F.struct("distance", "line_id", "seg", (F.col("c0") + F.col("t") * F.col("length")).alias("along"))).alias("b"))
     return points.select("point_id").join(best, "point_id", "left").select("point_id", "b.line_id", "b.seg", "b.distance", "b.along")
 
 
+def _near_within(points: DataFrame, lines: DataFrame, keys: list[str], limit: float) -> DataFrame:
+    """Nearest places within ``limit``. A segment is listed in every cell that it comes within the limit of, so a point looks at its own cell only and moves once."""
+    size, pad = 2 * limit, limit * (1 + 1e-9) + 1e-6
+    seg = segments(lines, ["line_id"]).withColumn("cell", F.explode(_segment_cells(size, pad)))
+    own = F.struct("line_id", "seg", "x", "y", (F.col("x2") - F.col("x")).alias("dx"), (F.col("y2") - F.col("y")).alias("dy"), "length", "c0")
+    listed = seg.groupBy(*keys, "cell.cx", "cell.cy").agg(F.collect_list(own).alias("near"))
+    p = points.select("point_id", *keys, F.col("x").alias("px"), F.col("y").alias("py")).withColumns({"cx": F.floor(F.col("px") / size), "cy": F.floor(F.col("py") / size)})
+
+    def share(s: Column) -> Column:
+        t = ((F.col("px") - s["x"]) * s["dx"] + (F.col("py") - s["y"]) * s["dy"]) / (s["length"] * s["length"])
+        return F.struct(s.alias("s"), F.least(F.greatest(t, F.lit(0.0)), F.lit(1.0)).alias("t"))
+
+    def place(q: Column) -> Column:
+        s, t = q["s"], q["t"]
+        distance = F.hypot(F.col("px") - s["x"] - t * s["dx"], F.col("py") - s["y"] - t * s["dy"])
+        return F.struct(distance.alias("distance"), s["line_id"].alias("line_id"), s["seg"].alias("seg"), (s["c0"] + t * s["length"]).alias("along"))
+
+    best = F.array_min(F.filter(F.transform(F.transform("near", share), place), lambda q: q["distance"] <= limit))
+    met = p.join(listed.hint("shuffle_hash"), [*keys, "cx", "cy"], "left").select("point_id", best.alias("b"))
+    return met.select("point_id", "b.line_id", "b.seg", "b.distance", "b.along")
+
+
 def _near_at_any_distance(points: DataFrame, lines: DataFrame, keys: list[str]) -> DataFrame:
     """Each finite point with the segments that can be its nearest: branch and bound over a tree of cells, 16 to a cell.
 
@@ -195,14 +211,14 @@ def _side(ax, ay, bx, by, px, py) -> Column:
 
 
 def self_crossings(vertices: DataFrame, size: float = 50.0) -> DataFrame:
-    """(line_id, a, b): segments of a line, not neighbours, that properly cross. Each pair is made once, in the least cell both touch."""
-    seg = segments(vertices, ["line_id"]).select("line_id", "seg", "x", "y", "x2", "y2").withColumn("cells", _segment_cells(size)).withColumn("cell", F.explode("cells"))
+    """(line_id, a, b): segments of a line, not neighbours, that properly cross. They meet in the cells that both touch and each pair is told once."""
+    seg = segments(vertices, ["line_id"]).select("line_id", "seg", "x", "y", "x2", "y2").withColumn("cell", F.explode(_segment_cells(size)))
     p, q = seg.alias("p"), seg.alias("q")
     c = lambda side, n: F.col(f"{side}.{n}")
-    met = p.join(q, (c("p", "line_id") == c("q", "line_id")) & (c("p", "cell") == c("q", "cell")) & (c("q", "seg") - c("p", "seg") >= 2) & (F.array_min(F.array_intersect("p.cells", "q.cells")) == c("p", "cell")))
+    met = p.join(q, (c("p", "line_id") == c("q", "line_id")) & (c("p", "cell") == c("q", "cell")) & (c("q", "seg") - c("p", "seg") >= 2))
     s1, s2 = (_side(c("p", "x"), c("p", "y"), c("p", "x2"), c("p", "y2"), c("q", k), c("q", m)) for k, m in (("x", "y"), ("x2", "y2")))
     s3, s4 = (_side(c("q", "x"), c("q", "y"), c("q", "x2"), c("q", "y2"), c("p", k), c("p", m)) for k, m in (("x", "y"), ("x2", "y2")))
-    return met.filter((s1 * s2 < 0) & (s3 * s4 < 0)).select(c("p", "line_id").alias("line_id"), c("p", "seg").alias("a"), c("q", "seg").alias("b"))
+    return met.filter((s1 * s2 < 0) & (s3 * s4 < 0)).select(c("p", "line_id").alias("line_id"), c("p", "seg").alias("a"), c("q", "seg").alias("b")).distinct()
 
 
 # --- terrain ----------------------------------------------------------------------
