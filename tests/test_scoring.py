@@ -94,3 +94,14 @@ def test_whole_queries_reach_every_trail_view_and_row(spark):
     painted = QUERIES["g08_wet_overlay"](spark, folder)
     assert painted.agg(F.max("r")).first()[0] == last and painted.select("view_id").distinct().count() > 100
     assert QUERIES["a22_twi_percentiles"](spark, folder).count() == spark.read.parquet(f"{folder}/customer.parquet").count()
+
+
+def test_context_sources_are_put_in_order_once(spark):
+    """A slug that is a line's own, a footprint's or the world's is told once, and the context isn't sorted line by line."""
+    schema = "slug string, kind string, enabled boolean, gated boolean, cog_url string, tiles_url string, native_res double, year int, w double, s double, e double, n double"
+    rows = [("m2", "mapbox", True, False, None, "u", None, None, *[None] * 4), ("m1", "mapbox", True, False, None, "u", None, None, *[None] * 4), ("m1", "lidar", True, False, "u", None, 1.0, 2020, 0.0, 0.0, 1.0, 1.0)]
+    lines = spark.createDataFrame([(1, None, 0.5, 0.5, 0.6, 0.6), (2, "m2", 9.0, 9.0, 9.5, 9.5), (3, "terrarium", 9.0, 9.0, 9.5, 9.5)], "line_id int, own string, w double, s double, e double, n double")
+    made = terrain.choose_dem_sources(lines, spark.createDataFrame(rows, schema), 5.0)
+    got = {r.line_id: r.sources for r in made.collect()}
+    assert got == {1: ["m1", "m2", "terrarium"], 2: ["m2", "m1", "terrarium"], 3: ["terrarium", "m1", "m2"]}
+    assert "array_sort(concat" not in made._jdf.queryExecution().optimizedPlan().toString()
