@@ -183,3 +183,14 @@ def test_a_long_segment_carries_no_list_of_its_cells(spark):
     assert sorted(r.line_id for r in network.crossings(lines).collect()) == [1, 1, 2, 2, 3, 3]
     one = spark.createDataFrame([(1, 0, -900.0, 0.0), (1, 1, 900.0, 1.0), (1, 2, 900.0, 30.0), (1, 3, -900.0, -20.0)], "line_id int, seq int, x double, y double")
     assert [tuple(r) for r in L.self_crossings(one).collect()] == [(1, 0, 2)]
+
+
+def test_many_equal_lines_are_met_by_blocks_of_points(spark):
+    """Fifty copies of a line, points among and far from them: a point comes out once for a block, not once for every segment near it."""
+    line = [(k, i, 3.0 * i, 4.0 * (i % 2)) for k in range(50) for i in range(40)]
+    v = spark.createDataFrame(line, "line_id int, seq int, x double, y double")
+    p = spark.createDataFrame([(i, 7.0 * (i % 20), 900.0 * (i // 20)) for i in range(400)], "point_id int, x double, y double")
+    assert L._near_at_any_distance(p, v, []).count() == 400
+    got = {r.point_id: r for r in L.nearest_on_lines(p, v).collect()}
+    assert all(r.line_id == 0 for r in got.values()) and len(got) == 400
+    assert got[0].distance == 0 and abs(got[201].distance - 8996) < 0.1

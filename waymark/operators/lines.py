@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -120,11 +123,7 @@ def nearest_on_lines(points: DataFrame, lines: DataFrame, limit: float | None =
     keys = ["line_id"] if same_line else []
     if limit is not None:
         return _near_within(points, lines, keys, float(limit))
-    near = _near_at_any_distance(points, lines, keys)
-    dx, dy = F.col("x2") - F.col("x"), F.col("y2") - F.col("y")
-    t = F.least(F.greatest(((F.col("px") - F.col("x")) * dx + (F.col("py") - F.col("y")) * dy) / (F.col("length") * F.col("length")), F.lit(0.0)), F.lit(1.0))
-    near = near.withColumn("t", t).withColumn("distance", F.hypot(F.col("px") - F.col("x") - F.col("t") * dx, F.col("py") - F.col("y") - F.col("t") * dy))
-    best = near.groupBy("point_id").agg(F.min(F.struct("distance", "line_id", "seg", (F.col("c0") + F.col("t") * F.col("length")).alias("along"))).alias("b"))
+    best = _near_at_any_distance(points, lines, keys).groupBy("point_id").agg(F.min(F.struct("distance", "line_id", "seg", "along")).alias("b"))
     return points.select("point_id").join(best, "point_id", "left").select("point_id", "b.line_id", "b.seg", "b.distance", "b.along")
 
 
@@ -150,36 +149,132 @@ def _near_within(points: DataFrame, lines: DataFrame, keys: list[str], limit: fl
     return met.select("point_id", "b.line_id", "b.seg", "b.distance", "b.along")
 
 
-def _near_at_any_distance(points: DataFrame, lines: DataFrame, keys: list[str]) -> DataFrame:
-    """Each finite point with the segments that can be its nearest: branch and bound over a tree of cells, 16 to a cell.
+def _cut_to_cells(rows: DataFrame, keys: list[str], x: Column, y: Column, each: int, least: float = 0.0) -> tuple[DataFrame, int]:
+    """``rows`` with cx and cy, their cells in a square that is cut in 4 x 4 until a taken cell holds ``each`` rows on average or is about ``least`` wide; and how often it is cut. Two actions."""
+    size = rows.agg(F.count("*").alias("n"), *[f(m).alias(k) for k, f, m in (("x0", F.min, x), ("x1", F.max, x), ("y0", F.min, y), ("y1", F.max, y))]).first()
+    wide = max(size.x1 - size.x0, size.y1 - size.y0, least) or 1.0 if size.n else 1.0
+    deepest = max(1, min(12, int(math.log(wide / least, 4)) if least > 0 else 12))
+    at = lambda k: [F.least(F.floor((m - F.lit(low or 0.0)) / F.lit(wide) * 4**k), F.lit(4**k - 1)) for m, low in ((x, size.x0), (y, size.y0))]
+    taken = rows.agg(*[F.approx_count_distinct(F.struct(*keys, *at(k))) for k in range(1, deepest + 1)]).first()
+    depth = next((k for k in range(1, deepest + 1) if size.n <= each * taken[k - 1]), deepest)
+    cx, cy = at(depth)
+    return rows.withColumns({"cx": cx, "cy": cy}), depth
 
-    A segment lies in the cell of its middle; a cell's box holds its segments whole. Each side of a
-    box is touched by a segment, which bounds a point's distance from above; boxes farther than the
-    least such bound go. One action finds the extent.
+
+def _near_at_any_distance(points: DataFrame, lines: DataFrame, keys: list[str], points_each: int = 128, segments_each: int = 64) -> DataFrame:
+    """(point_id, line_id, seg, distance, along): the nearest place of each finite point, from one or several blocks of segments.
+
+    Branch and bound by blocks of points: points that lie together go down a tree of cells as one
+    box, to leaves of at most ``segments_each`` segments. Each side of a leaf's or cell's box is
+    touched by a segment, which bounds the distance of a whole block from above; what is farther
+    goes. A block's own points then rule out leaves once more, and only the rest meet its points.
+    So points move once, however many cells are near.
     """
     seg = settled(segments(lines, ["line_id"]).filter("length < double('infinity')"))
+    long = seg.agg(F.avg("length")).first()[0] or 0.0
     mx, my = (F.col("x") + F.col("x2")) / 2, (F.col("y") + F.col("y2")) / 2
-    size = seg.agg(F.count("*").alias("n"), F.avg("length").alias("length"), *[f(m).alias(k) for k, f, m in (("x0", F.min, mx), ("x1", F.max, mx), ("y0", F.min, my), ("y1", F.max, my))]).first()
-    wide = max(size.x1 - size.x0, size.y1 - size.y0, size.length) if size.n else 1.0
-    depth = max(1, min(math.ceil(math.log(max(size.n, 1), 16)), int(math.log(wide / (size.length or 1.0), 4))))
-    leaf = lambda m, low: F.least(F.floor((m - F.lit(low or 0.0)) / wide * 4**depth), F.lit(4**depth - 1))
-    seg = seg.withColumns({"cx": leaf(mx, size.x0), "cy": leaf(my, size.y0)})
+    seg, depth = _cut_to_cells(seg, keys, mx, my, segments_each, long)
+    chunk = F.floor((F.row_number().over(Window.partitionBy(*keys, "cx", "cy").orderBy(mx, my)) - 1) / segments_each)
+    edges = (("xl", F.min, F.least, "x", "x2"), ("xh", F.max, F.greatest, "x", "x2"), ("yl", F.min, F.least, "y", "y2"), ("yh", F.max, F.greatest, "y", "y2"))
+    own = F.array_sort(F.collect_list(F.struct("line_id", "seg", "x", "y", "x2", "y2", "length", "c0"))).alias("segs")
+    leaves = seg.withColumn("chunk", chunk).groupBy(*keys, "cx", "cy", "chunk").agg(own, *[f(g(a, b)).alias(n) for n, f, g, a, b in edges])
+    leaves = settled(leaves.withColumn("leaf", F.monotonically_increasing_id()))
+
     p = points.select("point_id", *keys, F.col("x").cast("double").alias("px"), F.col("y").cast("double").alias("py")).filter("abs(px) < double('infinity') and abs(py) < double('infinity')")
-    p = p.withColumns({"ux": F.lit(0).cast("long"), "uy": F.lit(0).cast("long")})
-    box = [f(g(a, b)).alias(n) for n, f, g, a, b in (("xl", F.min, F.least, "x", "x2"), ("xh", F.max, F.greatest, "x", "x2"), ("yl", F.min, F.least, "y", "y2"), ("yh", F.max, F.greatest, "y", "y2"))]
+    p, _ = _cut_to_cells(p, keys, F.col("px"), F.col("py"), points_each)
+    part = F.floor((F.row_number().over(Window.partitionBy(*keys, "cx", "cy").orderBy("px", "py")) - 1) / (4 * points_each))
+    blocks = p.withColumn("part", part).groupBy(*keys, "cx", "cy", "part").agg(F.collect_list(F.struct("point_id", "px", "py")).alias("points"), *[f(c).alias(n) for n, f, c in (("pxl", F.min, "px"), ("pxh", F.max, "px"), ("pyl", F.min, "py"), ("pyh", F.max, "py"))])
+    blocks = settled(blocks.withColumn("block", F.monotonically_increasing_id()))
+
+    at = blocks.select("block", *keys, "pxl", "pxh", "pyl", "pyh", F.lit(0).cast("long").alias("ux"), F.lit(0).cast("long").alias("uy"))
     for k in range(1, depth + 1):
-        at = [F.shiftright(c, 2 * (depth - k)).alias(c) for c in ("cx", "cy")]
-        nodes = seg.groupBy(*keys, *at).agg(*box).withColumns({"ux": F.shiftright("cx", 2), "uy": F.shiftright("cy", 2)})
-        few = not keys and k <= 4  # at most 65,536 nodes, whatever the input
-        f = p.join(F.broadcast(nodes) if few else nodes, [*keys, "ux", "uy"])
+        own = [F.shiftright(c, 2 * (depth - k)).alias(c) for c in ("cx", "cy")]
+        nodes = leaves.select("leaf", *keys, "cx", "cy", "xl", "xh", "yl", "yh") if k == depth else leaves.groupBy(*keys, *own).agg(*[f(n).alias(n) for n, f, *_ in edges])
+        nodes = nodes.withColumns({"ux": F.shiftright("cx", 2), "uy": F.shiftright("cy", 2)})
+        few = not keys and k <= 4 and k < depth  # at most 65,536 nodes, whatever the input
+        f = at.join(F.broadcast(nodes) if few else nodes, [*keys, "ux", "uy"])
+        away = lambda a, b, q: F.greatest(F.abs(F.col(a) - F.col(q)), F.abs(F.col(b) - F.col(q)))
         (nx, fx, lx), (ny, fy, ly) = (
-            (F.least(F.abs(F.col(q) - F.col(lo)), F.abs(F.col(hi) - F.col(q))), F.greatest(F.col(q) - F.col(lo), F.col(hi) - F.col(q)), F.greatest(F.col(lo) - F.col(q), F.col(q) - F.col(hi), F.lit(0.0)))
-            for q, lo, hi in (("px", "xl", "xh"), ("py", "yl", "yh"))
+            (F.least(away(a, b, lo), away(a, b, hi)), F.greatest(away(a, b, lo), away(a, b, hi)), F.greatest(F.col(lo) - F.col(b), F.col(a) - F.col(hi), F.lit(0.0)))
+            for a, b, lo, hi in (("pxl", "pxh", "xl", "xh"), ("pyl", "pyh", "yl", "yh"))
         )
         f = f.withColumns({"least": F.hypot(lx, ly), "most": F.least(F.hypot(nx, fy), F.hypot(fx, ny))})
-        f = f.withColumn("most", F.min("most").over(Window.partitionBy("point_id")))
-        p = f.filter(F.col("least") <= F.col("most") * (1 + 1e-9) + 1e-6).select("point_id", *keys, "px", "py", F.col("cx").alias("ux"), F.col("cy").alias("uy"))
-    return p.join(seg.withColumnsRenamed({"cx": "ux", "cy": "uy"}), [*keys, "ux", "uy"])
+        f = f.withColumn("most", F.min("most").over(Window.partitionBy("block"))).filter(F.col("least") <= F.col("most") * (1 + 1e-9) + 1e-6)
+        if k < depth:
+            at = f.select("block", *keys, "pxl", "pxh", "pyl", "pyh", F.col("cx").alias("ux"), F.col("cy").alias("uy"))
+    listed = f.groupBy("block").agg(F.collect_list(F.struct("leaf", "xl", "xh", "yl", "yh")).alias("leaves"))
+    xy = F.transform("points", lambda q: F.struct(q["px"].alias("px"), q["py"].alias("py"))).alias("points")
+    needed = listed.join(blocks.select("block", xy), "block").mapInArrow(_needed_leaves, "block long, leaf long")
+    met = needed.join(leaves.select("leaf", "segs"), "leaf").join(blocks.select("block", "points").hint("merge"), "block")
+    types = [f"point_id {points.schema['point_id'].dataType.simpleString()}", *[f"{c} {lines.schema[n].dataType.simpleString()}" for c, n in (("line_id", "line_id"), ("seg", "seq"))]]
+    return met.select("block", "segs", "points").mapInArrow(_nearest_in_blocks, ", ".join([*types, "distance double", "along double"]))
+
+
+def _lists(batch: pa.RecordBatch, name: str) -> tuple[np.ndarray, dict[str, pa.Array]]:
+    """Offsets of a column of lists of structs, and the fields of all its items."""
+    lists = batch.column(name)
+    items = lists.values
+    return lists.offsets.to_numpy(), {n: items.field(n) for n in (f.name for f in items.type)}
+
+
+def _needed_leaves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(block, leaf): leaves whose box comes as near to one of the block's points as the nearest segment can be."""
+    for batch in batches:
+        at, points = _lists(batch, "points")
+        of, boxes = _lists(batch, "leaves")
+        px, py, leaf = points["px"].to_numpy(), points["py"].to_numpy(), boxes["leaf"].to_numpy()
+        sides = np.stack([boxes[n].to_numpy() for n in ("xl", "xh", "yl", "yh")])
+        blocks, out = batch.column("block").to_numpy(), []
+        for k in range(batch.num_rows):
+            xl, xh, yl, yh = sides[:, of[k] : of[k + 1]]
+            keep = np.zeros(len(xl), bool)
+            step = max(1, 500_000 // len(xl))
+            for i in range(at[k], at[k + 1], step):
+                x, y = (v[i : min(i + step, at[k + 1]), None] for v in (px, py))
+                ax, bx, ay, by = np.abs(x - xl), np.abs(x - xh), np.abs(y - yl), np.abs(y - yh)
+                most = np.minimum(np.hypot(np.minimum(ax, bx), np.maximum(ay, by)), np.hypot(np.maximum(ax, bx), np.minimum(ay, by))).min(1, keepdims=True)
+                least = np.hypot(np.maximum(np.maximum(xl - x, x - xh), 0), np.maximum(np.maximum(yl - y, y - yh), 0))
+                keep |= (least <= most * (1 + 1e-9) + 1e-6).any(0)
+            found = leaf[of[k] : of[k + 1]][keep]
+            out.append((np.full(len(found), blocks[k]), found))
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], ["block", "leaf"])
+
+
+def _nearest_in_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The nearest place of each point in the leaves that come one after another with the same block; the first segment wins ties."""
+    names = ["point_id", "line_id", "seg", "distance", "along"]
+    block, ids, best = None, None, None
+
+    def told():
+        return pa.RecordBatch.from_arrays([ids, *[pa.array(best[n].tolist(), types[n]) if n in types else pa.array(best[n]) for n in names[1:]]], names)
+
+    for batch in batches:
+        at, points = _lists(batch, "points")
+        of, segs = _lists(batch, "segs")
+        types = {n: segs[n].type for n in ("line_id", "seg")}
+        s = {n: a.to_numpy(zero_copy_only=False) for n, a in segs.items()}
+        px, py = points["px"].to_numpy(), points["py"].to_numpy()
+        for k, own in enumerate(batch.column("block").to_numpy()):
+            i, j = slice(at[k], at[k + 1]), slice(of[k], of[k + 1])
+            x, y, dx, dy = s["x"][j], s["y"][j], s["x2"][j] - s["x"][j], s["y2"][j] - s["y"][j]
+            gx, gy = px[i, None] - x, py[i, None] - y
+            t = np.clip((gx * dx + gy * dy) / (s["length"][j] * s["length"][j]), 0.0, 1.0)
+            away = np.hypot(gx - t * dx, gy - t * dy)
+            first = away.argmin(1)
+            row = np.arange(len(first))
+            got = {"distance": away[row, first], "line_id": s["line_id"][j][first], "seg": s["seg"][j][first], "along": s["c0"][j][first] + t[row, first] * s["length"][j][first]}
+            if block != own:
+                if best is not None:
+                    yield told()
+                block, ids, best = own, points["point_id"].slice(at[k], at[k + 1] - at[k]), got
+                continue
+            a, b = got, best
+            same = lambda n: a[n] == b[n]
+            better = (a["distance"] < b["distance"]) | (same("distance") & ((a["line_id"] < b["line_id"]) | (same("line_id") & (a["seg"] < b["seg"]))))
+            best = {n: np.where(better, a[n], b[n]) for n in got}
+    if best is not None:
+        yield told()
 
 
 def interp_at(profile: DataFrame, at: DataFrame, value: str) -> DataFrame:
