@@ -89,3 +89,12 @@ def test_settings_checks(spark):
     assert spark.range(1).select(settings.curve_error(F.expr("array(named_struct('x', 1D, 'y', 1D))")).alias("e")).first().e == "nodes"
     got = spark.range(1).select(settings.mirrored_curve(F.expr(node.format(0, 1, 2, 5))).alias("c"), settings.upgraded_weight(F.lit(4.0), F.lit(None).cast("double"), F.lit(False)).alias("k"), settings.clean_parameter(F.lit(2.5), 0, 9, True).alias("p")).first()
     assert [tuple(p) for p in got.c] == [(-2, 5), (0, 1), (2, 5)] and got.k == pytest.approx(49.3827) and got.p == 2
+
+
+def test_adaptive_resample_makes_no_fine_points_on_a_straight_run(spark):
+    """A million metres without a turn: fine points stay near the vertices, and nothing is shuffled but the lines."""
+    line = _line(spark, [(0, 0), (1e6, 0), (1e6, 10)])
+    got = profiles.adaptive_resample(line, 1000.0)
+    rows = got.orderBy("k").collect()
+    assert (rows[0].x, rows[-1].x, rows[-1].y) == (0, 1e6, 10) and 1000 < len(rows) < 1100
+    assert got._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1

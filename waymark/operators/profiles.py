@@ -11,9 +11,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .evaluate import running_mean_clip
-from .lines import densify, interp_at, nearest_on_lines
+from .lines import densify, interp_at, nearest_on_lines, segments
 from .rounds import settled
-from .scoring import _turned, legs_signature, turning
+from .scoring import _turned, legs_signature
 
 def _by_i():
     return Window.partitionBy("line_id").orderBy("i")
@@ -32,14 +32,32 @@ def adaptive_resample(vertices: DataFrame, h: float, turn_deg: float = 10.0, lea
     """(line_id, k, x, y): points that turn by ``turn_deg`` at most, from ``least`` to ``h`` metres apart; both ends kept.
 
     The steps wished for add up along a fine copy of the line; where the sum passes a whole
-    share of itself a point is made, so the line is measured once and cut as it is read.
+    share of itself a point is made, so the line is measured once and cut as it is read. The
+    bend radius at a point is that of the metre around it, with each turn spread over half the
+    fine steps beside it; so fine points are made near vertices only, and a straight run
+    between them is one step of the sum.
     """
-    fine = densify(vertices, ["line_id"], min(least, h) / 2)
-    w = Window.partitionBy("line_id").orderBy("seq")
-    fine = settled(fine.select("line_id", "d", "x", "y", F.row_number().over(Window.partitionBy("line_id").orderBy("d")).alias("seq")))
-    wished = F.least(F.greatest(F.col("radius") * math.radians(turn_deg), F.lit(least)), F.lit(float(h)))
-    at = fine.join(turning(fine).select("line_id", F.col("seg").alias("seq"), wished.alias("step")), ["line_id", "seq"], "left")
-    at = at.withColumn("step", F.coalesce("step", F.lag("step").over(w)))
+    fine, reach = min(least, h) / 2, 0.5
+    w = Window.partitionBy("line_id").orderBy("seg")
+    seg = segments(vertices, ["line_id"]).withColumns({"n": F.greatest(F.ceil(F.col("length") / fine - 1e-9), F.lit(1)).cast("int"), "heading": F.atan2(F.col("y2") - F.col("y"), F.col("x2") - F.col("x"))})
+    seg = seg.withColumns({"gap": F.col("length") / F.col("n"), "turn": F.abs(_turned(F.lag("heading").over(w), F.col("heading"))), "end": F.max(F.col("c0") + F.col("length")).over(Window.partitionBy("line_id"))})
+    bend = F.when(F.col("turn") > 0, F.struct("turn", (F.col("c0") - F.lag("gap").over(w) / 2).alias("a"), (F.col("c0") + F.col("gap") / 2).alias("b")))
+    seg = seg.withColumns({"bend": bend, "ends": F.lead("seg").over(w).isNull()})
+    seg = seg.withColumn("near", F.collect_list("bend").over(Window.partitionBy("line_id").orderBy(F.col("c0") / (2 * reach + 5 * fine)).rangeBetween(-1, 1)))
+    k = (F.ceil(reach / F.col("gap")) + 2).cast("int")
+    seg = seg.withColumns({"ahead": F.coalesce(F.lead("near").over(w), F.col("near")), "k": k, "from": F.when(F.col("c0") == 0, 0).otherwise(1)})
+    kept = F.when(F.col("n") <= 2 * F.col("k") + 1, F.sequence("from", "n")).otherwise(F.concat(F.sequence("from", "k"), F.sequence(F.col("n") - F.col("k"), F.col("n"))))
+    at = seg.withColumn("j", F.explode(kept))
+    own = F.col("j") - (F.col("ends") & (F.col("j") == F.col("n"))).cast("int")  # the last point takes the step before it
+    at = at.withColumns({"q": F.col("c0") + own / F.col("n") * F.col("length"), "near": F.when(2 * own <= F.col("n"), F.col("near")).otherwise(F.col("ahead"))})
+    done = lambda v, q: F.least(F.greatest((q - v["a"]) / (v["b"] - v["a"]), F.lit(0.0)), F.lit(1.0))
+    turned = F.aggregate("near", F.lit(0.0), lambda s, v: s + v["turn"] * (done(v, F.col("q") + reach) - done(v, F.col("q") - reach)))
+    at = at.withColumns({"turned": turned, "span": F.least(F.col("q") + reach, F.col("end")) - F.greatest(F.col("q") - reach, F.lit(0.0))})
+    radius = F.when(F.col("turned") > 1e-9, F.least(F.col("span") / F.col("turned"), F.lit(1e4))).otherwise(1e4)
+    t = F.col("j") / F.col("n")
+    step = F.least(F.greatest(radius * math.radians(turn_deg), F.lit(least)), F.lit(float(h)))
+    at = at.select("line_id", "seg", "j", (F.col("c0") + t * F.col("length")).alias("d"), *[(F.col(c) + t * (F.col(f"{c}2") - F.col(c))).alias(c) for c in "xy"], step.alias("step"))
+    w = Window.partitionBy("line_id").orderBy("seg", "j")
     share = F.coalesce(2 * (F.col("d") - F.lag("d").over(w)) / (F.col("step") + F.lag("step").over(w)), F.lit(0.0))
     at = at.withColumn("n", F.sum(share).over(w.rowsBetween(Window.unboundedPreceding, 0)))
     at = at.withColumns({"total": F.max("n").over(Window.partitionBy("line_id")), "n0": F.lag("n").over(w), "x0": F.lag("x").over(w), "y0": F.lag("y").over(w), "last": F.lead("n").over(w).isNull()})
