@@ -350,3 +350,20 @@ def test_routes_are_put_together_the_cheapest_way(spark):
         snapped = sum(r.snapped for r in got.get(route, []))
         assert abs(sum(map(metres, legs_of)) - sum(b - a for a, b in kept) - sum(r.gap for r in got.get(route, []) if r.bridge)) <= snapped + 0.5 * len(own) + 1e-6
     assert kinds == {"end", "leaves", "joins"}
+
+
+def test_grade_over_ten_metres_needs_no_join(spark):
+    """Against interpolation by hand, heights missing and the first sample past 0 too; a line's windows are all it takes."""
+    r = np.random.default_rng(3)
+    rows, want = [], {}
+    for line in range(3):
+        d = np.cumsum(r.integers(1, 4, 40)) * 1.25 - (line < 2) * 1.25
+        z = r.normal(size=40) * 3
+        known = r.random(40) > 0.2
+        rows += [(line, i, float(d[i]), float(z[i]) if known[i] else None) for i in range(40)]
+        at, moved = d[known], np.concatenate([[0], np.cumsum(np.abs(np.diff(z[known])))])
+        low, high = np.maximum(at - 5, 0), np.minimum(at + 5, at[-1])
+        want |= {(line, int(i)): g for i, g in zip(np.arange(40)[known], 100 * (np.interp(high, at, moved) - np.interp(low, at, moved)) / np.maximum(high - low, 1e-6), strict=True)}
+    got = R.grade_10m(spark.createDataFrame(rows, "line_id int, i int, d double, zd double"))
+    assert {(x.line_id, x.i): x.grade for x in got.collect()} == pytest.approx(want)
+    assert "Join" not in got._jdf.queryExecution().executedPlan().toString()
