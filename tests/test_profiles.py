@@ -98,3 +98,13 @@ def test_adaptive_resample_makes_no_fine_points_on_a_straight_run(spark):
     rows = got.orderBy("k").collect()
     assert (rows[0].x, rows[-1].x, rows[-1].y) == (0, 1e6, 10) and 1000 < len(rows) < 1100
     assert got._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+
+
+def test_reversal_sites_need_no_join(spark):
+    """A dip in the design line and a hollow in the ground are found; heights around a sample are read in its line's windows."""
+    zd = [9, 6, 3, 0, 3, 6, 9, 9, 9, 9, 9, 9]
+    z = [5, 5, 5, 5, 5, 5, 5, 5, 5, 0, 5, 5]
+    rows = spark.createDataFrame([(k, i, 2.0 * i, float(z[i]), float(zd[i])) for k in range(2) for i in range(12)], "line_id int, i int, d double, z double, zd double")
+    got = profiles.reversal_sites(rows, 4.0, 4.0, 5.0)
+    assert sorted(map(tuple, got.collect())) == [(k, d) for k in range(2) for d in (6.0, 18.0)]
+    assert "Join" not in got._jdf.queryExecution().executedPlan().toString()

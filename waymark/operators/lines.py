@@ -289,6 +289,26 @@ def interp_at(profile: DataFrame, at: DataFrame, value: str) -> DataFrame:
     return both.select("line_id", "q", mixed.alias(value))
 
 
+def read_around(samples: DataFrame, value: str, reach: float) -> DataFrame:
+    """``samples`` (line_id, i, d) with low and high, ``reach`` before and behind each but on its line, and before and after, the ``value`` there, linear between samples.
+
+    A place reads from the last sample at or before it and the one after that, so a line's windows are all it takes.
+    """
+    w, whole = Window.partitionBy("line_id").orderBy("i"), Window.partitionBy("line_id")
+    # the range frame of a double needs SQL
+    last = lambda frame: F.expr(f"last(_at) over (partition by line_id order by d range between {frame})")
+    s = samples.withColumn("_at", F.struct("d", F.col(value).cast("double").alias("v"), F.lead("d").over(w).alias("d2"), F.lead(F.col(value).cast("double")).over(w).alias("v2")))
+    own = F.struct("d", "i", "_at")
+    s = s.withColumns({"_first": F.min(own).over(whole)["_at"], "_zero": F.max(F.when(F.col("d") <= 0, own)).over(whole)["_at"], "_a": last(f"unbounded preceding and {float(reach)!r}D preceding"), "_b": last(f"current row and {float(reach)!r}D following")})
+    s = s.withColumns({"low": F.greatest(F.col("d") - reach, F.lit(0.0)), "high": F.least(F.col("d") + reach, F.max("d").over(whole))})
+    s = s.withColumn("_a", F.coalesce(F.when(F.col("d") - reach > 0, F.col("_a")).otherwise(F.col("_zero")), F.col("_first")))
+
+    def read(p: Column, q: Column) -> Column:
+        return F.when((p["d2"] > p["d"]) & (q > p["d"]), p["v"] + (p["v2"] - p["v"]) * (q - p["d"]) / (p["d2"] - p["d"])).otherwise(p["v"])
+
+    return s.withColumns({"before": read(F.col("_a"), F.col("low")), "after": read(F.col("_b"), F.col("high"))}).drop("_at", "_first", "_zero", "_a", "_b")
+
+
 def cut_line(vertices: DataFrame, cuts: DataFrame) -> DataFrame:
     """(line_id, d, x, y) of the part between cuts (line_id, d0, d1), its ends interpolated."""
     seg = segments(vertices, ["line_id"])

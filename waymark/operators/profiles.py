@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .evaluate import running_mean_clip
-from .lines import densify, interp_at, nearest_on_lines, segments
+from .lines import densify, nearest_on_lines, read_around, segments
 from .rounds import settled
 from .scoring import _turned, legs_signature
 
@@ -213,12 +213,8 @@ def reversal_sites(samples: DataFrame, dip: float, reach: float = 10.0, merge: f
     # the range frame of a double needs SQL
     before = F.expr(f"max(zd) over (partition by line_id order by d range between {reach}D preceding and current row)")
     behind = F.expr(f"max(zd) over (partition by line_id order by d range between current row and {reach}D following)")
-    end = F.max("d").over(Window.partitionBy("line_id"))
-    s = samples.select("line_id", "i", "d", "z", "zd").withColumns({"left": before, "right": behind, "qa": F.greatest(F.col("d") - reach, F.lit(0.0)), "qb": F.least(F.col("d") + reach, end)})
-    for q, n in (("qa", "za"), ("qb", "zb")):
-        got = interp_at(samples, s.select("line_id", F.col(q).alias("q")).distinct(), "z").toDF("line_id", q, n)
-        s = s.join(got, ["line_id", q])
-    s = s.withColumn("e", F.col("z") - (F.col("za") + F.col("zb")) / 2)
+    s = read_around(samples.select("line_id", "i", "d", "z", "zd").withColumns({"left": before, "right": behind}), "z", reach)
+    s = s.withColumn("e", F.col("z") - (F.col("before") + F.col("after")) / 2)
     step = lambda f, c: f(c).over(_by_i())
     low = (F.col("zd") - step(F.lag, "zd") < -1e-6) & (step(F.lead, "zd") - F.col("zd") >= -1e-6) & (F.least("left", "right") - F.col("zd") >= dip)
     hollow = (F.col("e") < -dip) & (F.col("e") <= step(F.lag, "e")) & (F.col("e") <= step(F.lead, "e"))
