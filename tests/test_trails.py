@@ -33,6 +33,18 @@ def test_bridged_gap_and_symmetric_mean(spark):
     assert [r.m for r in m.select("i", V.running_mean_sym("v", 3).alias("m")).orderBy("i").collect()][:3] == [10.0, 15.0, 20.0]
 
 
+def test_smoothing_keeps_no_lists(spark):
+    """Neighbours are read as columns: the same means as one at a time, and no list for every sample."""
+    s = spark.range(40).selectExpr("1 as line_id", "cast(id as int) as i", "1e0 * id as d", "1e0 as w", "case when id % 5 = 3 then null else pow(id % 7, 2) end as z", "0.1e0 * (id % 3) as gx", "0.2e0 as gy", "0.3e0 * id as heading", "1 as src")
+    m = V.measured(s)
+    assert "collect_list" not in m._jdf.queryExecution().executedPlan().toString()
+    z = [None if i % 5 == 3 else float(i % 7) ** 2 for i in range(40)]
+    for r in m.select("i", "zs").collect():
+        half = min(r.i, 39 - r.i, 4)
+        near = [v for v in z[r.i - half : r.i + half + 1] if v is not None]
+        assert r.zs == (sum(near) / len(near) if near else None)
+
+
 def test_runs_and_bands(spark):
     s = spark.createDataFrame([(1, i, float(min(i, 1)), float(v)) for i, v in enumerate([1, 20, 1, 20, 20])], "line_id int, i int, w double, v double")
     assert V.longest_run(s, ["line_id"], F.col("v") >= 18).first().longest == 2

@@ -31,21 +31,40 @@ def grade_bridged() -> Column:
 
 
 def running_mean_sym(value: str, width: int) -> Column:
-    """Centred mean over an odd width, null-skipping; near the ends the window shrinks on both sides.
-
-    The values of the widest window are gathered once and the middle of them is taken.
-    """
+    """Centred mean over an odd width, null-skipping; near the ends the window shrinks on both sides. Values are added in order."""
     half = width // 2
     if half < 1:
         return F.col(value)
-    at = F.row_number().over(_line()) - 1
-    n = F.count(F.lit(1)).over(Window.partitionBy("line_id"))
-    radius = F.least(at, n - 1 - at, F.lit(half)).cast("int")
-    near = F.collect_list(F.struct(F.col(value).cast("double").alias("v"))).over(_line().rowsBetween(-half, half))
-    middle = F.slice(near, F.least(at, F.lit(half)).cast("int") - radius + 1, 2 * radius + 1)
-    known = F.filter(F.transform(middle, lambda x: x["v"]), lambda x: x.isNotNull())
-    total = F.aggregate(known, F.lit(0.0), lambda a, x: a + x)
-    return F.when(F.size(known) > 0, total / F.size(known))
+    return _mean_of(_radius(half), [_beside(value, k) for k in range(-half, half + 1)])
+
+
+def _radius(half: int) -> Column:
+    """Samples on either side, as many as the shorter side has, ``half`` at most."""
+    return F.least(*[F.count(F.lit(1)).over(_line().rowsBetween(*rows)) for rows in ((-half, -1), (1, half))])
+
+
+def _beside(value: str, k: int) -> Column:
+    """The value ``k`` samples on."""
+    v = F.col(value).cast("double")
+    return F.lag(v, -k).over(_line()) if k < 0 else F.lead(v, k).over(_line()) if k else v
+
+
+def _mean_of(radius: Column, values: list[Column]) -> Column:
+    half = len(values) // 2
+    taken = [v if k == half else F.when(radius >= abs(k - half), v) for k, v in enumerate(values)]
+    total, known = F.lit(0.0), F.lit(0)
+    for v in taken:
+        total, known = total + F.coalesce(v, F.lit(0.0)), known + v.isNotNull().cast("int")
+    return F.when(known > 0, total / known)
+
+
+def smoothed(samples: DataFrame, means: dict[str, tuple[str, int]]) -> DataFrame:
+    """``samples`` with symmetric running means, name: (value, width). Every neighbour is read once, into a column of its own."""
+    halves = {n: width // 2 for n, (_, width) in means.items()}
+    beside = {f"_{n}{k}": _beside(v, k) for n, (v, _) in means.items() for k in range(-halves[n], halves[n] + 1)}
+    near = samples.withColumns({"_radius": _radius(max(halves.values())), **beside})
+    out = {n: _mean_of(F.col("_radius"), [F.col(f"_{n}{k}") for k in range(-h, h + 1)]) for n, h in halves.items()}
+    return near.withColumns(out).drop("_radius", *beside)
 
 
 def running_mean_clip(value: str, width: int) -> Column:
@@ -72,14 +91,8 @@ def interval_weight(kind: str = "evaluator") -> Column:
 def measured(samples: DataFrame) -> DataFrame:
     """``samples`` with grade, slope, tsa and their smoothed forms, and zs, the elevation smoothed for climbing."""
     raw = samples.withColumns({"grade": grade_bridged(), "slope": slope_pct(F.col("gx"), F.col("gy")), "tsa": tsa_deg(F.col("heading"), F.col("gx"), F.col("gy"))})
-    return raw.withColumns(
-        {
-            "grade_s": F.abs(running_mean_sym("grade", GRADE_WIDTH)),
-            "slope_s": running_mean_sym("slope", SLOPE_WIDTH),
-            "tsa_s": running_mean_sym("tsa", TSA_WIDTH),
-            "zs": running_mean_sym("z", CLIMB_WIDTH),
-        }
-    )
+    means = {"grade_s": ("grade", GRADE_WIDTH), "slope_s": ("slope", SLOPE_WIDTH), "tsa_s": ("tsa", TSA_WIDTH), "zs": ("z", CLIMB_WIDTH)}
+    return smoothed(raw, means).withColumn("grade_s", F.abs("grade_s"))
 
 
 def climb_descent(points: DataFrame, by: list[str], z: str = "z", order: str = "i") -> DataFrame:
