@@ -45,6 +45,16 @@ def test_smoothing_keeps_no_lists(spark):
         assert r.zs == (sum(near) / len(near) if near else None)
 
 
+def test_angle_at_the_bound_to_its_last_digit(spark):
+    """Angles of the tables' own headings and slopes are those of the C library, which decides means that are 45 but for the last digit."""
+    rows = [(math.radians(k % 360), (k % 11 / 100 - 0.05) * 8, (k % 9 / 100 - 0.04) * 8) for k in range(3000)]
+    got = spark.createDataFrame(rows, "heading double, gx double, gy double").select("heading", "gx", "gy", S.tsa_near(F.col("heading"), F.col("gx"), F.col("gy")).alias("t")).collect()
+    want = lambda h, x, y: math.degrees(math.acos(min(abs(math.cos(h - math.atan2(y, x))), 1.0))) if math.hypot(x, y) * 100 >= 3 else None
+    assert len(got) == 3000 and all(r.t == want(r.heading, r.gx, r.gy) for r in got)
+    odd = spark.createDataFrame([(None, 1.0, 1.0), (float("inf"), 1.0, 1.0)], "heading double, gx double, gy double").select(S.tsa_near(F.col("heading"), F.col("gx"), F.col("gy")).alias("t"), S.tsa_deg(F.col("heading"), F.col("gx"), F.col("gy")).alias("u")).collect()
+    assert all(r.t == r.u for r in odd)
+
+
 def test_runs_and_bands(spark):
     s = spark.createDataFrame([(1, i, float(min(i, 1)), float(v)) for i, v in enumerate([1, 20, 1, 20, 20])], "line_id int, i int, w double, v double")
     assert V.longest_run(s, ["line_id"], F.col("v") >= 18).first().longest == 2

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalars import slope_pct, tsa_deg
+from ..functions.scalars import slope_pct, tsa_deg, tsa_near
 
 # Thresholds, smoothing widths and the effort rubric (min, max, build m/day, maintain m/day).
 MILE = 1609.344
@@ -88,9 +88,10 @@ def interval_weight(kind: str = "evaluator") -> Column:
     return F.coalesce((before + after) / 2, before * ends, after * ends, F.lit(0.0))
 
 
-def measured(samples: DataFrame) -> DataFrame:
-    """``samples`` with grade, slope, tsa and their smoothed forms, and zs, the elevation smoothed for climbing."""
-    raw = samples.withColumns({"grade": grade_bridged(), "slope": slope_pct(F.col("gx"), F.col("gy")), "tsa": tsa_deg(F.col("heading"), F.col("gx"), F.col("gy"))})
+def measured(samples: DataFrame, near: bool = False) -> DataFrame:
+    """``samples`` with grade, slope, tsa and their smoothed forms, and zs, the elevation smoothed for climbing. ``near`` takes tsa to its last digit, for tests against a bound; it costs a pass through Arrow."""
+    tsa = (tsa_near if near else tsa_deg)(F.col("heading"), F.col("gx"), F.col("gy"))
+    raw = samples.withColumns({"grade": grade_bridged(), "slope": slope_pct(F.col("gx"), F.col("gy")), "tsa": tsa})
     means = {"grade_s": ("grade", GRADE_WIDTH), "slope_s": ("slope", SLOPE_WIDTH), "tsa_s": ("tsa", TSA_WIDTH), "zs": ("z", CLIMB_WIDTH)}
     return smoothed(raw, means).withColumn("grade_s", F.abs("grade_s"))
 

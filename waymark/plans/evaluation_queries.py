@@ -97,7 +97,7 @@ def a05_band_table(spark, d):
     round(coalesce((select max(length) from q where q.line_id = f.line_id and q.leg = f.leg), 0), 6) as longest from f group by line_id, leg"""
 )
 def a06_exceedance(spark, d):
-    return rounded(V.exceedance(_m(spark, d), ["line_id", "leg"], "tsa_s", 45.0, below=True))
+    return rounded(V.exceedance(V.measured(adapted(spark, d, "samples"), near=True), ["line_id", "leg"], "tsa_s", 45.0, below=True))
 
 
 @query(
