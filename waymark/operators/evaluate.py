@@ -241,7 +241,7 @@ def headline_fields(samples: DataFrame, legs: DataFrame, grade_steps=GRADE_STEPS
     steep = at(grade_steps, 1) or at(grade_steps, 0)
     parts = [("steep", "grade_s", steep), ("very_steep", "grade_s", at(grade_steps, 2)), ("fall_line", "tsa_s", at(tsa_steps, 0)), ("heavy_slope", "slope_s", at(slope_steps, 2))]
     share = lambda flag, of: F.try_divide(100 * F.sum(F.when(flag, F.col("w")).otherwise(0.0)), F.sum(F.when(of, F.col("w"))))
-    m = measured(samples)
+    m = measured(samples, near=True)
     aggs = [F.percentile("grade_s", F.lit(0.95)).alias("grade_p95"), share(F.col("src").isin(*lidar), F.lit(True)).alias("lidar_pct")]
     for name, value, t in parts:
         v = F.col(value)
