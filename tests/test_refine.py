@@ -238,6 +238,13 @@ def test_segments_walk_their_own_cells(spark):
             assert (math.floor(x / 50), math.floor(y / 50)) in cells
 
 
+def test_merged_parts_are_not_sent_to_the_driver(spark):
+    frame = spark.createDataFrame([(1, p, k, float(p + k), 0.0) for p in range(3) for k in range(2)], "line_id int, part int, seq int, x double, y double")
+    merged = N.merge_parts(frame)
+    assert merged.count() == 4
+    assert "Broadcast" not in merged._jdf.queryExecution().executedPlan().toString()
+
+
 def test_parts_that_touch_are_merged(spark):
     parts = [(1, 0, [(0, 0), (1, 0)]), (1, 1, [(3, 0), (2, 0), (1, 0)]), (1, 2, [(3, 0), (4, 0)]), (1, 3, [(9, 9), (9, 8)]), (2, 0, [(0, 0), (1, 1)]), (2, 1, [(1, 1), (2, 0)]), (2, 2, [(1, 1), (1, 5)])]
     frame = spark.createDataFrame([(i, p, k, float(x), float(y)) for i, p, v in parts for k, (x, y) in enumerate(v)], "line_id int, part int, seq int, x double, y double")
