@@ -86,6 +86,19 @@ def test_many_views_over_a_grid(spark):
         assert sorted(map(tuple, paint.filter(f"view_id = {k}").drop("view_id").collect())) == sorted(map(tuple, terrain.wet_overlay(cells, "z", box, 1.0)[0].collect()))
 
 
+def test_views_and_cells_are_dealt_and_small_views_keep_to_a_frame(spark):
+    """No side is broadcast, which would leave the work to a few tasks, and a small view's values are not sent on to the view. Row 0 has its cells twice."""
+    cells = spark.range(30 * 20).select((F.col("id") / 20 - 10).cast("int").alias("r"), (F.col("id") % 20 - 5).cast("int").alias("c"), F.when(F.col("id") % 7 > 0, F.col("id") * 37 % 101).cast("double").alias("z"))
+    boxes = {1: (-5, -10, -1, -6), 2: (-1, -1, 0, 0), 3: (2, 3, 5, 6), 4: (3, 3, 6, 6), 5: (-9, -9, 14, 9), 6: (5, 0, 8, 2), 7: (14, 19, 99, 99), 8: (4, 4, 3, 9), 9: (500, 0, 503, 3), 10: (None, 0, 1, 1), 11: (0, 0, 0, 0)}
+    views = spark.createDataFrame([(k, *b) for k, b in boxes.items()], "view_id int, c0 int, r0 int, c1 int, r1 int")
+    want = {k: tuple(terrain.cropped_percentiles(cells, "z", b).first()) if None not in b else (None,) * 3 for k, b in boxes.items()}
+    for side in (4, 64):
+        assert {r.view_id: (r.p50, r.p90, r.p99) for r in terrain.view_percentiles(cells, "z", views, side).collect()} == want
+    plan = terrain.in_views(cells, views)._jdf.queryExecution().executedPlan().toString()
+    assert "ShuffledHashJoin" in plan and "BroadcastHashJoin" not in plan
+    assert "FlatMapCoGroupsInArrow" in terrain.view_percentiles(cells, "z", views)._jdf.queryExecution().executedPlan().toString()
+
+
 def test_whole_queries_reach_every_trail_view_and_row(spark):
     folder = "/root/testdata/sf0.001"
     trails = spark.read.parquet(f"{folder}/lineitem.parquet").select("l_partkey").distinct().count()
