@@ -24,6 +24,23 @@ def test_files_arrive_and_bad_ones_are_put_aside(spark, tmp_path):
     assert sorted((r.file[-5:], r.reason) for r in spark.read.parquet(bad).collect()) == [("b.gpx", "not GPX"), ("c.gpx", "too few points")]
 
 
+def test_files_of_a_batch_are_read_once(spark, tmp_path, monkeypatch):
+    (tmp_path / "in").mkdir()
+    for k in range(4):
+        (tmp_path / "in" / f"{k}.gpx").write_text(GPX.format(points(k)))
+    read, parse = spark.sparkContext.accumulator(0), T.parse_gpx
+
+    def counted(batches):
+        for batch in batches:
+            read.add(batch.num_rows)
+            yield batch
+
+    monkeypatch.setattr(T, "parse_gpx", lambda files: parse(files.mapInArrow(counted, files.schema)))
+    T.ingest_tracks_stream(spark, *(str(tmp_path / n) for n in ("in", "out", "bad", "mark"))).awaitTermination()
+    assert spark.read.parquet(str(tmp_path / "out")).count() == spark.read.parquet(str(tmp_path / "bad")).count() == 2
+    assert read.value == 4
+
+
 def test_the_latest_edit_wins_and_failures_are_kept(spark, tmp_path):
     source, out, mark = (str(tmp_path / n) for n in ("edits", "out", "mark"))
     schema = "alignment_id long, seq long, metres double"

@@ -15,9 +15,13 @@ def ingest_tracks_stream(spark: SparkSession, source: str, tracks: str, rejects:
     files = spark.readStream.format("text").option("wholetext", "true").load(source).select(F.col("_metadata.file_path").alias("file"), "value")
 
     def add(batch: DataFrame, n: int) -> None:
-        points, bad = split_gpx(parse_gpx(batch))
-        track_summary(points).write.mode("overwrite").parquet(f"{tracks}/batch={n}")
-        bad.write.mode("overwrite").parquet(f"{rejects}/batch={n}")
+        parsed = parse_gpx(batch).persist()  # both tables come from one reading of the files
+        try:
+            points, bad = split_gpx(parsed)
+            track_summary(points).write.mode("overwrite").parquet(f"{tracks}/batch={n}")
+            bad.write.mode("overwrite").parquet(f"{rejects}/batch={n}")
+        finally:
+            parsed.unpersist()
 
     return files.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(add).start()
 
