@@ -131,6 +131,20 @@ def test_a_hairpin_is_one_corner_and_may_be_dug(spark):
     assert R.corners(s.limit(0), 0.05, 30.0).count() == 0
 
 
+def test_corners_that_overlap_are_dug_in_order_in_one_go(spark, monkeypatch):
+    """As if each were dug by itself into the line that the one before left; no table is written for it."""
+    s = hairpin(spark).select("line_id", "i", "d", "z", (F.col("zd") + F.sin("i")).alias("zd")).cache()
+    curves = {"grade": [(0, 0.01), (10, 1), (40, 100)], "cutfill": [(-4, 2), (0, 0.01), (4, 2)]}
+    dig = lambda rows, *ends: R.dig_corners(rows, spark.createDataFrame([(1, a, b) for a, b in ends], "line_id int, a int, b int"), curves, {"grade": 1.0, "cutfill": 0.1}, 4.0, 30.0)
+    ends, line = [(35, 45), (40, 58), (52, 70)], {r.i: r.zd for r in s.collect()}
+    monkeypatch.setattr(R, "settled", None)
+    once = {r.i: r.zd for r in dig(s, *ends[::-1]).collect()}
+    for e in ends:
+        rows = s.drop("zd").join(spark.createDataFrame(list(line.items()), "i int, zd double"), "i")
+        line = {r.i: r.zd for r in dig(rows, e).collect()}
+    assert once == line and once != {r.i: r.zd for r in s.collect()}
+
+
 def test_fill_matches_a_cut(spark):
     curve = [(-2, 8), (0, 1), (4, 8)]
     got = spark.createDataFrame([(0.0,), (1.0,), (2.0,), (None,)], "c double").select(R.fill_for(F.col("c"), curve).alias("f")).collect()
