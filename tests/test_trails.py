@@ -216,3 +216,13 @@ def test_many_equal_lines_are_met_by_blocks_of_points(spark):
     got = {r.point_id: r for r in L.nearest_on_lines(p, v).collect()}
     assert all(r.line_id == 0 for r in got.values()) and len(got) == 400
     assert got[0].distance == 0 and abs(got[201].distance - 8996) < 0.1
+
+
+def test_faults_of_legs_are_told_without_a_map_of_alignments(spark):
+    a, b, far = (-151.0, 59.0), (-151.1, 59.1), (-151.1, 59.2)
+    rows = [(1, 0, "new", 1.0, [a, b]), (1, 1, "reroute", 2.0, [b, a]), (2, 1, "odd", 101.0, [far, a]), (2, 0, "new", 1.0, [a, b]), (3, 0, "new", None, [(200.0, 1.0)]), (3, 1, None, 1.0, [a, b]), (4, 0, "new", 1.0, None)]
+    rows += [(5, k, "new", 1.0, [a, a]) for k in range(501)] + [(6, 0, "new", 1.0, [a] * 50_001)]
+    legs = spark.createDataFrame(rows, "alignment_id int, leg int, kind string, effort_factor double, coords array<struct<lon:double,lat:double>>")
+    made = C.validate_legs(legs)
+    assert {r.alignment_id: r.errors for r in made.collect()} == {1: [], 2: ["bad effort factor", "legs do not meet", "unknown kind"], 3: ["legs do not meet", "out of range", "too few points"], 4: [], 5: ["too many legs"], 6: ["too many points"]}
+    assert "Aggregate" not in made._jdf.queryExecution().optimizedPlan().toString()

@@ -138,21 +138,26 @@ def validate_legs(legs: DataFrame) -> DataFrame:
     """(alignment_id, errors) from legs (alignment_id, leg, kind, effort_factor, coords array<struct<lon,lat>>); an empty list is valid, an alignment without legs isn't seen here."""
     from ..functions.scalars import equirect_m
 
-    order = Window.partitionBy("alignment_id").orderBy("leg")
-    end = F.lag(F.try_element_at("coords", F.lit(-1))).over(order)
-    start = F.try_element_at("coords", F.lit(1))
     c = F.col
     bad = {
-        "too few points": F.size("coords") < 2,
+        "bad effort factor": ~c("effort_factor").between(0, 100),
+        "legs do not meet": equirect_m(c("end.lon"), c("end.lat"), c("start.lon"), c("start.lat")) > 0.5,
         "out of range": F.exists("coords", lambda p: ~(p["lon"].between(-180, 180) & p["lat"].between(-90, 90))),
+        "too few points": F.size("coords") < 2,
         "unknown kind": ~c("kind").isin("existing", "new", "reroute", "restore"),
-        "bad effort factor": ~c("effort_factor").between(0, 100),
-        "legs do not meet": equirect_m(end["lon"], end["lat"], start["lon"], start["lat"]) > 0.5,
     }
-    flagged = legs.select("alignment_id", F.size("coords").alias("n"), F.array_compact(F.array(*[F.when(F.coalesce(x, F.lit(False)), F.lit(k)) for k, x in bad.items()])).alias("e"))
-    whole = flagged.groupBy("alignment_id").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("e")))).alias("e"), F.count("*").alias("legs"), F.sum("n").alias("points"))
-    extra = F.array_compact(F.array(F.when(c("legs") > 500, F.lit("too many legs")), F.when(c("points") > 50000, F.lit("too many points"))))
-    return whole.select("alignment_id", F.concat("e", extra).alias("errors"))
+    flag = lambda k: F.coalesce(bad[k], F.lit(False)).alias(k)
+    own = [k for k in bad if k != "legs do not meet"]
+    # flags and a leg's two ends go on, not its vertices
+    ends = [F.try_element_at("coords", F.lit(k)).alias(n) for k, n in ((1, "start"), (-1, "stop"))]
+    small = legs.select("alignment_id", "leg", F.size("coords").alias("n"), *[flag(k) for k in own], *ends)
+    # windows in one order: no map of all alignments is held in memory
+    order = Window.partitionBy("alignment_id").orderBy("leg")
+    every = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    met = small.withColumns({"end": F.lag("stop").over(order), "place": F.row_number().over(order)}).select("alignment_id", "leg", "place", "n", *own, flag("legs do not meet"))
+    whole = met.select("alignment_id", "place", *[F.max(k).over(every).alias(k) for k in bad], F.count(F.lit(1)).over(every).alias("legs"), F.sum("n").over(every).alias("points")).filter("place = 1")
+    found = [F.when(c(k), F.lit(k)) for k in bad] + [F.when(c("legs") > 500, F.lit("too many legs")), F.when(c("points") > 50000, F.lit("too many points"))]
+    return whole.select("alignment_id", F.array_compact(F.array(*found)).alias("errors"))
 
 
 def exact_joints(legs: DataFrame, near: float = 0.5, name_most: int = 200, notes_most: int = 5000) -> DataFrame:
