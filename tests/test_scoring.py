@@ -118,3 +118,19 @@ def test_context_sources_are_put_in_order_once(spark):
     got = {r.line_id: r.sources for r in made.collect()}
     assert got == {1: ["m1", "m2", "terrarium"], 2: ["m2", "m1", "terrarium"], 3: ["terrarium", "m1", "m2"]}
     assert "array_sort(concat" not in made._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_context_joins_lines_that_move_no_more(spark):
+    """Every line lists the whole context, so no row that has it may be shuffled or sorted, whatever the size at which joins are broadcast."""
+    schema = "slug string, kind string, enabled boolean, gated boolean, cog_url string, tiles_url string, native_res double, year int, w double, s double, e double, n double"
+    rows = [("m1", "mapbox", True, False, None, "u", None, None, *[None] * 4), ("a", "lidar", True, False, "u", None, 1.0, 2020, 0.0, 0.0, 12.0, 12.0), ("b", "lidar", True, False, "u", None, 0.5, 2020, 4.0, 4.0, 5.0, 5.0), ("b", "lidar", True, False, "u", None, 0.5, 2020, 4.0, 4.0, 5.0, 5.0)]
+    lines = spark.createDataFrame([(1, None, 3.0, 3.0, 11.0, 11.0), (2, "a", 3.0, 3.0, 11.0, 11.0), (3, "m1", None, None, None, None), (4, None, 5.0, 5.0, 5.0, 5.0)], "line_id int, own string, w double, s double, e double, n double")
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        made = terrain.choose_dem_sources(lines, spark.createDataFrame(rows, schema), 5.0)
+        assert {r.line_id: r.sources for r in made.collect()} == {1: ["b", "a", "m1", "terrarium"], 2: ["a", "b", "m1", "terrarium"], 3: ["m1", "terrarium"], 4: ["b", "a", "m1", "terrarium"]}
+        plan = made._jdf.queryExecution().sparkPlan().toString().splitlines()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    assert "NestedLoop" in next(line for line in plan if "Join" in line)
