@@ -9,7 +9,7 @@ from waymark.operators import evaluate as V
 from waymark.operators import lines as L
 from waymark.operators import network
 from waymark.plans import QUERIES
-from waymark.plans.adapters import adapted
+from waymark.plans.adapters import SAMPLES, adapted, table
 from waymark.sources import gpx
 
 
@@ -226,3 +226,29 @@ def test_faults_of_legs_are_told_without_a_map_of_alignments(spark):
     made = C.validate_legs(legs)
     assert {r.alignment_id: r.errors for r in made.collect()} == {1: [], 2: ["bad effort factor", "legs do not meet", "unknown kind"], 3: ["legs do not meet", "out of range", "too few points"], 4: [], 5: ["too many legs"], 6: ["too many points"]}
     assert "Aggregate" not in made._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_samples_are_the_sql_rows_dealt_once(spark):
+    folder = "/root/testdata/sf0.001"
+    made, told = adapted(spark, folder, "samples"), spark.sql(SAMPLES.replace("from lineitem", "from {l}"), l=table(spark, folder, "lineitem"))
+    assert made.dtypes == told.dtypes and made.exceptAll(told).isEmpty() and told.exceptAll(made).isEmpty()
+    assert made._jdf.queryExecution().sparkPlan().toString().count("Scan") == 1 and _exchanges(made) == 1
+
+
+def _exchanges(frame):
+    spark, key = frame.sparkSession, "spark.sql.adaptive.enabled"
+    was = spark.conf.get(key)
+    spark.conf.set(key, "false")
+    try:
+        return frame.select("*")._jdf.queryExecution().executedPlan().toString().count(" Exchange hashpartitioning")
+    finally:
+        spark.conf.set(key, was)
+
+
+def test_headline_measures_samples_once(spark):
+    """The table is read for the samples and for the legs, and moves twice as samples; the longest run is that of all samples in order."""
+    made = QUERIES["p09_headline"](spark, "/root/testdata/sf0.001")
+    assert made._jdf.queryExecution().sparkPlan().toString().count("FileScan") == 2 and _exchanges(made) <= 6
+    s = adapted(spark, "/root/testdata/sf0.001", "samples")
+    longest = {r.line_id: r.longest for r in V.longest_run(V.measured(s), ["line_id"], F.col("grade_s") >= 18).collect()}
+    assert {r.line_id: r.steep_longest_m for r in made.collect()} == longest

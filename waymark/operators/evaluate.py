@@ -119,6 +119,14 @@ def runs(points: DataFrame, by: list[str], flag: Column) -> DataFrame:
     return starts.filter("held").groupBy(*by, "run").agg(F.sum("w").alias("length"))
 
 
+def _runs_so_far(points: DataFrame, flag: Column) -> DataFrame:
+    """``points`` with _run, at a sample that holds the length of its line's run up to it."""
+    upto = _line().rowsBetween(Window.unboundedPreceding, 0)
+    held = points.withColumns({"_held": F.coalesce(flag, F.lit(False)), "_total": F.sum("w").over(upto)})
+    before = F.coalesce(F.last(F.when(~F.col("_held"), F.col("_total")), True).over(upto), F.lit(0.0))
+    return held.withColumn("_run", F.when(F.col("_held"), F.col("_total") - before)).drop("_held", "_total")
+
+
 def longest_run(points: DataFrame, by: list[str], flag: Column) -> DataFrame:
     longest = runs(points, by, flag).groupBy(*by).agg(F.max("length").alias("longest"))
     return points.select(*by).distinct().join(longest, by, "left").select(*by, F.coalesce("longest", F.lit(0.0)).alias("longest"))
@@ -178,18 +186,19 @@ def coverage_by_source(points: DataFrame, by: list[str]) -> DataFrame:
     return per.select(*by, "src", "length", F.when(total > 0, 100 * F.col("length") / total).alias("pct"))
 
 
-def _stats(m: DataFrame, by: list[str]) -> DataFrame:
-    """All statistics of ``measured`` samples by group, in one pass after one window."""
+def _stats(m: DataFrame, by: list[str], more: list[Column] = (), ranked: Column | None = None) -> DataFrame:
+    """All statistics of ``measured`` samples by group, in one pass after one window, and what ``more`` asks for. ``ranked`` says which rows' groups need percentiles."""
     before = Window.partitionBy(*by).orderBy("i").rowsBetween(Window.unboundedPreceding, -1)
     m = m.withColumns({"_up": F.col("z") - F.last("z", True).over(before), "_ups": F.col("zs") - F.last("zs", True).over(before)})
     known = F.col("z").isNotNull()
     first, last = F.min_by("z", F.when(known, F.col("i"))), F.max_by("z", F.when(known, F.col("i")))
+    middle = lambda c: F.percentile(F.col(c) if ranked is None else F.when(ranked, F.col(c)), F.lit(0.5)).alias(f"{c[:-2]}_p50")
     moves = [F.coalesce(F.sum(F.when(F.col(c) * way > 0, F.col(c) * way)), F.lit(0.0)).alias(n) for c, way, n in (("_up", 1, "climb"), ("_up", -1, "descent"), ("_ups", 1, "climb_s"), ("_ups", -1, "descent_s"))]
     return m.groupBy(*by).agg(
         F.sum("w").alias("length_m"), F.count("*").alias("samples"), (100 * F.sum(F.when(known, F.col("w"))) / F.sum("w")).alias("coverage_pct"),
         F.min("z").alias("z_min"), F.max("z").alias("z_max"), first.alias("z_start"), last.alias("z_end"),
-        (F.min("d") - F.min_by("w", "i")).alias("d_start"), F.max("d").alias("d_end"), F.expr("percentile(grade_s, 0.5)").alias("grade_p50"), F.expr("percentile(slope_s, 0.5)").alias("slope_p50"), F.expr("percentile(tsa_s, 0.5)").alias("tsa_p50"),
-        *moves, *_effort("slope_s", "grade_s", None, None),
+        (F.min("d") - F.min_by("w", "i")).alias("d_start"), F.max("d").alias("d_end"), middle("grade_s"), middle("slope_s"), middle("tsa_s"),
+        *moves, *_effort("slope_s", "grade_s", None, None), *more,
     )
 
 
@@ -213,18 +222,22 @@ def alignment_summary(samples: DataFrame, legs: DataFrame) -> DataFrame:
 
     Each measured sample counts for its leg and for its line (part -1), so samples are measured once.
     """
-    parts = measured(samples).withColumn("leg", F.explode(F.array(F.col("leg"), F.lit(-1))))
-    stats = _stats(parts, ["line_id", "leg"]).join(legs, ["line_id", "leg"], "full")
+    return _summary(measured(samples), legs)
+
+
+def _summary(m: DataFrame, legs: DataFrame, more: list[Column] = ()) -> DataFrame:
+    parts = m.withColumn("leg", F.explode(F.array(F.col("leg"), F.lit(-1))))
+    stats = _stats(parts, ["line_id", "leg"], more, F.col("leg") == -1).join(legs, ["line_id", "leg"], "full")
     own = [c for c in stats.columns if c not in ("line_id", "leg", "kind", "effort_factor", "construct_days", "maintain_days")]
     metres = lambda flag: F.coalesce(F.sum(F.when(flag, F.col("length_m"))), F.lit(0.0))
     built = F.col("kind") != "existing"
     out = stats.groupBy("line_id").agg(
-        F.max(F.when(F.col("leg") == -1, F.struct(*own))).alias("whole"), F.count("kind").alias("n"),
+        *[F.max(F.when(F.col("leg") == -1, F.col(c))).alias(c) for c in own], F.max(F.when(F.col("leg") == -1, F.lit(True))).alias("whole"), F.count("kind").alias("n"),
         metres(built).alias("build_m"), metres(~built).alias("existing_m"),
         F.coalesce(F.sum(F.when(F.col("kind").isNotNull(), F.col("construct_days") * _factor())), F.lit(0.0)).alias("construct_days"),
         F.coalesce(F.sum(F.when(F.col("kind").isNotNull(), F.col("maintain_days"))), F.lit(0.0)).alias("maintain_days"),
     )
-    out = out.filter("n > 0 and whole is not null").select("line_id", "whole.*", "build_m", "existing_m", "construct_days", "maintain_days")
+    out = out.filter("n > 0 and whole is not null").select("line_id", *own, "build_m", "existing_m", "construct_days", "maintain_days")
     return out.withColumn("runs_uphill", F.col("z_end") > F.col("z_start"))
 
 
@@ -241,17 +254,18 @@ def headline_fields(samples: DataFrame, legs: DataFrame, grade_steps=GRADE_STEPS
     steep = at(grade_steps, 1) or at(grade_steps, 0)
     parts = [("steep", "grade_s", steep), ("very_steep", "grade_s", at(grade_steps, 2)), ("fall_line", "tsa_s", at(tsa_steps, 0)), ("heavy_slope", "slope_s", at(slope_steps, 2))]
     share = lambda flag, of: F.try_divide(100 * F.sum(F.when(flag, F.col("w")).otherwise(0.0)), F.sum(F.when(of, F.col("w"))))
+    # samples are measured once and every number is taken with the summary's: a line moves once more after its angles
     m = measured(samples, near=True)
-    aggs = [F.percentile("grade_s", F.lit(0.95)).alias("grade_p95"), share(F.col("src").isin(*lidar), F.lit(True)).alias("lidar_pct")]
+    more = [F.percentile(F.when(F.col("leg") == -1, F.col("grade_s")), F.lit(0.95)).alias("grade_p95"), share(F.col("src").isin(*lidar), F.lit(True)).alias("lidar_pct")]
     for name, value, t in parts:
         v = F.col(value)
-        aggs.append(F.lit(t).cast("double").alias(f"{name}_threshold"))
-        aggs.append((F.lit(None).cast("double") if t is None else share(v < t if name == "fall_line" else v >= t, v.isNotNull())).alias(f"{name}_pct"))
-    out = alignment_summary(samples, legs).join(m.groupBy("line_id").agg(*aggs), "line_id")
+        more.append(F.lit(None).cast("double").alias(f"{name}_pct") if t is None else share(v < t if name == "fall_line" else v >= t, v.isNotNull()).alias(f"{name}_pct"))
     if steep is None:
-        out = out.withColumn("steep_longest_m", F.lit(None).cast("double"))
+        more.append(F.max(F.lit(None).cast("double")).alias("steep_longest_m"))
     else:
-        out = out.join(longest_run(m, ["line_id"], F.coalesce(F.col("grade_s") >= steep, F.lit(False))).withColumnRenamed("longest", "steep_longest_m"), "line_id")
+        m = _runs_so_far(m, F.col("grade_s") >= steep)
+        more.append(F.coalesce(F.max("_run"), F.lit(0.0)).alias("steep_longest_m"))
+    out = _summary(m, legs, more).withColumns({f"{name}_threshold": F.lit(t).cast("double") for name, _, t in parts})
     first = ["length_m", "build_m", "existing_m", F.col("climb_s").alias("climb_m"), F.col("descent_s").alias("descent_m"), "z_min", "z_max", "grade_p50", "grade_p95", "steep_threshold", "steep_pct", "steep_longest_m"]
     rest = [f"{name}_{k}" for name, _, _ in parts[1:] for k in ("threshold", "pct")]
     return out.select("line_id", *first, *rest, "construct_days", "maintain_days", "lidar_pct", "coverage_pct")
