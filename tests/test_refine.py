@@ -18,6 +18,7 @@ from waymark.operators import network as N
 from waymark.operators import refine as R
 from waymark.operators import routing
 from waymark.operators import wetness as W
+from waymark.operators.rounds import settled
 from waymark.sources import dem_catalog
 
 
@@ -388,3 +389,22 @@ def test_grade_over_ten_metres_needs_no_join(spark):
     got = R.grade_10m(spark.createDataFrame(rows, "line_id int, i int, d double, zd double"))
     assert {(x.line_id, x.i): x.grade for x in got.collect()} == pytest.approx(want)
     assert "Join" not in got._jdf.queryExecution().executedPlan().toString()
+
+
+def test_ways_pass_no_join_side_through_the_driver(spark, monkeypatch):
+    """Sides of the joins grow with the input; a way far longer than the straight run is found although it waits for nearer ones."""
+    line = lambda k, *at: [(k, q, float(x), float(y)) for q, (x, y) in enumerate(at)]
+    v = spark.createDataFrame([*line(1, (0, 0), (0, 900)), *line(2, (-10, 850), (60, 850)), *line(3, (50, 0), (50, 900)), *line(4, (-10, 20), (20, 20)), *line(5, (10, 40), (70, 40))], "line_id int, seq int, x double, y double")
+    pairs = spark.createDataFrame([(1, 1.0, 5.0, 49.0, 5.0), (2, 1.0, 100.0, 1.0, 300.0), (3, 1.0, 5.0, 18.0, 20.0)], "pair_id int, x double, y double, x2 double, y2 double")
+    plans = []
+
+    def seen(df):
+        plans.append(df._jdf.queryExecution().sparkPlan().toString())
+        return settled(df)
+
+    monkeypatch.setattr(routing, "settled", seen)
+    made = routing.follow_network(v, N.trail_network_edges(v), pairs, reach=2.5)
+    got = {r.pair_id: (round(r.length, 6), [leg.line_id for leg in r.legs]) for r in made.collect()}
+    assert got == {1: (1740.0, [1, 1, 2, 3, 3]), 2: (200.0, [1]), 3: (33.0, [1, 4])}
+    plans.append(made._jdf.queryExecution().sparkPlan().toString())
+    assert not [p for p in plans if "Broadcast" in p]
